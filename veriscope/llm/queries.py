@@ -1,9 +1,19 @@
 """One query per operator over its whole table, and SQL where SQL can express it."""
 
+from .html_text import op5_html_extraction
+from .licenses import op9_license_scan
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op1_packing
+from .rules import op3_quality_rules
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_mixing": op6_mixing,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_mixing": OP6_SQL,
+}
