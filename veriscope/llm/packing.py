@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,23 @@ from .shared import Words, chunks, scratch_path, strings
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
 #: Words that a Python worker keeps encoded between batches.
-CACHE = 400_000
+CACHE = 600_000
 # A word of letters that one lower-case rule and no composition touches, then marks that make one token run.
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#%&$()]*)"
 
 
+def _byte_letters() -> list[str]:
+    """The letters by which byte-level models name the 256 bytes: printable ones name themselves, the others follow."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class _Encoder:
     """Token ids of words, by a tokenizer that drops white space, so that no token spans two words.
 
-    Words are encoded once per worker while they fit the cache. ``whole`` is for tokenizers that look across
-    white space: each text is then encoded by itself.
+    Words, and the runs of letters and marks in them, are encoded once per worker while they fit its caches. ``whole`` is
+    for tokenizers that look across white space: each text is then encoded by itself.
     """
 
     def __init__(self, path: str, whole: bool):
@@ -35,31 +43,48 @@ class _Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.plain = Tokenizer.from_file(path), whole, regex.compile(PLAIN)
-        self.known: dict[str, bytes] = {"": b""}
+        self.tokenizer, self.whole, self.plain = Tokenizer.from_file(path), whole, regex.compile(PLAIN).fullmatch
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.runs: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        probes = ["straße", "étre", "...", "!!", "a", "thndor"]
+        self.direct = all(self._run(p) == self._encoded([p])[0] for p in probes)
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = [p for p in parts if p]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, np.uint32).tobytes()
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def _run(self, run: str) -> bytes:
+        """Of letters or marks alone, which the model takes as they are."""
+        letters = self.letters
+        i = [t.id for t in self.model.tokenize("".join([letters[b] for b in run.encode()]))]
+        return struct.pack(f"<{len(i)}I", *i)
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word."""
-        match, split = self.plain.fullmatch, []
-        for w in words:
-            m = match(w)
-            split.append((m[1].lower(), m[2]) if m else (w, ""))
-        self._learn({p for pair in split for p in pair})
-        known = self.known
-        return [known[a] + known[b] if b else known[a] for a, b in split]
+        known, runs, match, odd = self.known, self.runs, self.plain, []
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = words
+        if len(runs) > CACHE:
+            runs.clear()
+        for w in new:
+            if not self.direct or not (m := match(w)):
+                odd.append(w)
+                continue
+            out = b""
+            for part in (m[1].lower(), m[2]):
+                if part:
+                    if (own := runs.get(part)) is None:
+                        own = runs[part] = self._run(part)
+                    out = out + own if out else own
+            known[w] = out
+        for i in range(0, len(odd), 4096):
+            known.update(zip(odd[i : i + 4096], self._encoded(odd[i : i + 4096])))
+        return [known[w] for w in words]
 
     def documents(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, and where each begins."""
@@ -181,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_wi
         windows, writer = Windows(size, open_windows, cut), _Writer(task)
         for b in batches:
             off, keys = strings(b.column("text"))[1], b.column("doc_id").to_pylist()
-            for lo, hi in chunks(off, 4 << 20):
+            for lo, hi in chunks(off, 16 << 20):
                 ids, begin = encoder.documents(b.column("text").slice(lo, hi - lo))
                 rows = []
                 for d in range(hi - lo):
