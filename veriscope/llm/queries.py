@@ -3,12 +3,16 @@
 from .html_text import op5_html_extraction
 from .licenses import op9_license_scan
 from .mixing import OP6_SQL, op6_mixing
+from .neighbours import op4_cross_polytope
 from .packing import op1_packing
 from .rules import op3_quality_rules
+from .simhash import op2_simhash
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_cross_polytope": op4_cross_polytope,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
     "op9_license_scan": op9_license_scan,
