@@ -7,6 +7,7 @@ from .neighbours import op4_cross_polytope
 from .packing import op1_packing
 from .rules import op3_quality_rules
 from .simhash import op2_simhash
+from .substrings import op8_substring_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_cross_polytope": op4_cross_polytope,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
 }
 

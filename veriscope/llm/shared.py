@@ -145,16 +145,20 @@ def word_hashes(words: Words, seed: int) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Hash of each run of ``k`` consecutive values, documents not regarded."""
+    """Hash of each run of ``k`` consecutive values, documents not regarded; put together from runs of powers of two."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64((0x9FB21C651E98DF25 + 2 * seed) & (2**64 - 1))
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= base
-        out += h[j : j + n]
-    return mix(out)
+    factor = table(0x5EED + seed)
+    out, have, power, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = power[:n].copy() if out is None else out[:n] * factor[2 * size.bit_length()] + power[have : have + n]
+            have += size
+        if size * 2 > k:
+            return mix(out)
+        power = power[:-size] * factor[2 * size.bit_length() + 1] + power[size:]
+        size *= 2
 
 
 def window_rows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
