@@ -8,6 +8,7 @@ from .packing import op1_packing
 from .rules import op3_quality_rules
 from .simhash import op2_simhash
 from .substrings import op8_substring_dedup
+from .suffixes import op10_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
