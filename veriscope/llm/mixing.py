@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut_lineage, word_count
+from .shared import WORD, cut_lineage, small, word_count
 
 #: Sources up to this many are sent to every task (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
@@ -56,12 +56,11 @@ def copies(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5, 2, 1
     """
     own = [c for c in docs.columns if not c.startswith("mix_")]
     sources = cut_lineage(source_targets(docs, weights, most))
-    small = sources.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    if sources.count() <= BROADCAST_SOURCES:
-        small = F.broadcast(small)
+    rates = sources.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
+    rates = small(rates, BROADCAST_SOURCES)
     base = docs.select(*own)
     rate, extra = F.col("mix_rate"), F.col("mix_rate") - F.floor("mix_rate")
-    return base.join(small, base["source"].eqNullSafe(small["mix_source"])).select(
+    return base.join(rates, base["source"].eqNullSafe(rates["mix_source"])).select(
         *[base[c] for c in own], word_count(base["text"]).alias("mix_size"), "mix_source_size", "mix_target",
         (F.floor(rate) + F.when(coin(base["doc_id"], seed) < extra, 1).otherwise(0)).cast("long").alias("mix_copies"),
     )

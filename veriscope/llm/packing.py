@@ -16,7 +16,7 @@ from .shared import Words, chunks, scratch_path, strings
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
 #: Words that a Python worker keeps encoded between batches.
-CACHE = 600_000
+CACHE = 400_000
 # A word of letters that one lower-case rule and no composition touches, then marks that make one token run.
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#%&$()]*)"
 

@@ -5,6 +5,7 @@ from .licenses import op9_license_scan
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op4_cross_polytope
 from .packing import op1_packing
+from .perplexity import op7_quality_classifier
 from .rules import op3_quality_rules
 from .simhash import op2_simhash
 from .substrings import op8_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_cross_polytope": op4_cross_polytope,
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,

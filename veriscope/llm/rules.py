@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import IS_WHITE, Words, chunks, cut_lineage, mix, runs, strings, window_hashes, window_rows, word_hashes
+from .shared import IS_WHITE, Words, chunks, mix, runs, strings, window_hashes, window_rows, word_hashes
 
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -79,17 +80,19 @@ def _measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the features of every whole text; null counts as empty."""
+    """``docs`` with the features of every whole text; null counts as empty. Columns of these names are replaced."""
+    own = [c for c in docs.columns if c not in FEATURES]
+    docs = docs.select(*own)
+    schema = T.StructType(docs.schema.fields + [T.StructField(c, T.LongType()) for c in FEATURES])
 
     def run(batches):
         for b in batches:
             data, off = strings(b.column("text"))
             for lo, hi in chunks(off):
-                own = _measure(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in own)], ["doc_id", *FEATURES])
+                measured = _measure(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, *(pa.array(x, pa.int64()) for x in measured)], [*own, *FEATURES])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in FEATURES))
+    return docs.mapInArrow(run, schema)
 
 
 def share(a: str, b: str) -> Column:
@@ -143,27 +146,30 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, smo
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Features, ``base_failed``, each rule's vote, ``quality`` (posterior probability of good) and ``kept``, per document.
+    """``docs`` with the features, ``base_failed``, each rule's vote, ``quality`` (posterior probability of good), ``kept``.
 
-    Needs ``doc_id`` and ``text``; other columns are ignored. Only the counts of vote patterns come to the driver: at
-    most three to the power of the number of rules, whatever the input. Empty and null texts fail the base; repeated rows
-    are judged alike, once each; an empty table gives no rows.
+    Needs ``text``; other columns pass through, those of the added names are replaced. Texts are measured twice, once to
+    count the vote patterns and once to judge, so that nothing has to be kept or joined between. Only the counts of
+    patterns come to the driver: at most three to the power of the number of rules, whatever the input. Empty and null
+    texts fail the base; repeated rows are judged alike, once each; an empty table gives no rows.
     """
     names = list(rules())
-    voted = features(docs)
-    voted = cut_lineage(voted.withColumns({f"vote_{k}": v.cast("byte") for k, v in rules().items()}))
-    counted = voted.groupBy(*[f"vote_{k}" for k in names]).count().collect()
+
+    def voted(df):
+        return features(df).withColumns({f"vote_{k}": v.cast("byte") for k, v in rules().items()})
+
+    counted = voted(docs.select("text")).groupBy(*[f"vote_{k}" for k in names]).count().collect()
     patterns = sorted((tuple(int(r[f"vote_{k}"]) for k in names), r["count"]) for r in counted)
     weight, prior = estimate(patterns) if patterns else (np.zeros((len(names), 3)), 0.0)
     odds = F.lit(prior)
     for j, k in enumerate(names):
         odds = odds + F.element_at(F.array(*[F.lit(float(x)) for x in weight[j]]), F.col(f"vote_{k}").cast("int") + 2)
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > 20 * F.col("n_words"))
-    out = voted.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
+    out = voted(docs).withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Contract columns of the verdict on all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return judge(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

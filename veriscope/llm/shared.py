@@ -43,6 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be sent to every task if it is counted to have ``most`` rows or fewer; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
