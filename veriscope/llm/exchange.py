@@ -1,6 +1,6 @@
 """Blocks of documents that ask shards, and get answers, without a row per window.
 
-A block is what one partition of the scan reads. It packs sorted values for each shard into one binary; shards merge those
+A block is what one partition of the scan reads, or a part of that. It packs sorted values for each shard into one binary; shards merge those
 of all blocks and answer each block. Blocks meet their answers by a cogroup on the block's number, for which the documents
 are dealt out once more by block; what a task holds is one block, bounded by ``spark.sql.files.maxPartitionBytes``, or one
 shard, a share of all values that gets smaller with ``spark.sql.shuffle.partitions``.
@@ -50,10 +50,13 @@ def texts(table, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """``docs`` with the number of the partition that reads them, the same in every pass over a DataFrame that scans files
-    (see ``scanned``)."""
-    return docs.withColumn("block", F.spark_partition_id())
+def tagged(docs: DataFrame, parts: int = 1) -> DataFrame:
+    """``docs`` with the number of their block, the same in every pass over a DataFrame that scans files (see ``scanned``).
+
+    Blocks are the partitions that read them, each dealt into ``parts`` by doc_id, which lets a task hold less.
+    """
+    part = F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+    return docs.withColumn("block", F.spark_partition_id() * parts + part)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -98,7 +101,7 @@ class Sketch:
                 yield row, int(s), pack_sorted(out[edges[s] : edges[s + 1]])
 
 
-def repeated(docs: DataFrame, items: Callable, sketch: Sketch, hot_blocks: int | None = None) -> DataFrame:
+def repeated(docs: DataFrame, items: Callable, sketch: Sketch, hot_blocks: int | None = None, parts: int = 1) -> DataFrame:
     """First pass: for each block the cells (``kind``: the row) that the merged sketches count twice or more.
 
     ``items(bytes, offsets)`` gives values and their documents. Cells of row 0 that ``hot_blocks`` blocks or more share are
@@ -106,17 +109,23 @@ def repeated(docs: DataFrame, items: Callable, sketch: Sketch, hot_blocks: int |
     """
 
     def make(batches):
-        block, values, owner, seen = TaskContext.get().partitionId(), [], [], 0
+        first, seen = TaskContext.get().partitionId() * parts, 0
+        held: list[list[tuple]] = [[] for _ in range(parts)]
         for b in batches:
+            part = ids(b.column("doc_id")) % parts
             for lo, hi, data, off in texts(b):
                 v, d = items(data, off)
-                values.append(v)
-                owner.append((d + seen + lo).astype(np.int32))
+                d = d + lo
+                for i in range(parts):
+                    mine = part[d] == i if parts > 1 else slice(None)
+                    held[i].append((v[mine], (d[mine] + seen).astype(np.int32)))
             seen += len(b)
-        if values:
-            rows = [(block, row, shard, payload) for row, shard, payload in sketch.of(np.concatenate(values), np.concatenate(owner))]
-            for lo in range(0, len(rows), 64):
-                yield from answers(rows[lo : lo + 64]).to_batches()
+        for i, own in enumerate(held):
+            if own:
+                rows = [(first + i, row, shard, payload) for row, shard, payload in sketch.of(*(np.concatenate(x) for x in zip(*own)))]
+                own.clear()
+                for lo in range(0, len(rows), 64):
+                    yield from answers(rows[lo : lo + 64]).to_batches()
 
     def merge(table: pa.Table) -> pa.Table:
         row, shard = table["kind"][0].as_py(), table["shard"][0].as_py()

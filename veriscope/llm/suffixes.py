@@ -14,6 +14,8 @@ from .runindex import earliest
 from .shared import member, runs, sliding_min, table, window_hashes, window_rows
 
 _TEXT = 100
+#: Blocks that a partition's documents make.
+PARTS = 4
 
 
 class _Strings:
@@ -69,10 +71,10 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
 
     def suspects(table_: pa.Table, cells: list[np.ndarray]):
         """Of a block's documents in order: the suspected runs as (document row, first byte, strings), the number of each
-        run's text, and of each distinct text its shard, bytes and smallest document."""
+        run's text, and of each distinct text its shard, bytes and smallest document; and where each chunk's runs end."""
         doc_ids = ids(table_["doc_id"])
         numbers: dict[bytes, int] = {}
-        rows, starts, counts, names, shard_of = [], [], [], [], []
+        rows, starts, counts, names, shard_of, upto = [], [], [], [], [], [0]
         for lo, hi, data, off in texts(table_):
             s = _Strings(data, off, length)
             cell = sketch.cells(s.least[s.run], 0)
@@ -93,18 +95,20 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
             counts.append(count)
             names.append(name)
             shard_of.append((key >> np.uint64(64 - text_bits)).astype(np.int64))
+            upto.append(upto[-1] + len(first))
         rows, starts, counts, names, shard_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts, counts, names, shard_of))
         least = np.full(len(numbers), 2**63 - 1, np.int64)
         np.minimum.at(least, names, doc_ids[rows])
         shard = np.zeros(len(numbers), np.int64)
         shard[names] = shard_of
-        return rows, starts, counts, names, shard, list(numbers), least, doc_ids
+        return rows, starts, counts, names, shard, numbers, least, doc_ids, upto
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return answers([])
         block = left["block"][0].as_py()
-        _, _, _, _, shard, found, least, _ = suspects(in_order(left), flagged(right, 2))
+        *_, shard, numbers, least, _, _ = suspects(in_order(left), flagged(right, 2))
+        found = list(numbers)
         order = np.argsort(shard, kind="stable")
         edge, out = np.searchsorted(shard[order], np.arange(shards + 1)), []
         for s in np.flatnonzero(np.diff(edge)):
@@ -145,26 +149,23 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
         if not len(left):
             return arrow.empty_table()
         table_ = in_order(left)
-        rows, starts, counts, names, shard, found, least, doc_ids = suspects(table_, flagged(right, 2))
-        many = np.fromiter(map(len, found), np.int64, len(found)) - length + 1
+        rows, starts, counts, names, shard, numbers, least, doc_ids, upto = suspects(table_, flagged(right, 2))
+        many = np.fromiter(map(len, numbers), np.int64, len(numbers)) - length + 1
+        numbers.clear()
         order = np.argsort(shard, kind="stable")
         told = {s: flags_of(p) for s, p in read_answers(right, _TEXT)}
-        sorted_many = many[order]
-        smaller_sorted = np.concatenate([told[s] for s in sorted(told)]) if told else np.zeros(0, bool)
-        begin = np.zeros(len(found), np.int64)
-        begin[order] = np.cumsum(sorted_many) - sorted_many
-        # Each string of each run: removed if a smaller document outside or inside the block has it.
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        run = np.repeat(np.arange(len(counts)), counts)
-        gone = smaller_sorted[begin[names[run]] + at] | (doc_ids[rows[run]] != least[names[run]])
-        hit_row, hit_at = rows[run][gone], (starts[run] + at)[gone]
-        by = np.argsort(hit_row, kind="stable")
-        hit_row, hit_at = hit_row[by], hit_at[by]
+        smaller = np.concatenate([told[s] for s in sorted(told)]) if told else np.zeros(0, bool)
+        begin = np.zeros(len(many), np.int64)
+        begin[order] = np.cumsum(many[order]) - many[order]
         n_bytes, n_removed, spans, kept = [], [], [], []
-        for lo, hi, data, off in texts(table_):
-            a, b = np.searchsorted(hit_row, [lo, hi])
+        for c, (lo, hi, data, off) in enumerate(texts(table_)):
+            # Each string of each run: removed if a smaller document outside or inside the block has it.
+            own_runs = slice(upto[c], upto[c + 1])
+            n, name, row = counts[own_runs], names[own_runs], rows[own_runs]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            gone = smaller[np.repeat(begin[name], n) + at] | np.repeat(doc_ids[row] != least[name], n)
+            place = (np.repeat(starts[own_runs] + off[row - lo], n) + at)[gone]
             step = np.zeros(len(data) + 1, np.int32)
-            place = hit_at[a:b] + off[hit_row[a:b] - lo]
             np.add.at(step, place, 1)
             np.add.at(step, place + length, -1)
             drop = np.cumsum(step[:-1]) > 0
@@ -184,8 +185,8 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
         cols |= {"dedup_bytes": pa.array(np.concatenate(n_bytes), pa.int64()), "dedup_removed": pa.array(np.concatenate(n_removed), pa.int64()), "dedup_spans": pa.array(spans, arrow.field("dedup_spans").type), "dedup_kept": pa.array(kept, pa.binary())}
         return pa.table([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    cells = repeated(docs, items, sketch, hot_blocks)
-    blocks = tagged(docs)
+    cells = repeated(docs, items, sketch, hot_blocks, PARTS)
+    blocks = tagged(docs, PARTS)
     asked = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
     told = asked.groupBy("shard").applyInArrow(index, ANSWER)
     return blocks.groupBy("block").cogroup(cells.unionByName(told).groupBy("block")).applyInArrow(apply, schema)
