@@ -13,6 +13,8 @@ from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids,
 from .shared import Words, member, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
 
 _EXACT = 100
+#: Blocks that a partition's documents make.
+PARTS = 2
 
 
 class _Windows:
@@ -170,8 +172,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: i
         cols |= {"dedup_words": pa.array(np.concatenate(n_words), pa.int64()), "dedup_removed": pa.array(np.concatenate(n_removed), pa.int64()), "dedup_spans": pa.array(spans, arrow.field("dedup_spans").type)}
         return pa.table([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    cells = repeated(docs, items, sketch)
-    blocks = tagged(docs)
+    cells = repeated(docs, items, sketch, parts=PARTS)
+    blocks = tagged(docs, PARTS)
     asked = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
     told = asked.groupBy("shard").applyInArrow(group, ANSWER)
     return blocks.groupBy("block").cogroup(cells.unionByName(told).groupBy("block")).applyInArrow(apply, schema)
