@@ -16,9 +16,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import expressions, relations  # noqa: E402, F401
