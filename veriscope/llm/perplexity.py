@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ANSWER, answers, scanned, shard_bits, tagged, texts
+from .exchange import ANSWER, answers, opened, scanned, shard_bits, tagged, texts
 from .shared import cut_lineage, mix, pack_ints, pack_sorted, small, unpack_ints, unpack_sorted
 
 #: Trusted documents up to this many are sent to every task by their ids (8 bytes each); more are joined by a shuffle.
@@ -183,6 +183,8 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = 5, heldout: int = 10
     told = asked.groupBy("shard").cogroup(log_probabilities(wanted, model).groupBy("shard")).applyInArrow(tell, ANSWER)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
         keys, values = [], []
         for p in right["payload"].to_pylist():
             n = int.from_bytes(p[:8], "little")
@@ -190,11 +192,12 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = 5, heldout: int = 10
             values.append(unpack_ints(p[8 + n :], np.uint32).view(np.float32))
         of = _Lookup(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.float32), *values]))
         size, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for _, _, data, off in texts(left):
+        docs_ = opened(left)
+        for _, _, data, off in texts(docs_):
             total = np.concatenate(([0.0], np.cumsum(of(grams(data, off, order)[0]), dtype=np.float64)))
             size.append(np.diff(off))
             nll.append(-np.diff(total[off]))
-        return pa.table({"doc_id": left["doc_id"], "n_bytes": pa.array(np.concatenate(size), pa.int64()), "nll": pa.array(np.concatenate(nll), pa.float64())})
+        return pa.table({"doc_id": docs_["doc_id"], "n_bytes": pa.array(np.concatenate(size), pa.int64()), "nll": pa.array(np.concatenate(nll), pa.float64())})
 
     return tagged(docs).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, n_bytes long, nll double")
 

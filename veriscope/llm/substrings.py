@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
+from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
 from .shared import Words, member, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
 
 _EXACT = 100
@@ -94,7 +94,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: i
         if not len(left) or not len(right):
             return answers([])
         block = left["block"][0].as_py()
-        _, _, _, high, low, least = suspects(in_order(left), flagged(right, depth))
+        _, _, _, high, low, least = suspects(in_order(opened(left)), flagged(right, depth))
         edge, rows = shard_edges(high), []
         for s in np.flatnonzero(np.diff(edge)):
             c = slice(edge[s], edge[s + 1])
@@ -131,7 +131,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: i
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return arrow.empty_table()
-        table = in_order(left)
+        table = in_order(opened(left))
         spots, owner, name, high, _, least = suspects(table, flagged(right, depth))
         smaller = np.zeros(len(high), bool)
         edge = shard_edges(high)
@@ -174,7 +174,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: i
 
     cells = repeated(docs, items, sketch, parts=PARTS)
     blocks = tagged(docs, PARTS)
-    asked = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
+    asked = tagged(docs.select("doc_id", "text"), PARTS).groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
     told = asked.groupBy("shard").applyInArrow(group, ANSWER)
     return blocks.groupBy("block").cogroup(cells.unionByName(told).groupBy("block")).applyInArrow(apply, schema)
 

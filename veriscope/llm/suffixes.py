@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
+from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
 from .runindex import earliest
 from .shared import member, runs, sliding_min, table, window_hashes, window_rows
 
@@ -107,7 +107,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
         if not len(left) or not len(right):
             return answers([])
         block = left["block"][0].as_py()
-        *_, shard, numbers, least, _, _ = suspects(in_order(left), flagged(right, 2))
+        *_, shard, numbers, least, _, _ = suspects(in_order(opened(left)), flagged(right, 2))
         found = list(numbers)
         order = np.argsort(shard, kind="stable")
         edge, out = np.searchsorted(shard[order], np.arange(shards + 1)), []
@@ -148,7 +148,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return arrow.empty_table()
-        table_ = in_order(left)
+        table_ = in_order(opened(left))
         rows, starts, counts, names, shard, numbers, least, doc_ids, upto = suspects(table_, flagged(right, 2))
         many = np.fromiter(map(len, numbers), np.int64, len(numbers)) - length + 1
         numbers.clear()
@@ -187,7 +187,7 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
 
     cells = repeated(docs, items, sketch, hot_blocks, PARTS)
     blocks = tagged(docs, PARTS)
-    asked = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
+    asked = tagged(docs.select("doc_id", "text"), PARTS).groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
     told = asked.groupBy("shard").applyInArrow(index, ANSWER)
     return blocks.groupBy("block").cogroup(cells.unionByName(told).groupBy("block")).applyInArrow(apply, schema)
 
