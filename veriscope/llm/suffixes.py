@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
 from .runindex import earliest
-from .shared import member, runs, sliding_min, table, window_hashes, window_rows
+from .shared import member, mix, runs, sliding_min, table, window_hashes, window_rows
 
 _TEXT = 100
 #: Blocks that a partition's documents make.
@@ -94,7 +94,8 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
             starts.append(first - off[row])
             counts.append(count)
             names.append(name)
-            shard_of.append((key >> np.uint64(64 - text_bits)).astype(np.int64))
+            # Least hashes are small numbers: mixed, they spread over the shards.
+            shard_of.append((mix(key) >> np.uint64(64 - text_bits)).astype(np.int64))
             upto.append(upto[-1] + len(first))
         rows, starts, counts, names, shard_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts, counts, names, shard_of))
         least = np.full(len(numbers), 2**63 - 1, np.int64)
