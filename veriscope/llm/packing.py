@@ -16,7 +16,7 @@ from .shared import Words, chunks, scratch_path, strings
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
 #: Words that a Python worker keeps encoded between batches.
-CACHE = 400_000
+CACHE = 300_000
 # A word of letters that one lower-case rule and no composition touches, then marks that make one token run.
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#%&$()]*)"
 
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_wi
         windows, writer = Windows(size, open_windows, cut), _Writer(task)
         for b in batches:
             off, keys = strings(b.column("text"))[1], b.column("doc_id").to_pylist()
-            for lo, hi in chunks(off, 16 << 20):
+            for lo, hi in chunks(off, 4 << 20):
                 ids, begin = encoder.documents(b.column("text").slice(lo, hi - lo))
                 rows = []
                 for d in range(hi - lo):

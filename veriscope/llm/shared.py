@@ -96,9 +96,10 @@ class Words:
         at = np.flatnonzero(begins)
         self.first = np.searchsorted(at, off).astype(np.int64)
         # A word ends before the next white byte or the next beginning.
-        solid = np.concatenate(([0], np.cumsum(~white, dtype=np.int64)))
+        solid = np.zeros(n + 1, np.int32 if n < 2**31 else np.int64)
+        np.cumsum(~white, out=solid[1:])
         bounds = np.append(at, n)
-        self.length = (solid[bounds[1:]] - solid[bounds[:-1]]) if len(at) else np.zeros(0, np.int64)
+        self.length = np.diff(solid[bounds]).astype(np.int64)
         self.solid = data[~white]
         self.start = np.cumsum(self.length + 1) - (self.length + 1)
         self._norm = None
