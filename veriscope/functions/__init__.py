@@ -48,7 +48,7 @@ def first_filled(*cs) -> Column:
 
 def code_list(c) -> Column:
     """Codes divided by ``,`` or ``;``: trimmed, distinct, sorted, blanks dropped."""
-    parts = F.transform(F.split(F.translate(col(c), ",", ";"), ";"), F.trim)
+    parts = F.transform(F.split(F.translate(col(c), ",", ";"), ";"), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 

@@ -9,7 +9,8 @@ from ..operators import relational as rel
 from ..operators import vectors as v
 from . import query, table
 
-_E = F.col("embedding").cast("array<double>")
+def _e():
+    return F.col("embedding").cast("array<double>")
 
 
 def _wave(spark, d):
@@ -26,24 +27,24 @@ with l as (select vec_id, (generate_subscripts(embedding, 1) - 1)::int as featur
 select vec_id, feature, round((x - m) / case when sd > 1e-8 then sd else 1 end, 8) as z from l join s using (feature)
 """)
 def _(spark, d):
-    long = table(spark, d, "embeddings").select("vec_id", F.posexplode(_E).alias("feature", "x"))
+    long = table(spark, d, "embeddings").select("vec_id", F.posexplode(_e()).alias("feature", "x"))
     s = long.where("vec_id % 10 < 7").groupBy("feature").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     return long.join(F.broadcast(s), "feature").select("vec_id", "feature", F.round((F.col("x") - F.col("m")) / F.when(F.col("sd") > 1e-8, F.col("sd")).otherwise(1.0), 8).alias("z"))
 
 
 @query("vec02_readout", "select vec_id, round(list_dot_product(embedding::double[], list_transform(range(1, 65), lambda i: 1.0 / i)::double[]), 8) as score from embeddings")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(v.dot(_E, F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: 1.0 / i)), 8).alias("score"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(v.dot(_e(), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: 1.0 / i)), 8).alias("score"))
 
 
 @query("vec03_norms", "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 8) as norm from embeddings")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(v.norm(_E), 8).alias("norm"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(v.norm(_e()), 8).alias("norm"))
 
 
 @query("vec04_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 8) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", _E.alias("a"))
+    e = table(spark, d, "embeddings").select("vec_id", _e().alias("a"))
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", F.round(v.cosine("a", "b"), 8).alias("cosine"))
 
 
@@ -52,7 +53,7 @@ with l as (select label, (generate_subscripts(embedding, 1) - 1)::int as f, unne
 select round(1 - sum((l.x - c.m) ** 2) / sum((l.x - t.m) ** 2), 8) as r2 from l join c using (label, f) join t using (f)
 """)
 def _(spark, d):
-    long = table(spark, d, "embeddings").select("label", F.posexplode(_E).alias("f", "x"))
+    long = table(spark, d, "embeddings").select("label", F.posexplode(_e()).alias("f", "x"))
     # Sums by class and component tell both errors, so rows are read once and joined with nothing.
     per = long.groupBy("label", "f").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     f = per.groupBy("f").agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("sse"), (F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")).alias("sst"))
@@ -71,26 +72,26 @@ def _(spark, d):
 select a.vec_id, round(list_dot_product(list_transform(a.embedding, lambda x: x::double), [1.0::double for i in range(0, 64)]) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])), 7) as total from embeddings a join embeddings b on b.vec_id = a.vec_id + 1
 """)
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", _E.alias("a"))
+    e = table(spark, d, "embeddings").select("vec_id", _e().alias("a"))
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     return j.select("vec_id", F.round(v.total(v.norm_matched("a", "b", "b")), 7).alias("total"))
 
 
 @query("top04_row_top_k", "with l as (select vec_id, (generate_subscripts(embedding, 1) - 1)::int as f, unnest(embedding)::double as x from embeddings) select vec_id, f, x from (select *, row_number() over (partition by vec_id order by x desc, f) as i from l where x > 0) where i <= 5")
 def _(spark, d):
-    k = table(spark, d, "embeddings").select("vec_id", F.posexplode(v.top_k(_E, 5)).alias("f", "x"))
+    k = table(spark, d, "embeddings").select("vec_id", F.posexplode(v.top_k(_e(), 5)).alias("f", "x"))
     return k.where("x <> 0")
 
 
 @query("top05_batch_top_k", "with l as (select vec_id // 50 as batch, vec_id, (generate_subscripts(embedding, 1) - 1)::int as f, unnest(embedding)::double as x from embeddings) select batch, vec_id, f, x from (select *, row_number() over (partition by batch order by x desc, vec_id, f) as i from l) where i <= 200")
 def _(spark, d):
-    long = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("batch"), "vec_id", F.posexplode(_E).alias("f", "x"))
+    long = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("batch"), "vec_id", F.posexplode(_e()).alias("f", "x"))
     return rel.top_per_key(long, "batch", [F.col("x").desc(), F.col("vec_id"), F.col("f")], 200)
 
 
 @query("top06_top_k_by_size", "with l as (select vec_id, (generate_subscripts(embedding, 1) - 1)::int as f, unnest(embedding)::double as x from embeddings) select vec_id, f, x from (select *, row_number() over (partition by vec_id order by abs(x) desc, f) as i from l) where i <= 4")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v.top_k(_E, 4, by_size=True)).alias("f", "x")).where("x <> 0")
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v.top_k(_e(), 4, by_size=True)).alias("f", "x")).where("x <> 0")
 
 
 @query("sig02_limb_leads", f"select user_id, round(list_sum(list_transform(signal, lambda x: x / 2 - x)), 4) as iii, round(list_sum(list_transform(signal, lambda x: -(x + x / 2) / 2)), 4) as avr, round(list_sum(list_transform(signal, lambda x: x - x / 4)), 4) as avl from {_WAVE}")
@@ -120,7 +121,7 @@ with e as (select vec_id, embedding::double[] as x from embeddings), u as (selec
 """)
 def _(spark, d):
     u = F.array_repeat(F.lit(0.125), 64)
-    e = table(spark, d, "embeddings").select("vec_id", v.without_direction(_E, u).alias("x"))
+    e = table(spark, d, "embeddings").select("vec_id", v.without_direction(_e(), u).alias("x"))
     return e.select("vec_id", F.abs(F.round(v.dot("x", u), 8)).alias("left_over"), F.round(v.dot("x", "x"), 7).alias("energy"))
 
 
@@ -129,7 +130,7 @@ with l as (select vec_id, label, (generate_subscripts(embedding, 1) - 1)::int as
 select f, round(avg(x) filter (vec_id in (select vec_id from h)) - avg(x), 8) as shift from l group by f
 """)
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(_E.alias("x"), _E[0].alias("x0"))
+    e = table(spark, d, "embeddings").select(_e().alias("x"), _e()[0].alias("x0"))
     q = e.agg(F.percentile("x0", F.lit(0.75)).alias("t"))
     long = e.crossJoin(F.broadcast(q)).select((F.col("x0") >= F.col("t")).alias("high"), F.posexplode("x").alias("f", "x"))
     return long.groupBy("f").agg(F.round(F.avg(F.when(F.col("high"), F.col("x"))) - F.avg("x"), 8).alias("shift"))
@@ -203,7 +204,7 @@ def _(spark, d):
 @query("mod33_class_direction")
 def _(spark, d):
     u = models.class_direction(table(spark, d, "embeddings"), "embedding", F.col("label") == 0)
-    return table(spark, d, "embeddings").select("vec_id", "label", v.dot(_E, models.weights_column(u)).alias("projection"))
+    return table(spark, d, "embeddings").select("vec_id", "label", v.dot(_e(), models.weights_column(u)).alias("projection"))
 
 
 @query("vec10_matched_directions")
