@@ -1,0 +1,394 @@
+"""Each operator against a plain version of its contract, on hard small inputs and on the small tables."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from veriscope.llm import html_text, licenses, mixing, neighbours, packing, perplexity, rules, simhash, substrings, suffixes
+from veriscope.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BPE = public_tokenizers.path("word_bpe_49k.json")
+BIG = 2**63 - 1
+
+
+def lowered(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def table(spark, name="documents"):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def rows_of(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+# Packing
+
+
+@pytest.mark.parametrize("which", ["hard", "table"])
+def test_packing(spark, docs, which):
+    d = docs if which == "hard" else table(spark)
+    t = Tokenizer.from_file(BPE)
+    full, copies = {}, Counter()
+    for k, x in rows_of(d, "doc_id", "text"):
+        full[k] = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], np.uint32)
+        copies[k] += 1
+    pieces = packing.pack(d, BPE, 2, size=512).collect()
+    windows, cover = {}, {k: np.zeros(len(x), int) for k, x in full.items()}
+    for p in pieces:
+        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        own = slice(p["start"], p["start"] + p["length"])
+        assert p["doc_tokens"] == len(full[p["doc_id"]]) and bytes(p["ids"]) == full[p["doc_id"]][own].tobytes()
+        cover[p["doc_id"]][own] += 1
+    assert all((cover[k] == copies[k]).all() for k in full)
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 512
+    total = sum(p["length"] for p in pieces)
+    assert total >= 0.9 * 512 * (len(windows) - 2)
+
+
+def test_packing_empty(none):
+    assert packing.pack(none, BPE, 2).isEmpty()
+
+
+# SimHash
+
+
+def brute_prints(texts, k):
+    out = []
+    for x in texts:
+        w = WORD.findall(lowered(x or ""))
+        sh = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+        c = [0] * 64
+        for s in sh:
+            h = xxhash.xxh64_intdigest(s.encode(), 42)
+            for i in range(64):
+                c[i] += h >> i & 1
+        out.append(sum(1 << i for i in range(64) if 2 * c[i] > len(sh)))
+    return out
+
+
+@pytest.mark.parametrize("which", ["hard", "table"])
+def test_near_duplicates(spark, docs, which):
+    d = (docs if which == "hard" else table(spark)).where("doc_id is not null and doc_id <> 9")
+    rows = sorted(set(rows_of(d, "doc_id", "text")), key=lambda r: r[0])
+    prints, root = brute_prints([x for _, x in rows], 4), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {(k, prints[i], rows[find(i)][0]) for i, (k, _) in enumerate(rows)}
+    got = {(k, fp % 2**64, c) for k, fp, c in rows_of(simhash.near_duplicates(d, shingle=4), "doc_id", "fp", "component_id")}
+    assert got == want
+
+
+def test_links_are_exact_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centres for _ in range(30)}
+    fps = [f if f < 2**63 else f - 2**64 for f in sorted(fps)]
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
+    got = {(r["node"], r["root"]) for r in components(simhash.links(df, 4)).collect()}
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = set()
+    for i in range(len(fps)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 4:
+                linked |= {i, j}
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {(i, find(i)) for i in linked}
+
+
+def test_near_duplicates_empty(none):
+    assert simhash.near_duplicates(none).isEmpty()
+
+
+def test_components_of_a_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (50, 60), (60, 50)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components(df).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50}
+
+
+# Quality rules
+
+
+@pytest.mark.parametrize("which", ["hard", "table"])
+def test_rule_features(spark, docs, which):
+    d = docs if which == "hard" else table(spark)
+    got = rules.judge(d)
+    for x, *f, failed in rows_of(got, "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"):
+        x = x or ""
+        w = WORD.findall(x)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        n, cover = Counter(windows), set()
+        for i, t in enumerate(windows):
+            if n[t] > 1:
+                cover.update(range(i, i + 5))
+        lines = [line for line in x.split("\n") if WORD.search(line)]
+        want = [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(cover)]
+        assert f == want and failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
+
+
+def test_rules_tell_good_from_bad(spark):
+    judged = rules.judge(table(spark)).join(table(spark, "labels").withColumnRenamed("quality", "label"), "doc_id")
+    rows = rows_of(judged.where("not base_failed"), "label", "kept")
+    assert sum(k for q, k in rows if q) >= 0.95 * sum(q for q, _ in rows)
+    assert sum(k for q, k in rows if not q) <= 0.1 * max(1, sum(not q for q, _ in rows))
+
+
+def test_rules_empty(none):
+    assert rules.judge(none).isEmpty()
+
+
+# Neighbours
+
+
+def test_search_recall_and_ties(spark):
+    e = table(spark, "embeddings")
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
+    ids = np.array(sorted(x))
+    m = np.array([x[i] for i in ids])
+    found = {}
+    for q, rank, v, s in rows_of(neighbours.search(e, 20, 20).orderBy("query_id", "rank"), "query_id", "rank", "vec_id", "score"):
+        found.setdefault(q, []).append(v)
+        assert len(found[q]) == rank and s == pytest.approx(float(x[q] @ x[v]))
+    hits = []
+    for q in found:
+        s = m @ x[q]
+        s[ids == q] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(found[q])) / 20)
+    assert set(found) == {i for i in x if i % 20 == 0} and np.mean(hits) >= 0.9
+
+
+def test_search_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 5.0]), (4, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = rows_of(neighbours.search(df, 20, 20, probes=100).orderBy("rank"), "query_id", "rank", "vec_id", "score")
+    assert got == [(0, 1, 3, 5.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0)]
+    assert neighbours.search(df.limit(0), 20, 20).isEmpty()
+
+
+# HTML
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Top</header><nav><ul><li>x</li><li>y</li></ul></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>{0}</h1><p>One &amp; <b>two</b>
+ three<br>four.</p><aside>Side</aside><p>{1}<ul><li>i</li><li>j</li></ul><form>Join<input></form><div id=comments><p>nice</p></div></article><footer>&copy; me</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = [(i, f"https://h.example/{i}", PAGE.format(f"Title {i}", f"Last {i}.")) for i in range(5)]
+    rows += [(10, None, None), (11, "https://h.example/cut", rows[0][2][: rows[0][2].index("<footer>")]), (12, "x", "plain <!-- no --> text &lt;3"), (13, "https://h.example/9", "")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"Title {i}\nOne & two three four.\nLast {i}.\ni\nj"
+    assert got[10] == "" and got[13] == "" and got[11] == got[0] and got[12] == "plain text <3"
+
+
+def test_html_wrappers_match(spark):
+    out = html_text.extract(table(spark, "pages"))
+    assert out.agg(F.avg(F.col("by_wrapper").cast("int"))).first()[0] > 0.9
+    assert html_text.extract(table(spark, "pages").limit(0)).isEmpty()
+
+
+# Mixing
+
+
+def test_mixing(spark, docs):
+    for d in (docs, table(spark)):
+        s = {r["source"]: r for r in mixing.source_targets(d).collect()}
+        sizes = Counter()
+        for src, x in rows_of(d, "source", "text"):
+            sizes[src] += len(WORD.findall(x or ""))
+        order = sorted((k for k in sizes if k is not None), key=lambda k: k.encode()) + ([None] if None in sizes else [])
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+        total, target, capped = sum(sizes.values()), {}, set()
+        while True:
+            free = total - sum(3 * sizes[k] for k in capped)
+            w = sum(weight[k] for k in order if k not in capped)
+            over = {k for k in order if k not in capped and free * weight[k] / w > 3 * sizes[k]} if w else set()
+            target = {k: 3 * sizes[k] if k in capped else free * weight[k] / w for k in order}
+            if not over:
+                break
+            capped |= over
+        assert {k: r["source_size"] for k, r in s.items()} == dict(sizes)
+        assert all(s[k]["target"] == pytest.approx(target[k]) for k in order)
+        taken = rows_of(mixing.copies(d), "mix_size", "mix_copies", "source")
+        assert all(c in (int(r), int(r) + 1) for _, c, k in taken for r in [s[k]["rate"]])
+        assert mixing.mix(d).count() == sum(c for _, c, _ in taken)
+        assert sorted(map(str, rows_of(mixing.copies(d), "doc_id", "mix_copies"))) == sorted(map(str, rows_of(mixing.copies(d.repartition(2)), "doc_id", "mix_copies")))
+
+
+def test_mixing_empty(none):
+    assert mixing.mix(none).isEmpty() and "n_words" in mixing.mix(none).columns
+
+
+# Perplexity
+
+
+def brute_model(texts, order):
+    """Interpolated modified Kneser-Ney over bytes, straight from its definition."""
+    c = {order: Counter(g for x in texts for b in [bytes(order - 1) + x] for i in range(len(x)) for g in [b[i : i + order]])}
+    for k in range(order - 1, 0, -1):
+        c[k] = Counter(g[1:] for g in c[k + 1])
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        d = (0, *perplexity.discounts(Counter(min(n, 5) for n in c[k].values())))
+        own = {h: n for h, n in c[k].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total, cut = sum(own.values()), lambda n: d[min(n, 3)]
+        return max(own.get(g, 0) - cut(own[g]), 0) / total + sum(map(cut, own.values())) / total * p(g[1:]) if g in own else sum(map(cut, own.values())) / total * p(g[1:])
+
+    return p
+
+
+def test_perplexity_is_kneser_ney(spark):
+    texts = {1: "the cat sat on the mat", 2: "the cat ate the rat", 3: "a dog ate é", 4: "", 5: None, 6: "thé xylophone"}
+    df = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string")
+    trusted = df.where("doc_id <= 3").select("doc_id")
+    fit = [r[0] for r in trusted.where(~perplexity.heldout_fold("doc_id", 10)).collect()]
+    p = brute_model([texts[k].encode() for k in fit], 3)
+    for k, n, nll in rows_of(perplexity.score(df, trusted, order=3), "doc_id", "n_bytes", "nll"):
+        b = (texts[k] or "").encode()
+        padded = bytes(2) + b
+        assert n == len(b) and nll == pytest.approx(-sum(np.log(p(padded[i : i + 3])) for i in range(n)), rel=1e-4, abs=1e-6)
+
+
+def test_classifier_on_labels(spark):
+    labels = table(spark, "labels")
+    out = perplexity.classify(table(spark), labels.where("quality = 1 and toxic = 0")).join(labels, "doc_id")
+    good, bad = out.where("quality = 1 and toxic = 0"), out.where("quality = 0")
+    assert good.where("kept").count() >= 0.95 * good.count() and bad.where("kept").count() <= 0.1 * bad.count()
+
+
+def test_classifier_empty(spark, docs, none):
+    assert perplexity.classify(none, none.select("doc_id")).isEmpty()
+    kept = rows_of(perplexity.classify(docs.where("doc_id <> 10"), docs.select("doc_id").limit(0)), "kept")
+    assert kept and not any(k for k, in kept)
+
+
+# Repeats
+
+
+def brute_windows(rows, size):
+    """(row index, tokens, dropped) under the rule of smaller ids."""
+    first = {}
+    for k, t in rows:
+        for i in range(len(t) - size + 1):
+            w = t[i : i + size]
+            first[w] = min(first.get(w, BIG), k)
+    for n, (k, t) in enumerate(rows):
+        drop = [False] * len(t)
+        for i in range(len(t) - size + 1):
+            if first[t[i : i + size]] < k:
+                drop[i : i + size] = [True] * size
+        yield n, t, drop
+
+
+@pytest.mark.parametrize("which", ["hard", "table"])
+def test_substrings(spark, docs, which):
+    d = docs if which == "hard" else table(spark)
+    rows = [(BIG if k is None else k, tuple(WORD.findall(x or ""))) for k, x in rows_of(d, "doc_id", "text")]
+    want = Counter()
+    for n, t, drop in brute_windows(rows, 13):
+        kept = " ".join(a for a, z in zip(t, drop) if not z)
+        want[(rows[n][0], len(t), sum(drop), kept)] += 1
+    got = Counter((BIG if k is None else k, *r) for k, *r in rows_of(substrings.dedup_substrings(d), "doc_id", "dedup_words", "dedup_removed", "text"))
+    assert got == want
+
+
+@pytest.mark.parametrize("which,hot", [("hard", 256), ("hard", 1), ("table", 256), ("table", 2)])
+def test_bytes(spark, docs, which, hot):
+    d = docs.where("doc_id is null or doc_id <> 9") if which == "hard" else table(spark).limit(120)
+    d = spark.createDataFrame(d.collect(), d.schema).repartition(3)
+    rows = [(BIG if k is None else k, (x or "").encode()) for k, x in rows_of(d, "doc_id", "text")]
+    want = Counter()
+    for n, t, drop in brute_windows(rows, 50):
+        runs = sum(z and not y for y, z in zip([False, *drop], drop))
+        want[(rows[n][0], len(t), sum(drop), runs, bytes(a for a, z in zip(t, drop) if not z))] += 1
+    out = suffixes.dedup_bytes(d, hot_blocks=hot).select("doc_id", "dedup_bytes", "dedup_removed", F.size("dedup_spans"), "dedup_kept")
+    assert Counter((BIG if r[0] is None else r[0], r[1], r[2], r[3], bytes(r[4])) for r in out.collect()) == want
+
+
+def test_long_periodic_text(spark):
+    d = spark.createDataFrame([(1, "a b " * 3000), (2, "b a " * 2000)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["dedup_removed"], r["n"]) for r in suffixes.dedup_bytes(d).withColumn("n", F.size("dedup_spans")).collect()}
+    assert got == {1: (0, 0), 2: (8000, 1)}
+
+
+def test_repeats_empty(none):
+    assert substrings.dedup_substrings(none).isEmpty() and suffixes.dedup_bytes(none).isEmpty()
+
+
+def test_layout_is_kept_where_nothing_goes(spark):
+    d = spark.createDataFrame([(1, "a\n b", 5), (2, None, 0)], "doc_id long, text string, extra int")
+    assert {tuple(r) for r in rows_of(substrings.dedup_substrings(d, keep_layout=True), "doc_id", "text", "extra")} == {(1, "a\n b", 5), (2, None, 0)}
+
+
+# Licenses
+
+
+@pytest.mark.parametrize("which", ["hard", "table"])
+def test_licenses(spark, docs, which):
+    d = docs if which == "hard" else table(spark)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    sets = {t: set(t.split()) for t in licenses.TEMPLATES}
+    for x, n_words, n_base, first, last, labels, found in rows_of(licenses.scan(d).join(d.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id"), "text", "n_words", "n_base", "first_word", "last_word", "base_labels", "matches"):
+        x = lowered(x or "")
+        w = word.findall(x)
+        spots = [(i, lab) for p, lab in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (n_words, n_base) == (len(w), len(spots)) and labels == ",".join(sorted({lab for _, lab in spots}))
+        assert (first, last) == ((min(spots)[0], max(spots)[0]) if spots else (None, None))
+        want, at = set(), 0
+        for line in x.split("\n"):
+            own = word.findall(line)
+            for lo in range(0, max(1, len(own) - 40 + 20), 20) if len(own) > 40 else (0,):
+                block = set(own[lo : lo + 40])
+                want |= {(at + lo, t) for t, s in sets.items() if len(s & block) >= 0.8 * len(s) - 1e-9}
+            at += len(own)
+        assert {(m["word"], m["template"]) for m in found} == want
+
+
+def test_licenses_empty(none):
+    assert licenses.scan(none).isEmpty()
+
+
+def test_sha_of_kept_words(spark):
+    from veriscope.llm.queries import QUERIES
+
+    assert len([q for q in QUERIES if re.match(r"op\d+_", q)]) == 10
+    r = QUERIES["op8_substring_dedup"](spark, SF).where("n_removed = 0").join(table(spark), "doc_id").first()
+    assert r["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(r["text"])).encode()).hexdigest()
