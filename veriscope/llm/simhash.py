@@ -14,8 +14,8 @@ from .shared import Words, chunks, cut_lineage, mix, strings
 LEAF = 512
 #: Leaves of a tree at most; a tree takes some 10 bytes a leaf in every task.
 MOST_LEAVES = 1 << 16
-#: Fingerprints, drawn by hash, from which the trees' thresholds are taken at most.
-SAMPLE = 1 << 18
+#: The trees' thresholds are taken from one in so many fingerprints, drawn by hash, and from so many at most.
+ONE_IN, SAMPLE = 8, 1 << 17
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -176,14 +176,15 @@ def links(prints: DataFrame, near: int = 4) -> DataFrame:
     ``prints`` has distinct ``fp`` and a ``node`` for each. The 64 bits are dealt to ``near // 2 + 1`` masks; two linked
     values differ by one bit at most in one mask, so for each mask a vantage-point tree puts every value into its leaf, a
     shard, and sends it to those other shards whose border it may lie across. Each shard compares its own values with all
-    it gets, in 64 bits. Thresholds come from a sample drawn by hash (``SAMPLE`` at most); all values are routed. Shards
+    it gets, in 64 bits. Thresholds come from a sample drawn by hash (one in ``ONE_IN``,
+    ``SAMPLE`` at most); all values are routed. Shards
     of more than 8 times ``LEAF`` values are dealt out in parts, each of which gets all the visitors.
     """
     spark = prints.sparkSession
     total = prints.count()
     levels = min(max(0, (total // LEAF).bit_length()), MOST_LEAVES.bit_length() - 1)
-    share = min(1.0, SAMPLE / max(total, 1) * 0.9)
-    drawn = prints.where(F.shiftrightunsigned(F.xxhash64("fp"), 1) <= int(share * (2**63 - 1))) if share < 1 else prints
+    share = min(1 / ONE_IN, 0.9 * SAMPLE / max(total, 1))
+    drawn = prints.where(F.shiftrightunsigned(F.xxhash64("fp"), 1) <= int(share * (2**63 - 1)))
     sample = np.array([r["fp"] for r in drawn.select("fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     trees = [Tree(m, sample, levels, i + 1) for i, m in enumerate(_masks(near))]
 
@@ -238,13 +239,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, near: int = 4, seed: int
 
     Needs ``doc_id`` (long) and ``text``; other columns are ignored. Equal fingerprints are one vertex, so that copies
     cost nothing further; texts without words, null among them, share the fingerprint zero and are linked like any other;
-    rows that repeat a doc_id give equal rows if their texts are equal; an empty table gives no rows.
+    rows that repeat a doc_id give equal rows if their texts are equal; rows without a doc_id link nothing and have no
+    component; an empty table gives no rows.
     """
     prints = cut_lineage(fingerprints(docs, shingle, seed))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = cut_lineage(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links(nodes, near)) if not nodes.isEmpty() else nodes.select("node", F.col("node").alias("root"))
     rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(rooted, "fp").select("doc_id", "fp", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return prints.join(rooted, "fp", "left").select("doc_id", "fp", component)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
