@@ -28,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import expressions, relations, statistics, vectors  # noqa: E402, F401
+from . import expressions, inference, relations, statistics, vectors  # noqa: E402, F401
