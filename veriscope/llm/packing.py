@@ -16,7 +16,7 @@ from .shared import Words, chunks, scratch_path, strings
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
 #: Words that a Python worker keeps encoded between batches.
-CACHE = 300_000
+CACHE = 200_000
 # A word of letters that one lower-case rule and no composition touches, then marks that make one token run.
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#%&$()]*)"
 
@@ -206,17 +206,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_wi
         windows, writer = Windows(size, open_windows, cut), _Writer(task)
         for b in batches:
             off, keys = strings(b.column("text"))[1], b.column("doc_id").to_pylist()
-            for lo, hi in chunks(off, 4 << 20):
+            for lo, hi in chunks(off, 2 << 20):
                 ids, begin = encoder.documents(b.column("text").slice(lo, hi - lo))
                 rows = []
                 for d in range(hi - lo):
                     own = np.append(ids[begin[d] : begin[d + 1]], np.uint32(end_id))
                     for done in windows.add((keys[lo + d], 0, own, len(own)), 0, len(own)):
                         rows += writer.rows(done)
-                    if len(rows) > 2000:
+                    if len(rows) > 500:
                         yield _columns(rows, False, 0)
                         rows = []
                 yield _columns(rows, False, 0)
+        # Runs of letters serve the worker's next task; whole words would keep too much.
+        encoder.known.clear()
         for left in windows.rest():
             yield _columns(writer.rows(left), True, task // merge)
 

@@ -14,7 +14,7 @@ from .shared import Words, member, pack_sorted, runs, sliding_min, unpack_sorted
 
 _EXACT = 100
 #: Blocks that a partition's documents make.
-PARTS = 2
+PARTS = 4
 
 
 class _Windows:
