@@ -136,7 +136,11 @@ def test_assignment_and_tests():
         c = rng.random((n, n))
         best = min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
         assert c[np.arange(n), models.assignment(c)].sum() == pytest.approx(best)
-    assert models.pearson_p(0.5, 20) == pytest.approx(0.024754, abs=1e-5)
+    # Student's t by integration of its density.
+    df, t = 18, 0.5 * math.sqrt(18 / 0.75)
+    x = np.linspace(0, t, 100_001)
+    density = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+    assert models.pearson_p(0.5, 20) == pytest.approx(1 - 2 * np.trapezoid(density, x), abs=1e-9)
     assert models.betainc(2, 3, 0.4) == pytest.approx(0.5248)
 
 
