@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on hard small inputs and on the small tables."""
 
 import hashlib
+import inspect
 import re
 from collections import Counter
 
@@ -197,6 +198,42 @@ def test_search_odd_vectors(spark):
     assert neighbours.search(df.limit(0), 20, 20).isEmpty()
 
 
+def test_search_is_the_same_at_any_size():
+    # More functions with the same probes look into too few buckets: 14 of 16,384 instead of 14 of 128.
+    assert inspect.signature(neighbours.search).parameters["functions"].default == 1
+
+
+def test_search_among_uneven_norms(spark):
+    e = table(spark, "embeddings").select("vec_id", "embedding")
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
+    x = {**x, **{i + 10**6: 3 * v for i, v in x.items()}, 10**7 + 1: 10**4 * x[min(x)]}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    ids, m = np.array(sorted(x)), np.array([x[i] for i in sorted(x)])
+    found = {}
+    for q, v in rows_of(neighbours.search(df, 20, 20), "query_id", "vec_id"):
+        found.setdefault(q, set()).add(v)
+    hits = []
+    for q in found:
+        s = m @ x[q]
+        s[ids == q] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & found[q]) / 20)
+    assert set(found) == {i for i in x if i % 20 == 0} and np.mean(hits) >= 0.9
+
+
+def test_search_fills_every_query(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, rank, v in rows_of(neighbours.search(df, 20, 20, tables=1, probes=1).orderBy("query_id", "rank"), "query_id", "rank", "vec_id"):
+        got.setdefault(q, []).append(v)
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s, kind="stable")[:20].tolist()
+
+
 # HTML
 
 

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mix
+from .shared import cut_lineage, mix
 
 #: Base rows, and queries, that meet in one task at most.
 BLOCK = 8192
+#: Norms within a factor of 2 ** (1 / BANDS) are hashed together; the vectors of bands of fewer than RARE are looked at by every query.
+BANDS, RARE = 4, 256
 NEAR = "query_id long, vec_id long, score double"
 _ROW = "tab int, bucket int, part int, slice int, query boolean, vec_id long, vec binary"
 
@@ -30,8 +32,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 class Hashes:
     """``tables`` x ``functions`` cross-polytope hashes of vectors of ``dim``: three rounds of random signs and a Hadamard
-    transform, then the nearest signed axis. ``longest`` is the greatest norm; where norms differ, one more coordinate
-    brings all base vectors to it, so that the nearest by angle are the nearest by inner product."""
+    transform, then the nearest signed axis. ``longest`` is the greatest norm of a band; where its norms differ, one more
+    coordinate brings all its base vectors to it, so that the nearest by angle are the nearest by inner product."""
 
     def __init__(self, dim: int, tables: int, functions: int, longest: float, equal: bool, seed: int):
         self.dim, self.tables, self.functions, self.longest, self.equal = dim, tables, functions, longest, equal
@@ -108,64 +110,77 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, every: int, k: int, tables: int = 10, probes: int = 14, functions: int | None = None, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, every: int, k: int, tables: int = 10, probes: int = 14, functions: int = 1, seed: int = 7) -> DataFrame:
     """The ``k`` nearest found of each vector whose vec_id is divisible by ``every``, by inner product, itself left out.
 
     ``vectors`` needs vec_id and embedding (all of one length; other lengths than the commonest raise); other columns are
     ignored. Null, zero and non-finite vectors take no part. Rows that repeat a vec_id count once, by their best score.
-    Every vector is indexed, in ``tables`` tables; a query looks into its ``probes`` best buckets of each. ``functions``
-    hashes make a bucket's name: 1 up to two million vectors, else 2. A bucket that many share is dealt out in blocks of
-    some thousand rows that all its queries visit, so that nothing is left out and no task takes more. The driver gets
-    counts by bucket only, whose number the parameters bound. Candidates are scored in double precision on the original
+    Every vector is indexed, in ``tables`` tables of its band of norms, so that a few long vectors don't spoil the others'
+    hashes; a query looks into its ``probes`` best buckets of each. ``functions`` hashes make a bucket's name, whatever the
+    size of the table. Vectors of rare norms share one bucket that every query visits. A bucket that many share is dealt
+    out in blocks of some thousand rows that all its queries visit, so that nothing is left out and no task takes more.
+    Queries that found fewer than there are, up to ``k``, meet every vector, in blocks. The driver gets counts by band and
+    bucket only, whose number the parameters and the exponents of doubles bound. Candidates are scored in double precision on the original
     vectors. Ties go to the smaller vec_id. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = valid_vectors(vectors)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    s = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("dim"), F.max(F.size("v")).alias("top_dim"), F.min(norm).alias("low"), F.max(norm).alias("high")).first()
-    if not s["n"]:
+    # Unit vectors, as rounded, lie within a band.
+    band = F.floor(F.greatest(F.lit(-2000.0), F.least(F.lit(2000.0), F.coalesce(F.log2("norm"), F.lit(-2000.0)))) * BANDS + 0.37).cast("int")
+    rows = valid_vectors(vectors).withColumn("norm", norm).withColumn("band", band)
+    stats = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.size("v")).alias("dim"), F.max(F.size("v")).alias("top_dim"), F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy("band").collect()
+    if not stats:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if s["dim"] != s["top_dim"]:
+    dim, total = stats[0]["dim"], sum(s["n"] for s in stats)
+    if any(s[c] != dim for s in stats for c in ("dim", "top_dim")):
         raise ValueError("vectors of different lengths")
-    dim = s["dim"]
-    functions = functions or (1 if s["n"] <= 2_000_000 else 2)
-    hashes = Hashes(dim, tables, functions, s["high"], s["low"] > 0.999 * s["high"], seed)
-    many = min(probes, hashes.buckets)
+    rows = rows.select("vec_id", "v", "band")
+    often = [s for s in stats if s["n"] >= RARE or len(stats) == 1]
+    bands = [(s["band"], Hashes(dim, tables, functions, max(s["high"], 1e-300), s["low"] > 0.999 * s["high"], seed)) for s in often]
+    # The last table has one bucket, for the vectors of all other bands.
+    last, most = len(bands) * tables, max([1, *(h.buckets for _, h in bands)])
 
     def hashed(batches):
-        """Of each batch: ids, vectors, base buckets by table, and of its queries their probes by table."""
+        """Of each batch: ids, vectors, and by table its base rows, their buckets, the queries and their probes."""
         for b in batches:
             if not len(b):
                 continue
             ids = b.column("vec_id").to_numpy()
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             q = np.flatnonzero(ids % every == 0)
-            for t in range(tables):
-                yield t, ids, x, hashes.base(x, t), q, hashes.probes(x[q], t, many)
+            own = b.column("band").to_numpy()
+            for i, (at, hashes) in enumerate(bands):
+                of = np.flatnonzero(own == at)
+                for t in range(tables):
+                    yield i * tables + t, ids, x, of, hashes.base(x[of], t), q, hashes.probes(x[q], t, min(probes, hashes.buckets))
+            if len(often) < len(stats):
+                of = np.flatnonzero(~np.isin(own, [at for at, _ in bands]))
+                yield last, ids, x, of, np.zeros(len(of), np.int64), q, np.zeros((len(q), 1), np.int64)
 
     def count(batches):
-        n = np.zeros((tables, 2, hashes.buckets), np.int64)
-        for t, _, _, base, _, probe in hashed(batches):
-            n[t, 0] += np.bincount(base, minlength=hashes.buckets)
-            n[t, 1] += np.bincount(probe.ravel(), minlength=hashes.buckets)
+        n = np.zeros((last + 1, 2, most), np.int64)
+        for t, _, _, _, base, _, probe in hashed(batches):
+            n[t, 0] += np.bincount(base, minlength=most)
+            n[t, 1] += np.bincount(probe.ravel(), minlength=most)
         t, side, bucket = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, side, bucket, n[t, side, bucket])], ["tab", "side", "bucket", "n"])
 
     counted = rows.mapInArrow(count, "tab long, side long, bucket long, n long").groupBy("tab", "side", "bucket").agg(F.sum("n").alias("n")).collect()
-    parts = np.zeros((tables, 2, hashes.buckets), np.int32)
+    parts = np.zeros((last + 1, 2, most), np.int32)
     for r in counted:
         parts[r["tab"], r["side"], r["bucket"]] = -(-r["n"] // BLOCK)
 
     def deal(batches):
-        for t, ids, x, base, q, probe in hashed(batches):
+        for t, ids, x, of, base, q, probe in hashed(batches):
             raw = [v.tobytes() for v in x]
             spread = mix(ids.astype(np.uint64))
             # A base row goes to its part, for each slice of the queries; a query to its slice, for each part.
             p, s_ = parts[t, 0], parts[t, 1]
-            row = np.repeat(np.arange(len(ids)), s_[base])
-            slice_ = np.arange(len(row)) - np.searchsorted(row, row)
-            part = (spread[row] % p[base[row]].astype(np.uint64)).astype(np.int64)
-            sides = [(row, base[row], part, slice_, False)]
+            row = np.repeat(np.arange(len(of)), s_[base])
+            slice_, bucket = np.arange(len(row)) - np.searchsorted(row, row), base[row]
+            row = of[row]
+            part = (spread[row] % p[bucket].astype(np.uint64)).astype(np.int64)
+            sides = [(row, bucket, part, slice_, False)]
             flat, owner = probe.ravel(), np.repeat(q, probe.shape[1])
             at = np.repeat(np.arange(len(flat)), p[flat])
             part = np.arange(len(at)) - np.searchsorted(at, at)
@@ -189,9 +204,31 @@ def search(vectors: DataFrame, every: int, k: int, tables: int = 10, probes: int
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(sc, pa.float64())})
 
     near = rows.mapInArrow(deal, _ROW).groupBy("tab", "bucket", "part", "slice").applyInArrow(rank, NEAR)
-    once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = cut_lineage(ranked(near))
+    queries = rows.where(F.col("vec_id") % every == 0)
+    full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = cut_lineage(queries.join(full, "vec_id", "left_anti").select("vec_id", "v"))
+    n_short = short.count()
+    if not n_short:
+        return best
+    n_part, n_slice = -(-total // BLOCK), -(-n_short // BLOCK)
+    of_part, of_slice = (F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int") for n in (n_part, n_slice))
+    every_part, every_slice = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_part, n_slice))
+
+    def packed(batches):
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("part", "slice", "query", "vec_id")] + [pa.array([v.tobytes() for v in x], pa.binary())], ["part", "slice", "query", "vec_id", "vec"])
+
+    sides = rows.select(of_part.alias("part"), every_slice.alias("slice"), F.lit(False).alias("query"), "vec_id", "v").unionByName(short.select(every_part.alias("part"), of_slice.alias("slice"), F.lit(True).alias("query"), "vec_id", "v"))
+    exact = sides.mapInArrow(packed, "part int, slice int, query boolean, vec_id long, vec binary").groupBy("part", "slice").applyInArrow(rank, NEAR)
+    return best.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(ranked(exact))
 
 
 def op4_cross_polytope(spark, sf_dir: str) -> DataFrame:
