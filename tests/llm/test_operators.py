@@ -419,6 +419,31 @@ def test_licenses(spark, docs, which):
         assert {(m["word"], m["template"]) for m in found} == want
 
 
+def test_licenses_wrapped(spark, docs):
+    texts = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and",
+        "This work is licensed under the GNU General Public\nLicense, version 3",
+        "w " * 33 + "\nRedistribution and use in source and binary\nforms, with or without\nmodification, are permitted\n" + "w " * 50,
+        "All rights\nreserved.",
+    ]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[1:] for r in rows_of(licenses.scan(made), "doc_id", "labels", "score")}
+    assert got == {0: ("bsd", 1.0), 1: ("mit", 1.0), 2: ("gpl-3", 1.0), 3: ("bsd", 1.0), 4: ("", 0.0)}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    sets = {t: set(t.split()) for t in licenses.TEMPLATES}
+    for d in (made, docs.where("doc_id <> 9"), table(spark)):
+        for x, found in rows_of(licenses.scan(d).join(d.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id"), "text", "wrapped"):
+            w = [(v, i) for i, line in enumerate(lowered(x or "").split("\n")) for v in word.findall(line)]
+            want = set()
+            for lo in range(0, max(1, len(w) - 40 + 20), 20):
+                block = w[lo : lo + 40]
+                if len({i for _, i in block}) > 1:
+                    have = {v for v, _ in block}
+                    want |= {(lo, t) for t, s in sets.items() if len(s & have) >= 0.8 * len(s) - 1e-9}
+            assert {(m["word"], m["template"]) for m in found} == want
+
+
 def test_licenses_empty(none):
     assert licenses.scan(none).isEmpty()
 

@@ -95,6 +95,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, block: int = 40, templates: di
     """Per document: n_words, the places of base phrases, and every text block that contains a template.
 
     A block is a line, or, of longer lines, each ``block`` words at half that step (two templates' length at least).
+    Texts are wrapped anywhere, so that the whole document's words, whatever their lines, are cut into the same blocks.
     It meets a template when it has the share ``threshold`` of the template's distinct words. The join is exact: tokens
     are put in the global order of their document frequency, a block is a candidate only if it has a token of a
     template's prefix (the rarest ``size - need + 1``), if it has enough words, and if the place of its first common
@@ -102,7 +103,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, block: int = 40, templates: di
 
     Needs ``doc_id`` and ``text`` (null: empty); other columns are ignored; repeated rows give equal rows. Returns
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
-    matches (array of block start word, words, template, containment; every template that the block meets). ``labels``
+    matches (array of block start word, words, template, containment; every template that the block meets), and wrapped,
+    the same of the document's blocks that hold a line break. ``labels``
     adds to the base labels those of each block's best templates; ``score`` is 1 with a base label, else the best
     containment.
     """
@@ -162,9 +164,22 @@ def scan(docs: DataFrame, threshold: float = 0.8, block: int = 40, templates: di
                 rare = own[is_prefix[own]]
                 if len(rare):
                     found += matches(own, rare, int(lo), int(min(b, lo + block) - lo))
-        return spots, found
-
-    schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<word:long,n:long,template:string,containment:double>>"
+        n, wrapped = int(lines[-1]), []
+        rare = np.flatnonzero((h_place >= 0) & is_prefix[h_place])
+        inner = lines[1:-1]
+        # Each word stands in the block that begins in its half step, and in the one before.
+        starts = np.unique(np.concatenate((rare // step, rare // step - 1))) * step
+        for lo in starts[(starts >= 0) & (starts < max(1, n - block + step))].tolist():
+            hi = min(n, lo + block)
+            if np.searchsorted(inner, lo, "right") == np.searchsorted(inner, hi):
+                continue  # within one line
+            own = h_place[lo:hi]
+            own = own[own >= 0]
+            wrapped += matches(own, own[is_prefix[own]], lo, hi - lo)
+        return spots, found, wrapped
+
+    found_type = "array<struct<word:long,n:long,template:string,containment:double>>"
+    schema = f"n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches {found_type}, wrapped {found_type}"
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -193,23 +208,25 @@ def scan(docs: DataFrame, threshold: float = 0.8, block: int = 40, templates: di
                 for d in range(hi - lo):
                     a, z = int(w.first[d]), int(w.first[d + 1])
                     if hits[z] == hits[a]:
-                        rows.append((z - a, 0, None, None, "", "", 0.0, []))
+                        rows.append((z - a, 0, None, None, "", "", 0.0, [], []))
                         continue
                     own = line_words[np.searchsorted(breaks, at[d]) : np.searchsorted(breaks, at[d + 1])] - a
                     lines = np.unique(np.concatenate(([0], own, [z - a])))
                     s0 = int(w.start[a])
-                    spots, found = one(norm[s0 : int(ends[z - 1])].tobytes(), w.start[a:z] - s0, h_place[a:z], lines)
+                    spots, found, wrapped = one(norm[s0 : int(ends[z - 1])].tobytes(), w.start[a:z] - s0, h_place[a:z], lines)
                     labels = {x for _, x in spots}
-                    best: dict[int, float] = {}
-                    for word, _, _, c in found:
-                        best[word] = max(c, best.get(word, 0.0))
-                    mine = labels | {made[j].label for word, _, j, c in found if c == best[word]}
-                    score = 1.0 if spots else max((c for *_, c in found), default=0.0)
+                    mine = set(labels)
+                    for some in (found, wrapped):
+                        best: dict[int, float] = {}
+                        for word, _, _, c in some:
+                            best[word] = max(c, best.get(word, 0.0))
+                        mine |= {made[j].label for word, _, j, c in some if c == best[word]}
+                    score = 1.0 if spots else max((c for *_, c in found + wrapped), default=0.0)
                     words = [x for x, _ in spots]
-                    rows.append((z - a, len(spots), min(words, default=None), max(words, default=None), ",".join(sorted(labels)), ",".join(sorted(mine)), score, [{"word": x, "n": n, "template": names[j], "containment": c} for x, n, j, c in found]))
+                    rows.append((z - a, len(spots), min(words, default=None), max(words, default=None), ",".join(sorted(labels)), ",".join(sorted(mine)), score, *([{"word": x, "n": n, "template": names[j], "containment": c} for x, n, j, c in some] for some in (found, wrapped))))
                 cols = list(zip(*rows))
-                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64()), ("template", pa.string()), ("containment", pa.float64())]))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
+                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] + [pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64()), ("template", pa.string()), ("containment", pa.float64())]))] * 2
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches", "wrapped"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
 
