@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriscope.llm.exchange import scanned
 from veriscope.llm.mixing import mix
 from veriscope.llm.packing import pack
 from veriscope.llm.rules import judge
@@ -16,7 +17,7 @@ from veriscope.llm.shared import cut_lineage, scratch_path, small
 from veriscope.llm.simhash import near_duplicates
 from veriscope.llm.substrings import dedup_substrings
 
-#: Dropped documents up to this many are sent to every task by their ids (8 bytes each); more are joined by a shuffle.
+#: Dropped rows up to this many are sent to every task by their numbers (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
 
@@ -26,9 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, fingerprints within 4 bits) the document of smallest id."""
-    dropped = cut_lineage(near_duplicates(docs, shingle=5, near=4).where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(small(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, fingerprints within 4 bits) the row of smallest doc_id, those
+    without one last. Rows have a number of their own, so that repeated rows and copies without a doc_id are told apart."""
+    rows = scanned(docs).withColumn("near_row", F.monotonically_increasing_id())
+    near = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text"), shingle=5, near=4).withColumnRenamed("doc_id", "near_row")
+    known = cut_lineage(near.join(rows.select("near_row", "doc_id"), "near_row").select("near_row", "doc_id", "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")
+    kept = known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.near_row").alias("near_row"))
+    dropped = cut_lineage(known.join(kept, "near_row", "left_anti").select("near_row"))
+    return rows.join(small(dropped, BROADCAST_IDS), "near_row", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,5 +32,13 @@ def test_stages(spark):
         assert after[k] == (before[k] if not any(drop) else " ".join(a for a, z in zip(w, drop) if not z))
 
 
+def test_near_dedup_decides_on_rows(spark):
+    a, b, c, d = (" ".join(f"{p}{i * 31 % 41}" for i in range(60)) for p in "abcd")
+    rows = [(5, a), (5, a), (7, a), (None, a), (None, b), (None, b), (8, c), (8, d), (2, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [tuple(r) for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).select("doc_id", "text").collect()]
+    assert sorted(out, key=str) == sorted([(5, a), (None, b), (2, c), (8, d)], key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, SF).count() > 0
