@@ -251,6 +251,18 @@ def test_html(spark):
     assert got[10] == "" and got[13] == "" and got[11] == got[0] and got[12] == "plain text <3"
 
 
+@pytest.mark.parametrize("attrs", ['class="content no-sidebar"', 'class="has-sidebar ad-free"', 'class="related-work"', 'id="share-2"', 'style="overflow:hidden"', 'aria-hidden="false"', 'data-id="notice 7"', 'class="sidebar"'])
+def test_html_loose_words(attrs):
+    for page in (f"<body><div {attrs}><article><p>Kept</p></article></div></body>", f"<body><div {attrs}><p>Kept</p></div></body>"):
+        if attrs == 'class="sidebar"' and "<article>" not in page:
+            continue
+        found = html_text.tokens(page)
+        assert html_text.blocks(found, html_text.zones([s for s, _ in found])) == "Kept"
+    for mark in ("hidden", 'class="x sidebar"', 'id="cookie-notice"', 'role="navigation"'):
+        found = html_text.tokens(f"<body><div {mark}><p>Gone</p><article>Card</article></div><article>Kept</article></body>")
+        assert html_text.blocks(found, html_text.zones([s for s, _ in found])) == "Kept"
+
+
 def test_html_wrappers_match(spark):
     out = html_text.extract(table(spark, "pages"))
     assert out.agg(F.avg(F.col("by_wrapper").cast("int"))).first()[0] > 0.9
