@@ -84,8 +84,8 @@ def brute_prints(texts, k):
 
 @pytest.mark.parametrize("which", ["hard", "table"])
 def test_near_duplicates(spark, docs, which):
-    d = (docs if which == "hard" else table(spark)).where("doc_id is not null and doc_id <> 9")
-    rows = sorted(set(rows_of(d, "doc_id", "text")), key=lambda r: r[0])
+    d = docs if which == "hard" else table(spark)
+    rows = sorted({r for r in rows_of(d, "doc_id", "text") if r[0] is not None}, key=lambda r: r[0])
     prints, root = brute_prints([x for _, x in rows], 4), list(range(len(rows)))
 
     def find(i):
@@ -99,8 +99,31 @@ def test_near_duplicates(spark, docs, which):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     want = {(k, prints[i], rows[find(i)][0]) for i, (k, _) in enumerate(rows)}
-    got = {(k, fp % 2**64, c) for k, fp, c in rows_of(simhash.near_duplicates(d, shingle=4), "doc_id", "fp", "component_id")}
-    assert got == want
+    out = rows_of(simhash.near_duplicates(d, shingle=4), "doc_id", "fp", "component_id")
+    assert len(out) == d.count() and all(c is None for k, _, c in out if k is None)
+    assert {(k, fp % 2**64, c) for k, fp, c in out if k is not None} == want
+
+
+def test_second_fingerprint(spark):
+    base = [f"w{i * 7919 % 991}" for i in range(400)]
+    near = [*base[:200], "x", *base[201:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"v{i * 31 % 997}" for i in range(400))), (4, " ".join(base))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(rows_of(simhash.near_duplicates(d, near=7, second=11), "doc_id", "component_id")) == [(1, 1), (2, 1), (3, 3), (4, 1)]
+    # Alike in the first fingerprint, apart in the second.
+    prints = spark.createDataFrame([(0, 0, 1), (1, 0, 2), (1, -1, 3)], "fp long, check long, node long")
+    assert rows_of(simhash.links(prints, 7, 11), "a", "b") == [(2, 1)]
+
+
+def test_routes_are_bounded():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    for mask in simhash._masks(4):
+        for levels in (8, 16):
+            tree = simhash.Tree(mask, x[:4000], levels, 1)
+            row, leaf, home = tree.route(x[:2000])
+            assert len(np.unique(row * 2**20 + leaf)) == len(row) and home.sum() == 2000
+            assert np.bincount(row).max() <= mask.bit_count() + 1
 
 
 def test_links_are_exact_over_many_leaves(spark, monkeypatch):

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Words, chunks, cut_lineage, mix, strings
+from .shared import Words, chunks, cut_lineage, member, mix, strings
 
 #: Fingerprints that a leaf holds on average, as far as the number of leaves allows.
 LEAF = 512
-#: Leaves of a tree at most; a tree takes some 10 bytes a leaf in every task.
-MOST_LEAVES = 1 << 16
+#: Leaves of a tree at most; a tree takes one byte a leaf in every task. A value goes to no more leaves than it has
+#: neighbours within one bit of the mask, itself among them: 22 or so, however many leaves there are.
+MOST_LEAVES = 1 << 20
+#: A fingerprint that more than one row in so many has is hot: its component is sent to every task.
+HOT = 1000
+#: Values of the sample that serve as vantage points, in turn.
+POINTS = 4096
 #: The trees' thresholds are taken from one in so many fingerprints, drawn by hash, and from so many at most.
 ONE_IN, SAMPLE = 8, 1 << 17
 
@@ -25,15 +30,15 @@ def _lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    """The fingerprint of each text."""
+def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int, second: bool = False) -> np.ndarray:
+    """The fingerprint of each text; with ``second`` another one beside it, of the same hashes mixed."""
     import xxhash
 
     w = Words(_lowered(data), off)
     n = np.diff(w.first)
     many = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(np.int64))
     total = int(many.sum())
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros((2, len(n)) if second else len(n), np.uint64)
     if not total:
         return out
     begin = np.cumsum(many) - many
@@ -44,6 +49,15 @@ def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.nd
     h = np.fromiter((digest(text[i:j], seed) for i, j in zip(a, b)), np.uint64, total)
     used = np.flatnonzero(many)
     edge = np.append(begin[used], total)
+    if second:
+        out[0], out[1] = (_majority(x, used, edge, many, len(n)) for x in (h, mix(h)))
+        return out
+    return _majority(h, used, edge, many, len(n))
+
+
+def _majority(h: np.ndarray, used: np.ndarray, edge: np.ndarray, many: np.ndarray, texts: int) -> np.ndarray:
+    """The bits that more than half of each text's hashes have."""
+    out = np.zeros(texts, np.uint64)
     # Bits are counted for some thousand shingles at a time.
     counts = np.zeros((len(used), 64), np.int64)
     lo = 0
@@ -62,55 +76,58 @@ def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, second: bool = False) -> DataFrame:
     """``doc_id`` and ``fp`` (64 bits as a long) of every whole text: A-Z lower-cased, words between ASCII white space,
     shingles of ``shingle`` words with repeats, XXH64; a bit is set if more than half the hashes have it. Texts with fewer
-    words are one shingle; those without words, null among them, have 0."""
+    words are one shingle; those without words, null among them, have 0. ``second`` adds ``check``, 64 bits more."""
 
     def run(batches):
         for b in batches:
             data, off = strings(b.column("text"))
             for lo, hi in chunks(off):
-                fp = _prints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle, seed)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                fp = _prints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle, seed, second).reshape(-1, hi - lo)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(x.view(np.int64)) for x in fp)], ["doc_id", "fp", "check"][: 1 + len(fp)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long" + ", check long" * second)
 
 
 class Tree:
     """A vantage-point tree over the bits of one mask.
 
     Node i has a vantage point and a radius; values within the radius go to node 2i + 1, others to 2i + 2; the last level
-    are leaves. A pair that differs by one bit of the mask at most can only be parted where a branch's border lies between
-    the two distances, which the triangle inequality bounds: ``route`` follows those borders.
+    are leaves. Vantage points are values of the sample, another for each node; they follow from the node's number, so that
+    only the radii are kept. A pair that differs by one bit of the mask at most can only be parted where a branch's border
+    lies between the two distances, which the triangle inequality bounds: ``route`` follows those borders.
     """
 
     def __init__(self, mask: int, sample: np.ndarray, levels: int, seed: int):
-        self.mask, self.levels = np.uint64(mask), levels
-        inner = (1 << levels) - 1
-        self.point = mix(np.arange(inner, dtype=np.uint64) + np.uint64(seed << 32)) & self.mask
-        self.radius = np.zeros(inner, np.int16)
+        self.mask, self.levels, self.seed = np.uint64(mask), levels, np.uint64(seed << 32)
+        self.points = np.unique(sample)[:: max(1, len(sample) // POINTS)] & self.mask
+        self.radius = np.full((1 << levels) - 1, int(self.mask).bit_count() // 2, np.int8)
         at = np.zeros(len(sample), np.int64)
         for level in range(levels):
             first = (1 << level) - 1
             d = self._distance(sample, at)
             # The median distance of each node's sample.
-            n = 1 << level
-            hist = np.zeros((n, 66), np.int64)
-            np.add.at(hist, (at - first, d), 1)
+            own, here = np.unique(at - first, return_inverse=True)
+            hist = np.zeros((len(own), 66), np.int64)
+            np.add.at(hist, (here, d), 1)
             total = np.cumsum(hist, axis=1)
-            middle = (total * 2 >= total[:, -1:]).argmax(1)
-            # Of the two borders next to the median, the more even one.
-            lower = np.maximum(middle - 1, 0)
-            row = np.arange(n)
-            uneven = lambda r: np.abs(2 * total[row, r] - total[:, -1])
-            radius = np.where(uneven(lower) < uneven(middle), lower, middle)
-            radius[total[:, -1] == 0] = int(self.mask).bit_count() // 2
-            self.radius[first : first + n] = radius
-            at = 2 * at + 1 + (d > radius[at - first])
+            if len(own):
+                middle = (total * 2 >= total[:, -1:]).argmax(1)
+                # Of the two borders next to the median, the more even one.
+                lower = np.maximum(middle - 1, 0)
+                row = np.arange(len(own))
+                uneven = lambda r: np.abs(2 * total[row, r] - total[:, -1])
+                self.radius[first + own] = np.where(uneven(lower) < uneven(middle), lower, middle)
+            at = 2 * at + 1 + (d > self.radius[at])
 
     def _distance(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((x & self.mask) ^ self.point[node]).astype(np.int64)
+        return np.bitwise_count((x & self.mask) ^ self._point(node)).astype(np.int64)
+
+    def _point(self, node: np.ndarray) -> np.ndarray:
+        drawn = mix(node.astype(np.uint64) + self.seed)
+        return self.points[drawn % np.uint64(len(self.points))] if len(self.points) else drawn & self.mask
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, home): the leaf of each value, and the other leaves in which a value may lie that differs from it by
@@ -119,7 +136,7 @@ class Tree:
         home, bits = np.ones(len(x), bool), np.full(len(x), self.mask)
         for _ in range(self.levels):
             v, radius = x[row] & self.mask, self.radius[node]
-            differ = v ^ self.point[node]
+            differ = v ^ self._point(node)
             d = np.bitwise_count(differ).astype(np.int64)
             # Changing a bit that agrees adds one to the distance, changing another takes one off.
             agree, differ = bits & ~differ, bits & differ
@@ -138,17 +155,23 @@ class Tree:
         return row, node - ((1 << self.levels) - 1), home
 
 
-def _spanning(h: np.ndarray, q: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (index in h, index in q) that tie together whatever ``near`` bits tie, without all pairs of a clump."""
+def _spanning(h: np.ndarray, q: np.ndarray, near: int, check: tuple[np.ndarray, np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (index in h, index in q) that tie together whatever ``near`` bits tie, without all pairs of a clump. ``check``
+    has other fingerprints of both, and how many bits these may differ by."""
     got_a, got_b = [], []
     for lo in range(0, len(h), 256):
         rows = h[lo : lo + 256]
         for at in range(0, len(q), 1 << 14):
             hit = np.bitwise_count(rows[:, None] ^ q[None, at : at + (1 << 14)]) <= near
             some = np.flatnonzero(hit.any(0))
+            if len(some) and check is not None:
+                hit = hit[:, some] & (np.bitwise_count(check[0][lo : lo + 256, None] ^ check[1][None, at + some]) <= check[2])
+                alive = hit.any(0)
+                hit, some = hit[:, alive], some[alive]
+            else:
+                hit = hit[:, some]
             if not len(some):
                 continue
-            hit = hit[:, some]
             first = hit.argmax(0)
             got_a.append(first + lo)
             got_b.append(some + at)
@@ -170,14 +193,16 @@ def _masks(near: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(prints: DataFrame, near: int = 4) -> DataFrame:
+def links(prints: DataFrame, near: int = 4, second: int | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints that chains of links connect; a link is ``near`` bits or fewer.
 
-    ``prints`` has distinct ``fp`` and a ``node`` for each. The 64 bits are dealt to ``near // 2 + 1`` masks; two linked
+    ``prints`` has distinct ``fp`` and a ``node`` for each; with ``second``, distinct pairs of ``fp`` and ``check``, and a
+    link's ``check`` differs by ``second`` bits or fewer, too. The 64 bits are dealt to ``near // 2 + 1`` masks; two linked
     values differ by one bit at most in one mask, so for each mask a vantage-point tree puts every value into its leaf, a
     shard, and sends it to those other shards whose border it may lie across. Each shard compares its own values with all
     it gets, in 64 bits. Thresholds come from a sample drawn by hash (one in ``ONE_IN``,
-    ``SAMPLE`` at most); all values are routed. Shards
+    ``SAMPLE`` at most); all values are routed. A value visits no more shards of a mask than it has values within one bit
+    there, which bounds what is sent at any size. Shards
     of more than 8 times ``LEAF`` values are dealt out in parts, each of which gets all the visitors.
     """
     spark = prints.sparkSession
@@ -204,50 +229,61 @@ def links(prints: DataFrame, near: int = 4) -> DataFrame:
 
     part = 8 * LEAF
     sizes = {r["shard"]: r["n"] for r in prints.mapInArrow(census, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > part).collect()}
-    parts = np.ones(len(trees) << levels, np.int32)
-    for shard, n in sizes.items():
-        parts[shard] = -(-n // part)
+    large = np.array(sorted(sizes), np.int64)
+    many = np.array([-(-sizes[s] // part) for s in large.tolist()], np.int64)
+
+    names = ["fp", "node"] + ["check"] * (second is not None)
 
     def deal(batches):
         for b in batches:
-            fp, node = b.column("fp").to_numpy(), b.column("node").to_numpy()
-            own = mix(fp.view(np.uint64))
+            cols = [b.column(c).to_numpy() for c in names]
+            own = mix(cols[0].view(np.uint64))
             for _, row, shard, home in routed(b):
                 # A value goes to its own part at home, and as a visitor to every part of each shard on its way.
-                n = parts[shard]
+                n, is_large = np.ones(len(shard), np.int64), member(large, shard)
+                n[is_large] = many[np.searchsorted(large, shard[is_large])]
                 at = np.repeat(np.arange(len(row)), n)
                 piece = np.arange(len(at)) - np.searchsorted(at, at)
                 is_home = home[at] & (piece == (own[row[at]] % n[at].astype(np.uint64)).astype(np.int64))
                 for lo in range(0, len(at), 1 << 17):
                     c = at[lo : lo + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[c], pa.int32()), pa.array(piece[lo : lo + (1 << 17)], pa.int32()), pa.array(is_home[lo : lo + (1 << 17)]), pa.array(fp[row[c]]), pa.array(node[row[c]])], ["shard", "part", "home", "fp", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[c], pa.int32()), pa.array(piece[lo : lo + (1 << 17)], pa.int32()), pa.array(is_home[lo : lo + (1 << 17)]), *(pa.array(x[row[c]]) for x in cols)], ["shard", "part", "home", *names])
 
     def compare(table: pa.Table) -> pa.Table:
         fp, node, home = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), table["home"].to_numpy()
         order = np.argsort(node, kind="stable")
         fp, node, home = fp[order], node[order], home[order]
-        a, b = _spanning(fp[home], fp, near)
+        other = table["check"].to_numpy().view(np.uint64)[order] if second is not None else None
+        a, b = _spanning(fp[home], fp, near, None if other is None else (other[home], other, second))
         a, b = node[home][a], node[b]
         keep = a != b
         return pa.table({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]})
 
-    return prints.mapInArrow(deal, "shard int, part int, home boolean, fp long, node long").groupBy("shard", "part").applyInArrow(compare, "a long, b long").distinct()
+    return prints.mapInArrow(deal, "shard int, part int, home boolean, " + ", ".join(f"{c} long" for c in names)).groupBy("shard", "part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, near: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, near: int = 4, seed: int = 42, second: int | None = None) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` (the smallest doc_id that links reach) of every document.
 
     Needs ``doc_id`` (long) and ``text``; other columns are ignored. Equal fingerprints are one vertex, so that copies
     cost nothing further; texts without words, null among them, share the fingerprint zero and are linked like any other;
     rows that repeat a doc_id give equal rows if their texts are equal; rows without a doc_id link nothing and have no
-    component; an empty table gives no rows.
+    component; an empty table gives no rows. ``second`` asks for a link in a second fingerprint of 64 bits as well, by so
+    many bits: that lets ``near`` be wider without links by chance, however many documents there are. Fingerprints that
+    more than one row in ``HOT`` has (fewer than ``HOT``) get their component by a broadcast, all others by a join.
     """
-    prints = cut_lineage(fingerprints(docs, shingle, seed))
-    nodes = cut_lineage(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes, near)) if not nodes.isEmpty() else nodes.select("node", F.col("node").alias("root"))
-    rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return prints.join(rooted, "fp", "left").select("doc_id", "fp", component)
+    prints = cut_lineage(fingerprints(docs, shingle, seed, second is not None))
+    key = ["fp"] + ["check"] * (second is not None)
+    nodes = cut_lineage(prints.where(F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    total = nodes.agg(F.sum("n")).first()[0]
+    found = components(links(nodes, near, second)) if total else nodes.select("node", F.col("node").alias("root"))
+    rooted = nodes.join(found, "node", "left").select(*key, "n", F.coalesce("root", "node").alias("component_id"))
+    is_hot = F.col("n") * HOT > F.lit(total or 0)
+    hot = F.broadcast(cut_lineage(rooted.where(is_hot).drop("n")))
+    cold = rooted.where(~is_hot).drop("n")
+    with_id, without = prints.where(F.col("doc_id").isNotNull()), prints.where(F.col("doc_id").isNull())
+    out = with_id.join(hot, key).unionByName(with_id.join(hot, key, "left_anti").join(cold, key))
+    return out.unionByName(without.withColumn("component_id", F.lit(None).cast("long"))).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
