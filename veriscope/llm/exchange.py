@@ -82,13 +82,21 @@ def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` if it scans files without a shuffle, so that every pass deals its rows to the same partitions; else what a
     scan of a copy in the shared folder gives."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if docs.inputFiles() and not re.search(r"Join|Aggregate|Sort|Repartition|Window|Limit|Union|Distinct|Group", plan):
+    # Only projections and filters of one file relation are sure to keep rows where the scan puts them.
+    if all(re.match(r"[\s:+-]*(Project|Filter|Relation) \[?", line) for line in plan.strip().splitlines()) and docs.inputFiles():
         return docs
     path = scratch_path(docs.sparkSession, "documents")
     docs.write.parquet(path)
     return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
+def sketch_width(docs: DataFrame, bytes_a_value: int) -> int:
+    """Bits of a sketch's cells: a thousand cells for each value that the texts can have, so that false alarms stay below
+    one in a thousand a row at any size. Only cells that are not zero are kept, so that width costs no memory."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(62, max(24, (1000 * size // bytes_a_value).bit_length()))
+
+
 class Sketch:
     """A count-min sketch of ``depth`` rows of ``2 ** width`` cells, kept as the cells that are not zero.
 
@@ -191,4 +199,4 @@ def flags_of(b: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b[8:], np.uint8), count=int.from_bytes(b[:8], "little")).astype(bool)
 
 
-__all__ = ["ANSWER", "Sketch", "answers", "bits_of", "flagged", "flags_of", "ids", "in_order", "opened", "pack_ints", "read_answers", "repeated", "scanned", "shard_bits", "tagged", "texts", "unpack_ints"]
+__all__ = ["ANSWER", "Sketch", "answers", "bits_of", "flagged", "flags_of", "ids", "in_order", "opened", "pack_ints", "read_answers", "repeated", "scanned", "shard_bits", "sketch_width", "tagged", "texts", "unpack_ints"]

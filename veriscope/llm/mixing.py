@@ -14,7 +14,7 @@ TOP = float(2**52)
 
 def coin(key: Column, seed: int) -> Column:
     """A number in [0, 1) that a key and a seed determine: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(TOP)
 
 
@@ -51,10 +51,11 @@ def copies(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5, 2, 1
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
 
     A document is taken ``floor(rate)`` times, and once more if its coin (hash of seed and doc_id, so that reruns agree
-    and repeated rows fare alike) falls below the fraction. A null text counts no words; a source without words has the
-    rate 0; an empty table gives an empty one. Columns of ``docs`` stay as they are; those named mix_* are replaced.
+    and repeated rows fare alike; without a doc_id, of the text) falls below the fraction. A null text counts no words; a source without words has the
+    rate 0; an empty table gives an empty one. Columns of ``docs`` stay as they are; those named mix_*, in any case, are
+    replaced.
     """
-    own = [c for c in docs.columns if not c.startswith("mix_")]
+    own = [c for c in docs.columns if not c.lower().startswith("mix_")]
     sources = cut_lineage(source_targets(docs, weights, most))
     rates = sources.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
     rates = small(rates, BROADCAST_SOURCES)
@@ -62,14 +63,14 @@ def copies(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5, 2, 1
     rate, extra = F.col("mix_rate"), F.col("mix_rate") - F.floor("mix_rate")
     return base.join(rates, base["source"].eqNullSafe(rates["mix_source"])).select(
         *[base[c] for c in own], word_count(base["text"]).alias("mix_size"), "mix_source_size", "mix_target",
-        (F.floor(rate) + F.when(coin(base["doc_id"], seed) < extra, 1).otherwise(0)).cast("long").alias("mix_copies"),
+        (F.floor(rate) + F.when(coin(F.coalesce(base["doc_id"].cast("string"), F.md5(base["text"]), F.lit("")), seed) < extra, 1).otherwise(0)).cast("long").alias("mix_copies"),
     )
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
     """The mixture: each document as often as it is taken, with its own columns and ``mix_copy`` from 1."""
     taken = copies(docs, seed, weights, most)
-    own = [c for c in docs.columns if not c.startswith("mix_")]
+    own = [c for c in docs.columns if not c.lower().startswith("mix_")]
     times = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
     return taken.select(*own, F.explode(times).alias("mix_copy"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import IS_WHITE, Words, chunks, mix, runs, strings, window_hashes, window_rows, word_hashes
+from .shared import IS_WHITE, Words, chunks, mix, others, runs, strings, window_hashes, window_rows, word_hashes
 
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -80,8 +80,9 @@ def _measure(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the features of every whole text; null counts as empty. Columns of these names are replaced."""
-    own = [c for c in docs.columns if c not in FEATURES]
+    """``docs`` with the features of every whole text; null counts as empty. Columns of these names, in any case, are
+    replaced."""
+    own = others(docs, FEATURES)
     docs = docs.select(*own)
     schema = T.StructType(docs.schema.fields + [T.StructField(c, T.LongType()) for c in FEATURES])
 
@@ -148,7 +149,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, smo
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` with the features, ``base_failed``, each rule's vote, ``quality`` (posterior probability of good), ``kept``.
 
-    Needs ``text``; other columns pass through, those of the added names are replaced. Texts are measured twice, once to
+    Needs ``text``; other columns pass through, those of the added names (in any case, ``vote_`` with a rule's name among
+    them) are replaced. Texts are measured twice, once to
     count the vote patterns and once to judge, so that nothing has to be kept or joined between. Only the counts of
     patterns come to the driver: at most three to the power of the number of rules, whatever the input. Empty and null
     texts fail the base; repeated rows are judged alike, once each; an empty table gives no rows.
@@ -165,6 +167,7 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     for j, k in enumerate(names):
         odds = odds + F.element_at(F.array(*[F.lit(float(x)) for x in weight[j]]), F.col(f"vote_{k}").cast("int") + 2)
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > 20 * F.col("n_words"))
+    docs = docs.select(*others(docs, ["base_failed", "quality", "kept", *(f"vote_{k}" for k in names)]))
     out = voted(docs).withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 

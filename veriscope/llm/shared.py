@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
@@ -43,6 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def others(docs: DataFrame, added) -> list[str]:
+    """The columns of ``docs`` but those of the names that an operator adds, in whatever case."""
+    taken = {c.lower() for c in added}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` to be sent to every task if it is counted to have ``most`` rows or fewer; else as it is, for a shuffle."""
     return F.broadcast(df) if df.count() <= most else df

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
-from .shared import Words, member, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
+from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, sketch_width, tagged, texts, unpack_ints
+from .shared import Words, member, others, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
 
 _EXACT = 100
 #: Blocks that a partition's documents make.
@@ -37,24 +37,27 @@ class _Windows:
         return high, (low >> np.uint64(32)).astype(np.uint32)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: int = 36, keep_layout: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: int | None = None, keep_layout: bool = False) -> DataFrame:
     """``docs`` without the words that a window of ``window`` words covers which also starts in a document of smaller id.
 
     Needs ``doc_id`` (long) and ``text``; all other columns pass through. Adds ``dedup_words``, ``dedup_removed`` (longs) and
-    ``dedup_spans`` (removed word ranges, end exclusive); columns of these names are replaced. ``text`` becomes the kept
+    ``dedup_spans`` (removed word ranges, end exclusive); columns of these names, in any case, are replaced. ``text`` becomes the kept
     words joined by one space (with ``keep_layout``, a document that loses nothing keeps its text as it is). Null texts have
     no words and become empty (null with ``keep_layout``). A window repeated within one document, or between rows that share
-    a doc_id, is not removed; of equal texts the one with the smallest id stays; a null doc_id comes after all others.
+    a doc_id, is not removed; of equal texts the one with the smallest id stays; a null doc_id comes after all others; an
+    empty table gives no rows; a very long text is a chunk of its own.
 
     First pass: each partition sketches the windows it has; the merged sketches (``depth`` rows of ``2 ** width`` cells)
     never count too few, so windows counted once are left out. Second pass: the others are grouped exactly, each partition
-    sending a window once, with its smallest document. Third pass: words are removed. Width should grow with the number of
-    windows: 2 ** width of 1000 times that number keeps false alarms below one in a thousand; too small a width costs
-    time, not results.
+    sending a window once, with its smallest document. Third pass: words are removed. ``width`` follows from the size of
+    the texts unless it is given; too small a width costs time, not results. A window is named by 96 bits of two hashes
+    of its words: of n different suspected windows some two are taken for one with a probability below n ** 2 / 2 ** 97
+    (for 10 ** 12 of them, a whole 100 TB in which a tenth repeats, 6e-6).
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("dedup_words", "dedup_removed", "dedup_spans", "block")]
+    own = others(docs, ("dedup_words", "dedup_removed", "dedup_spans"))
     docs = scanned(docs.select(*own))
+    width = width or sketch_width(docs, 4)
     sketch, exact_bits = Sketch(depth, width, shard_bits(spark)), shard_bits(spark)
     shards = 1 << exact_bits
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, tagged, texts, unpack_ints
+from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, sketch_width, tagged, texts, unpack_ints
 from .runindex import earliest
-from .shared import member, mix, runs, sliding_min, table, window_hashes, window_rows
+from .shared import member, mix, others, runs, sliding_min, table, window_hashes, window_rows
 
 _TEXT = 100
 #: Blocks that a partition's documents make.
@@ -42,14 +42,15 @@ def _apart(b: bytes) -> list[bytes]:
     return out
 
 
-def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks: int = 256) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 50, width: int | None = None, hot_blocks: int = 256) -> DataFrame:
     """``docs`` without the bytes that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
     Needs ``doc_id`` (long) and ``text`` (string; its UTF-8 bytes; null: empty); all other columns pass through. Adds
     ``dedup_bytes`` and ``dedup_removed`` (longs), ``dedup_spans`` (maximal removed byte ranges, end exclusive) and
     ``dedup_kept`` (binary: the bytes left, which may cut characters). Strings do not cross documents, are judged on the
     input, and may overlap; repeats within one document, or between rows that share a doc_id, stay; a null doc_id comes
-    after all others.
+    after all others; columns of the added names, in any case, are replaced; an empty table gives no rows; a very long text
+    is a chunk of its own.
 
     First pass: equal strings have the same least hash of the strings of half that length in them; a sketch of these
     leaves out what only one document has. Second pass: each run of strings that share a suspected least hash goes, as
@@ -60,8 +61,9 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int = 40, hot_blocks:
     hash, so that a passage in a third of all documents doesn't fill one shard with its surroundings.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("dedup_bytes", "dedup_removed", "dedup_spans", "dedup_kept", "block")]
+    own = others(docs, ("dedup_bytes", "dedup_removed", "dedup_spans", "dedup_kept"))
     docs = scanned(docs.select(*own))
+    width = width or sketch_width(docs, 8)
     sketch, text_bits = Sketch(1, width, shard_bits(spark)), shard_bits(spark, 4)
     shards = 1 << text_bits
 
