@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Stages need doc_id, text and source (the last one doc_id and text); ``n_chars`` follows the text where there is one. Any
+other columns, whatever their names, go through untouched: the operators see them as one value. Empty tables stay empty.
+Null texts count as empty, null sources are a source of their own, and null doc_ids come after all others.
 """
 
 from __future__ import annotations
@@ -19,42 +23,73 @@ from veriscope.llm.substrings import dedup_substrings
 
 #: Dropped rows up to this many are sent to every task by their numbers (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Bits by which the fingerprints of near copies, and their second fingerprints, may differ.
+NEAR, SECOND = 7, 11
+NEEDED = ("doc_id", "text", "source")
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    """The needed columns and a struct ``others`` of all the rest, taken by place, so that no name can clash."""
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: docs.columns.index(c) for c in NEEDED if c in docs.columns}
+    rest = [F.col(f"c{i}") for i in range(len(docs.columns)) if i not in at.values()]
+    return flat.select(*[F.col(f"c{i}").alias(c) for c, i in at.items()], F.struct(*rest, F.lit(True).alias("end")).alias("others"))
+
+
+def unbundled(df: DataFrame, docs: DataFrame, n_chars=None) -> DataFrame:
+    """The columns of ``docs`` again, in their order, with ``n_chars`` in place of that column if it is given."""
+    out = []
+    for i, f in enumerate(docs.schema.fields):
+        if f.name in NEEDED:
+            col = F.col(f.name)
+        elif f.name == "n_chars" and n_chars is not None:
+            col = n_chars(F.col(f"others.c{i}")).cast(f.dataType)
+        else:
+            col = F.col(f"others.c{i}")
+        out.append(col.alias(f.name))
+    return df.select(*out)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior keeps."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """Documents that the rules' posterior keeps. Null, empty and blank texts fail; repeated rows are judged alike, once
+    each; very long texts are judged whole."""
+    return unbundled(judge(bundled(docs)).where("kept"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, fingerprints within 4 bits) the row of smallest doc_id, those
-    without one last. Rows have a number of their own, so that repeated rows and copies without a doc_id are told apart."""
-    rows = scanned(docs).withColumn("near_row", F.monotonically_increasing_id())
-    near = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text"), shingle=5, near=4).withColumnRenamed("doc_id", "near_row")
+    """Of each group of near copies the row of smallest doc_id, those without one last. Near are five-word shingles whose
+    fingerprints differ by ``NEAR`` bits of 64 or fewer and whose second ones by ``SECOND`` or fewer. Rows have a number of
+    their own, so that repeated rows and copies without a doc_id are told apart; one of them stays. Texts without words
+    are copies of each other."""
+    rows = scanned(docs)
+    rows = bundled(rows).withColumn("near_row", F.monotonically_increasing_id())
+    near = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text"), shingle=5, near=NEAR, second=SECOND).withColumnRenamed("doc_id", "near_row")
     known = cut_lineage(near.join(rows.select("near_row", "doc_id"), "near_row").select("near_row", "doc_id", "component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")
     kept = known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.near_row").alias("near_row"))
     dropped = cut_lineage(known.join(kept, "near_row", "left_anti").select("near_row"))
-    return rows.join(small(dropped, BROADCAST_IDS), "near_row", "left_anti").select(*docs.columns)
+    return unbundled(rows.join(small(dropped, BROADCAST_IDS), "near_row", "left_anti"), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 13-word passages that a document of smaller id has; what loses nothing stays as it is."""
-    out = dedup_substrings(docs, keep_layout=True)
-    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.when(F.col("dedup_removed") > 0, n_chars).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without the 13-word passages that a document of smaller id has; what loses nothing stays as it is, null texts
+    too. Rows that share a doc_id, or have none, are one document here: what they repeat of each other stays."""
+    out = dedup_substrings(bundled(docs), keep_layout=True)
+    return unbundled(out, docs, lambda old: F.when(F.col("dedup_removed") > 0, F.char_length("text")).otherwise(old))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight wants it."""
-    return mix(docs).select(*docs.columns)
+    """Each document as often as its source's weight wants it; repeated rows fare alike. Documents of a source without
+    words are not taken."""
+    return unbundled(mix(bundled(docs)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 4096 tokens: one row per piece, with its ids."""
+    """Training sequences of at most 4096 tokens: one row per piece, with its ids. A null or empty text is its end mark;
+    repeated rows are packed once each; a long text takes several sequences."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [
