@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -307,6 +308,77 @@ def test_html_loose_words(attrs):
         assert html_text.blocks(found, html_text.zones([s for s, _ in found])) == "Kept"
 
 
+class Extractor(HTMLParser):
+    """The article's text by the standard library's parser, written apart from the operator."""
+
+    SKIP = {"nav", "aside", "footer", "form", "script", "style", "title", "head", "header", "select", "button"}
+    INLINE = {"a", "b", "i", "em", "strong", "span", "small", "sub", "sup", "code", "u", "q", "mark", "time", "br", "img"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.lines, self.line = 0, [], [], ""
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if self.line.split():
+            self.lines.append(" ".join(self.line.split()))
+        self.line = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.flush()
+        self.line += " " * (tag in ("br", "img"))
+        if self.skipped:
+            self.skipped += [tag] * (tag == self.skipped[0])
+        elif tag in self.SKIP or dict(attrs).get("class") in ("ad", "cookie-notice", "sidebar", "comments"):
+            self.skipped.append(tag)
+        elif tag == "article":
+            self.inside += 1
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.flush()
+        if self.skipped:
+            self.skipped = self.skipped[1:] if tag == self.skipped[0] else self.skipped
+        elif tag == "article":
+            self.inside = max(0, self.inside - 1)
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.line += data
+
+
+def test_html_against_another_parser(spark):
+    p = table(spark, "pages")
+    want = {k: "\n".join(Extractor(x or "").lines) for k, x in rows_of(p, "page_id", "html")}
+    assert {k: x for k, x in rows_of(html_text.extract(p), "page_id", "text")} == want
+
+
+def test_html_template_texts_go(spark):
+    """Pages of divs only: what they share at the edges is template, what differs or stands between is text."""
+    page = "<html><body><div>My site, since 1999</div><div>Rubric</div><h1>{t}</h1><div>Summary</div><div>{a}</div><p>{b}</p><p>{c}</p><div>Imprint and terms</div></body></html>"
+    rows = [(i, f"https://soup.example/{i}", page.format(t=f"Title {i}", a=f"Lead {i * 7}", b=f"Body {i * 31} goes on for as long as articles do, and then it ends.", c=f"More {i * 17}.")) for i in range(6)]
+    rows += [(10 + i, f"https://two.example/{i}", page.format(t=f"T{i}", a=f"L{i}", b=f"B{i}", c="c")) for i in range(2)]
+    same = "<html><body><div>{0}</div><p>A long text that three addresses share, word for word, to the end.</p><p>And its second part, too.</p></body></html>"
+    rows += [(20 + i, f"https://copies.example/{i}", same.format(f"Page {i}")) for i in range(5)]
+    # More tokens than any page may have items, to be folded; and one that cannot be folded.
+    rows += [(30, "https://soup.example/long", page.format(t="Long", a="x", b="</p><p>".join(f"s{i}" for i in range(6000)), c="end"))]
+    rows += [(31, "https://long.example/1", "<body>" + "".join(f"<h{i % 5 + 1}>t{i}</h{i % 5 + 1}><div>x{i}</div>" for i in range(3000)) + "</body>")]
+    out = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert out[i]["text"] == f"Title {i}\nSummary\nLead {i * 7}\nBody {i * 31} goes on for as long as articles do, and then it ends.\nMore {i * 17}." and out[i]["n_template"] == 3
+    for i in range(2):
+        assert out[10 + i]["text"].startswith("My site") and out[10 + i]["n_template"] == 0
+    for i in range(5):
+        assert out[20 + i]["text"] == f"Page {i}\nA long text that three addresses share, word for word, to the end.\nAnd its second part, too."
+    assert out[30]["text"].split("\n")[1:] == ["Summary", "x", *(f"s{i}" for i in range(6000)), "end"]
+    assert out[31]["text"].count("\n") == 5999
+    by_elements = html_text.tokens(rows[0][2])
+    assert html_text.blocks(by_elements, html_text.zones([s for s, _ in by_elements])).startswith("My site")
+
+
 def test_html_wrappers_match(spark):
     out = html_text.extract(table(spark, "pages"))
     assert out.agg(F.avg(F.col("by_wrapper").cast("int"))).first()[0] > 0.9
