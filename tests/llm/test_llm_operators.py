@@ -440,16 +440,17 @@ def brute_model(texts, order):
     return p
 
 
-def test_perplexity_is_kneser_ney(spark):
+@pytest.mark.parametrize("order", [3, 5, 7])
+def test_perplexity_is_kneser_ney(spark, order):
     texts = {1: "the cat sat on the mat", 2: "the cat ate the rat", 3: "a dog ate é", 4: "", 5: None, 6: "thé xylophone"}
     df = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string")
     trusted = df.where("doc_id <= 3").select("doc_id")
     fit = [r[0] for r in trusted.where(~perplexity.heldout_fold("doc_id", 10)).collect()]
-    p = brute_model([texts[k].encode() for k in fit], 3)
-    for k, n, nll in rows_of(perplexity.score(df, trusted, order=3), "doc_id", "n_bytes", "nll"):
+    p = brute_model([texts[k].encode() for k in fit], order)
+    for k, n, nll in rows_of(perplexity.score(df, trusted, order=order), "doc_id", "n_bytes", "nll"):
         b = (texts[k] or "").encode()
-        padded = bytes(2) + b
-        assert n == len(b) and nll == pytest.approx(-sum(np.log(p(padded[i : i + 3])) for i in range(n)), rel=1e-4, abs=1e-6)
+        padded = bytes(order - 1) + b
+        assert n == len(b) and nll == pytest.approx(-sum(np.log(p(padded[i : i + order])) for i in range(n)), rel=1e-4, abs=1e-6)
 
 
 def test_classifier_on_labels(spark):
@@ -461,8 +462,14 @@ def test_classifier_on_labels(spark):
 
 def test_classifier_empty(spark, docs, none):
     assert perplexity.classify(none, none.select("doc_id")).isEmpty()
-    kept = rows_of(perplexity.classify(docs.where("doc_id <> 10"), docs.select("doc_id").limit(0)), "kept")
-    assert kept and not any(k for k, in kept)
+    kept = rows_of(perplexity.classify(docs, docs.select("doc_id").limit(0)), "kept")
+    assert len(kept) == docs.count() and not any(k for k, in kept)
+
+
+def test_classifier_on_hard_rows(spark, docs):
+    more = docs.unionByName(docs.where("doc_id = 10").withColumn("lang", F.lit("xx")).withColumn("text", F.lit("another text")))
+    out = rows_of(perplexity.classify(more, docs.select("doc_id")), "doc_id", "lang", "n_bytes")
+    assert Counter(out) == Counter((k, lang, len((x or "").encode())) for k, lang, x in rows_of(more, "doc_id", "lang", "text"))
 
 
 # Repeats

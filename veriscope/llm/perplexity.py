@@ -9,17 +9,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .exchange import ANSWER, answers, opened, scanned, shard_bits, tagged, texts
-from .shared import cut_lineage, mix, pack_ints, pack_sorted, small, unpack_ints, unpack_sorted
+from .shared import cut_lineage, mix, pack_ints, pack_sorted, runs, small, unpack_ints, unpack_sorted
 
 #: Trusted documents up to this many are sent to every task by their ids (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 BROADCAST_LANGS = 100_000
+#: Orders up to this are known to every task: at most 256 ** LOW n-grams, whatever the corpus. Higher ones stay in shards.
+LOW = 3
+_COUNTS, _OF_COUNTS, _LOW = 0, 1, 2
 
 
-def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, as a number, with zero bytes before each text; and the texts' bounds."""
+def grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each byte, as a number, with zero bytes before each text."""
     n = np.diff(off)
     padded = np.zeros(len(data) + (order - 1) * len(n), np.uint8)
     place = np.arange(len(data)) + np.repeat(np.arange(1, len(n) + 1) * (order - 1), n)
@@ -27,39 +32,18 @@ def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np
     key = np.zeros(len(data), np.uint64)
     for j in range(order - 1, -1, -1):
         key = (key << np.uint64(8)) | padded[place - j]
-    return key, off
+    return key
 
 
-def _suffix(col, size: int):
-    return col.bitwiseAND(F.lit((1 << 8 * size) - 1))
+def _end(g: np.ndarray, size: int) -> np.ndarray:
+    """The last bytes of n-grams."""
+    return g & np.uint64((1 << 8 * size) - 1)
 
 
-def _context(col):
-    return F.shiftrightunsigned(col, 8)
-
-
-def counts(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, n) over all texts, added up in each partition first."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def folded():
-            g, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            u, at = np.unique(g, return_inverse=True)
-            return u, np.bincount(at, n, len(u)).astype(np.int64)
-
-        for b in batches:
-            for _, _, data, off in texts(b, 4 << 20):
-                held.append(np.unique(grams(data, off, order)[0], return_counts=True))
-                if sum(len(x) for x, _ in held) > 4_000_000:
-                    held = [folded()]
-        if held:
-            u, n = folded()
-            for lo in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000])], ["gram", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def shard_of(g: np.ndarray, bits: int) -> np.ndarray:
+    """Shards go by the ``LOW`` bytes before the last one. An n-gram of more than ``LOW`` bytes, its context, and all
+    longer n-grams that end in it agree in these, so that all they have to do with each other is in one shard."""
+    return (mix(_end(g >> np.uint64(8), LOW)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -72,134 +56,205 @@ def discounts(of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))
 
 
-def train(docs: DataFrame, order: int = 5) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (gram, share), the discounted relative count of what was seen, and (context, left), the
-    weight that goes to the order below. Lower orders count how many different bytes an n-gram follows."""
-    held = cut_lineage(counts(docs, order))
-    model = []
-    for k in range(order, 0, -1):
-        few = {r["c"]: r["m"] for r in held.groupBy(F.least("n", F.lit(5)).alias("c")).agg(F.count("*").alias("m")).collect()}
-        d1, d2, d3 = discounts(few)
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        by = held.groupBy(_context(F.col("gram")).alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("taken"))
-        by = cut_lineage(by)
-        share = held.withColumn("context", _context(F.col("gram"))).join(by, "context").select("gram", (F.greatest(F.col("n") - off, F.lit(0.0)) / F.col("total")).alias("share"))
-        model.append((share, by.select("context", (F.col("taken") / F.col("total")).alias("left"))))
-        if k > 1:
-            held = cut_lineage(held.groupBy(_suffix(F.col("gram"), k - 1).alias("gram")).agg(F.count("*").alias("n")))
-    return model[::-1]
-
-
-def log_probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``wanted`` (shard, gram) with ``logp``, the log probability of the n-gram's last byte; by joins, order by order."""
-    out = wanted.withColumn("p", F.lit(1 / 256))
-    for k, (share, left) in enumerate(model, 1):
-        mine = out.withColumn("own", _suffix(F.col("gram"), k)).withColumn("context", _context(_suffix(F.col("gram"), k)))
-        seen = share.withColumnRenamed("gram", "own")
-        out = mine.join(seen, "own", "left").join(left, "context", "left").select("shard", "gram", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
-    return out.select("shard", "gram", F.log("p").cast("float").alias("logp"))
-
-
-class _Lookup:
-    """Values by key, for many keys at once: open addressing; every key asked for is there."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.keys, self.values = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, np.float32)
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            slot = at[todo]
-            free = self.keys[slot] == np.uint64(2**64 - 1)
-            _, one = np.unique(slot[free], return_index=True)
-            put = todo[free][one]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            rest = np.ones(len(keys), bool)
-            rest[put] = False
-            todo = todo[rest[todo]]
-            at[todo] = (at[todo] + 1) % size
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys)
-        todo = np.flatnonzero(self.keys[at] != keys)
-        while len(todo):
-            at[todo] = (at[todo] + 1) % len(self.keys)
-            todo = todo[self.keys[at[todo]] != keys[todo]]
-        return self.values[at]
-
-
-def score(docs: DataFrame, trusted: DataFrame, order: int = 5, heldout: int = 10) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``nll`` (negative log likelihood of the whole text's bytes) of every document.
-
-    The model is trained on all documents of ``trusted`` (doc_id) but those that ``heldout_fold`` sets aside. Each
-    partition asks shards for the n-grams it has, once; shards join them with the counts, and each partition scores its
-    documents with the answers.
+def lower(g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``size`` bytes of distinct n-grams, and how many different n-grams end in them."""
+    return np.unique(_end(g, size), return_counts=True)
+
+
+class Order:
+    """The n-grams of one order: the interpolated probability of each that was seen, and the weight that each context
+    leaves to the order below."""
+
+    def __init__(self, size: int, keys: np.ndarray, n: np.ndarray, d: tuple[float, float, float], below: list[Order]):
+        self.size, self.keys = size, keys
+        first = runs(keys >> np.uint64(8))
+        self.context = (keys >> np.uint64(8))[first]
+        off = np.choose(np.minimum(n, 3) - 1, d) if len(n) else np.zeros(0)
+        each = np.diff(np.append(first, len(keys)))
+        total, taken = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (n.astype(float), off))
+        self.left = taken / total
+        self.p = np.maximum(n - off, 0) / np.repeat(total, each) + np.repeat(self.left, each) * probability(keys, below)
+
+    def __call__(self, g: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The probability of each n-gram's last byte, given that of the order below."""
+        own = _end(g, self.size)
+        at, seen = _find(self.context, own >> np.uint64(8))
+        out = np.where(seen, self.left[at], 1.0) * p if len(self.left) else p.copy()
+        at, seen = _find(self.keys, own)
+        out[seen] = self.p[at[seen]]
+        return out
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def probability(g: np.ndarray, orders: list[Order]) -> np.ndarray:
+    p = np.full(len(g), 1 / 256)
+    for order in orders:
+        p = order(g, p)
+    return p
+
+
+def _folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    g, n = (np.concatenate(x) for x in zip(*parts))
+    u, at = np.unique(g, return_inverse=True)
+    return u, np.bincount(at, n, len(u)).astype(np.int64)
+
+
+def _two(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def _apart(b: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(b[:8], "little")
+    return b[8 : 8 + n], b[8 + n :]
+
+
+def counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
+    """By shard, in packed form: the n-grams of all texts with their counts (``_COUNTS``); for each order above ``LOW`` how
+    many n-grams have counts 1 to 4 (``_OF_COUNTS``); and the ends of ``LOW`` bytes with the number of n-grams before them
+    (``_LOW``)."""
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for _, _, data, off in texts(b, 4 << 20):
+                held.append(np.unique(grams(data, off, order), return_counts=True))
+                if sum(len(x) for x, _ in held) > 4_000_000:
+                    held = [_folded(held)]
+        if held:
+            g, n = _folded(held)
+            s = shard_of(g, bits)
+            by = np.argsort(s, kind="stable")
+            edge = np.searchsorted(s[by], np.arange((1 << bits) + 1))
+            for x in np.flatnonzero(np.diff(edge)):
+                mine = by[edge[x] : edge[x + 1]]
+                yield from answers([(0, _COUNTS, int(x), _two(pack_sorted(g[mine]), pack_ints(n[mine])))]).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        shard, parts = table["shard"][0].as_py(), []
+        for payload in table["payload"].to_pylist():
+            g, n = _apart(payload)
+            parts.append((unpack_sorted(g), unpack_ints(n, np.int64)))
+            if sum(len(g) for g, _ in parts) > 4_000_000:
+                parts = [_folded(parts)]
+        g, n = _folded(parts)
+        out, size, of = [(0, _COUNTS, shard, _two(pack_sorted(g), pack_ints(n)))], order, np.zeros((order + 1, 5), np.int64)
+        while size > LOW:
+            of[size] = np.bincount(np.minimum(n, 5) - 1, minlength=5)
+            size -= 1
+            g, n = lower(g, size)
+        return answers([*out, (0, _OF_COUNTS, shard, pack_ints(of.ravel())), (0, _LOW, shard, _two(pack_sorted(g), pack_ints(n)))])
+
+    return cut_lineage(docs.select("doc_id", "text").mapInArrow(run, ANSWER).groupBy("shard").applyInArrow(merge, ANSWER))
+
+
+class Model:
+    """What every task knows: the discounts of all orders and the orders up to ``LOW``."""
+
+    def __init__(self, counted: DataFrame, order: int):
+        self.order, of = order, np.zeros((order + 1, 5), np.int64)
+        for r in counted.where(F.col("kind") == _OF_COUNTS).select("payload").toLocalIterator():
+            of += unpack_ints(bytes(r["payload"]), np.int64).reshape(order + 1, 5)
+        self.discounts = {k: discounts({i + 1: int(of[k, i]) for i in range(4)}) for k in range(LOW + 1, order + 1)}
+
+        def unpacked(batches):
+            for b in batches:
+                for payload in b.column("payload").to_pylist():
+                    g, n = _apart(payload)
+                    yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(g).view(np.int64)), pa.array(unpack_ints(n, np.int64))], ["gram", "n"])
+
+        rows = counted.where(F.col("kind") == _LOW).select("payload").mapInArrow(unpacked, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+        keys, n = rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+        tables = []
+        for size in range(min(LOW, order), 0, -1):
+            tables.append((size, keys, n, discounts(dict(enumerate(np.bincount(np.minimum(n, 5), minlength=6).tolist())))))
+            keys, n = lower(keys, size - 1)
+        self.low: list[Order] = []
+        for size, keys, n, d in reversed(tables):
+            self.low.append(Order(size, keys, n, d, self.low))
+
+    def orders(self, g: np.ndarray, n: np.ndarray) -> list[Order]:
+        """All orders, those above ``LOW`` of a shard's n-grams."""
+        tables = []
+        for size in range(self.order, LOW, -1):
+            tables.append((size, g, n, self.discounts[size]))
+            g, n = lower(g, size - 1)
+        out = list(self.low)
+        for size, g, n, d in reversed(tables):
+            out.append(Order(size, g, n, d, out))
+        return out
+
+
+def score(docs: DataFrame, trusted: DataFrame, order: int = 7, heldout: int = 10) -> DataFrame:
+    """``doc_id``, ``lang``, ``n_bytes``, ``nll`` (negative log likelihood of the whole text's bytes) of every document.
+
+    The model is trained on all documents of ``trusted`` (doc_id) but those that ``heldout_fold`` sets aside. N-grams are
+    dealt to shards by the bytes before their last one, which keeps all orders above ``LOW`` of an n-gram together: a shard
+    counts them once and builds its part of the model by itself. Each partition asks the shards for the n-grams it has,
+    once, and scores its documents with the answers.
     """
     spark = docs.sparkSession
-    docs = scanned(docs.select("doc_id", "text"))
-    kind = dict(docs.dtypes)["doc_id"]
+    docs = scanned(docs.select("doc_id", "text", "lang"))
     ids = cut_lineage(trusted.select("doc_id").where(F.col("doc_id").isNotNull() & ~heldout_fold("doc_id", heldout)).distinct())
-    model = train(docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi"), order)
-    bits = shard_bits(spark)
-
-    def shard(g):
-        return (mix(g) >> np.uint64(64 - bits)).astype(np.int64)
+    bits = shard_bits(spark, 4)
+    counted = counts(docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi"), order, bits)
+    model = Model(counted, order)
 
     def ask(batches):
         block, held = TaskContext.get().partitionId(), []
         for b in batches:
             for _, _, data, off in texts(b, 4 << 20):
-                held.append(np.unique(grams(data, off, order)[0]))
+                held.append(np.unique(grams(data, off, order)))
                 if sum(map(len, held)) > 4_000_000:
                     held = [np.unique(np.concatenate(held))]
         if held:
             g = np.unique(np.concatenate(held))
-            s = shard(g)
+            s = shard_of(g, bits)
             by = np.argsort(s, kind="stable")
             edge = np.searchsorted(s[by], np.arange((1 << bits) + 1))
-            yield from answers([(block, 0, int(x), pack_sorted(g[by[edge[x] : edge[x + 1]]])) for x in np.flatnonzero(np.diff(edge))]).to_batches()
-
-    asked = cut_lineage(docs.mapInArrow(ask, ANSWER))
-
-    def distinct(table: pa.Table) -> pa.Table:
-        g = np.unique(np.concatenate([unpack_sorted(p) for p in table["payload"].to_pylist()]))
-        return pa.table({"shard": pa.array(np.full(len(g), table["shard"][0].as_py()), pa.int32()), "gram": pa.array(g.view(np.int64))})
+            for x in np.flatnonzero(np.diff(edge)):
+                yield from answers([(block, 0, int(x), pack_sorted(g[by[edge[x] : edge[x + 1]]]))]).to_batches()
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return answers([])
-        g, p = right["gram"].to_numpy().view(np.uint64), right["logp"].to_numpy()
-        by = np.argsort(g)
-        g, p, out = g[by], p[by], []
+        g, n = _apart(right["payload"][0].as_py()) if len(right) else (pack_sorted(np.zeros(0, np.uint64)), pack_ints(np.zeros(0, np.int64)))
+        orders = model.orders(unpack_sorted(g), unpack_ints(n, np.int64))
+        out = []
         for block, s, payload in zip(*(left[c].to_pylist() for c in ("block", "shard", "payload"))):
-            mine = p[np.searchsorted(g, unpack_sorted(payload))]
-            out.append((block, 1, s, len(payload).to_bytes(8, "little") + payload + pack_ints(mine.view(np.uint32))))
+            p = np.log(probability(unpack_sorted(payload), orders)).astype(np.float32)
+            out.append((block, 1, s, _two(payload, pack_ints(p.view(np.uint32)))))
         return answers(out)
 
-    wanted = asked.groupBy("shard").applyInArrow(distinct, "shard int, gram long")
-    told = asked.groupBy("shard").cogroup(log_probabilities(wanted, model).groupBy("shard")).applyInArrow(tell, ANSWER)
+    known = counted.where(F.col("kind") == _COUNTS)
+    told = docs.mapInArrow(ask, ANSWER).groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(tell, ANSWER)
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("n_bytes", T.LongType()), T.StructField("nll", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
-        keys, values = [], []
-        for p in right["payload"].to_pylist():
-            n = int.from_bytes(p[:8], "little")
-            keys.append(unpack_sorted(p[8 : 8 + n]))
-            values.append(unpack_ints(p[8 + n :], np.uint32).view(np.float32))
-        of = _Lookup(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.float32), *values]))
+            return arrow.empty_table()
+        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        for payload in right["payload"].to_pylist():
+            g, p = _apart(payload)
+            keys.append(unpack_sorted(g))
+            values.append(unpack_ints(p, np.uint32).view(np.float32))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        by = np.argsort(keys)
+        keys, values = keys[by], values[by]
         size, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
         docs_ = opened(left)
         for _, _, data, off in texts(docs_):
-            total = np.concatenate(([0.0], np.cumsum(of(grams(data, off, order)[0]), dtype=np.float64)))
+            g, at = np.unique(grams(data, off, order), return_inverse=True)
+            total = np.concatenate(([0.0], np.cumsum(values[np.searchsorted(keys, g)][at], dtype=np.float64)))
             size.append(np.diff(off))
             nll.append(-np.diff(total[off]))
-        return pa.table({"doc_id": docs_["doc_id"], "n_bytes": pa.array(np.concatenate(size), pa.int64()), "nll": pa.array(np.concatenate(nll), pa.float64())})
+        return pa.table([docs_["doc_id"].cast(arrow.field("doc_id").type), docs_["lang"].cast(arrow.field("lang").type), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(nll), pa.float64())], schema=arrow)
 
-    return tagged(docs).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, n_bytes long, nll double")
+    return tagged(docs).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(add_up, schema)
 
 
 def heldout_fold(doc_id: str, one_in: int):
@@ -207,7 +262,7 @@ def heldout_fold(doc_id: str, one_in: int):
     return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(one_in)) == 0
 
 
-def classify(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: float = 0.99, prior_bytes: float = 100.0, slack: float = 1.05, heldout: int = 10) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, order: int = 7, quantile: float = 0.99, prior_bytes: float = 100.0, slack: float = 1.05, heldout: int = 10) -> DataFrame:
     """``doc_id``, ``lang``, ``n_bytes``, ``perplexity`` (per byte), ``threshold``, ``kept``, for every document.
 
     Needs doc_id, text, lang; ``trusted`` has the doc_ids of trusted texts, which must be among the documents. A
@@ -215,11 +270,11 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = 5, quantile: floa
     documents held out (one in ``heldout``, by hash), times ``slack``. The score is the perplexity with ``prior_bytes``
     bytes of the language's mean log likelihood added, as that of a short text says little. Quantiles come from sketches
     of bounded size. A language without held-out documents, null among them, gets the threshold of all. Null and empty
-    texts have perplexity 1 and are not kept. Without trusted documents nothing is kept.
+    texts have perplexity 1 and are not kept. Without trusted documents nothing is kept. Rows that repeat a doc_id are
+    scored by their own texts and judged by their own languages; rows without one are scored, too, and train nothing; very
+    long texts are scored whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    scored = cut_lineage(score(docs, trusted, order, heldout))
-    lang = docs.select("doc_id", "lang").dropDuplicates(["doc_id"])
-    base = scored.join(lang, "doc_id", "left")
+    base = cut_lineage(score(docs, trusted, order, heldout))
     held = base.join(trusted.select("doc_id").distinct().where(heldout_fold("doc_id", heldout)), "doc_id", "left_semi").where(F.col("n_bytes") > 0)
     mean = F.sum("nll") / F.sum("n_bytes")
     sums = cut_lineage(held.groupBy("lang").agg(mean.alias("mean")))
