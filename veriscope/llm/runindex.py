@@ -16,23 +16,27 @@ _STEP = 7  # symbols of 9 bits that a 64-bit key holds
 
 @dataclass
 class RunIndex:
-    """``head``: the symbol of each run (0: a string begins there). ``first`` and ``before``: the suffixes at the run's
-    start and at the end of the run before. ``common``: how many symbols these two share. ``order``: all suffixes."""
+    """The runs of the transform, by the place of their samples. ``first`` and ``before``: the suffixes at a run's start and
+    at the end of the run before it, in order. ``common``: how many symbols these two share. ``size``: places in all.
+
+    Three numbers a run are all that is kept of the suffixes' order: in repetitive strings there are few runs."""
 
-    order: np.ndarray
-    head: np.ndarray
     first: np.ndarray
     before: np.ndarray
     common: np.ndarray
+    size: int
 
-    def statistics(self) -> np.ndarray:
-        """Matching statistics of the strings against themselves: for each place the symbols that its suffix shares with
-        the one before it in order. Within a run they follow from the place to the left, less one; so going through the
-        text once from the samples at run ends gives all."""
-        n = len(self.order)
-        known = np.zeros(n, np.int64)
-        known[self.first] = self.common + self.first
-        return np.maximum.accumulate(known) - np.arange(n)
+    def statistics(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places ``lo`` to ``hi``: the place whose suffix comes before theirs in order, and their matching
+        statistics, the symbols that the two share. Between samples both follow from the place to the left: the suffix
+        before moves along, and one symbol less is shared. So the text is streamed from sample to sample."""
+        place = np.arange(lo, hi)
+        run = np.searchsorted(self.first, lo, "right") - 1
+        last = np.searchsorted(self.first, hi, "left")
+        some = slice(run, last)
+        at = np.repeat(np.arange(run, last), np.diff(np.append(np.maximum(self.first[some], lo), hi)))
+        moved = place - self.first[at]
+        return self.before[at] + moved, self.common[at] - moved
 
 
 def _symbols(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +107,8 @@ def _common(key: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 
 
 def build(data: np.ndarray, length: np.ndarray) -> RunIndex:
-    """The index of strings that stand one after the other in ``data``."""
+    """The index of strings that stand one after the other in ``data``. The order of all suffixes is needed to find the
+    runs, and let go then."""
     sym, end = _symbols(data, length)
     key = _keys(sym, end)
     order = _suffix_order(key, end)
@@ -115,19 +120,31 @@ def build(data: np.ndarray, length: np.ndarray) -> RunIndex:
     first, before = order[at], order[np.maximum(at - 1, 0)]
     common = _common(key, end, first, before)
     common[at == 0] = 0
-    return RunIndex(order, left[at], first, before, common)
+    by = np.argsort(first)
+    return RunIndex(first[by], before[by], common[by], len(order))
 
 
-def earliest(data: np.ndarray, length: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def earliest(data: np.ndarray, length: np.ndarray, doc: np.ndarray, least: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """For each place of strings and their end symbols: the smallest of ``doc`` among all strings that hold the ``least``
-    bytes from there; and the place at which each string begins. Places with fewer bytes left mean nothing."""
+    bytes from there; and the place at which each string begins. Places with fewer bytes left mean nothing.
+
+    A match of ``least`` or more ties a place to the one before it in order; places tied into one chain have the same
+    bytes, and the chain's first place stands for all."""
     index = build(data, length)
     size = length + 1
     begin = np.cumsum(size) - size
-    linked = index.statistics()[index.order] >= least
-    linked[0] = False
-    first = np.flatnonzero(~linked)
-    owner = np.repeat(doc, size)
-    best = np.empty(len(index.order), np.int64)
-    best[index.order] = np.repeat(np.minimum.reduceat(owner[index.order], first), np.diff(np.append(first, len(linked))))
-    return best, begin
+    root = np.empty(index.size, np.int64)
+    for lo in range(0, index.size, step):
+        hi = min(lo + step, index.size)
+        before, shared = index.statistics(lo, hi)
+        root[lo:hi] = np.where(shared >= least, before, np.arange(lo, hi))
+    tied = np.flatnonzero(root != np.arange(index.size))
+    while len(tied):
+        further = root[root[tied]]
+        moved = further != root[tied]
+        root[tied] = further
+        tied = tied[moved]
+    best = np.repeat(doc, size)
+    smallest = best.copy()
+    np.minimum.at(smallest, root, best)
+    return smallest[root], begin
