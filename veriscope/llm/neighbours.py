@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from .shared import cut_lineage, member, mix, runs
 
-#: Base rows of a group of buckets, and queries that visit it, as far as estimates from samples can tell.
-BLOCK, VISITORS = 8192, 1 << 16
+#: Bytes of base vectors in a group of buckets, and queries that visit it, as far as estimates from samples can tell. Each
+#: group returns up to k rows for each query that visits it, so that small groups would cost more than they save.
+BLOCK_BYTES, VISITORS = 32 << 20, 1 << 16
 #: Norms within a factor of 2 ** (1 / BANDS) are hashed together; the vectors of bands of fewer than RARE are looked at by every query.
 BANDS, RARE = 4, 256
 #: Queries whose exact neighbours set the probing radius, and base rows from which the sizes of groups are estimated.
@@ -212,10 +213,10 @@ class Index:
     """What every task knows of the index: the bands and their hashes, the probing radius, and how buckets are dealt to
     groups, groups to parts and their visitors to slices. Its size is bounded by the parameters and the samples."""
 
-    def __init__(self, bands: list[tuple[int, int, Hashes]], others: int, queries: int, radius: float):
-        self.bands, self.others, self.queries, self.radius = bands, others, queries, radius
+    def __init__(self, bands: list[tuple[int, int, Hashes]], others: int, queries: int, radius: float, block: int):
+        self.bands, self.others, self.queries, self.radius, self.block = bands, others, queries, radius, block
         #: Groups of buckets that a table of each band has; the last group of all holds the rare bands.
-        self.groups = [min(h.buckets, max(1, -(-n // BLOCK))) for _, n, h in bands]
+        self.groups = [min(h.buckets, max(1, -(-n // block))) for _, n, h in bands]
         self.first = np.cumsum([0, *(g * h.tables for g, (_, _, h) in zip(self.groups, bands))])
         self.parts: dict[int, int] = {}
         self.slices: dict[int, int] = {}
@@ -238,11 +239,11 @@ class Index:
             own = h.padded(x[band == at], True)
             if len(own):
                 g, c = np.unique(self.group(i, t, h.base(own, t)), return_counts=True)
-                self.parts |= {int(a): -(-int(b * n) // (len(own) * 2 * BLOCK)) for a, b in zip(g, c) if b >= 8 and b * n > 2 * BLOCK * len(own)}
+                self.parts |= {int(a): -(-int(b * n) // (len(own) * 2 * self.block)) for a, b in zip(g, c) if b >= 8 and b * n > 2 * self.block * len(own)}
             row, code = h.probes(h.padded(q, False), t, self.radius)
             g, c = np.unique(np.unique(np.stack([row, self.group(i, t, code)]), axis=1)[1], return_counts=True)
             self.slices |= {int(a): -(-int(b * share) // VISITORS) for a, b in zip(g, c) if b * share > VISITORS}
-        self.parts[int(self.first[-1])] = max(1, -(-self.others // BLOCK))
+        self.parts[int(self.first[-1])] = max(1, -(-self.others // self.block))
         self.slices[int(self.first[-1])] = max(1, -(-self.queries // VISITORS))
 
     @staticmethod
@@ -265,7 +266,7 @@ def search(vectors: DataFrame, every: int, k: int, tables: int = 16, functions:
     in one pass, and the radius is the least at which the share ``recall`` of their true neighbours lies in a probed
     bucket. So no setting is tied to a size, and where the data have no structure more is probed instead of lost.
 
-    Rows are dealt by groups of neighbouring buckets (``BLOCK`` rows or so); a query goes once to each group in which it
+    Rows are dealt by groups of neighbouring buckets (``BLOCK_BYTES`` or so); a query goes once to each group in which it
     probes, with its buckets' codes there. Groups that a sample of ``SAMPLE_ROWS`` rows says are much larger are dealt out
     in parts that all their queries visit. Vectors of rare norms are one group that every query visits. Queries that found
     fewer than there are, up to ``k``, meet every vector, in blocks. The driver gets counts by band (whose number the
@@ -288,7 +289,7 @@ def search(vectors: DataFrame, every: int, k: int, tables: int = 16, functions:
     dim, total = stats[0]["dim"], sum(s["n"] for s in stats)
     if any(s[c] != dim for s in stats for c in ("dim", "top_dim")):
         raise ValueError("vectors of different lengths")
-    rows = rows.select("vec_id", "v", "band")
+    rows, block = rows.select("vec_id", "v", "band"), max(256, BLOCK_BYTES // (8 * max(dim, 1)))
     often = [s for s in stats if s["n"] >= RARE or len(stats) == 1]
     bands = [(s["band"], s["n"], Hashes(dim, tables, functions, max(s["high"], 1e-300), s["low"] > 0.999 * s["high"], seed)) for s in often]
     usual = [s["band"] for s in often]
@@ -332,7 +333,7 @@ def search(vectors: DataFrame, every: int, k: int, tables: int = 16, functions:
         for t in range(tables):
             lost[of] = np.minimum(lost[of], h.loss_of(h.losses(mine, t), near_q[of], h.base(base, t)))
     radius = float(np.sort(lost)[min(len(lost) - 1, math.ceil(recall * len(lost)))]) if len(lost) else 0.0
-    index = Index(bands, sum(s["n"] for s in stats if s["band"] not in usual), queries, radius)
+    index = Index(bands, sum(s["n"] for s in stats if s["band"] not in usual), queries, radius, block)
     _, some, some_band = drawn(rows, SAMPLE_ROWS)
     index.fit(some, some_band, q)
 
@@ -408,7 +409,7 @@ def search(vectors: DataFrame, every: int, k: int, tables: int = 16, functions:
     n_short = short.count()
     if not n_short:
         return best
-    n_part, n_slice = -(-total // BLOCK), -(-n_short // BLOCK)
+    n_part, n_slice = -(-total // block), -(-n_short // block)
     of_part, of_slice = (F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int") for n in (n_part, n_slice))
     every_part, every_slice = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_part, n_slice))
 
