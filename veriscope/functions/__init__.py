@@ -169,7 +169,11 @@ def split_by_fraction(key, seed: str = "0", train: float = 0.70, val: float = 0.
     return F.when(f < train, "train").when(f < train + val, "val").otherwise("test")
 
 
-def split_by_tenths(key, salt: str = "external-head-v1:") -> Column:
+# The salt of the split by tenths.
+TENTHS_SALT = "external-head-v1:"
+
+
+def split_by_tenths(key, salt: str = TENTHS_SALT) -> Column:
     """The first 64 bits of SHA-256, big-endian, modulo 10: 7 parts train, 1 val, 2 test."""
     digits = _share(F.substring(F.sha2(F.concat(F.lit(salt), col(key).cast("string")), 256), 1, 16))
     tenth = F.substring(digits, -1, 1).cast("int")
@@ -194,3 +198,37 @@ def ordered_hash(df_items, order) -> Column:
     """SHA-256 of lines in a given order (an aggregate)."""
     pairs = F.array_sort(F.collect_list(F.struct(col(order).alias("o"), col(df_items).alias("v"))))
     return F.sha2(F.array_join(F.transform(pairs, lambda p: p["v"]), "\n"), 256)
+
+
+def seed_by_first_bytes(text) -> Column:
+    """A 32-bit seed: the first four bytes of a SHA-256, most significant first."""
+    return F.conv(F.substring(F.sha2(col(text), 256), 1, 8), 16, 10).cast("long")
+
+
+def seed_by_last_first(text) -> Column:
+    """A 32-bit seed: the first eight bytes of a SHA-256, least significant first, modulo 2 ** 32."""
+    h = F.sha2(col(text), 256)
+    return F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+
+def config_hash(*cs) -> Column:
+    """SHA-256 of the sorted compact JSON of some columns."""
+    return F.sha2(F.to_json(F.struct(*sorted(cs)), {"ignoreNullFields": "false"}), 256)
+
+
+def year_of(text) -> Column:
+    """The year of a text timestamp; null where it is none."""
+    return F.year(F.try_to_timestamp(col(text)))
+
+
+def focus(kind, y, threshold) -> Column:
+    """Rows in focus: 1 of a binary target, at or above the threshold of others."""
+    return F.when(col(kind) == "binary", col(y) == 1).otherwise(col(y) >= threshold)
+
+
+def overridden(first: Column, *later: tuple[Column, str]) -> Column:
+    """Assignments one after the other: of those whose condition holds the last one stays."""
+    out = first
+    for condition, value in later:
+        out = F.when(condition, F.lit(value)).otherwise(out)
+    return out

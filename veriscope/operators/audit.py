@@ -56,3 +56,32 @@ def gates(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """How many rows pass each rule, and all of them."""
     every = reduce(lambda a, b: a & b, rules.values())
     return df.agg(F.count("*").alias("n"), *[F.count_if(r).alias(k) for k, r in rules.items()], F.count_if(every).alias("all_pass"))
+
+
+def complete_grid(df: DataFrame, problems: DataFrame, what: str) -> DataFrame:
+    """``df``, unless its grid has problems: nothing is inferred from a part."""
+    require_empty(problems, what)
+    return df
+
+
+def outside(paths: DataFrame, path: str, root: str) -> DataFrame:
+    """Paths that are not below ``root``: absolute elsewhere, or climbing out."""
+    p = F.col(path)
+    inside = p.startswith(root.rstrip("/") + "/") & ~p.rlike(r"(^|/)\.\.(/|$)")
+    return paths.where(~inside | p.isNull())
+
+
+def requirements(have: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(key, present, size): each wanted artifact with whether it is there and not empty."""
+    return wanted.select(key).join(have.select(key, "size"), key, "left").select(key, (F.coalesce("size", F.lit(0)) > 0).alias("present"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
+def agreement(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, n, distinct, spread): whether the arms of a cell agree."""
+    k = [keys] if isinstance(keys, str) else list(keys)
+    return df.groupBy(*k).agg(F.count(value).alias("n"), F.countDistinct(value).alias("distinct"), (F.max(value) - F.min(value)).alias("spread"))
+
+
+def widths(df: DataFrame, vector: str, width: int) -> DataFrame:
+    """(n, wrong): rows, and those whose vector has another width."""
+    return df.agg(F.count("*").alias("n"), F.count_if(F.col(vector).isNull() | (F.size(vector) != width)).alias("wrong"))

@@ -28,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import expressions, inference, relations, resampling, statistics, vectors  # noqa: E402, F401
+from . import artifacts, expressions, inference, relations, resampling, statistics, vectors  # noqa: E402, F401

@@ -90,6 +90,38 @@ def with_offsets(shards: DataFrame, order: str, size: str) -> DataFrame:
     return shards.withColumn("start", F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
+def shard_index(rows: DataFrame, shards: DataFrame, key: str, split: Column) -> DataFrame:
+    """(key, split, shard, row): where each key's row is. ``shards`` has ``shard`` and ``keys`` (array, in the order of the
+    shard's rows); rows that no shard has keep nulls."""
+    place = shards.select("shard", F.posexplode("keys").alias("row", key))
+    return rows.select(key, split.alias("split")).join(place, key, "left").select(key, "split", "shard", "row")
+
+
+def waveform_index(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(record, path): the file of each record, by its name; of several the first."""
+    named = paths.select(F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("record"), F.col(path).alias("path")).where("record <> ''")
+    return named.groupBy("record").agg(F.min("path").alias("path"))
+
+
+def ordered_leads(signals: DataFrame, key: str, lead: str, signal: str, order: list[str]) -> DataFrame:
+    """(key, leads): the signals of each record in the given order of leads; a record without one of them has null there."""
+    named = signals.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.upper(lead), signal))).alias("_m"))
+    return named.select(key, F.array(*[F.try_element_at("_m", F.lit(x.upper())) for x in order]).alias("leads"))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one in local mode."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def with_contiguity(shards: DataFrame, order: str, start: str, size: str) -> DataFrame:
     end = F.lag(F.col(start) + F.col(size), 1, 0).over(Window.orderBy(order))
     return shards.withColumn("contiguous", F.col(start) == end)
