@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veriscope import functions as fn
 from veriscope import streaming
-from veriscope.operators import audit, models
+from veriscope.operators import audit, models, probes, resampling
 from veriscope.operators import relational as rel
 from veriscope.operators import statistics as st
 from veriscope.operators import vectors as v
@@ -26,7 +26,7 @@ def test_parsing(spark):
     got = [r[0] for r in df.orderBy("i").select(fn.parse_finite("t")).collect()]
     assert got == [1.5, None, None, None, None, None, 2.0]
     assert [r[0] for r in df.orderBy("i").select(fn.parse_whole(F.lit("8.0"))).limit(1).collect()] == [8]
-    assert one(spark, fn.after_colon(F.lit("mimic_f:123")), fn.record_name(F.lit(1234567))) == ("123", "HR1234567")
+    assert one(spark, fn.after_colon(F.lit("study_f:123")), fn.record_name(F.lit(1234567))) == ("123", "HR1234567")
     assert one(spark, fn.wrapped_angle(F.lit(-170), F.lit(170))) == (20,)
     assert one(spark, fn.signed_absmax(F.lit(-3.0), F.lit(None), F.lit(3.0))) == (-3.0,)
     assert one(spark, fn.three_valued(F.lit(False), F.lit(True))) == (None,)
@@ -181,3 +181,91 @@ def test_stream(spark, tmp_path):
     q = streaming.running_statistics(stream, "c", "x").writeStream.outputMode("complete").format("memory").queryName("stats").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["c"], r["n"], r["s"], r["q"]) for r in spark.table("stats").collect()} == {(1, 2, 5.0, 13.0), (2, 1, 5.0, 25.0)}
+
+
+def test_p_values_as_columns(spark):
+    rows = [(r, n) for r in (-0.9, -0.2, 0.0, 0.01, 0.5, 0.999) for n in (3, 4, 10, 57, 1000)] + [(1.0, 5), (0.5, 2), (None, 9)]
+    df = spark.createDataFrame(rows, "r double, n int")
+    for r, n, p in df.select("r", "n", probes.pearson_p("r", "n")).collect():
+        if n < 3:
+            assert p is None
+        elif r is not None:
+            assert p == pytest.approx(models.pearson_p(r, n), rel=1e-6, abs=1e-12)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0.4, 1, 30), rng.normal(0, 2, 50)
+    df = spark.createDataFrame([(True, float(x)) for x in a] + [(False, float(x)) for x in b], "g boolean, x double")
+    got = probes.welch(df, [], "g", "x").first()
+    assert got["p"] == pytest.approx(models.welch_p(a.mean(), a.var(ddof=1), 30, b.mean(), b.var(ddof=1), 50), rel=1e-6)
+    # The lady tasting tea, and a table of which both tails count.
+    tea = spark.createDataFrame([(3, 1, 1, 3), (10, 2, 3, 15), (0, 0, 5, 5)], "a int, b int, c int, d int")
+    assert [r[0] for r in tea.select(probes.fisher_exact("a", "b", "c", "d")).collect()] == pytest.approx([0.4857142857, 0.0005367241, 1.0], abs=1e-9)
+
+
+def test_maps_of_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, -1.0])], "k int, v array<double>")
+    m = np.array([[1.0, 0.0], [0.0, 2.0], [1.0, 1.0]])
+    assert {r["k"]: r["w"] for r in probes.linear_map(df, "v", "w", m, np.array([0.0, 0.0, 1.0])).collect()} == {1: [1.0, 4.0, 4.0], 2: None, 3: [0.0, -2.0, 0.0]}
+    assert probes.linear_map(df.limit(0), "v", "w", m).isEmpty()
+    made = probes.Dictionary(np.eye(2), 1)
+    coded = made.encode(df, "v")
+    assert {r["k"]: r["codes"] for r in coded.collect()} == {1: [0.0, 2.0], 2: None, 3: [0.0, 0.0]}
+    assert {r["k"]: r["decoded"] for r in made.decode(coded).collect()}[1] == [0.0, 2.0]
+
+
+def test_ridge_on_moments(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5))
+    y = x @ [1.0, 0.0, -2.0, 0.0, 0.3] + 0.1 * rng.normal(size=300)
+    df = spark.createDataFrame([(a.tolist(), float(b), float(b) if i % 3 else None) for i, (a, b) in enumerate(zip(x, y))], "x array<double>, y double, z double")
+    fit = probes.masked_ridge(df, "x", ["y", "z"], 1.0)
+    for name, rows in (("y", np.arange(300)), ("z", np.flatnonzero(np.arange(300) % 3))):
+        a, b = x[rows], y[rows]
+        s = (a - a.mean(0)) / a.std(0)
+        w = np.linalg.solve(s.T @ s + np.eye(5), s.T @ (b - b.mean())) / a.std(0)
+        assert fit[name][0] == pytest.approx(w) and fit[name][1] == pytest.approx(b.mean() - a.mean(0) @ w)
+    m = v.moments(df, "x", ["y"])
+    p = x @ fit["y"][0] + fit["y"][1]
+    assert probes.explained(m, 5, *fit["y"]) == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    curve = probes.top_k_curve(m, m, 5, (1, 2, 3, 5), 1e-6)
+    assert [r for _, r in curve] == sorted(r for _, r in curve) and probes.ninety_percent(curve) == 2
+    with pytest.raises(audit.Rejected):
+        probes.masked_ridge(df, "x", ["z"], 1.0, least=250)
+
+
+def test_subspaces():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(3, 10))
+    assert probes.geometric_agreement(a, rng.normal(size=(3, 3)) @ a) == pytest.approx(1.0)
+    assert probes.geometric_agreement(a[:2], np.vstack([a[0], a[0]])) == pytest.approx(1.0)
+    q = probes.random_basis(4, 10, 2)
+    assert q @ q.T == pytest.approx(np.eye(4)) and (q == probes.random_basis(4, 10, 2)).all()
+
+
+def test_draws_follow_their_distributions(spark):
+    levels = spark.createDataFrame([(c,) for c in "abcdef"], "k string")
+    w = resampling.multinomial_draws(spark, levels, "k", 400).groupBy("draw").agg(F.sum("w").alias("n")).collect()
+    assert len(w) == 400 and {r["n"] for r in w} == {6}
+    e = resampling.exponential_draws(levels, "k", 400).agg(F.avg("w"), F.stddev("w"), F.min("w")).first()
+    assert e[0] == pytest.approx(1, abs=0.1) and e[1] == pytest.approx(1, abs=0.15) and e[2] >= 0
+    cells = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "x", float("nan")), ("b", "y", 3.0)], "f string, g string, m double")
+    draws = {c: resampling.multinomial_draws(spark, cells, c, 30, i) for i, c in enumerate("fg")}
+    means = [r["mean"] for r in resampling.crossed_mean(cells, draws, "m").collect()]
+    assert means and all(x is None or 1 <= x <= 3 for x in means)
+
+
+def test_bootstrap_skips_one_class(spark):
+    df = spark.createDataFrame([(1, 0.1, True), (2, 0.9, False)], "c int, s double, y boolean")
+    w = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 1, 2)], "draw int, c int, w int")
+    assert {r["draw"]: r["auroc"] for r in resampling.bootstrap_auroc(df, "c", "s", "y", w).collect()} == {0: 0.0, 1: None}
+    assert [r["draw"] for r in resampling.auroc_difference(df, "c", "s", "s", "y", w).collect()] == [0]
+
+
+def test_paths_and_seeds(spark):
+    df = spark.createDataFrame([("a/b",), ("a/../b",), ("/etc/x",), ("a..b/c",), (None,), ("ab/c",)], "p string")
+    assert {r["p"] for r in audit.outside(df, "p", "a").collect()} == {"a/../b", "/etc/x", "a..b/c", None, "ab/c"}
+    import hashlib
+
+    h = hashlib.sha256(b"x").digest()
+    got = spark.range(1).select(fn.seed_by_first_bytes(F.lit("x")), fn.seed_by_last_first(F.lit("x"))).first()
+    assert tuple(got) == (int.from_bytes(h[:4], "big"), int.from_bytes(h[:8], "little") % 2**32)
+    assert spark.range(1).select(fn.year_of(F.lit("2020-01-02 03:04:05")), fn.year_of(F.lit("no"))).first() == (2020, None)

@@ -135,9 +135,10 @@ class Eraser:
         self.mean, self.matrix = m.mean[:features], np.eye(features) - colour @ u @ u.T @ white
 
     def apply(self, df: DataFrame, vector: str, name: str) -> DataFrame:
-        """Erased vectors, by column expressions: one dot product per component."""
-        v, shift = F.col(vector).cast("array<double>"), self.mean - self.matrix @ self.mean
-        return df.withColumn(name, F.array(*[dot(v, weights_column(row)) + F.lit(float(s)) for row, s in zip(self.matrix, shift)]))
+        """Erased vectors: one product of a batch with the matrix, which is sent once."""
+        from .probes import linear_map
+
+        return linear_map(df, vector, name, self.matrix, self.mean - self.matrix @ self.mean)
 
 
 def transport(source: Moments, target: Moments) -> tuple[np.ndarray, np.ndarray]:

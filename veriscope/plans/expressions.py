@@ -115,9 +115,9 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", (F.size(F.array_except(F.array(F.lit("A"), F.lit("N")), have)) == 0).alias("eligible"))
 
 
-@query("prj15_record_id", "select o_orderkey, regexp_replace(o_orderpriority, '^[^-]*-', '') as plain, regexp_replace('mimic:' || o_orderkey::varchar, '^[^:]*:', '') as record from orders")
+@query("prj15_record_id", "select o_orderkey, regexp_replace(o_orderpriority, '^[^-]*-', '') as plain, regexp_replace('study:' || o_orderkey::varchar, '^[^:]*:', '') as record from orders")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.regexp_replace("o_orderpriority", "^[^-]*-", "").alias("plain"), fn.after_colon(F.concat(F.lit("mimic:"), F.col("o_orderkey").cast("string"))).alias("record"))
+    return table(spark, d, "orders").select("o_orderkey", F.regexp_replace("o_orderpriority", "^[^-]*-", "").alias("plain"), fn.after_colon(F.concat(F.lit("study:"), F.col("o_orderkey").cast("string"))).alias("record"))
 
 
 @query("prj16_record_name", "select o_orderkey, 'HR' || case when length(o_orderkey::varchar) >= 5 then o_orderkey::varchar else lpad(o_orderkey::varchar, 5, '0') end as name from orders")
