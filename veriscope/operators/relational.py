@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch_folder
+
 
 def _keys(k) -> list[str]:
     return [k] if isinstance(k, str) else list(k)
@@ -41,10 +45,31 @@ def page(df: DataFrame, order, skip: int, take: int) -> DataFrame:
     return df.orderBy(*ordered(*_keys(order))).offset(skip).limit(take)
 
 
+def numbered(df: DataFrame, order, name: str = "i", part: str | None = None) -> DataFrame:
+    """``df`` with each row's place in order, from 1; ``part`` keeps the number of its range, too.
+
+    Rows are dealt into ranges and sorted there; each range's rows are counted, and a window over one row per range tells
+    how many come before. The ranges are written to the shared folder first, so that both passes see the same ones."""
+    keys = ordered(*_keys(order))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_part"), within.alias("_within"))
+    path = scratch_folder(df.sparkSession)
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    out = placed.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_within") + 1).drop("_before", "_within")
+    return out.withColumnRenamed("_part", part) if part else out.drop("_part")
+
+
 def strided(df: DataFrame, order, shards: int, shard: int) -> DataFrame:
-    """Every ``shards``-th row in order. One window over all rows: for plan tables."""
-    at = F.row_number().over(Window.orderBy(*ordered(*_keys(order)))) - 1
-    return df.withColumn("_at", at).where(F.pmod(F.col("_at"), F.lit(shards)) == shard).drop("_at")
+    """Every ``shards``-th row in order."""
+    return numbered(df, order, "_at").where(F.pmod(F.col("_at") - 1, F.lit(shards)) == shard).drop("_at")
+
+
+def positional(left: DataFrame, right: DataFrame, left_order, right_order) -> DataFrame:
+    """Rows that have the same place in their tables' orders."""
+    return numbered(left, left_order, "_at").join(numbered(right, right_order, "_at"), "_at").drop("_at")
 
 
 def bottom_by_hash(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
@@ -101,8 +126,34 @@ def unordered_pairs(df: DataFrame, item: str, within=None) -> DataFrame:
 
 
 def nearest_match(left: DataFrame, right: DataFrame, key, value: str, other: str, tie: str) -> DataFrame:
-    """For each left row the right row of its key whose value is nearest; ties to the smaller ``tie``."""
-    return top_per_key(left.join(right, _keys(key)), left.columns, [F.abs(F.col(value) - F.col(other)), F.col(tie)])
+    """For each left row the right row of its key whose value is nearest; ties to the smaller ``tie``. Keys without a right
+    row are left out.
+
+    Only the neighbours below and above in order can be nearest, so that both sides are sorted by value within a key and
+    no pairs are made. Of right rows of one value the smallest ``tie`` stands for all."""
+    k = _keys(key)
+    r = right.groupBy(*k, F.col(other).alias("_v")).agg(F.min(tie).alias("_t")).select(*k, "_v", F.struct(F.col("_v").alias("v"), F.col("_t").alias("t")).alias("_r"), F.lit(None).alias("_l"))
+    both = left.select(*k, F.col(value).alias("_v"), F.lit(None).alias("_r"), F.struct(*left.columns).alias("_l"))
+    w = Window.partitionBy(*k).orderBy("_v")
+    below = F.last("_r", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("_r", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = both.unionByName(r).withColumn("_a", below).withColumn("_b", above).where("_l is not null and (_a is not null or _b is not null)")
+    gap = lambda c: F.abs(F.col("_v") - F.col(f"{c}.v"))
+    first = (F.col("_b").isNull()) | (gap("_a") < gap("_b")) | ((gap("_a") == gap("_b")) & (F.col("_a.t") <= F.col("_b.t")))
+    pick = F.when(F.col("_a").isNotNull() & first, F.col("_a")).otherwise(F.col("_b"))
+    return near.select("_l.*", pick["v"].alias(other), pick["t"].alias(tie))
+
+
+def nearest_in_pool(targets: DataFrame, pool: DataFrame, key: str, tie: str, gap: Column, n: int, block: int = 50_000) -> DataFrame:
+    """(targets' columns, pool's columns, place): the ``n`` pool rows of least ``gap`` for each target. Targets are the
+    query set: the pool is cut into blocks of about ``block`` rows, each target meets each block once, and a block answers
+    with ``n`` rows at most."""
+    parts = max(1, -(-pool.count() // block))
+    b = pool.withColumn("_p", F.pmod(F.xxhash64(tie), F.lit(parts)).cast("int"))
+    q = targets.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = q.join(b, "_p").withColumn("_gap", gap)
+    own = met.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_p").orderBy("_gap", tie))).where(F.col("_k") <= n).drop("_k", "_p")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_gap", tie))).where(F.col("place") <= n).drop("_gap")
 
 
 def strongest_other(df: DataFrame, within, item: str, value: str) -> DataFrame:
@@ -126,8 +177,28 @@ def cliques(edges: DataFrame, size: int) -> DataFrame:
 
 
 def dominated_free(df: DataFrame, key: str, larger, smaller) -> DataFrame:
-    """The Pareto front: rows that no other row equals or beats in everything and beats in something. For small tables."""
+    """The Pareto front: rows that no other row equals or beats in everything and beats in something.
+
+    Each partition first drops what its own rows beat; a row that is beaten is beaten by one of the front, so that the rest
+    meet only each other."""
     names = [*_keys(larger), *_keys(smaller)]
+    sign = np.array([1.0] * len(_keys(larger)) + [-1.0] * len(_keys(smaller)))
+
+    def local(batches):
+        kept = None
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            x = np.column_stack([rows[n].to_numpy().astype(float) for n in names]) * sign if len(rows) else np.zeros((0, len(names)))
+            x = np.where(np.isnan(x), -np.inf, x)
+            alive = np.ones(len(x), bool)
+            for i in np.argsort(-x.sum(1), kind="stable"):
+                if alive[i]:
+                    alive &= ~((x[i] >= x).all(1) & (x[i] > x).any(1))
+            kept = rows.filter(pa.array(alive))
+        if kept is not None:
+            yield from kept.to_batches()
+
+    df = df.mapInArrow(local, df.schema)
     other = df.select(*[F.col(n).alias(f"_{n}") for n in names], F.col(key).alias("_key"))
     no_worse = reduce(lambda a, b: a & b, [F.col(f"_{n}") >= F.col(n) for n in _keys(larger)] + [F.col(f"_{n}") <= F.col(n) for n in _keys(smaller)])
     better = reduce(lambda a, b: a | b, [F.col(f"_{n}") > F.col(n) for n in _keys(larger)] + [F.col(f"_{n}") < F.col(n) for n in _keys(smaller)])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import _keys, top_per_key
+from .relational import _keys, numbered, top_per_key
 
 # Correlation
 
@@ -20,11 +20,13 @@ def sufficient(df: DataFrame, cluster, z: str, y: str) -> DataFrame:
 
 
 def correlation(n, s_z, s_zz, s_y, s_yy, s_zy, least: float = 1e-12, none: float | None = 0.0, rows: int = 2) -> Column:
-    """Pearson from sums, within ±1; ``none`` where a variance is as good as zero or there are too few rows."""
+    """Pearson from sums, within ±1; ``none`` where there are too few rows, or where a variance is as good as zero: the sum of
+    squares about the mean is below ``least``, or below what is left of the raw sum after rounding."""
     n, s_z, s_zz, s_y, s_yy, s_zy = (c if isinstance(c, Column) else F.col(c) for c in (n, s_z, s_zz, s_y, s_yy, s_zy))
     vz, vy = s_zz - s_z * s_z / n, s_yy - s_y * s_y / n
     r = (s_zy - s_z * s_y / n) / F.sqrt(vz * vy)
-    return F.when((n >= rows) & (vz > least) & (vy > least), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(none).cast("double"))
+    flat = lambda var, raw: (var <= least) | (var <= 1e-14 * raw)
+    return F.when((n >= rows) & ~flat(vz, s_zz) & ~flat(vy, s_yy), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(none).cast("double"))
 
 
 SUMS = ("n", "s_z", "s_zz", "s_y", "s_yy", "s_zy")
@@ -80,6 +82,29 @@ def auroc(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     return s.select(*k, "n", F.when((p > 0) & (q > 0), (F.col("rank_sum") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
 
 
+def class_auroc(rows: DataFrame, vector: str, label: str, digits: int | None = None) -> DataFrame:
+    """(feature, target, n, auroc) of each feature as a score of each class against the rest. Ranks are made once a feature,
+    by distinct value; a class then needs its own rank sum only, so that no row meets every class."""
+    long = long_vectors(rows.select(label, vector), label, vector)
+    long = long.withColumn("value", F.round("value", digits)) if digits is not None else long
+    per = long.groupBy("feature", "value", label).agg(F.count("*").alias("_p"))
+    n = per.groupBy("feature", "value").agg(F.sum("_p").alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = n.select("feature", "value", (below + (F.col("_n") + 1) / 2).alias("_mid"))
+    every = n.groupBy("feature").agg(F.sum("_n").alias("n"))
+    s = per.join(ranked, ["feature", "value"]).groupBy("feature", F.col(label).alias("target")).agg(F.sum("_p").alias("_p"), F.sum(F.col("_mid") * F.col("_p")).alias("_m"))
+    p, q = F.col("_p"), F.col("n") - F.col("_p")
+    return s.join(every, "feature").select("feature", "target", "n", F.when((p > 0) & (q > 0), (F.col("_m") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
+
+
+def reach(df: DataFrame, value: str, name: str = "reach") -> DataFrame:
+    """``df`` with the number of rows whose value is as large or larger, itself among them. Rows are counted by distinct
+    value first; the window runs over these."""
+    n = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    at_least = n.select("_v", F.sum("_n").over(Window.orderBy(F.col("_v").desc())).alias(name))
+    return df.join(at_least, F.col(value) == F.col("_v")).drop("_v")
+
+
 def average_precision(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     """Area under precision and recall, ties taken together."""
     k = _keys(keys)
@@ -119,11 +144,12 @@ def log_area(df: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 
 def higher_quantile(df: DataFrame, keys, value: str, q: float) -> DataFrame:
-    """The order statistic at or above the quantile."""
+    """The order statistic at or above the quantile, by distinct value first."""
     k = _keys(keys)
+    n = df.groupBy(*k, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*k)
-    r = df.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return r.where(F.col("_i") == F.ceil((F.col("_n") - 1) * F.lit(q))).select(*k, F.col(value).alias("threshold"))
+    r = n.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    return r.where(F.col("_upto") > F.ceil((F.col("_all") - 1) * F.lit(q))).groupBy(*k).agg(F.min(value).alias("threshold"))
 
 
 def calibration_error(df: DataFrame, keys, p: str, label: str, bins: int = 10) -> DataFrame:
@@ -147,6 +173,18 @@ def adjust(df: DataFrame, panel, p: str, tie) -> DataFrame:
     return done.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
+def adjust_large(df: DataFrame, p: str, tie) -> DataFrame:
+    """``adjust`` of one panel of any size: places come from ranges, and so does the reverse running minimum, which takes a
+    window within each range and the least of the later ones."""
+    have = df.where(F.col(p).isNotNull())
+    at = numbered(have, [p, *_keys(tie)], "_i", "_part")
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"), F.min(F.col(p) / F.col("_i")).alias("_least"))
+    later = sizes.select("_part", F.min("_least").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("_later"), F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"))
+    own = F.min(F.col(p) / F.col("_i")).over(Window.partitionBy("_part").orderBy(F.col("_i").desc()))
+    done = at.withColumn("_own", own).join(F.broadcast(later), "_part").withColumn("q", F.least(F.least("_own", "_later") * F.col("_m"), F.lit(1.0)))
+    return done.drop("_i", "_part", "_own", "_later", "_m").unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+
+
 def smd(df: DataFrame, keys, group: str, value: str) -> DataFrame:
     """Standardised mean difference between group true and false, by sample variances."""
     g, v = F.col(group), F.col(value)

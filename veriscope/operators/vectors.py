@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -122,8 +124,8 @@ WIDEST = 4096
 
 
 def moments(df: DataFrame, vector: str, targets: list[str] | None = None) -> Moments:
-    """One pass: each partition sums up its rows' products, Spark adds the sums row by row of the matrix. Rows with a
-    null in the vector or a target are left out."""
+    """One pass: each partition sums up its rows' products, some tasks add these matrices up, the driver the last of them.
+    Rows with a null in the vector or a target are left out."""
     targets = targets or []
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), *[F.col(t).cast("double") for t in targets]).dropna()
 
@@ -138,15 +140,22 @@ def moments(df: DataFrame, vector: str, targets: list[str] | None = None) -> Mom
             m = np.column_stack([np.ones(len(b)), x, *(b.column(t).to_numpy(zero_copy_only=False) for t in targets)])
             gram = m.T @ m if gram is None else gram + m.T @ m
         if gram is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(gram)), pa.int32()), pa.array(gram.tolist(), pa.list_(pa.float64()))], ["i", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["gram"])
 
-    parts = rows.mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
-    got = parts.groupBy("i", "j").agg(F.sum("x").alias("x"))
-    cells = got.collect()
-    if not cells:
+    def add(batches):
+        total = None
+        for b in batches:
+            for raw in b.column("gram").to_pylist():
+                g = np.frombuffer(raw)
+                total = g.copy() if total is None else total + g
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["gram"])
+
+    # One matrix a partition, added up by some tasks, then on the driver.
+    parts = rows.mapInArrow(run, "gram binary").repartition(16).mapInArrow(add, "gram binary").collect()
+    if not parts:
         return Moments(0, np.zeros(0), np.zeros((0, 0)))
-    d = max(r["i"] for r in cells) + 1
-    g = np.zeros((d, d))
-    for r in cells:
-        g[r["i"], r["j"]] = r["x"]
+    total = sum(np.frombuffer(bytes(r["gram"])) for r in parts)
+    d = math.isqrt(len(total))
+    g = total.reshape(d, d)
     return Moments(g[0, 0], g[0, 1:], g[1:, 1:])

@@ -23,16 +23,12 @@ def _(spark, d):
     a = s.where("l_suppkey % 10 = 0").select(F.col("l_suppkey").alias("target"), F.col("f").alias("fa"), F.col("m").alias("ma"))
     b = s.where("l_suppkey % 10 <> 0").select(F.col("l_suppkey").alias("other"), "f", "m")
     gap = F.round(F.abs(F.ln("fa") - F.ln("f")) + F.abs(F.ln("ma") - F.ln("m")), 9)
-    # A stated set of targets against a pool of one row per supplier.
-    w = Window.partitionBy("target").orderBy(gap, "other")
-    return a.crossJoin(F.broadcast(b)).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("target", "other", "place")
+    return rel.nearest_in_pool(a, b, "target", "other", gap, 5).select("target", "other", F.col("place").cast("long").alias("place"))
 
 
 @query("join23_positional", "select a.c_custkey, b.s_suppkey from (select c_custkey, row_number() over (order by c_custkey) as i from customer) a join (select s_suppkey, row_number() over (order by s_suppkey) as i from supplier) b using (i)")
 def _(spark, d):
-    # Line numbers are made once, over tables of keys; the join itself is an equi-join.
-    at = lambda t, k: table(spark, d, t).select(k, F.row_number().over(Window.orderBy(k)).alias("i"))
-    return at("customer", "c_custkey").join(at("supplier", "s_suppkey"), "i").select("c_custkey", "s_suppkey")
+    return rel.positional(table(spark, d, "customer").select("c_custkey"), table(spark, d, "supplier").select("s_suppkey"), "c_custkey", "s_suppkey")
 
 
 @query("join24_constant_table", "select n.n_name, e.expected, count(c_custkey) as n from (values (0, 5), (1, 7), (2, 9)) e(k, expected) join nation n on n.n_nationkey = e.k left join customer on c_nationkey = n.n_nationkey group by all")
@@ -134,10 +130,9 @@ with m as (select l_suppkey, count(distinct l_partkey) as n from lineitem group
 """)
 def _(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("n"))
-    # Ranks tell how many others reach a value; nobody meets everybody.
-    at_least = F.count("*").over(Window.orderBy(F.col("n").desc()).rangeBetween(Window.unboundedPreceding, 0))
-    every = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return m.select("l_suppkey", F.round((at_least - 1 + 1) / (every - 1 + 1), 8).alias("p"))
+    # Counts by distinct value tell how many others reach one; nobody meets everybody.
+    every = m.count()
+    return st.reach(m, "n").select("l_suppkey", F.round(F.col("reach") / every, 8).alias("p"))
 
 
 @query("sta46_shared_weight_contrast", """

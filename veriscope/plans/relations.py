@@ -241,13 +241,34 @@ def _(spark, d):
     return rel.nearest_match(left, right, "p_brand", "p_retailprice", "price2", "other").select("p_partkey", "other")
 
 
-@query("join22_cliques", """
-with e as (select distinct least(a.l_suppkey, b.l_suppkey) as a, greatest(a.l_suppkey, b.l_suppkey) as b from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.l_suppkey where a.l_orderkey < 400)
-select x.a as i1, x.b as i2, y.b as i3 from e x join e y on x.b = y.a join e z on z.a = x.a and z.b = y.b
-""")
-def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 400").select("l_orderkey", "l_suppkey").distinct()
-    return rel.cliques(rel.unordered_pairs(li, "l_suppkey", "l_orderkey").select("a", "b").distinct(), 3)
+_PAIRS = "e as (select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey and abs(a.s_acctbal - b.s_acctbal) < 4000)"
+
+
+def _cliques_sql(size: int) -> str:
+    """All edges among ``size`` items, by joins."""
+    names = [f"i{k}" for k in range(1, size + 1)]
+    pairs = [(i, j) for j in range(1, size) for i in range(j)]
+    on = " and ".join(f"e{n}.a = {names[i]} and e{n}.b = {names[j]}" for n, (i, j) in enumerate(pairs))
+    source = ", ".join(f"e as e{n}" for n in range(len(pairs)))
+    picks = ", ".join(f"e{next(n for n, (i, j) in enumerate(pairs) if k in (i, j))}.{'a' if k == next(p for p in pairs if k in p)[0] else 'b'} as {name}" for k, name in enumerate(names))
+    for k, name in enumerate(names):
+        n = next(n for n, p in enumerate(pairs) if k in p)
+        on = on.replace(f"= {name}", f"= e{n}.{'a' if pairs[n][0] == k else 'b'}")
+    return f"select {size} as size, concat_ws('|', {', '.join(names)}) as items from (select {picks} from {source} where {on})"
+
+
+@query("join22_cliques", f"with {_PAIRS} " + " union all ".join(map(_cliques_sql, range(3, 7))))
+def _(spark, d):
+    # The pair gate: suppliers of one nation whose balances are near; cliques of three to six of them.
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    other = s.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("_y"))
+    edges = s.join(other, "s_nationkey").where((F.col("s_suppkey") < F.col("b")) & (F.abs(F.col("s_acctbal") - F.col("_y")) < 4000)).select(F.col("s_suppkey").alias("a"), "b")
+    out = None
+    for size in range(3, 7):
+        c = rel.cliques(edges, size)
+        c = c.select(F.lit(size).alias("size"), F.concat_ws("|", *[F.col(x).cast("string") for x in c.columns]).alias("items"))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 @query("join25_strongest_other", """

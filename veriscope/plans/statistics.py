@@ -91,16 +91,10 @@ def _(spark, d):
 with l as (select feature, label, round(x, 2) as s from (select label, (generate_subscripts(embedding, 1) - 1)::int as feature, unnest(embedding)::double as x from embeddings)),
 k as (select feature, s, label, (rank() over (partition by feature order by s) + (count(*) over (partition by feature, s) - 1) / 2.0::double) as mid from l),
 c as (select distinct label as target from embeddings)
-select feature, target, round((sum(case when label = target then mid else 0 end) - sum((label = target)::int) * (sum((label = target)::int) + 1) / 2.0::double) / (sum((label = target)::int) * (count(*) - sum((label = target)::int)))::double, 8) as auroc from k, c where target < 3 group by all
+select feature, target, round((sum(case when label = target then mid else 0 end) - sum((label = target)::int) * (sum((label = target)::int) + 1) / 2.0::double) / (sum((label = target)::int) * (count(*) - sum((label = target)::int)))::double, 8) as auroc from k, c group by all
 """)
 def _(spark, d):
-    long = st.long_vectors(table(spark, d, "embeddings"), "label", "embedding").withColumn("s", F.round("value", 2))
-    # Ranks once by feature; each class then needs only its own rank sum.
-    n = long.groupBy("feature", "s").agg(F.count("*").alias("n"), F.sum((F.col("label") == 0).cast("int")).alias("p0"), F.sum((F.col("label") == 1).cast("int")).alias("p1"), F.sum((F.col("label") == 2).cast("int")).alias("p2"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = n.withColumn("mid", below + (F.col("n") + 1) / 2).unpivot(["feature", "n", "mid"], ["p0", "p1", "p2"], "which", "p")
-    s = ranked.groupBy("feature", F.substring("which", 2, 1).cast("int").alias("target")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("mid") * F.col("p")).alias("m"))
-    return s.select("feature", "target", F.round((F.col("m") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 8).alias("auroc"))
+    return st.class_auroc(table(spark, d, "embeddings"), "embedding", "label", 2).select("feature", "target", F.round("auroc", 8).alias("auroc"))
 
 
 @query("sta11_weighted_auroc", """
@@ -171,8 +165,8 @@ with p as (select p_partkey, (p_partkey * 7919 % 1000 + 1) / 1001.0::double as p
 select p_partkey, round(p, 10) as p, round(least(1, min(p * m / i) over (order by i desc rows unbounded preceding)), 10) as q from k
 """)
 def _(spark, d):
-    p = table(spark, d, "part").select("p_partkey", ((F.col("p_partkey") * 7919 % 1000 + 1) / 1001).alias("p"), F.lit(0).alias("panel"))
-    return st.adjust(p, "panel", "p", "p_partkey").select("p_partkey", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
+    p = table(spark, d, "part").select("p_partkey", ((F.col("p_partkey") * 7919 % 1000 + 1) / 1001).alias("p"))
+    return st.adjust_large(p, "p", "p_partkey").select("p_partkey", F.round("p", 10).alias("p"), F.round("q", 10).alias("q"))
 
 
 @query("sta23_adjust_with_missing", """
