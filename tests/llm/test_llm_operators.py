@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -576,9 +577,100 @@ def test_licenses_empty(none):
     assert licenses.scan(none).isEmpty()
 
 
+# The registered queries, column by column
+
+
+def of(spark, name):
+    from veriscope.llm.queries import QUERIES
+
+    return QUERIES[name](spark, SF)
+
+
+def test_every_operator_is_registered():
+    from veriscope.llm.queries import ORACLE_SQL, QUERIES
+
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_op1_columns(spark):
+    t, texts = Tokenizer.from_file(BPE), dict(rows_of(table(spark), "doc_id", "text"))
+    ids = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for k, x in texts.items()}
+    cover, ends = {k: np.zeros(len(x), int) for k, x in ids.items()}, {}
+    for k, start, n, crc, total, seq, offset in rows_of(of(spark, "op1_packing"), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
+        assert total == len(ids[k]) and crc == zlib.crc32(ids[k][start : start + n].tobytes())
+        cover[k][start : start + n] += 1
+        ends.setdefault(seq, []).append((offset, n))
+    assert all((c == 1).all() for c in cover.values())
+    for pieces in ends.values():
+        assert [o for o, _ in sorted(pieces)] == [0, *np.cumsum([n for _, n in sorted(pieces)])[:-1]] and sum(n for _, n in pieces) <= 4096
+
+
+def test_op1_other_tokenizers(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        stated = json.load(f)
+    assert packing._Encoder(BPE, False).direct
+    stated["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(stated), encoding="utf-8")
+    other = packing._Encoder(str(tmp_path / "other.json"), False)
+    words = ["Straße", "ABC!!", "<|endoftext|>", "a...b", "É", "x\u00a0y"]
+    assert not other.direct and other.words(words) == [np.array(other.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    same = packing._Encoder(BPE, False)
+    assert same.words(words) == [np.array(same.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+
+def test_op2_columns(spark):
+    rows = rows_of(table(spark), "doc_id", "text")
+    want = {k: f"{p:016x}" for (k, _), p in zip(rows, brute_prints([x for _, x in rows], 4))}
+    assert dict(rows_of(of(spark, "op2_simhash"), "doc_id", "fingerprint")) == want
+
+
+def test_op3_columns(spark):
+    out = of(spark, "op3_quality_rules")
+    assert out.dtypes[:8] == [("doc_id", "bigint"), *[(c, "bigint") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", "boolean"), ("kept", "boolean")]
+    assert out.where("base_failed and kept").isEmpty() and out.count() == table(spark).count()
+
+
+def test_op4_columns(spark):
+    out = of(spark, "op4_cross_polytope")
+    assert out.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    n = table(spark, "embeddings").count()
+    assert out.where("query_id = vec_id").isEmpty() and {r["count"] for r in out.groupBy("query_id").count().collect()} == {min(20, n - 1)}
+
+
+def test_op5_columns(spark):
+    for k, url, x, n in rows_of(of(spark, "op5_html_extraction"), "page_id", "url", "text", "n_chars"):
+        assert n == len(x) and x == x.strip() and "  " not in x
+
+
+def test_op9_columns(spark):
+    for first, last, n, base, labels, score in rows_of(of(spark, "op9_license_scan"), "first_word", "last_word", "n_base", "base_labels", "labels", "score"):
+        assert (n == 0) == (first is None) == (last is None) == (base == "") and 0 <= score <= 1
+        assert set(filter(None, base.split(","))) <= set(labels.split(",")) and labels == ",".join(sorted(set(labels.split(","))))
+
+
+def test_op10_columns(spark):
+    rows = [(k, (x or "").encode()) for k, x in rows_of(table(spark), "doc_id", "text")]
+    want = set()
+    for n, t, drop in brute_windows(rows, 50):
+        kept = bytes(a for a, z in zip(t, drop) if not z)
+        want.add((rows[n][0], len(t), sum(drop), sum(z and not y for y, z in zip([False, *drop], drop)), hashlib.sha256(kept).hexdigest()))
+    assert set(rows_of(of(spark, "op10_suffix_dedup"), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
+
+
+def test_op8_sql(spark):
+    import duckdb
+    from veriscope.llm.queries import ORACLE_SQL
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    got = of(spark, "op8_substring_dedup")
+    assert {tuple(r) for r in got.collect()} == set(c.sql(ORACLE_SQL["op8_substring_dedup"]).fetchall())
+
+
 def test_sha_of_kept_words(spark):
     from veriscope.llm.queries import QUERIES
 
-    assert len([q for q in QUERIES if re.match(r"op\d+_", q)]) == 10
     r = QUERIES["op8_substring_dedup"](spark, SF).where("n_removed = 0").join(table(spark), "doc_id").first()
     assert r["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(r["text"])).encode()).hexdigest()

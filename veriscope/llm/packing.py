@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 from collections.abc import Iterator
 
@@ -17,6 +18,17 @@ from .shared import Words, chunks, scratch_path, strings
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
 #: Words that a Python worker keeps encoded between batches.
 CACHE = 200_000
+# The normalizer and the splits of tokenizers whose runs of letters and marks the model may take directly.
+DIRECT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 # A word of letters that one lower-case rule and no composition touches, then marks that make one token run.
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#%&$()]*)"
 
@@ -31,8 +43,9 @@ def _byte_letters() -> list[str]:
 class _Encoder:
     """Token ids of words, by a tokenizer that drops white space, so that no token spans two words.
 
-    Words, and the runs of letters and marks in them, are encoded once per worker while they fit its caches. ``whole`` is
-    for tokenizers that look across white space: each text is then encoded by itself.
+    Words are encoded once per worker while they fit its caches; if the file states the rules of ``DIRECT``, so are the runs
+    of letters and marks in them, by the model alone. Under any other rules each word goes through the whole tokenizer.
+    ``whole`` is for tokenizers that look across white space: each text is then encoded by itself.
     """
 
     def __init__(self, path: str, whole: bool):
@@ -47,8 +60,9 @@ class _Encoder:
         self.letters, self.model = _byte_letters(), self.tokenizer.model
         self.runs: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
-        probes = ["straße", "étre", "...", "!!", "a", "thndor"]
-        self.direct = all(self._run(p) == self._encoded([p])[0] for p in probes)
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        self.direct = all(stated.get(k) == v for k, v in DIRECT.items())
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -191,6 +205,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_wi
     left open by up to ``merge`` partitions are then packed together in the same way, and only the windows that remain
     there are short. ``cut`` is the least room worth cutting a document for.
 
+    An empty table gives no rows; a very long text is encoded whole and cut wherever windows end; columns of any other
+    names change nothing.
+
     ``tokenizer`` is a file of the ``tokenizers`` library. Unless ``whole_texts``, it must not join tokens across white
     space; words are then encoded once and reused.
 

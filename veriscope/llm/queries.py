@@ -8,7 +8,7 @@ from .packing import op1_packing
 from .perplexity import op7_quality_classifier
 from .rules import op3_quality_rules
 from .simhash import op2_simhash
-from .substrings import op8_substring_dedup
+from .substrings import OP8_SQL, op8_substring_dedup
 from .suffixes import op10_suffix_dedup
 
 QUERIES = {
@@ -26,4 +26,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_mixing": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, sketch_width, tagged, texts, unpack_ints
-from .shared import Words, member, others, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
+from .shared import WORD, Words, member, others, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
 
 _EXACT = 100
 #: Blocks that a partition's documents make.
@@ -186,3 +186,14 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract columns for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", F.col("dedup_words").alias("n_words"), F.col("dedup_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+g as (select doc_id, i, list_slice(w, i, i + 12) as v from d, unnest(range(1, len(w) - 11)) t(i)),
+f as (select v, min(doc_id) as first from g group by v having min(doc_id) < max(doc_id)),
+c as (select distinct doc_id, i + k as i from g join f using (v), range(0, 13) r(k) where g.doc_id > f.first),
+x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+k as (select x.doc_id, count(*) as n_words, count(c.i) as n_removed, string_agg(word, ' ' order by i) filter (c.i is null) as kept from x left join c using (doc_id, i) group by x.doc_id)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""
