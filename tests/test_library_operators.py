@@ -269,3 +269,50 @@ def test_paths_and_seeds(spark):
     got = spark.range(1).select(fn.seed_by_first_bytes(F.lit("x")), fn.seed_by_last_first(F.lit("x"))).first()
     assert tuple(got) == (int.from_bytes(h[:4], "big"), int.from_bytes(h[:8], "little") % 2**32)
     assert spark.range(1).select(fn.year_of(F.lit("2020-01-02 03:04:05")), fn.year_of(F.lit("no"))).first() == (2020, None)
+
+
+def test_logistic_probe(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k int, x array<double>, y double")
+    for l1 in (False, True):
+        c, auc, w, _ = probes.logistic_probe(df.where("k < 200"), df.where("k >= 200"), "x", "y", l1=l1)
+        assert auc > 0.95 and w[0] > 0 > w[1] and abs(w[2]) < abs(w[0]) / 3 and c in (0.01, 0.1, 1.0, 10.0)
+    with pytest.raises(audit.Rejected):
+        probes.logistic_probe(df.where("y = 1"), df, "x", "y")
+
+
+def test_independent_components_are_found(spark):
+    rng = np.random.default_rng(7)
+    s = rng.uniform(-1, 1, size=(2000, 3))
+    x = s @ rng.normal(size=(3, 3)).T + 5
+    df = spark.createDataFrame([(a.tolist(),) for a in x], "x array<double>")
+    w, mean = probes.independent_components(df, "x", 3)
+    c = np.abs(np.corrcoef(((x - mean) @ w.T).T, s.T)[:3, 3:])
+    assert (c.max(1) > 0.95).all() and len(set(c.argmax(1))) == 3
+
+
+def test_warp_and_sets(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0, 4.0],)], "x array<double>")
+    assert probes.warp(df, "x", [0, 0.5, 1], [0, 0.25, 1], "y").first()["y"] == pytest.approx([0, 2, 2 + 2 / 3, 2 + 4 / 3, 4])
+    assert probes.orthogonal_set(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.1, ("a", "c"): 0.9}, 0.3) == ["b", "c"]
+
+
+def test_numbered_and_matches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), int(x)) for i, x in enumerate(rng.integers(0, 50, 400))]
+    df = spark.createDataFrame(rows, "k int, x int").repartition(5)
+    got = {r["k"]: r["i"] for r in rel.numbered(df, ["x", "k"]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda t: t[1])] == [k for k, _ in sorted(rows, key=lambda t: (t[1], t[0]))]
+    assert sorted(got.values()) == list(range(1, 401)) and rel.numbered(df.limit(0), "x").isEmpty()
+    p = [(k, x / 50 + k / 1e6) for k, x in rows]
+    df = spark.createDataFrame([*p, (999, None)], "k int, p double").repartition(3)
+    want = {r["k"]: r["q"] for r in st.adjust(df.withColumn("g", F.lit(1)), "g", "p", "k").collect()}
+    assert {r["k"]: r["q"] for r in st.adjust_large(df, "p", "k").collect()} == pytest.approx(want)
+    left = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 0.0), ("b", 3, 1.0), ("c", 4, 1.0)], "g string, id int, v double")
+    right = spark.createDataFrame([("a", 9, 4.0), ("a", 7, 6.0), ("a", 8, 6.0), ("b", 1, 9.0)], "g string, t int, w double")
+    assert {(r["id"], r["w"], r["t"]) for r in rel.nearest_match(left, right, "g", "v", "w", "t").collect()} == {(1, 6.0, 7), (2, 4.0, 9), (3, 9.0, 1)}
+    pool = spark.createDataFrame([(i, float(i)) for i in range(30)], "t int, w double")
+    near = rel.nearest_in_pool(left.where("id < 3"), pool, "id", "t", F.abs(F.col("v") - F.col("w")), 2, block=7)
+    assert {(r["id"], r["place"], r["t"]) for r in near.collect()} == {(1, 1, 5), (1, 2, 4), (2, 1, 0), (2, 2, 1)}

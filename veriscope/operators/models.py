@@ -123,6 +123,11 @@ def _root(c: np.ndarray, inverse: bool, least: float = 1e-10) -> np.ndarray:
     return (q * p) @ q.T
 
 
+def matrix_root(c: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """The symmetric square root of a covariance, or its pseudo-inverse."""
+    return _root(c, inverse)
+
+
 class Eraser:
     """Least-squares concept erasure: after ``apply`` no linear function of the vector covaries with the labels."""
 

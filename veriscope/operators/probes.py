@@ -368,3 +368,109 @@ def pairing_floor(df: DataFrame, item: str, vector: str, seed: int = 0) -> DataF
     pair = numbered.groupBy("_b", F.floor((F.col("_i") - 1) / 2).alias("_p")).agg(F.collect_list("v").alias("_vs")).where(F.size("_vs") == 2)
     cos = F.abs(F.aggregate(F.zip_with(F.col("_vs")[0], F.col("_vs")[1], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
     return pair.agg(F.count("*").alias("n"), F.avg(cos).alias("floor"))
+
+
+# Logistic probes
+
+
+def logistic_probe(train: DataFrame, val: DataFrame, vector: str, label: str, strengths=(0.01, 0.1, 1.0, 10.0), l1: bool = False, balanced: bool = True) -> tuple[float, float, np.ndarray, float]:
+    """(C, validation AUROC, weights, intercept): a logistic regression for each C, the inverse of the penalty on the sum of
+    losses; the best validation AUROC, of equals the smaller C. Rows are weighted so that classes count alike."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from .statistics import auroc
+
+    y = F.col(label).cast("double")
+    rows = train.where(F.col(vector).isNotNull() & y.isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), y.alias("label"))
+    n, p = rows.agg(F.count("*"), F.sum("label")).first()
+    if not n or not 0 < p < n:
+        raise Rejected("one class only")
+    weight = F.when(F.col("label") == 1, n / (2 * p)).otherwise(n / (2 * (n - p))) if balanced else F.lit(1.0)
+    rows, best = rows.withColumn("weight", weight), None
+    for c in strengths:
+        fit = LogisticRegression(regParam=1 / (c * n), elasticNetParam=1.0 if l1 else 0.0, weightCol="weight", standardization=False, maxIter=200, tol=1e-8).fit(rows)
+        w = fit.coefficients.toArray()
+        score = F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        a = auroc(val.select(F.lit(1).alias("_k"), score.alias("_s"), label), "_k", "_s", label).first()["auroc"]
+        if best is None or a is not None and a > best[1]:
+            best = (c, -1.0 if a is None else a, w, float(fit.intercept))
+    return best
+
+
+# Independent components
+
+
+def independent_components(df: DataFrame, vector: str, k: int, rounds: int = 30, tolerance: float = 1e-6, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(unmixing rows, mean) by FastICA: vectors are whitened by their moments, and each round is one pass that sums up
+    k x k numbers in every partition."""
+    from .models import principal_directions
+
+    m = moments(df, vector)
+    rows, values = principal_directions(m, k)
+    white = rows / np.sqrt(np.maximum(values, 1e-12))[:, None]
+    v, mean = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null"), m.mean
+    w = random_basis(k, k, seed)
+    for _ in range(rounds):
+        def one(batches, w=w):
+            total, slope, n = np.zeros((k, k)), np.zeros(k), 0
+            for b in batches:
+                if len(b):
+                    z = (b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) - mean) @ white.T
+                    g = np.tanh(z @ w.T)
+                    total, slope, n = total + g.T @ z, slope + (1 - g * g).sum(0), n + len(b)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total.ravel(), slope, [n]]).tobytes()], pa.binary())], ["sums"])
+
+        sums = sum(np.frombuffer(bytes(r["sums"])) for r in v.mapInArrow(one, "sums binary").repartition(16).collect())
+        new = sums[: k * k].reshape(k, k) / sums[-1] - np.diag(sums[k * k : -1] / sums[-1]) @ w
+        left, _, right = np.linalg.svd(new)
+        new = left @ right
+        moved = np.abs(np.abs((new * w).sum(1)) - 1).max()
+        w = new
+        if moved < tolerance:
+            break
+    return w @ white, mean
+
+
+# Signals
+
+
+def warp(df: DataFrame, signal: str, source: list[float], target: list[float], name: str) -> DataFrame:
+    """``df`` with ``name``: signals whose anchors, as shares of their length, move from ``source`` to ``target``; between
+    anchors time runs evenly, and values are interpolated."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        at = np.interp(np.arange(n), np.array(target) * (n - 1), np.array(source) * (n - 1))
+        lo = np.minimum(np.floor(at).astype(int), max(n - 2, 0))
+        share = at - lo
+        return x[:, lo] * (1 - share) + x[:, np.minimum(lo + 1, n - 1)] * share
+
+    return map_vectors(df, signal, name, run)
+
+
+def chosen(v, places: list[int]) -> Column:
+    """The components of a vector, or the leads of a signal, at some places."""
+    c = v if isinstance(v, Column) else F.col(v)
+    return F.array(*[F.try_element_at(c, F.lit(i + 1)) for i in places])
+
+
+def orthogonal_set(concepts: list, correlation: dict[tuple, float], limit: float) -> list:
+    """Concepts in order of preference, each kept if it correlates with none kept before by more than ``limit``; then, while
+    swapping one for a later pair that fits makes room, it is swapped. Over a small table of pairs on the driver."""
+    r = lambda a, b: abs(correlation.get((a, b), correlation.get((b, a), 0.0)))
+    kept = []
+    for c in concepts:
+        if all(r(c, k) <= limit for k in kept):
+            kept.append(c)
+    improved = True
+    while improved:
+        improved = False
+        for out in kept:
+            rest = [k for k in kept if k != out]
+            free = [c for c in concepts if c not in kept and all(r(c, k) <= limit for k in rest)]
+            pair = next(((a, b) for i, a in enumerate(free) for b in free[i + 1 :] if r(a, b) <= limit), None)
+            if pair:
+                kept, improved = sorted([*rest, *pair], key=concepts.index), True
+                break
+    return kept

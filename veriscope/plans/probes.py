@@ -387,3 +387,112 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     u = models.class_direction(e, "embedding", F.col("label") == 0)
     return e.select("vec_id", F.round(v.dot(F.col("embedding").cast("array<double>"), models.weights_column(u)), 8).alias("projection"))
+
+
+@query("src21_array_archive", "select label, vec_id, round(list_sum(embedding::double[]), 8) as total from embeddings")
+def _(spark, d):
+    from ..sources import tables as src
+
+    packed = src.pack_arrays(table(spark, d, "embeddings"), "label", "x", "embedding", "vec_id")
+    return src.unpack_arrays(packed, ["label"], "content", "x", "vec_id").select("label", "vec_id", F.round(v.total("x"), 8).alias("total"))
+
+
+@query("vec07_matrix_root", "select i::int as i, j::int as j, 0.0::double as difference from range(0, 64) a(i), range(0, 64) b(j)")
+def _(spark, d):
+    c = v.moments(table(spark, d, "embeddings"), "embedding").covariance
+    r = models.matrix_root(c)
+    return spark.createDataFrame([(i, j, abs(round(float(x), 9))) for (i, j), x in np.ndenumerate(r @ r - c)], "i int, j int, difference double")
+
+
+@query("vec15_low_rank_logits", f"select vec_id, k::int as head, round(sum(list_dot_product(embedding::double[], a) * ((atom + 1) * (k + 2) % 5 - 2)), 8) as logit from embeddings, {_MEANS}, range(0, 3) t(k) group by vec_id, k")
+def _(spark, d):
+    _, m = _means(spark, d)
+    heads = np.array([[(i + 1) * (k + 2) % 5 - 2 for i in range(len(m))] for k in range(3)], float)
+    low = pr.linear_map(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", "low", m)
+    out = pr.linear_map(low, "low", "logits", heads)
+    return out.select("vec_id", F.posexplode("logits").alias("head", "x")).select("vec_id", "head", F.round("x", 8).alias("logit"))
+
+
+@query("sig01_chosen_leads", "select vec_id, round(embedding[1]::double, 8) as a, round(embedding[2]::double, 8) as b, round(embedding[7]::double, 8) as c from embeddings")
+def _(spark, d):
+    c = pr.chosen(F.col("embedding").cast("array<double>"), [0, 1, 6])
+    return table(spark, d, "embeddings").select("vec_id", c.alias("x")).select("vec_id", *[F.round(F.col("x")[i], 8).alias(n) for i, n in enumerate("abc")])
+
+
+@query("sig07_anchor_warp", """
+with e as (select vec_id, embedding::double[] as x from embeddings), j as (select j, case when j <= 37.8 then j / 37.8 * 31.5 else 31.5 + (j - 37.8) / (63 - 37.8) * 31.5 end as pt from range(0, 64) t(j)), k as (select j, pt, least(floor(pt), 62)::int as lo from j)
+select vec_id, j::int as i, round(x[lo + 1] * (1 - (pt - lo)) + x[lo + 2] * (pt - lo), 8) as y from e, k
+""")
+def _(spark, d):
+    w = pr.warp(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", [0.0, 0.5, 1.0], [0.0, 0.6, 1.0], "warped")
+    return w.select("vec_id", F.posexplode("warped").alias("i", "y")).select("vec_id", "i", F.round("y", 8).alias("y"))
+
+
+_AUC = "(select f, target, (sum(mid) filter (label = target) - p * (p + 1) / 2.0::double) / (p * (n - p))::double as a from (select *, count(*) over (partition by f) as n from (select f, label, rank() over (partition by f order by s) + (count(*) over (partition by f, s) - 1) / 2.0::double as mid from l where {})) k, (select label as target, count(*) as p from embeddings where {} group by all) c group by f, target, p, n)"
+
+
+@query("sta09_frozen_auroc_profile", f"""
+with l as (select vec_id, label, (generate_subscripts(embedding, 1) - 1)::int as f, round(unnest(embedding)::double, 2) as s from embeddings), a as {_AUC.format('vec_id % 10 < 7', 'vec_id % 10 < 7')}, b as {_AUC.format('vec_id % 10 >= 7', 'vec_id % 10 >= 7')},
+t as (select * from (select *, row_number() over (partition by target order by abs(round(a, 9) - 0.5) desc, f) as k from a) where k = 1)
+select t.target, t.f as feature, round(greatest(t.a, 1 - t.a), 8) as train, round(case when t.a >= 0.5 then b.a else 1 - b.a end, 8) as heldout from t join b on t.target = b.target and t.f = b.f
+""")
+def _(spark, d):
+    from ..operators import relational as rel
+    from ..operators import statistics as st
+
+    e = table(spark, d, "embeddings")
+    a, b = (st.class_auroc(e.where(c), "embedding", "label", 2) for c in ("vec_id % 10 < 7", "vec_id % 10 >= 7"))
+    best = rel.top_per_key(a.withColumn("auroc", F.col("auroc")), "target", [F.abs(F.round("auroc", 9) - 0.5).desc(), F.col("feature")])
+    t = best.select("target", "feature", F.col("auroc").alias("_a")).join(b.select("target", "feature", F.col("auroc").alias("_b")), ["target", "feature"])
+    return t.select("target", "feature", F.round(F.greatest("_a", 1 - F.col("_a")), 8).alias("train"), F.round(F.when(F.col("_a") >= 0.5, F.col("_b")).otherwise(1 - F.col("_b")), 8).alias("heldout"))
+
+
+@query("sta03_correlation_from_sums", "select l_suppkey, case when count(*) > 1 then round(corr(l_quantity, l_extendedprice), 8) else 0 end as r from lineitem group by all")
+def _(spark, d):
+    from ..operators import statistics as st
+
+    return st.correlations(table(spark, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice").select("l_suppkey", F.round("r", 8).alias("r"))
+
+
+@query("mod07_logistic_probe")
+def _(spark, d):
+    e = table(spark, d, "embeddings").withColumn("y", (F.col("label") == 3).cast("double"))
+    c, a, w, b = pr.logistic_probe(e.where("vec_id % 10 < 7"), e.where("vec_id % 10 >= 7"), "embedding", "y", (0.1, 1.0))
+    return spark.createDataFrame([(c, a, [float(x) for x in w], b)], "strength double, auroc double, weights array<double>, intercept double")
+
+
+@query("mod38_sparse_logistic_probe")
+def _(spark, d):
+    e = table(spark, d, "embeddings").withColumn("y", (F.col("label") == 3).cast("double"))
+    c, a, w, _ = pr.logistic_probe(e.where("vec_id % 10 < 7"), e.where("vec_id % 10 >= 7"), "embedding", "y", (0.1, 1.0), l1=True)
+    return spark.createDataFrame([(c, a, int((w != 0).sum()))], "strength double, auroc double, used int")
+
+
+@query("mod16_independent_components", "select i::int as i, j::int as j, (i = j)::int::double as covariance from range(0, 4) a(i), range(0, 4) b(j)")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    w, _ = pr.independent_components(e, "embedding", 4, rounds=8)
+    c = w @ v.moments(e, "embedding").covariance @ w.T
+    return spark.createDataFrame([(i, j, abs(round(float(x), 7))) for (i, j), x in np.ndenumerate(c)], "i int, j int, covariance double")
+
+
+@query("mod35_orthogonal_set")
+def _(spark, d):
+    from ..operators import statistics as st
+
+    e = table(spark, d, "embeddings")
+    r = {(x["feature"], x["target"]): x["r"] for x in st.class_correlations(e, "embedding", "label", e.select("label").distinct()).collect()}
+    features = sorted({f for f, _ in r})
+    profile = np.array([[r[f, t] for t in sorted({t for _, t in r})] for f in features])
+    c = np.corrcoef(profile)
+    kept = pr.orthogonal_set(features, {(a, b): float(c[i, j]) for i, a in enumerate(features) for j, b in enumerate(features) if i < j}, 0.3)
+    return spark.createDataFrame([(int(f),) for f in kept], "feature int")
+
+
+@query("mod40_functional_stability")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    a, b = (models.principal_directions(v.moments(e.where(f"vec_id % 2 = {i}"), "embedding"), 5)[0] for i in (0, 1))
+    random = models.subspace_overlap(pr.random_basis(5, a.shape[1], 1), pr.random_basis(5, a.shape[1], 2))
+    overlap = models.subspace_overlap(a, b)
+    return spark.createDataFrame([(models.matched_cosine(np.abs(a), np.abs(b)), overlap, overlap - random)], "matched double, overlap double, beyond_random double")

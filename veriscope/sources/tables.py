@@ -132,3 +132,40 @@ def merge_report(got: DataFrame, want: DataFrame, key: str) -> DataFrame:
     n = got.groupBy(key).agg(F.count("*").alias("_n"))
     both = n.join(want.select(key).distinct().withColumn("_w", F.lit(1)), key, "full")
     return both.select(key, F.when(F.col("_n").isNull(), "missing").when(F.col("_w").isNull(), "extra").when(F.col("_n") > 1, "duplicate").alias("issue")).where("issue is not null")
+
+
+def pack_arrays(df: DataFrame, group: str, name: str, vector: str, order: str) -> DataFrame:
+    """(group, content): an archive of one matrix for each group, its rows in order."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by(order)
+        x = np.array(t[vector].to_pylist(), float)
+        out = io.BytesIO()
+        np.savez_compressed(out, **{name: x, order: t[order].to_numpy()})
+        return pa.table({group: t[group][:1], "content": pa.array([out.getvalue()], pa.binary())})
+
+    kind = dict(df.dtypes)[group]
+    return df.select(group, order, F.col(vector).cast("array<double>").alias(vector)).groupBy(group).applyInArrow(run, f"{group} {kind}, content binary")
+
+
+def unpack_arrays(df: DataFrame, keys: list[str], content: str, array: str, ids: str) -> DataFrame:
+    """(keys, ids, array): the rows of the matrices in archives, each with its id."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for i, raw in enumerate(b.column(content).to_pylist()):
+                with np.load(io.BytesIO(raw)) as z:
+                    x, at = z[array], z[ids]
+                cols = [pa.array([b.column(k)[i].as_py()] * len(x), b.column(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(list(x), pa.list_(pa.float64()))], [*keys, ids, array])
+
+    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
+    return df.select(*keys, content).mapInArrow(run, f"{kinds}, {ids} long, {array} array<double>")
