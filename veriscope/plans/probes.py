@@ -223,7 +223,7 @@ def _(spark, d):
 # Interventions
 
 
-@query("mod29_attribution", "select l_suppkey, round(s, 9) as score, row_number() over (order by s desc, l_suppkey) as rank from (select l_suppkey, round(avg(l_discount * l_tax), 12) as s from lineitem where l_quantity > 25 group by all)")
+@query("mod29_attribution", "select l_suppkey, round(s, 9) as score, row_number() over (order by round(s, 12) desc, l_suppkey) as rank from (select l_suppkey, avg(l_discount * l_tax) as s from lineitem where l_quantity > 25 group by all)")
 def _(spark, d):
     a = pr.attribution(table(spark, d, "lineitem").withColumn("focus", F.col("l_quantity") > 25), "l_suppkey", "l_discount", "l_tax", "focus")
     return a.select("l_suppkey", F.round("score", 9).alias("score"), F.row_number().over(v_window("score", "l_suppkey")).alias("rank"))
