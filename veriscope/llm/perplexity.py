@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,37 @@ _COUNTS, _OF_COUNTS, _LOW = 0, 1, 2
 def grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each byte, as a number, with zero bytes before each text."""
     n = np.diff(off)
+    before = np.repeat(np.arange(len(n)) * (order - 1), n)
     padded = np.zeros(len(data) + (order - 1) * len(n), np.uint8)
-    place = np.arange(len(data)) + np.repeat(np.arange(1, len(n) + 1) * (order - 1), n)
-    padded[place] = data
-    key = np.zeros(len(data), np.uint64)
-    for j in range(order - 1, -1, -1):
-        key = (key << np.uint64(8)) | padded[place - j]
-    return key
+    padded[np.arange(len(data)) + before + order - 1] = data
+    key = np.zeros(max(0, len(padded) - order + 1), np.uint64)
+    for j in range(order):
+        key <<= np.uint64(8)
+        key |= padded[j : len(padded) - order + 1 + j]
+    return key[np.arange(len(data)) + before]
+
+
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The different numbers among some, in order."""
+    return np.sort(pa.array(np.concatenate(parts)).unique().to_numpy()) if parts else np.zeros(0, np.uint64)
+
+
+def by_shard(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order of their shards, and where each shard's begin and end."""
+    s = shard_of(g, bits)
+    order = np.argsort(s, kind="stable")
+    return g[order], np.searchsorted(s[order], np.arange((1 << bits) + 1))
+
+
+def asked(docs, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a partition's texts, once each, by shard."""
+    held: list[np.ndarray] = []
+    for b in docs:
+        for _, _, data, off in texts(b, 4 << 20):
+            held.append(distinct([grams(data, off, order)]))
+            if sum(map(len, held)) > 4_000_000:
+                held = [distinct(held)]
+    return by_shard(distinct(held), bits)
 
 
 def _end(g: np.ndarray, size: int) -> np.ndarray:
@@ -123,7 +148,8 @@ def counts(docs: DataFrame, order: int, bits: int) -> DataFrame:
         held = []
         for b in batches:
             for _, _, data, off in texts(b, 4 << 20):
-                held.append(np.unique(grams(data, off, order), return_counts=True))
+                seen = pa.array(grams(data, off, order)).value_counts()
+                held.append((seen.field("values").to_numpy(), seen.field("counts").to_numpy()))
                 if sum(len(x) for x, _ in held) > 4_000_000:
                     held = [_folded(held)]
         if held:
@@ -190,7 +216,7 @@ class Model:
         return out
 
 
-def score(docs: DataFrame, trusted: DataFrame, order: int = 7, heldout: int = 10) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, order: int = 6, heldout: int = 10) -> DataFrame:
     """``doc_id``, ``lang``, ``n_bytes``, ``nll`` (negative log likelihood of the whole text's bytes) of every document.
 
     The model is trained on all documents of ``trusted`` (doc_id) but those that ``heldout_fold`` sets aside. N-grams are
@@ -206,19 +232,10 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = 7, heldout: int = 10
     model = Model(counted, order)
 
     def ask(batches):
-        block, held = TaskContext.get().partitionId(), []
-        for b in batches:
-            for _, _, data, off in texts(b, 4 << 20):
-                held.append(np.unique(grams(data, off, order)))
-                if sum(map(len, held)) > 4_000_000:
-                    held = [np.unique(np.concatenate(held))]
-        if held:
-            g = np.unique(np.concatenate(held))
-            s = shard_of(g, bits)
-            by = np.argsort(s, kind="stable")
-            edge = np.searchsorted(s[by], np.arange((1 << bits) + 1))
-            for x in np.flatnonzero(np.diff(edge)):
-                yield from answers([(block, 0, int(x), pack_sorted(g[by[edge[x] : edge[x + 1]]]))]).to_batches()
+        block = TaskContext.get().partitionId()
+        g, edge = asked(batches, order, bits)
+        for x in np.flatnonzero(np.diff(edge)):
+            yield from answers([(block, 0, int(x), pack_sorted(g[edge[x] : edge[x + 1]]))]).to_batches()
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         g, n = _apart(right["payload"][0].as_py()) if len(right) else (pack_sorted(np.zeros(0, np.uint64)), pack_ints(np.zeros(0, np.int64)))
@@ -226,7 +243,7 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = 7, heldout: int = 10
         out = []
         for block, s, payload in zip(*(left[c].to_pylist() for c in ("block", "shard", "payload"))):
             p = np.log(probability(unpack_sorted(payload), orders)).astype(np.float32)
-            out.append((block, 1, s, _two(payload, pack_ints(p.view(np.uint32)))))
+            out.append((block, 1, s, pack_ints(p.view(np.uint32))))
         return answers(out)
 
     known = counted.where(F.col("kind") == _COUNTS)
@@ -237,19 +254,17 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = 7, heldout: int = 10
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return arrow.empty_table()
-        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
-        for payload in right["payload"].to_pylist():
-            g, p = _apart(payload)
-            keys.append(unpack_sorted(g))
-            values.append(unpack_ints(p, np.uint32).view(np.float32))
-        keys, values = np.concatenate(keys), np.concatenate(values)
-        by = np.argsort(keys)
-        keys, values = keys[by], values[by]
-        size, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
         docs_ = opened(left)
+        # Answers come in the order of the questions, which the texts give again.
+        keys, edge = asked([docs_], order, bits)
+        values = np.zeros(len(keys), np.float32)
+        for shard, payload in zip(right["shard"].to_pylist(), right["payload"].to_pylist()):
+            values[edge[shard] : edge[shard + 1]] = unpack_ints(payload, np.uint32).view(np.float32)
+        known = pa.array(keys)
+        size, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
         for _, _, data, off in texts(docs_):
-            g, at = np.unique(grams(data, off, order), return_inverse=True)
-            total = np.concatenate(([0.0], np.cumsum(values[np.searchsorted(keys, g)][at], dtype=np.float64)))
+            at = pc.index_in(pa.array(grams(data, off, order)), value_set=known).to_numpy()
+            total = np.concatenate(([0.0], np.cumsum(values[at], dtype=np.float64)))
             size.append(np.diff(off))
             nll.append(-np.diff(total[off]))
         return pa.table([docs_["doc_id"].cast(arrow.field("doc_id").type), docs_["lang"].cast(arrow.field("lang").type), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(nll), pa.float64())], schema=arrow)
@@ -262,7 +277,7 @@ def heldout_fold(doc_id: str, one_in: int):
     return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(one_in)) == 0
 
 
-def classify(docs: DataFrame, trusted: DataFrame, order: int = 7, quantile: float = 0.99, prior_bytes: float = 100.0, slack: float = 1.05, heldout: int = 10) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, order: int = 6, quantile: float = 0.99, prior_bytes: float = 100.0, slack: float = 1.05, heldout: int = 10) -> DataFrame:
     """``doc_id``, ``lang``, ``n_bytes``, ``perplexity`` (per byte), ``threshold``, ``kept``, for every document.
 
     Needs doc_id, text, lang; ``trusted`` has the doc_ids of trusted texts, which must be among the documents. A
