@@ -316,3 +316,13 @@ def test_numbered_and_matches(spark):
     pool = spark.createDataFrame([(i, float(i)) for i in range(30)], "t int, w double")
     near = rel.nearest_in_pool(left.where("id < 3"), pool, "id", "t", F.abs(F.col("v") - F.col("w")), 2, block=7)
     assert {(r["id"], r["place"], r["t"]) for r in near.collect()} == {(1, 1, 5), (1, 2, 4), (2, 1, 0), (2, 2, 1)}
+
+
+def test_semi_nmf(spark):
+    rng = np.random.default_rng(12)
+    x = np.abs(rng.normal(size=(400, 3))) @ rng.normal(size=(3, 8))
+    df = spark.createDataFrame([(a.tolist(),) for a in x], "x array<double>")
+    fits = [probes.SemiNmf.fit(df, "x", 3, rounds=r) for r in (1, 15)]
+    rest = [((x - f.codes(x) @ f.parts) ** 2).sum() / (x**2).sum() for f in fits]
+    assert rest[1] < min(0.1, rest[0]) and (fits[1].codes(x) >= 0).all()
+    assert spark.createDataFrame([([],), ([1, 2],), ([1, 3, 9, 10],)], "m array<int>").select(probes.interval_features("m", 2, 9).alias("f")).select("f.n", "f.median").collect() == [(0, None), (0, None), (2, 4.0)]

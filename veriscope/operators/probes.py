@@ -474,3 +474,57 @@ def orthogonal_set(concepts: list, correlation: dict[tuple, float], limit: float
                 kept, improved = sorted([*rest, *pair], key=concepts.index), True
                 break
     return kept
+
+
+def interval_features(marks, low: float, high: float) -> Column:
+    """Of landmarks in order: how many successive intervals lie within closed bounds, and the median of these (null if
+    none), as a struct."""
+    m = marks if isinstance(marks, Column) else F.col(marks)
+    steps = F.zip_with(F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), lambda b, a: b - a)
+    good = F.array_sort(F.filter(steps, lambda x: x.between(low, high)))
+    n = F.size(good)
+    middle = (F.try_element_at(good, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(good, F.floor(n / 2).cast("int") + 1)) / 2
+    return F.struct(n.alias("n"), F.when(n > 0, middle).alias("median"))
+
+
+# Factors with codes that are not negative
+
+
+class SemiNmf:
+    """Vectors as sums of ``parts`` (rows) with codes of zero or more. Codes follow from a vector and the parts alone, by a
+    fixed number of multiplicative steps, so that no round has to keep them."""
+
+    def __init__(self, parts: np.ndarray, steps: int = 20):
+        self.parts, self.steps = parts, steps
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        f = self.parts
+        a, b = x @ f.T, f @ f.T
+        up, down = np.maximum(a, 0), np.maximum(-a, 0)
+        g = up + 0.2 * np.abs(a).mean(1, keepdims=True) + 1e-9
+        for _ in range(self.steps):
+            g = g * np.sqrt((up + g @ np.maximum(-b, 0) + 1e-12) / (down + g @ np.maximum(b, 0) + 1e-12))
+        return g
+
+    @classmethod
+    def fit(cls, df: DataFrame, vector: str, k: int, rounds: int = 10, seed: int = 0, steps: int = 20) -> SemiNmf:
+        """Each round is one pass: partitions sum up k x k and k x d numbers, from which the parts follow by least squares."""
+        v = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+        dim = len(v.first()["v"])
+        own = cls(random_basis(k, dim, seed), steps)
+        for _ in range(rounds):
+            def one(batches, own=own):
+                gg, gx = np.zeros((k, k)), np.zeros((k, dim))
+                for b in batches:
+                    if len(b):
+                        x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+                        g = own.codes(x)
+                        gg, gx = gg + g.T @ g, gx + g.T @ x
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([gg.ravel(), gx.ravel()]).tobytes()], pa.binary())], ["sums"])
+
+            sums = sum(np.frombuffer(bytes(r["sums"])) for r in v.mapInArrow(one, "sums binary").repartition(16).collect())
+            own = cls(np.linalg.pinv(sums[: k * k].reshape(k, k)) @ sums[k * k :].reshape(k, dim), steps)
+        return own
+
+    def transform(self, df: DataFrame, vector: str, name: str = "codes") -> DataFrame:
+        return map_vectors(df, vector, name, self.codes)

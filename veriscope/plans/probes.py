@@ -496,3 +496,18 @@ def _(spark, d):
     random = models.subspace_overlap(pr.random_basis(5, a.shape[1], 1), pr.random_basis(5, a.shape[1], 2))
     overlap = models.subspace_overlap(a, b)
     return spark.createDataFrame([(models.matched_cosine(np.abs(a), np.abs(b)), overlap, overlap - random)], "matched double, overlap double, beyond_random double")
+
+
+@query("sig06_interval_features", """
+with s as (select user_id, list(event_id order by event_id) as m from events group by user_id), d as (select user_id, list_sort(list_filter([m[i + 1] - m[i] for i in range(1, len(m))], lambda x: x between 5 and 500)) as g from s)
+select user_id, len(g) as n, case when len(g) > 0 then (g[(len(g) + 1) // 2] + g[len(g) // 2 + 1]) / 2.0::double end as median from d
+""")
+def _(spark, d):
+    m = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("m"))
+    return m.select("user_id", pr.interval_features("m", 5, 500).alias("f")).select("user_id", F.col("f.n").alias("n"), F.col("f.median").alias("median"))
+
+
+@query("mod17_semi_nmf")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return pr.SemiNmf.fit(e, "embedding", 6, rounds=5).transform(e, "embedding").select("vec_id", "codes")
