@@ -276,3 +276,16 @@ def effective_sample(df: DataFrame, group, weight: str, value: str) -> DataFrame
     """Weighted mean and the sample size that the weights are worth."""
     w = F.col(weight)
     return df.groupBy(*_keys(group)).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_eff"))
+
+
+def cluster_hash(df: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, n, id): each cluster's rows and a SHA-256 of its name and their number."""
+    per = df.groupBy(cluster).agg(F.count("*").alias("n"))
+    return per.withColumn("id", F.sha2(F.concat_ws(":", F.col(cluster).cast("string"), F.col("n").cast("string")), 256))
+
+
+def stratified_subset(df: DataFrame, key: str, stratum: str, each: int, more: int) -> DataFrame:
+    """(key, stratum): the ``each`` rows of smallest hash in every stratum, and ``more`` of all that are left."""
+    rows = df.select(key, stratum)
+    kept = top_per_key(rows, stratum, [F.sha2(F.col(key).cast("string"), 256)], each)
+    return kept.unionByName(bottom_by_hash(rows.join(kept.select(key), key, "left_anti"), key, more).select(key, stratum))

@@ -242,3 +242,115 @@ def interval(df: DataFrame, keys, value: str, null: float = 0.0) -> DataFrame:
     q = F.percentile(v, F.array(F.lit(0.025), F.lit(0.975)))
     s = df.groupBy(*k).agg(F.avg(v).alias("mean"), q.alias("_q"), ((below + 1) / (n + 1)).alias("p_greater"), F.least(F.lit(1.0), 2 * (F.least(above, below) + 1) / (n + 1)).alias("p_two"))
     return s.select(*k, "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "p_greater", "p_two")
+
+
+# Contracts over grouped values
+
+
+def robust_scale(df: DataFrame, keys, value: str, least: float = 1e-8, fallback: float | None = 1.0) -> DataFrame:
+    """(keys, median, scale): the interquartile range; where it is as good as zero the deviation, then ``fallback``. With
+    ``fallback`` None the range itself, at least ``least``."""
+    k = _keys(keys)
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    s = df.groupBy(*k).agg(q.alias("_q"), F.stddev_pop(value).alias("_sd"))
+    iqr = F.col("_q")[2] - F.col("_q")[0]
+    scale = F.greatest(iqr, F.lit(least)) if fallback is None else F.when(iqr > least, iqr).when(F.col("_sd") > least, F.col("_sd")).otherwise(fallback)
+    return s.select(*k, F.col("_q")[1].alias("median"), scale.alias("scale"))
+
+
+def weighted_auroc(df: DataFrame, keys, score: str, label: str, weight: str) -> DataFrame:
+    """(keys, auroc): tie-aware, each row with its weight; null with one class only."""
+    k, y, w = _keys(keys), F.col(label), F.col(weight)
+    a = df.groupBy(*k, score).agg(F.sum(F.when(y, w).otherwise(0)).alias("_p"), F.sum(F.when(y, 0).otherwise(w)).alias("_q"))
+    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*k).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = a.withColumn("_below", below).groupBy(*k).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    return s.select(*k, (F.col("_u") / F.nullif((F.col("_p") * F.col("_q")).cast("double"), F.lit(0.0))).alias("auroc"))
+
+
+def peak_and_gap(df: DataFrame, keys, item: str, value: str) -> DataFrame:
+    """(keys, item, peak, second, gap): each group's largest value, the next one, and their distance; first of equals."""
+    k = _keys(keys)
+    w = Window.partitionBy(*k).orderBy(F.col(value).desc(), item)
+    r = df.withColumn("_i", F.row_number().over(w)).withColumn("second", F.lead(value).over(w)).where("_i = 1")
+    return r.select(*k, item, F.col(value).alias("peak"), "second", (F.col(value) - F.col("second")).alias("gap"))
+
+
+def directed_rank(df: DataFrame, keys, value: str, larger_first: Column, tie: str) -> DataFrame:
+    """``df`` with ``place`` from 1 within a group: the largest first where ``larger_first``, else the smallest."""
+    v = F.col(value)
+    w = Window.partitionBy(*_keys(keys)).orderBy(F.when(larger_first, -v).otherwise(v), tie)
+    return df.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def successive_differences(df: DataFrame, keys, order, value: Column, name: str = "gap") -> DataFrame:
+    """``df`` with the next row's value of the group less its own; null at the last."""
+    w = Window.partitionBy(*_keys(keys)).orderBy(*_keys(order))
+    return df.withColumn(name, F.lead(value).over(w) - value)
+
+
+def cumulative_weight(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, value, below): how many rows of the group have this value or a smaller one, by distinct value."""
+    k = _keys(keys)
+    n = df.groupBy(*k, value).agg(F.count("*").alias("_n"))
+    return n.select(*k, value, F.sum("_n").over(Window.partitionBy(*k).orderBy(value)).alias("below"))
+
+
+def round_robin(rankings: list[tuple[DataFrame, str]], item: str, most: int) -> DataFrame:
+    """(item, place): the first ``most`` of several rankings (table, column; largest first), taken in turn; an item counts
+    where it comes first."""
+    parts = None
+    for member, (df, value) in enumerate(rankings):
+        top = df.orderBy(F.col(value).desc(), item).limit(most)
+        turn = F.row_number().over(Window.orderBy(F.col(value).desc(), item)) * len(rankings) + member
+        parts = top.select(item, turn.alias("_k")) if parts is None else parts.unionByName(top.select(item, turn.alias("_k")))
+    first = parts.groupBy(item).agg(F.min("_k").alias("_k"))
+    return first.select(item, F.row_number().over(Window.orderBy("_k")).cast("long").alias("place"))
+
+
+def monotonic(df: DataFrame, keys, order, value: str, slack: float = 1e-6) -> DataFrame:
+    """(keys, monotonic): whether no value falls below the one before by more than ``slack``."""
+    k = _keys(keys)
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(*k).orderBy(*_keys(order)))
+    return df.select(*k, step.alias("_step")).groupBy(*k).agg(F.coalesce(F.bool_and(F.col("_step") >= -slack), F.lit(True)).alias("monotonic"))
+
+
+def closure(df: DataFrame, keys, value: str, part: Column, reference: float, least: float = 0.5) -> DataFrame:
+    """(keys, closure): how much of a group's distance from a reference its part closes; null where there is none to close."""
+    s = df.groupBy(*_keys(keys)).agg(F.avg(value).alias("_m"), F.avg(F.when(part, F.col(value))).alias("_a"))
+    whole = F.col("_m") - reference
+    return s.select(*_keys(keys), F.when(F.abs(whole) >= least, (F.col("_a") - reference) / whole).alias("closure"))
+
+
+def common_effect(df: DataFrame, key: str, effect: str, cells: int, cap: float, floor: float) -> DataFrame:
+    """(key, common, status): the least effect of a key's cells, capped; whether all cells are there and it reaches the
+    floor."""
+    m = df.groupBy(key).agg(F.least(F.lit(cap), F.min(effect)).alias("common"), F.count("*").alias("_n"))
+    status = F.when(F.col("_n") < cells, "incomplete").when(F.col("common") >= floor, "eligible").otherwise("below_floor")
+    return m.select(key, "common", status.alias("status"))
+
+
+def record_metrics(df: DataFrame, key: str, change: str, wanted: Column) -> DataFrame:
+    """(key, target, cross_rms, top, l2) of a record's changes: the wanted one, the root mean square of the others, the
+    largest in size, and the length of all."""
+    x = F.col(change)
+    return df.groupBy(key).agg(F.max(F.when(wanted, x)).alias("target"), F.sqrt(F.avg(F.when(~wanted, x * x))).alias("cross_rms"), F.max(F.abs(x)).alias("top"), F.sqrt(F.sum(x * x)).alias("l2"))
+
+
+def tier_flags(df: DataFrame, value: str, limits) -> DataFrame:
+    """``df`` with a flag for each limit that a value is above, and ``tiers``, how many these are."""
+    flags = {f"tier{i}": F.col(value) > x for i, x in enumerate(limits)}
+    return df.withColumns(flags).withColumn("tiers", sum((F.col(c).cast("int") for c in flags), F.lit(0)))
+
+
+def dose_sweep(df: DataFrame, key: str, effect: str, doses, offset: float = 0.0) -> DataFrame:
+    """(key, dose, effect): mean effects, linear in the dose, so that doses meet one row per key."""
+    m = df.groupBy(key).agg(F.avg(effect).alias("_m"))
+    return m.select(key, "_m", F.explode(F.array(*map(F.lit, doses))).alias("dose")).select(key, "dose", (F.col("dose") * F.col("_m") + offset).alias("effect"))
+
+
+def between_classes(df: DataFrame, vector: str, label: str) -> DataFrame:
+    """(r2,): the share of the variance of all components that class means explain, from sums by class and component; rows
+    are read once and joined with nothing."""
+    per = long_vectors(df.select(label, vector), label, vector, "_x").groupBy(label, "feature").agg(F.count("*").alias("_n"), F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q"))
+    f = per.groupBy("feature").agg(F.sum(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")).alias("_e"), (F.sum("_q") - F.sum("_s") * F.sum("_s") / F.sum("_n")).alias("_t"))
+    return f.agg((1 - F.sum("_e") / F.sum("_t")).alias("r2"))

@@ -318,8 +318,9 @@ def _(spark, d):
 
 @query("hsh07_cluster_hash", "select c, n, sha256(c::varchar || ':' || n::varchar) as id from (select o_custkey as c, count(*) as n from orders group by o_custkey)")
 def _(spark, d):
-    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("n"))
-    return per.withColumn("id", F.sha2(F.concat_ws(":", F.col("c").cast("string"), F.col("n").cast("string")), 256))
+    from ..operators.relational import cluster_hash
+
+    return cluster_hash(table(spark, d, "orders").select(F.col("o_custkey").alias("c")), "c")
 
 
 @query("hsh12_stratified_subset", """
@@ -328,8 +329,6 @@ kept as (select o_orderkey, o_orderstatus from r where i <= 20), filler as (sele
 select * from kept union all select * from filler
 """)
 def _(spark, d):
-    from ..operators.relational import bottom_by_hash, top_per_key
+    from ..operators.relational import stratified_subset
 
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    kept = top_per_key(o, "o_orderstatus", [F.sha2(F.col("o_orderkey").cast("string"), 256)], 20)
-    return kept.unionByName(bottom_by_hash(o.join(kept.select("o_orderkey"), "o_orderkey", "left_anti"), "o_orderkey", 40).select("o_orderkey", "o_orderstatus"))
+    return stratified_subset(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", 20, 40)
\ No newline at end of file

@@ -375,10 +375,10 @@ def _(spark, d):
 select event_type, med as median, case when iqr > 1e-8 then iqr when sd > 1e-8 then sd else 1.0 end as scale from (select event_type, quantile_cont(value, 0.5) as med, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 8) as iqr, round(stddev_pop(value), 8) as sd from events group by all)
 """)
 def _(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = table(spark, d, "events").groupBy("event_type").agg(q.alias("q"), F.round(F.stddev_pop("value"), 8).alias("sd"))
-    iqr = F.round(F.col("q")[2] - F.col("q")[0], 8)
-    return s.select("event_type", F.col("q")[1].alias("median"), F.when(iqr > 1e-8, iqr).when(F.col("sd") > 1e-8, F.col("sd")).otherwise(1.0).alias("scale"))
+    from ..operators.statistics import robust_scale
+
+    s = robust_scale(table(spark, d, "events"), "event_type", "value")
+    return s.select("event_type", "median", F.round("scale", 8).alias("scale"))
 
 
 @query("agg19_status_concat", "select o_custkey, string_agg(o_orderstatus, '|' order by o_orderkey) as path from orders group by all")

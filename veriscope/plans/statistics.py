@@ -104,9 +104,7 @@ select g, round(sum(p * (below + q / 2.0::double)) / (sum(p) * sum(q))::double,
 """)
 def _(spark, d):
     e = table(spark, d, "events").select("value", (F.col("event_type") == "purchase").alias("y"), (1 + F.col("event_id") % 3).alias("w"), (F.col("user_id") % 5).alias("g"))
-    a = e.groupBy("g", "value").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y"), 0).otherwise(F.col("w"))).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("g").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return a.withColumn("below", below).groupBy("g").agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 8).alias("auroc"))
+    return st.weighted_auroc(e, "g", "value", "y", "w").withColumn("auroc", F.round("auroc", 8))
 
 
 @query("sta12_average_precision", """
@@ -296,9 +294,7 @@ with m as (select p_brand, p_size, avg(p_retailprice) as v from part group by al
 """)
 def _(spark, d):
     m = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("v"))
-    w = Window.partitionBy("p_brand").orderBy(F.col("v").desc(), "p_size")
-    r = m.withColumn("i", F.row_number().over(w)).withColumn("second", F.lead("v").over(w)).where("i = 1")
-    return r.select("p_brand", "p_size", F.round("v", 6).alias("peak"), F.round("second", 6).alias("second"), F.round(F.col("v") - F.col("second"), 6).alias("gap"))
+    return st.peak_and_gap(m, "p_brand", "p_size", "v").select("p_brand", "p_size", *[F.round(c, 6).alias(c) for c in ("peak", "second", "gap")])
 
 
 @query("win08_keep_last", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as i from orders) where i = 1")
@@ -321,21 +317,19 @@ def _(spark, d):
 @query("win10_directed_rank", "select metric, l_suppkey, row_number() over (partition by metric order by case when metric = 'discount' then -v else v end, l_suppkey) as place from (select 'discount' as metric, l_suppkey, round(avg(l_discount), 8) as v from lineitem group by all union all select 'tax', l_suppkey, round(avg(l_tax), 8) from lineitem group by all)")
 def _(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_discount"), 8).alias("discount"), F.round(F.avg("l_tax"), 8).alias("tax")).unpivot("l_suppkey", ["discount", "tax"], "metric", "v")
-    w = Window.partitionBy("metric").orderBy(F.when(F.col("metric") == "discount", -F.col("v")).otherwise(F.col("v")), "l_suppkey")
-    return m.select("metric", "l_suppkey", F.row_number().over(w).cast("long").alias("place"))
+    return st.directed_rank(m, "metric", "v", F.col("metric") == "discount", "l_suppkey").select("metric", "l_suppkey", "place")
 
 
 @query("win13_successive_differences", "select event_id, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts) as gap_us from events")
 def _(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").select("event_id", (F.lead(us).over(w) - us).alias("gap_us"))
+    return st.successive_differences(table(spark, d, "events"), "user_id", ["ts", "event_id"], us, "gap_us").select("event_id", "gap_us")
 
 
 @query("win15_cumulative_weight", "select g, s, sum(n) over (partition by g order by s)::bigint as below from (select user_id % 3 as g, floor(value)::bigint as s, count(*) as n from events group by all)")
 def _(spark, d):
-    n = table(spark, d, "events").groupBy((F.col("user_id") % 3).alias("g"), F.floor("value").alias("s")).agg(F.count("*").alias("n"))
-    return n.select("g", "s", F.sum("n").over(Window.partitionBy("g").orderBy("s")).alias("below"))
+    e = table(spark, d, "events").select((F.col("user_id") % 3).alias("g"), F.floor("value").alias("s"))
+    return st.cumulative_weight(e, "g", "s")
 
 
 @query("win16_composite_top1", "select p_brand, p_partkey from (select p_brand, p_partkey, row_number() over (partition by p_brand order by (p_size > 25) desc, p_retailprice, p_partkey) as i from part) where i = 1")
@@ -357,15 +351,12 @@ select l_partkey, row_number() over (order by k) as place from f
 """)
 def _(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
-    top = lambda member, c: s.orderBy(F.col(c).desc(), "l_partkey").limit(50).select("l_partkey", (F.row_number().over(Window.orderBy(F.col(c).desc(), "l_partkey")) * 2 + member).alias("k"))
-    f = top(0, "q").unionByName(top(1, "n")).groupBy("l_partkey").agg(F.min("k").alias("k"))
-    return f.select("l_partkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
+    return st.round_robin([(s, "q"), (s, "n")], "l_partkey", 50)
 
 
 @query("win22_monotonic_dose", "select o_custkey, coalesce(bool_and(step >= -0.000001), true) as monotonic from (select o_custkey, o_totalprice - lag(o_totalprice) over (partition by o_custkey order by o_orderkey) as step from orders) group by all")
 def _(spark, d):
-    step = F.col("o_totalprice") - F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, d, "orders").select("o_custkey", step.alias("step")).groupBy("o_custkey").agg(F.coalesce(F.bool_and(F.col("step") >= -1e-6), F.lit(True)).alias("monotonic"))
+    return st.monotonic(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("win23_source_precedence", "select p_brand, p_partkey from (select p_brand, p_partkey, row_number() over (partition by p_brand order by case split_part(p_type, ' ', 1) when 'PROMO' then 0 when 'ECONOMY' then 1 else 2 end, p_partkey) as i from part) where i = 1")

@@ -53,11 +53,9 @@ with l as (select label, (generate_subscripts(embedding, 1) - 1)::int as f, unne
 select round(1 - sum((l.x - c.m) ** 2) / sum((l.x - t.m) ** 2), 8) as r2 from l join c using (label, f) join t using (f)
 """)
 def _(spark, d):
-    long = table(spark, d, "embeddings").select("label", F.posexplode(_e()).alias("f", "x"))
-    # Sums by class and component tell both errors, so rows are read once and joined with nothing.
-    per = long.groupBy("label", "f").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    f = per.groupBy("f").agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("sse"), (F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")).alias("sst"))
-    return f.agg(F.round(1 - F.sum("sse") / F.sum("sst"), 8).alias("r2"))
+    from ..operators.statistics import between_classes
+
+    return between_classes(table(spark, d, "embeddings"), "embedding", "label").select(F.round("r2", 8).alias("r2"))
 
 
 @query("vec06_gram_matrix", """
@@ -141,37 +139,42 @@ with e as (select user_id, event_type, round(abs(avg(value) - 50), 8) as effect
 select user_id, least(20.0, low)::double as common, case when n < 5 then 'incomplete' when least(20.0, low) >= 2 then 'eligible' else 'below_floor' end as status from m
 """)
 def _(spark, d):
+    from ..operators.statistics import common_effect
+
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.abs(F.avg("value") - 50), 8).alias("effect"))
-    m = e.groupBy("user_id").agg(F.least(F.lit(20.0), F.min("effect")).alias("common"), F.count("*").alias("n"))
-    return m.select("user_id", "common", F.when(F.col("n") < 5, "incomplete").when(F.col("common") >= 2, "eligible").otherwise("below_floor").alias("status"))
+    return common_effect(e, "user_id", "effect", 5, 20.0, 2.0)
 
 
 @query("mod25_record_metrics", """
 select l_orderkey, max(case when l_linenumber = 1 then d end) as target, round(sqrt(avg(case when l_linenumber > 1 then d * d end)), 8) as cross_rms, round(max(abs(d)), 8) as top, round(sqrt(sum(d * d)), 8) as l2 from (select l_orderkey, l_linenumber, min(l_discount - 0.05) as d from lineitem group by all) group by all
 """)
 def _(spark, d):
+    from ..operators.statistics import record_metrics
+
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_discount") - 0.05).alias("d"))
-    x = F.col("d")
-    return li.groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linenumber") == 1, x)).alias("target"), F.round(F.sqrt(F.avg(F.when(F.col("l_linenumber") > 1, x * x))), 8).alias("cross_rms"), F.round(F.max(F.abs(x)), 8).alias("top"), F.round(F.sqrt(F.sum(x * x)), 8).alias("l2"))
+    return record_metrics(li, "l_orderkey", "d", F.col("l_linenumber") == 1).select("l_orderkey", "target", *[F.round(c, 8).alias(c) for c in ("cross_rms", "top", "l2")])
 
 
 @query("mod36_tier_flags", "select c_custkey, c_acctbal > 0 as tier0, c_acctbal > 2500 as tier1, c_acctbal > 5000 as tier2, (c_acctbal > 0)::int + (c_acctbal > 2500)::int + (c_acctbal > 5000)::int as tiers from customer")
 def _(spark, d):
-    flags = [(F.col("c_acctbal") > x).alias(f"tier{i}") for i, x in enumerate((0, 2500, 5000))]
-    return table(spark, d, "customer").select("c_custkey", *flags).withColumn("tiers", sum(F.col(f"tier{i}").cast("int") for i in range(3)))
+    from ..operators.statistics import tier_flags
+
+    return tier_flags(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", (0, 2500, 5000)).drop("c_acctbal")
 
 
 @query("mod08_closure_ratio", "select event_type, round(case when abs(m - 45) >= 0.5 then (a - 45) / (m - 45) end, 8) as closure from (select event_type, avg(value) as m, avg(value) filter (user_id % 2 = 0) as a from events group by all)")
 def _(spark, d):
-    s = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))).alias("a"))
-    return s.select("event_type", F.round(F.when(F.abs(F.col("m") - 45) >= 0.5, (F.col("a") - 45) / (F.col("m") - 45)), 8).alias("closure"))
+    from ..operators.statistics import closure
+
+    return closure(table(spark, d, "events"), "event_type", "value", F.col("user_id") % 2 == 0, 45).select("event_type", F.round("closure", 8).alias("closure"))
 
 
 @query("mod45_dose_sweep", "select l_suppkey, dose, round(dose * avg(l_discount - 0.05) + 1, 9) as effect from lineitem, unnest([0.25, 0.5, 1.0, 2.0]::double[]) as u(dose) group by l_suppkey, dose")
 def _(spark, d):
-    # The effect is linear in the dose, so that doses meet one row per supplier.
-    m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg(F.col("l_discount") - 0.05).alias("m"))
-    return m.select("l_suppkey", "m", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0)))).alias("dose")).select("l_suppkey", "dose", F.round(F.col("dose") * F.col("m") + 1, 9).alias("effect"))
+    from ..operators.statistics import dose_sweep
+
+    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_discount") - 0.05).alias("e"))
+    return dose_sweep(li, "l_suppkey", "e", (0.25, 0.5, 1.0, 2.0), 1.0).withColumn("effect", F.round("effect", 9))
 
 
 @query("mod01_ridge")
