@@ -66,6 +66,8 @@ def test_first_interval_closed_and_overlapping(spark):
     i = spark.createDataFrame([(1, "a", 0, 5), (1, "b", 5, 10)], "k int, name string, s int, e int")
     got = {r["id"]: r["name"] for r in rel.first_interval(p, i, "k", "t", "s", "e", ["s", "name"]).collect()}
     assert got == {1: "a", 2: "b"}
+    for width in (1.0, 3.0, 100.0):
+        assert {r["id"]: r["name"] for r in rel.first_interval(p, i, "k", "t", "s", "e", ["s", "name"], width).collect()} == got
 
 
 def test_grid_gaps_and_front(spark):

@@ -110,10 +110,20 @@ def against_baseline(df: DataFrame, method: str, baseline: str, keys, values) ->
     return out.withColumns({f"delta_{v}": F.col(v) - F.col(f"base_{v}") for v in _keys(values)})
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, order) -> DataFrame:
-    """Points with the first interval of their key that holds them, ends included. An equi-join on the key; points that no
-    interval holds are dropped."""
-    hit = points.join(intervals, key).where(F.col(at).between(F.col(start), F.col(end)))
+def first_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, order, width: float | None = None) -> DataFrame:
+    """Points with the first interval of their key that holds them, ends included; points that no interval holds are
+    dropped. With ``width`` (of numbers, or seconds), time is cut into pieces: intervals stand in each piece that they
+    touch, and a point meets those of its own piece only, so that a key of many rows makes no pairs of all of them."""
+    on, left, right = [key], points, intervals
+    if width:
+        def piece(df: DataFrame, c: str) -> Column:
+            x = F.col(c).cast("timestamp") if dict(df.dtypes)[c].startswith("timestamp") else F.col(c)
+            return F.floor(x.cast("double") / width)
+
+        left = points.withColumn("_piece", piece(points, at))
+        right = intervals.where(F.col(start) <= F.col(end)).withColumn("_piece", F.explode(F.sequence(piece(intervals, start), piece(intervals, end))))
+        on.append("_piece")
+    hit = left.join(right, on).where(F.col(at).between(F.col(start), F.col(end))).drop("_piece")
     return top_per_key(hit, points.columns, order)
 
 

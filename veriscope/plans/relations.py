@@ -182,7 +182,7 @@ def _(spark, d):
     e = table(spark, d, "events")
     i = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("interval_id"), F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 6 hours")).alias("end_ts"))
     points = e.where("event_type <> 'signup'").select("event_id", "user_id", "ts")
-    return rel.first_interval(points, i, "user_id", "ts", "start_ts", "end_ts", ["start_ts", "interval_id"]).select("event_id", "interval_id")
+    return rel.first_interval(points, i, "user_id", "ts", "start_ts", "end_ts", ["start_ts", "interval_id"], width=6 * 3600.0).select("event_id", "interval_id")
 
 
 @query("join11_id_intersection", "select o_custkey as id from orders intersect select c_custkey from customer where c_acctbal > 0")
