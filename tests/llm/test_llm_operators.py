@@ -376,6 +376,10 @@ def test_html_template_texts_go(spark):
         assert out[20 + i]["text"] == f"Page {i}\nA long text that three addresses share, word for word, to the end.\nAnd its second part, too."
     assert out[30]["text"].split("\n")[1:] == ["Summary", "x", *(f"s{i}" for i in range(6000)), "end"]
     assert out[31]["text"].count("\n") == 5999
+    assert out[31]["by_wrapper"]
+    a, b = ([["=", True, f"<h{c}", "", 1] for c in s] for s in ("aabcab", "aaxcyab"))
+    shape = lambda w: "".join(("?" if i[0] == "?" else "") + html_text._inner(i)[2][2:] for i in w)
+    assert shape(html_text.align(a, b)) == "aa?b?xc?yab" and shape(html_text.align(a, a)) == "aabcab"
     by_elements = html_text.tokens(rows[0][2])
     assert html_text.blocks(by_elements, html_text.zones([s for s, _ in by_elements])).startswith("My site")
 
