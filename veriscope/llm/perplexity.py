@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -260,11 +259,14 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = 6, heldout: int = 10
         values = np.zeros(len(keys), np.float32)
         for shard, payload in zip(right["shard"].to_pylist(), right["payload"].to_pylist()):
             values[edge[shard] : edge[shard + 1]] = unpack_ints(payload, np.uint32).view(np.float32)
-        known = pa.array(keys)
+        order_ = np.argsort(keys)
+        keys, values = keys[order_], values[order_]
         size, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for _, _, data, off in texts(docs_):
-            at = pc.index_in(pa.array(grams(data, off, order)), value_set=known).to_numpy()
-            total = np.concatenate(([0.0], np.cumsum(values[at], dtype=np.float64)))
+        for _, _, data, off in texts(docs_, 4 << 20):
+            coded = pa.array(grams(data, off, order)).dictionary_encode()
+            own = values[np.searchsorted(keys, coded.dictionary.to_numpy())]
+            at = coded.indices.to_numpy()
+            total = np.concatenate(([0.0], np.cumsum(own[at], dtype=np.float64)))
             size.append(np.diff(off))
             nll.append(-np.diff(total[off]))
         return pa.table([docs_["doc_id"].cast(arrow.field("doc_id").type), docs_["lang"].cast(arrow.field("lang").type), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(nll), pa.float64())], schema=arrow)
