@@ -10,6 +10,8 @@ from .rules import op3_quality_rules
 from .simhash import op2_simhash
 from .substrings import OP8_SQL, op8_substring_dedup
 from .suffixes import op10_suffix_dedup
+from .variants import OP13_SQL, op13_spelling_variants
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -22,9 +24,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op6_mixing": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
