@@ -593,7 +593,7 @@ def of(spark, name):
 def test_every_operator_is_registered():
     from veriscope.llm.queries import ORACLE_SQL, QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_op1_columns(spark):

@@ -1,6 +1,7 @@
 """One query per operator over its whole table, and SQL where SQL can express it."""
 
 from .html_text import op5_html_extraction
+from .jaccard import OP12_SQL, op12_ngram_jaccard
 from .licenses import op9_license_scan
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op4_cross_polytope
@@ -25,11 +26,13 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op6_mixing": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op12_ngram_jaccard": OP12_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
