@@ -77,7 +77,7 @@ def explained(m: Moments, features: int, w: np.ndarray, b: float, target: int =
 
 def part(m: Moments, at: list[int]) -> Moments:
     """The moments of some of the columns."""
-    return Moments(m.n, m.sums[at], m.gram[np.ix_(at, at)])
+    return m.part(at)
 
 
 def top_k_curve(train: Moments, test: Moments, features: int, ks, alpha: float) -> list[tuple[int, float]]:

@@ -104,19 +104,53 @@ def resample(df: DataFrame, vector: str, n: int) -> DataFrame:
 
 
 class Moments:
-    """n, sums and Gram matrix of rows (features, then targets), and what follows from them. ``d`` columns make a d x d
-    matrix, whatever the number of rows."""
-
-    def __init__(self, n: float, sums: np.ndarray, gram: np.ndarray):
-        self.n, self.sums, self.gram = n, sums, gram
+    """Count, means and centred scatter of rows (features, then targets), and what follows from them. ``d`` columns make a
+    d x d matrix, whatever the number of rows. Means are kept as an origin, one of the rows, and what is left to it, so that
+    nothing is lost where they are large beside the deviations."""
+
+    def __init__(self, n: float, origin: np.ndarray, shift: np.ndarray, scatter: np.ndarray):
+        self.n, self.origin, self.shift, self.scatter = n, origin, shift, scatter
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Moments:
+        y = rows - rows[0]
+        shift = y.mean(0)
+        y -= shift
+        return cls(len(rows), rows[0].copy(), shift, y.T @ y)
+
+    def merge(self, other: Moments) -> Moments:
+        """Of both sets of rows, by Chan's formula."""
+        if not self.n or not other.n:
+            return self if self.n else other
+        moved = (other.origin - self.origin) + (other.shift - self.shift)
+        n = self.n + other.n
+        return Moments(n, self.origin, self.shift + moved * (other.n / n), self.scatter + other.scatter + np.outer(moved, moved) * (self.n * other.n / n))
+
+    def part(self, at: list[int]) -> Moments:
+        """The moments of some of the columns."""
+        return Moments(self.n, self.origin[at], self.shift[at], self.scatter[np.ix_(at, at)])
+
+    def tobytes(self) -> bytes:
+        return np.concatenate([[self.n], self.origin, self.shift, self.scatter.ravel()]).tobytes()
+
+    @classmethod
+    def frombytes(cls, raw: bytes) -> Moments:
+        x = np.frombuffer(raw)
+        d = math.isqrt(len(x)) - 1  # d * d + 2 * d + 1 numbers
+        return cls(x[0], x[1 : d + 1], x[d + 1 : 2 * d + 1], x[2 * d + 1 :].reshape(d, d))
 
     @property
     def mean(self) -> np.ndarray:
-        return self.sums / max(self.n, 1)
+        return self.origin + self.shift
 
     @property
     def covariance(self) -> np.ndarray:
-        return self.gram / max(self.n, 1) - np.outer(self.mean, self.mean)
+        return self.scatter / max(self.n, 1)
+
+    @property
+    def gram(self) -> np.ndarray:
+        """Sums of products, not centred."""
+        return self.scatter + self.n * np.outer(self.mean, self.mean)
 
 
 #: Columns that a Gram matrix may have (its square comes to the driver).
@@ -130,32 +164,29 @@ def moments(df: DataFrame, vector: str, targets: list[str] | None = None) -> Mom
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), *[F.col(t).cast("double") for t in targets]).dropna()
 
     def run(batches):
-        gram = None
+        held = None
         for b in batches:
             if not len(b):
                 continue
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
             if x.shape[1] + len(targets) > WIDEST:
                 raise ValueError("vectors too wide for a Gram matrix")
-            m = np.column_stack([np.ones(len(b)), x, *(b.column(t).to_numpy(zero_copy_only=False) for t in targets)])
-            gram = m.T @ m if gram is None else gram + m.T @ m
-        if gram is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["gram"])
+            own = Moments.of(np.column_stack([x, *(b.column(t).to_numpy(zero_copy_only=False) for t in targets)]))
+            held = own if held is None else held.merge(own)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["moments"])
 
     def add(batches):
         total = None
         for b in batches:
-            for raw in b.column("gram").to_pylist():
-                g = np.frombuffer(raw)
-                total = g.copy() if total is None else total + g
+            for raw in b.column("moments").to_pylist():
+                own = Moments.frombytes(raw)
+                total = own if total is None else total.merge(own)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["gram"])
-
-    # One matrix a partition, added up by some tasks, then on the driver.
-    parts = rows.mapInArrow(run, "gram binary").repartition(16).mapInArrow(add, "gram binary").collect()
-    if not parts:
-        return Moments(0, np.zeros(0), np.zeros((0, 0)))
-    total = sum(np.frombuffer(bytes(r["gram"])) for r in parts)
-    d = math.isqrt(len(total))
-    g = total.reshape(d, d)
-    return Moments(g[0, 0], g[0, 1:], g[1:, 1:])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["moments"])
+
+    # One scatter a partition, merged by some tasks, then on the driver.
+    total = Moments(0, np.zeros(0), np.zeros(0), np.zeros((0, 0)))
+    for r in rows.mapInArrow(run, "moments binary").repartition(16).mapInArrow(add, "moments binary").collect():
+        total = total.merge(Moments.frombytes(bytes(r["moments"])))
+    return total
