@@ -30,11 +30,13 @@ def top_per_key(df: DataFrame, key, order, n: int = 1) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, key, order: str) -> DataFrame:
-    """The row of each key that comes last; blank keys are left out. One aggregate, no sort."""
+    """The row of each key that comes last, of equals the one whose other columns are greatest; blank keys are left out. One
+    aggregate, no sort; columns that have no order (maps) break no ties."""
     keys = _keys(key)
     rest = [c for c in df.columns if c not in keys]
     full = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]))
-    return full.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    ties = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString() and "variant" not in df.schema[c].dataType.simpleString()]
+    return full.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), *ties)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def duplicate_keys(df: DataFrame, key) -> DataFrame:
@@ -62,6 +64,43 @@ def numbered(df: DataFrame, order, name: str = "i", part: str | None = None) ->
     return out.withColumnRenamed("_part", part) if part else out.drop("_part")
 
 
+#: Bytes that a plan may be estimated at for its keys to be ordered in one task each.
+SMALL = 64 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the plan's statistics bound a DataFrame by ``SMALL``; what they don't know counts as large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+
+
+def running(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with sums over the rows of its key that come before it in order; the order must be total within a key.
+
+    Small tables take a window by key. In larger ones a key may hold any share of the rows: they are dealt into ranges of
+    (keys, order) and written, so that both passes see the same ones; each range sums up its keys, and what a key that goes
+    on from the range before brings along, one row a range at most, is added to the running sums within the range."""
+    k, by = _keys(keys), ordered(*(order if isinstance(order, (list, tuple)) else [order]))
+    own = [f"_run_{i}" for i in range(len(sums))]
+    df = df.withColumns(dict(zip(own, sums.values())))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(df.schema[c].dataType))
+    if is_small(df):
+        w = Window.partitionBy(*k).orderBy(*by)
+        return df.withColumns({name: before(c, w) for name, c in zip(sums, own)}).drop(*own)
+    placed = df.repartitionByRange(*k, *by).withColumn("_run_range", F.spark_partition_id())
+    path = scratch_folder(df.sparkSession)
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    per = placed.groupBy("_run_range", *k).agg(*[F.sum(c).alias(c) for c in own])
+    w = Window.partitionBy(*k).orderBy("_run_range")
+    carried = per.withColumn("_run_turn", F.row_number().over(w)).select("_run_turn", F.col("_run_range").alias("_run_in"), *[F.col(c).alias(f"_run_key_{c}") for c in k], *[before(c, w).alias(f"_run_before{c}") for c in own]).where("_run_turn > 1").drop("_run_turn")
+    w = Window.partitionBy("_run_range", *k).orderBy(*by)
+    within = placed.withColumns({name: before(c, w) for name, c in zip(sums, own)})
+    same = [F.col("_run_range") == F.col("_run_in"), *[F.col(c).eqNullSafe(F.col(f"_run_key_{c}")) for c in k]]
+    out = within.join(F.broadcast(carried), same, "left")
+    out = out.withColumns({name: F.col(name) + F.coalesce(f"_run_before{c}", F.lit(0)) for name, c in zip(sums, own)})
+    return out.select(*[c for c in df.columns if c not in own], *sums)
+
+
 def strided(df: DataFrame, order, shards: int, shard: int) -> DataFrame:
     """Every ``shards``-th row in order."""
     return numbered(df, order, "_at").where(F.pmod(F.col("_at") - 1, F.lit(shards)) == shard).drop("_at")
@@ -139,15 +178,15 @@ def nearest_match(left: DataFrame, right: DataFrame, key, value: str, other: str
     """For each left row the right row of its key whose value is nearest; ties to the smaller ``tie``. Keys without a right
     row are left out.
 
-    Only the neighbours below and above in order can be nearest, so that both sides are sorted by value within a key and
-    no pairs are made. Of right rows of one value the smallest ``tie`` stands for all."""
+    Only the neighbours below and above in order can be nearest, so that both sides are sorted by value within a key, once
+    up and once down, and no pairs are made; each row takes what the running order last saw. Of right rows of one value the
+    smallest ``tie`` stands for all."""
     k = _keys(key)
     r = right.groupBy(*k, F.col(other).alias("_v")).agg(F.min(tie).alias("_t")).select(*k, "_v", F.struct(F.col("_v").alias("v"), F.col("_t").alias("t")).alias("_r"), F.lit(None).alias("_l"))
-    both = left.select(*k, F.col(value).alias("_v"), F.lit(None).alias("_r"), F.struct(*left.columns).alias("_l"))
-    w = Window.partitionBy(*k).orderBy("_v")
-    below = F.last("_r", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("_r", True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = both.unionByName(r).withColumn("_a", below).withColumn("_b", above).where("_l is not null and (_a is not null or _b is not null)")
+    both = left.select(*k, F.col(value).alias("_v"), F.lit(None).alias("_r"), F.struct(*left.columns).alias("_l")).unionByName(r)
+    # Right rows come first among equal values, both ways.
+    seen = lambda v: F.last("_r", True).over(Window.partitionBy(*k).orderBy(v, F.col("_r").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_a", seen(F.col("_v").asc())).withColumn("_b", seen(F.col("_v").desc())).where("_l is not null and (_a is not null or _b is not null)")
     gap = lambda c: F.abs(F.col("_v") - F.col(f"{c}.v"))
     first = (F.col("_b").isNull()) | (gap("_a") < gap("_b")) | ((gap("_a") == gap("_b")) & (F.col("_a.t") <= F.col("_b.t")))
     pick = F.when(F.col("_a").isNotNull() & first, F.col("_a")).otherwise(F.col("_b"))

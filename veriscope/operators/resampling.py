@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .relational import _keys
-from .statistics import adjust
+from .relational import _keys, running
+from .statistics import adjust, pilot
 
 
 def uniform(*parts) -> Column:
@@ -58,8 +58,7 @@ def bootstrap_auroc(df: DataFrame, cluster: str, score: str, label: str, weights
     k, y = _keys(keys), F.col(label).cast("double")
     per = df.groupBy(cluster, *k, score).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_n"))
     by = per.join(weights, cluster).groupBy("draw", *k, score).agg(F.sum(F.col("w") * F.col("_p")).alias("_p"), F.sum(F.col("w") * F.col("_n")).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("draw", *k).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = by.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2)).groupBy("draw", *k).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    s = running(by, ["draw", *k], score, {"_below": F.col("_n")}).withColumn("_u", F.col("_p") * (F.col("_below") + F.col("_n") / 2)).groupBy("draw", *k).agg(F.sum("_u").alias("_u"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return s.select("draw", *k, (F.col("_u") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0.0))).alias("auroc"))
 
 
@@ -73,8 +72,9 @@ def auroc_difference(df: DataFrame, cluster: str, first: str, second: str, label
 
 def fit_metrics(df: DataFrame, cluster: str, actual: str, predicted: str, weights: DataFrame, keys=()) -> DataFrame:
     """(draw, keys, r2, r): explained variance and correlation of a prediction, from cluster sums."""
-    x, y, one = F.col(predicted), F.col(actual), F.lit(1.0)
-    s = bootstrap_sums(df, cluster, {"n": one, "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y, "sse": (y - x) * (y - x)}, weights, keys)
+    x0, y0 = pilot(df, predicted, actual)
+    x, y, one = F.col(predicted) - x0, F.col(actual) - y0, F.lit(1.0)
+    s = bootstrap_sums(df, cluster, {"n": one, "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y, "sse": (F.col(actual) - F.col(predicted)) * (F.col(actual) - F.col(predicted))}, weights, keys)
     n, vy, vx = F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n"), F.col("xx") - F.col("x") * F.col("x") / F.col("n")
     r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(F.nullif(vx * vy, F.lit(0.0)))
     return s.select("draw", *_keys(keys), (1 - F.col("sse") / F.nullif(vy, F.lit(0.0))).alias("r2"), r.alias("r"))

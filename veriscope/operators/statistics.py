@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import _keys, numbered, top_per_key
+from .relational import _keys, is_small, numbered, running, top_per_key
 
 # Correlation
 
@@ -32,8 +32,21 @@ def correlation(n, s_z, s_zz, s_y, s_yy, s_zy, least: float = 1e-12, none: float
 SUMS = ("n", "s_z", "s_zz", "s_y", "s_yy", "s_zy")
 
 
-def correlations(df: DataFrame, keys, z: str, y: str, none: float | None = 0.0, rows: int = 2) -> DataFrame:
-    return sufficient(df, keys, z, y).select(*_keys(keys), "n", correlation(*SUMS, none=none, rows=rows).alias("r"))
+def correlations(df: DataFrame, keys, z: str, y: str, none: float | None = 0.0, rows: int = 2, least: float = 1e-12) -> DataFrame:
+    """(keys, n, r): Pearson over rows where both values are there; ``none`` as in ``correlation``. Variances and covariance
+    are merged about their means, so that large means cost no digits."""
+    zz, yy = (F.when(F.col(z).isNotNull() & F.col(y).isNotNull(), F.col(c)).cast("double") for c in (z, y))
+    s = df.groupBy(*_keys(keys)).agg(F.count(zz + yy).alias("n"), F.var_pop(zz).alias("_vz"), F.var_pop(yy).alias("_vy"), F.covar_pop(zz, yy).alias("_c")).where("n > 0")
+    r = F.col("_c") / F.sqrt(F.col("_vz") * F.col("_vy"))
+    there = (F.col("n") >= rows) & (F.col("_vz") * F.col("n") > least) & (F.col("_vy") * F.col("n") > least)
+    return s.select(*_keys(keys), "n", F.when(there, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).otherwise(F.lit(none).cast("double")).alias("r"))
+
+
+def pilot(df: DataFrame, *columns: str) -> list[float]:
+    """One row's values, to be taken off before raw sums are made: sums about a value near the mean keep the digits that
+    sums about zero lose where the mean is large. Zeros without such a row."""
+    first = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).dropna().first()
+    return [x if math.isfinite(x) else 0.0 for x in first] if first else [0.0] * len(columns)
 
 
 def long_vectors(df: DataFrame, key, vector: str, value: str = "value") -> DataFrame:
@@ -49,34 +62,44 @@ def select_first_best(assoc: DataFrame, target: str, feature: str, value: str) -
 def class_correlations(rows: DataFrame, vector: str, label: str, classes: DataFrame) -> DataFrame:
     """Pearson of each feature with each one-vs-rest class: (feature, target, n, r).
 
-    Only n, Σx, Σx² per feature and Σx per feature and class are needed, so that no row meets every class.
+    Only n, mean and variance per feature and class are needed, so that no row meets every class; they are merged about
+    the features' means.
     """
     long = long_vectors(rows.select(label, vector), label, vector)
-    per = long.groupBy("feature", label).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    total = per.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s_z"), F.sum("q").alias("s_zz"))
-    mine = per.select("feature", F.col(label).alias("target"), F.col("n").cast("double").alias("s_y"), F.col("s").alias("s_zy"))
-    every = total.crossJoin(F.broadcast(classes.select(F.col(label).alias("target")).distinct()))
-    joined = every.join(mine, ["feature", "target"], "left").na.fill(0.0, ["s_y", "s_zy"]).withColumn("s_yy", F.col("s_y"))
-    return joined.select("feature", "target", "n", correlation(*SUMS).alias("r"))
+    per = long.groupBy("feature", label).agg(F.count("*").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
+    over = Window.partitionBy("feature")
+    mean = (F.sum(F.col("_n") * F.col("_m")).over(over) / F.sum("_n").over(over)).alias("_mean")
+    per = per.select("feature", label, "_n", "_v", F.sum("_n").over(over).alias("n"), (F.col("_m") - mean).alias("_gap"))
+    total = per.groupBy("feature").agg(F.max("n").alias("n"), F.sum(F.col("_n") * (F.col("_v") + F.col("_gap") * F.col("_gap"))).alias("_sz"))
+    mine = per.select("feature", F.col(label).alias("target"), "_n", (F.col("_n") * F.col("_gap")).alias("_c"))
+    named = classes.select(F.col(label).alias("target")).distinct()
+    every = total.crossJoin(F.broadcast(named) if named.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES else named)
+    joined = every.join(mine, ["feature", "target"], "left").na.fill(0, ["_n", "_c"])
+    sy = F.col("_n") - F.col("_n") * F.col("_n") / F.col("n")
+    r = F.when((F.col("n") >= 2) & (F.col("_sz") > 1e-12) & (sy > 1e-12), F.col("_c") / F.sqrt(F.col("_sz") * sy)).otherwise(0.0)
+    return joined.select("feature", "target", "n", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
+
+
+#: Classes that are sent to every task beside the features; more are joined without.
+MOST_CLASSES = 100_000
 
 
 # Ranks
 
 
 def mid_ranks(df: DataFrame, keys, value: str) -> DataFrame:
-    """Average ranks of ties within a key: by distinct value first, so that ties are counted, not sorted."""
+    """Average ranks of ties within a key: by distinct value first, so that ties are counted, not sorted; distinct values are
+    ranked by ``running``, so that a key of any number of them is no single task's."""
     k = _keys(keys)
     n = df.groupBy(*k, value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*k).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("mid_rank", below + (F.col("_n") + 1) / 2)
+    return running(n, k, value, {"_below": F.col("_n")}).withColumn("mid_rank", F.col("_below") + (F.col("_n") + 1) / 2).drop("_below")
 
 
 def auroc(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     """Tie-aware area under the ROC curve by key; null with one class only."""
     k = _keys(keys)
     n = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*k, score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*k).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = n.withColumn("_rank", below + (F.col("_n") + 1) / 2)
+    ranked = running(n, k, score, {"_below": F.col("_n")}).withColumn("_rank", F.col("_below") + (F.col("_n") + 1) / 2)
     s = ranked.groupBy(*k).agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"), F.sum(F.col("_rank") * F.col("_p")).alias("rank_sum"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return s.select(*k, "n", F.when((p > 0) & (q > 0), (F.col("rank_sum") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
@@ -89,8 +112,7 @@ def class_auroc(rows: DataFrame, vector: str, label: str, digits: int | None = N
     long = long.withColumn("value", F.round("value", digits)) if digits is not None else long
     per = long.groupBy("feature", "value", label).agg(F.count("*").alias("_p"))
     n = per.groupBy("feature", "value").agg(F.sum("_p").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = n.select("feature", "value", (below + (F.col("_n") + 1) / 2).alias("_mid"))
+    ranked = running(n, "feature", "value", {"_below": F.col("_n")}).select("feature", "value", (F.col("_below") + (F.col("_n") + 1) / 2).alias("_mid"))
     every = n.groupBy("feature").agg(F.sum("_n").alias("n"))
     s = per.join(ranked, ["feature", "value"]).groupBy("feature", F.col(label).alias("target")).agg(F.sum("_p").alias("_p"), F.sum(F.col("_mid") * F.col("_p")).alias("_m"))
     p, q = F.col("_p"), F.col("n") - F.col("_p")
@@ -99,9 +121,9 @@ def class_auroc(rows: DataFrame, vector: str, label: str, digits: int | None = N
 
 def reach(df: DataFrame, value: str, name: str = "reach") -> DataFrame:
     """``df`` with the number of rows whose value is as large or larger, itself among them. Rows are counted by distinct
-    value first; the window runs over these."""
+    value first, and these are summed up by ``running``."""
     n = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    at_least = n.select("_v", F.sum("_n").over(Window.orderBy(F.col("_v").desc())).alias(name))
+    at_least = running(n, [], F.col("_v").desc(), {"_above": F.col("_n")}).select("_v", (F.col("_above") + F.col("_n")).alias(name))
     return df.join(at_least, F.col(value) == F.col("_v")).drop("_v")
 
 
@@ -109,8 +131,7 @@ def average_precision(df: DataFrame, keys, score: str, label: str) -> DataFrame:
     """Area under precision and recall, ties taken together."""
     k = _keys(keys)
     n = df.groupBy(*k, score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p"))
-    w = Window.partitionBy(*k).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = n.withColumn("_precision", F.sum("_p").over(w) / F.sum("_n").over(w))
+    cum = running(n, k, F.col(score).desc(), {"_pa": F.col("_p"), "_na": F.col("_n")}).withColumn("_precision", (F.col("_pa") + F.col("_p")) / (F.col("_na") + F.col("_n")))
     return cum.groupBy(*k).agg((F.sum(F.col("_precision") * F.col("_p")) / F.nullif(F.sum("_p"), F.lit(0.0))).alias("ap"))
 
 
@@ -147,8 +168,9 @@ def higher_quantile(df: DataFrame, keys, value: str, q: float) -> DataFrame:
     """The order statistic at or above the quantile, by distinct value first."""
     k = _keys(keys)
     n = df.groupBy(*k, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*k)
-    r = n.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    upto = running(n, k, value, {"_below": F.col("_n")}).withColumn("_upto", F.col("_below") + F.col("_n"))
+    total = n.groupBy(*k).agg(F.sum("_n").alias("_all"))
+    r = upto.join(total, k) if k else upto.crossJoin(F.broadcast(total))
     return r.where(F.col("_upto") > F.ceil((F.col("_all") - 1) * F.lit(q))).groupBy(*k).agg(F.min(value).alias("threshold"))
 
 
@@ -175,7 +197,9 @@ def adjust(df: DataFrame, panel, p: str, tie) -> DataFrame:
 
 def adjust_large(df: DataFrame, p: str, tie) -> DataFrame:
     """``adjust`` of one panel of any size: places come from ranges, and so does the reverse running minimum, which takes a
-    window within each range and the least of the later ones."""
+    window within each range and the least of the later ones. A small panel is one window's."""
+    if is_small(df):
+        return adjust(df.withColumn("_panel", F.lit(1)), "_panel", p, tie).drop("_panel")
     have = df.where(F.col(p).isNotNull())
     at = numbered(have, [p, *_keys(tie)], "_i", "_part")
     sizes = at.groupBy("_part").agg(F.count("*").alias("_n"), F.min(F.col(p) / F.col("_i")).alias("_least"))
@@ -193,13 +217,13 @@ def smd(df: DataFrame, keys, group: str, value: str) -> DataFrame:
 
 
 def slope(df: DataFrame, keys, x: str, y: str) -> DataFrame:
-    """Least squares line with the slope's standard error."""
-    s = sufficient(df, keys, x, y)
-    n, vx = F.col("n"), F.col("s_zz") - F.col("s_z") * F.col("s_z") / F.col("n")
-    cxy, vy = F.col("s_zy") - F.col("s_z") * F.col("s_y") / n, F.col("s_yy") - F.col("s_y") * F.col("s_y") / n
-    b = cxy / F.nullif(vx, F.lit(0.0))
-    rest = F.greatest(vy - b * cxy, F.lit(0.0))
-    return s.select(*_keys(keys), "n", b.alias("slope"), ((F.col("s_y") - b * F.col("s_z")) / n).alias("intercept"), F.sqrt(rest / F.nullif(n - 2, F.lit(0)) / F.nullif(vx, F.lit(0.0))).alias("se"))
+    """Least squares line with the slope's standard error, from sums about the means."""
+    zz, yy = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c)).cast("double") for c in (x, y))
+    s = df.groupBy(*_keys(keys)).agg(F.count(zz + yy).alias("n"), F.avg(zz).alias("_x"), F.avg(yy).alias("_y"), F.var_pop(zz).alias("_vx"), F.var_pop(yy).alias("_vy"), F.covar_pop(zz, yy).alias("_c")).where("n > 0")
+    n, vx = F.col("n"), F.nullif("_vx", F.lit(0.0))
+    b = F.col("_c") / vx
+    rest = F.greatest(F.col("_vy") - b * F.col("_c"), F.lit(0.0))
+    return s.select(*_keys(keys), "n", b.alias("slope"), (F.col("_y") - b * F.col("_x")).alias("intercept"), F.sqrt(rest / F.nullif(n - 2, F.lit(0)) / vx).alias("se"))
 
 
 # Bootstrap
@@ -220,8 +244,10 @@ def draws(spark, clusters: DataFrame, key: str, n: int, seed: int = 0) -> DataFr
 
 
 def bootstrap_correlation(df: DataFrame, cluster: str, z: str, y: str, weights: DataFrame) -> DataFrame:
-    """(draw, r): clusters are summed up before they meet the draws, so that rows are read once."""
-    s = sufficient(df, cluster, z, y).join(weights, cluster)
+    """(draw, r): clusters are summed up before they meet the draws, so that rows are read once. Sums
+    are taken about one row's values."""
+    z0, y0 = pilot(df, z, y)
+    s = sufficient(df.withColumns({z: F.col(z) - z0, y: F.col(y) - y0}), cluster, z, y).join(weights, cluster)
     w = F.col("w")
     sums = s.groupBy("draw").agg(*[F.sum(w * F.col(c)).alias(c) for c in SUMS])
     return sums.select("draw", correlation(*SUMS).alias("r"))
@@ -262,8 +288,7 @@ def weighted_auroc(df: DataFrame, keys, score: str, label: str, weight: str) ->
     """(keys, auroc): tie-aware, each row with its weight; null with one class only."""
     k, y, w = _keys(keys), F.col(label), F.col(weight)
     a = df.groupBy(*k, score).agg(F.sum(F.when(y, w).otherwise(0)).alias("_p"), F.sum(F.when(y, 0).otherwise(w)).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*k).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = a.withColumn("_below", below).groupBy(*k).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    s = running(a, k, score, {"_below": F.col("_q")}).groupBy(*k).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     return s.select(*k, (F.col("_u") / F.nullif((F.col("_p") * F.col("_q")).cast("double"), F.lit(0.0))).alias("auroc"))
 
 
@@ -292,7 +317,7 @@ def cumulative_weight(df: DataFrame, keys, value: str) -> DataFrame:
     """(keys, value, below): how many rows of the group have this value or a smaller one, by distinct value."""
     k = _keys(keys)
     n = df.groupBy(*k, value).agg(F.count("*").alias("_n"))
-    return n.select(*k, value, F.sum("_n").over(Window.partitionBy(*k).orderBy(value)).alias("below"))
+    return running(n, k, value, {"_before": F.col("_n")}).select(*k, value, (F.col("_before") + F.col("_n")).alias("below"))
 
 
 def round_robin(rankings: list[tuple[DataFrame, str]], item: str, most: int) -> DataFrame:
@@ -351,6 +376,8 @@ def dose_sweep(df: DataFrame, key: str, effect: str, doses, offset: float = 0.0)
 def between_classes(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(r2,): the share of the variance of all components that class means explain, from sums by class and component; rows
     are read once and joined with nothing."""
-    per = long_vectors(df.select(label, vector), label, vector, "_x").groupBy(label, "feature").agg(F.count("*").alias("_n"), F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q"))
-    f = per.groupBy("feature").agg(F.sum(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")).alias("_e"), (F.sum("_q") - F.sum("_s") * F.sum("_s") / F.sum("_n")).alias("_t"))
-    return f.agg((1 - F.sum("_e") / F.sum("_t")).alias("r2"))
+    per = long_vectors(df.select(label, vector), label, vector, "_x").groupBy(label, "feature").agg(F.count("*").alias("_n"), F.avg("_x").alias("_m"), F.var_pop("_x").alias("_v"))
+    over = Window.partitionBy("feature")
+    gap = F.col("_m") - F.sum(F.col("_n") * F.col("_m")).over(over) / F.sum("_n").over(over)
+    s = per.withColumn("_gap", gap).agg(F.sum(F.col("_n") * F.col("_v")).alias("_e"), F.sum(F.col("_n") * F.col("_gap") * F.col("_gap")).alias("_b"))
+    return s.select((1 - F.col("_e") / (F.col("_e") + F.col("_b"))).alias("r2"))

@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(c) -> Column:
@@ -79,28 +81,41 @@ def centre_crop(v, n: int) -> Column:
 
 
 def resample(df: DataFrame, vector: str, n: int) -> DataFrame:
-    """Vectors resampled to ``n`` values through their Fourier transform; null stays null."""
-
-    def one(x: np.ndarray) -> np.ndarray:
-        f = np.fft.rfft(x)
-        keep = np.zeros(n // 2 + 1, complex)
-        m = min(len(x), n) // 2 + 1
-        keep[:m] = f[:m]
-        if min(len(x), n) % 2 == 0 and n != len(x):
-            keep[min(len(x), n) // 2] *= 2 if n < len(x) else 0.5
-            if n < len(x):
-                keep[n // 2] = keep[n // 2].real
-        return np.fft.irfft(keep, n) * n / len(x)
-
-    schema = ", ".join(f"{f.name} {'array<double>' if f.name == vector else f.dataType.simpleString()}" for f in df.schema)
+    """Vectors resampled to ``n`` values through their Fourier transform; null stays null, an empty vector becomes null.
+    Vectors of one length are transformed together."""
+
+    def some(x: np.ndarray) -> np.ndarray:
+        size = x.shape[1]
+        f = np.fft.rfft(x, axis=1)
+        keep = np.zeros((len(x), n // 2 + 1), complex)
+        m = min(size, n) // 2 + 1
+        keep[:, :m] = f[:, :m]
+        if min(size, n) % 2 == 0 and n != size:
+            keep[:, min(size, n) // 2] *= 2 if n < size else 0.5
+            if n < size:
+                keep[:, n // 2] = keep[:, n // 2].real
+        return np.fft.irfft(keep, n, axis=1) * n / size
+
+    own = [c for c in df.columns if c != vector]
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == vector else f for f in df.schema])
 
     def run(batches):
         for b in batches:
-            out = [None if x is None else one(np.asarray(x, float)).tolist() for x in b.column(vector).to_pylist()]
-            cols = [pa.array(out, pa.list_(pa.float64())) if name == vector else b.column(name) for name in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
-
-    return df.mapInArrow(run, schema)
+            if not len(b):
+                continue
+            v = b.column("_v")
+            size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+            end = np.cumsum(size)
+            flat = v.flatten().to_numpy(zero_copy_only=False)
+            out = np.zeros((len(b), n))
+            for length in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == length)
+                out[at] = some(flat[(end[at] - length)[:, None] + np.arange(length)])
+            there = size > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(there, n, 0))), pa.int32()), pa.array(out[there].ravel()), mask=pa.array(~there))
+            yield pa.RecordBatch.from_arrays([lists if f.name == vector else b.column(f.name) for f in schema], schema.names)
+
+    return df.select(*own, F.col(vector).cast("array<double>").alias("_v")).mapInArrow(run, schema)
 
 
 class Moments:
