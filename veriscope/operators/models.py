@@ -109,11 +109,18 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def matched_cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean cosine of two sets of directions under their best matching."""
+def matched_cosines(a: np.ndarray, b: np.ndarray, signed: bool = True) -> np.ndarray:
+    """The cosines of two sets of directions under their best matching; without ``signed`` their sizes count, so that a
+    direction and its opposite are one."""
     a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
     c = a @ b.T
-    return float(c[np.arange(len(a)), assignment(-c)].mean())
+    c = c if signed else np.abs(c)
+    return c[np.arange(len(a)), assignment(-c)]
+
+
+def matched_cosine(a: np.ndarray, b: np.ndarray, signed: bool = True) -> float:
+    """Their mean."""
+    return float(matched_cosines(a, b, signed).mean())
 
 
 def _root(c: np.ndarray, inverse: bool, least: float = 1e-10) -> np.ndarray:
@@ -129,11 +136,13 @@ def matrix_root(c: np.ndarray, inverse: bool = False) -> np.ndarray:
 
 
 class Eraser:
-    """Least-squares concept erasure: after ``apply`` no linear function of the vector covaries with the labels."""
+    """Least-squares concept erasure: after ``apply`` no linear function of the vector covaries with the labels. ``ridge`` adds
+    a share of the mean variance to the covariance."""
 
-    def __init__(self, m: Moments, features: int):
+    def __init__(self, m: Moments, features: int, ridge: float = 0.0):
         c = m.covariance
         xx, xz = c[:features, :features], c[:features, features:]
+        xx = xx + ridge * np.trace(xx) / max(1, features) * np.eye(features)
         white, colour = _root(xx, True), _root(xx, False)
         u, s, _ = np.linalg.svd(white @ xz, full_matrices=False)
         u = u[:, s > 1e-10]

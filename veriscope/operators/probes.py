@@ -17,7 +17,7 @@ from .models import Ridge
 from .relational import _keys
 from .resampling import uniform
 from .statistics import adjust, class_correlations, correlations, log_area
-from .vectors import Moments, moments
+from .vectors import Moments, masked_moments, moments
 
 # Maps of vectors
 
@@ -56,13 +56,13 @@ def linear_map(df: DataFrame, vector: str, name: str, matrix: np.ndarray, shift:
 
 
 def masked_ridge(train: DataFrame, vector: str, targets: list[str], alpha: float, least: int = 50) -> dict[str, tuple[np.ndarray, float]]:
-    """For each target (weights, intercept) at one penalty, from the rows that have it; all targets need ``least`` rows."""
-    few = train.agg(*[F.count(F.when(F.col(vector).isNotNull(), F.col(t))).alias(t) for t in targets]).first()
-    if short := {t: few[t] for t in targets if few[t] < least}:
+    """For each target (weights, intercept) at one penalty, from the rows that have it; all targets need ``least`` rows. One
+    pass for all targets."""
+    found, out = masked_moments(train, vector, targets), {}
+    if short := {t: int(m.n) for t, m in found.items() if m.n < least}:
         raise Rejected(f"too few rows: {short}")
-    d, out = len(train.select(vector).where(F.col(vector).isNotNull()).first()[0]), {}
-    for t in targets:
-        w, b = Ridge(moments(train, vector, [t]), d).solve(alpha)
+    for t, m in found.items():
+        w, b = Ridge(m, len(m.shift) - 1).solve(alpha)
         out[t] = (w[:, 0], float(b[0]))
     return out
 

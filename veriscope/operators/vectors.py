@@ -145,6 +145,16 @@ class Moments:
         """The moments of some of the columns."""
         return Moments(self.n, self.origin[at], self.shift[at], self.scatter[np.ix_(at, at)])
 
+    def mapped(self, matrix: np.ndarray, about: np.ndarray) -> Moments:
+        """The moments once the first columns are mapped by ``matrix`` about a point; the others stay. No row is read."""
+        d, k = len(about), len(self.shift)
+        full = np.eye(k)
+        full[:d, :d] = matrix
+        origin = self.origin.copy()
+        origin[:d] = about
+        shift = self.mean - origin
+        return Moments(self.n, origin, full @ shift, full @ self.scatter @ full.T)
+
     def tobytes(self) -> bytes:
         return np.concatenate([[self.n], self.origin, self.shift, self.scatter.ravel()]).tobytes()
 
@@ -172,6 +182,59 @@ class Moments:
 WIDEST = 4096
 
 
+def summed(parts: DataFrame, merge, most: int = 16) -> list[bytes]:
+    """Rows of one binary ``sums`` merged by some tasks; the driver gets ``most`` at most. ``merge(a, b)`` of two of them."""
+
+    def add(batches):
+        total = None
+        for b in batches:
+            for raw in b.column("sums").to_pylist():
+                total = raw if total is None else merge(total, raw)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], ["sums"])
+
+    return [bytes(r["sums"]) for r in parts.repartition(most).mapInArrow(add, "sums binary").collect()]
+
+
+def masked_moments(df: DataFrame, vector: str, targets: list[str]) -> dict[str, Moments]:
+    """For each target the moments of vector and target over the rows that have both, all from one pass. Targets times
+    squared width are bounded by ``WIDEST`` squared."""
+    rows = df.select(F.col(vector).cast("array<double>").alias("v"), *[F.nanvl(F.col(t).cast("double"), F.lit(None)).alias(f"t{i}") for i, t in enumerate(targets)]).where("v is not null")
+    empty = Moments(0, np.zeros(0), np.zeros(0), np.zeros((0, 0)))
+
+    def pack(own: list[Moments]) -> bytes:
+        raw = [m.tobytes() for m in own]
+        return np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(raw)
+
+    def unpack(raw: bytes) -> list[Moments]:
+        size = np.frombuffer(raw[: 8 * len(targets)], np.int64)
+        end = 8 * len(targets) + np.cumsum(size)
+        return [Moments.frombytes(raw[e - n : e]) for n, e in zip(size, end)]
+
+    def run(batches):
+        held = [empty] * len(targets)
+        for b in batches:
+            if not len(b):
+                continue
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            if (x.shape[1] + 1) ** 2 * len(targets) > WIDEST**2:
+                raise ValueError("vectors too wide for so many targets")
+            for i in range(len(targets)):
+                y = b.column(f"t{i}").to_numpy(zero_copy_only=False).astype(float)
+                there = ~np.isnan(y)
+                if there.any():
+                    held[i] = held[i].merge(Moments.of(np.column_stack([x[there], y[there]])))
+        yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], ["sums"])
+
+    def merge(a: bytes, b: bytes) -> bytes:
+        return pack([x.merge(y) for x, y in zip(unpack(a), unpack(b))])
+
+    total = [empty] * len(targets)
+    for raw in summed(rows.mapInArrow(run, "sums binary"), merge):
+        total = [x.merge(y) for x, y in zip(total, unpack(raw))]
+    return dict(zip(targets, total))
+
+
 def moments(df: DataFrame, vector: str, targets: list[str] | None = None) -> Moments:
     """One pass: each partition sums up its rows' products, some tasks add these matrices up, the driver the last of them.
     Rows with a null in the vector or a target are left out."""
@@ -189,19 +252,10 @@ def moments(df: DataFrame, vector: str, targets: list[str] | None = None) -> Mom
             own = Moments.of(np.column_stack([x, *(b.column(t).to_numpy(zero_copy_only=False) for t in targets)]))
             held = own if held is None else held.merge(own)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["moments"])
-
-    def add(batches):
-        total = None
-        for b in batches:
-            for raw in b.column("moments").to_pylist():
-                own = Moments.frombytes(raw)
-                total = own if total is None else total.merge(own)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["moments"])
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["sums"])
 
     # One scatter a partition, merged by some tasks, then on the driver.
     total = Moments(0, np.zeros(0), np.zeros(0), np.zeros((0, 0)))
-    for r in rows.mapInArrow(run, "moments binary").repartition(16).mapInArrow(add, "moments binary").collect():
-        total = total.merge(Moments.frombytes(bytes(r["moments"])))
+    for raw in summed(rows.mapInArrow(run, "sums binary"), lambda a, b: Moments.frombytes(a).merge(Moments.frombytes(b)).tobytes()):
+        total = total.merge(Moments.frombytes(raw))
     return total
