@@ -48,7 +48,7 @@ class LogisticFits:
     come from one scan a step. ``strength`` is the inverse penalty on the sum of losses; ``balanced`` weighs rows so that
     classes count alike. A step that raises a problem's loss is halved. ``scans`` counts the passes over the rows."""
 
-    def __init__(self, strengths=(0.01, 0.1, 1.0, 10.0), balanced: bool = True, penalise_intercept: bool = False, rounds: int = 60, tolerance: float = 1e-9):
+    def __init__(self, strengths=(0.01, 0.1, 1.0, 10.0), balanced: bool = True, penalise_intercept: bool = False, rounds: int = 60, tolerance: float = 1e-11):
         self.strengths, self.balanced, self.penalise_intercept = tuple(strengths), balanced, penalise_intercept
         self.rounds, self.tolerance, self.scans = rounds, tolerance, 0
         self.problems: list[Problem] = []

@@ -20,6 +20,13 @@ def ordered(*order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, written to the shared folder and read again: later steps don't compute it anew."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Keys and ranking
 
 
@@ -55,9 +62,7 @@ def numbered(df: DataFrame, order, name: str = "i", part: str | None = None) ->
     keys = ordered(*_keys(order))
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_part"), within.alias("_within"))
-    path = scratch_folder(df.sparkSession)
-    placed.write.parquet(path)
-    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    placed = cut(placed)
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
     out = placed.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_within") + 1).drop("_before", "_within")
@@ -87,9 +92,7 @@ def running(df: DataFrame, keys, order, sums: dict[str, Column]) -> DataFrame:
         w = Window.partitionBy(*k).orderBy(*by)
         return df.withColumns({name: before(c, w) for name, c in zip(sums, own)}).drop(*own)
     placed = df.repartitionByRange(*k, *by).withColumn("_run_range", F.spark_partition_id())
-    path = scratch_folder(df.sparkSession)
-    placed.write.parquet(path)
-    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    placed = cut(placed)
     per = placed.groupBy("_run_range", *k).agg(*[F.sum(c).alias(c) for c in own])
     w = Window.partitionBy(*k).orderBy("_run_range")
     carried = per.withColumn("_run_turn", F.row_number().over(w)).select("_run_turn", F.col("_run_range").alias("_run_in"), *[F.col(c).alias(f"_run_key_{c}") for c in k], *[before(c, w).alias(f"_run_before{c}") for c in own]).where("_run_turn > 1").drop("_run_turn")
@@ -111,6 +114,15 @@ def positional(left: DataFrame, right: DataFrame, left_order, right_order) -> Da
     return numbered(left, left_order, "_at").join(numbered(right, right_order, "_at"), "_at").drop("_at")
 
 
+def order_agreement(left: DataFrame, right: DataFrame, key: str, left_order, right_order) -> DataFrame:
+    """(n, moved, only_left, only_right): whether two tables hold the same records in the same order, before they are joined
+    by place: how many keys they share, how many of these have another place, and how many one side lacks."""
+    a = numbered(left.select(key, *[c for c in _keys(left_order) if c != key]), left_order, "_a").select(key, "_a")
+    b = numbered(right.select(key, *[c for c in _keys(right_order) if c != key]), right_order, "_b").select(key, "_b")
+    both = a.join(b, key, "full")
+    return both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n"), F.count_if(F.col("_a") != F.col("_b")).alias("moved"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"))
+
+
 def bottom_by_hash(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
     """The ``n`` rows whose SHA-256 is smallest: a sample that reruns repeat."""
     return df.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)).limit(n)

@@ -54,6 +54,16 @@ def long_vectors(df: DataFrame, key, vector: str, value: str = "value") -> DataF
     return df.select(*_keys(key), F.posexplode(F.col(vector).cast("array<double>")).alias("feature", value))
 
 
+def _about_first(rows: DataFrame, key, vector: str, value: str = "value") -> DataFrame:
+    """``long_vectors`` less the components of one row's vector (a row a component, sent to every task), so that what is
+    averaged is of the size of the deviations."""
+    first = rows.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").limit(1)
+    about = {r["i"]: r["x"] for r in first.select(F.posexplode("v").alias("i", "x")).collect()}
+    table = rows.sparkSession.createDataFrame([(i, x if x is not None and math.isfinite(x) else 0.0) for i, x in about.items()], "feature int, _about double")
+    long = long_vectors(rows, key, vector, value).join(F.broadcast(table), "feature", "left")
+    return long.withColumn(value, F.col(value) - F.coalesce("_about", F.lit(0.0))).drop("_about")
+
+
 def select_first_best(assoc: DataFrame, target: str, feature: str, value: str) -> DataFrame:
     """For each target the feature of largest size, the first of equals."""
     return top_per_key(assoc, target, [F.abs(F.col(value)).desc(), F.col(feature)])
@@ -65,7 +75,7 @@ def class_correlations(rows: DataFrame, vector: str, label: str, classes: DataFr
     Only n, mean and variance per feature and class are needed, so that no row meets every class; they are merged about
     the features' means.
     """
-    long = long_vectors(rows.select(label, vector), label, vector)
+    long = _about_first(rows.select(label, vector), label, vector)
     per = long.groupBy("feature", label).agg(F.count("*").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
     over = Window.partitionBy("feature")
     mean = (F.sum(F.col("_n") * F.col("_m")).over(over) / F.sum("_n").over(over)).alias("_mean")
@@ -376,7 +386,7 @@ def dose_sweep(df: DataFrame, key: str, effect: str, doses, offset: float = 0.0)
 def between_classes(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(r2,): the share of the variance of all components that class means explain, from sums by class and component; rows
     are read once and joined with nothing."""
-    per = long_vectors(df.select(label, vector), label, vector, "_x").groupBy(label, "feature").agg(F.count("*").alias("_n"), F.avg("_x").alias("_m"), F.var_pop("_x").alias("_v"))
+    per = _about_first(df.select(label, vector), label, vector, "_x").groupBy(label, "feature").agg(F.count("*").alias("_n"), F.avg("_x").alias("_m"), F.var_pop("_x").alias("_v"))
     over = Window.partitionBy("feature")
     gap = F.col("_m") - F.sum(F.col("_n") * F.col("_m")).over(over) / F.sum("_n").over(over)
     s = per.withColumn("_gap", gap).agg(F.sum(F.col("_n") * F.col("_v")).alias("_e"), F.sum(F.col("_n") * F.col("_gap") * F.col("_gap")).alias("_b"))

@@ -28,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import artifacts, expressions, inference, probes, relations, resampling, sparse, statistics, vectors  # noqa: E402, F401
+from . import artifacts, expressions, heads, inference, probes, relations, resampling, sparse, statistics, vectors  # noqa: E402, F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import audit
 from ..operators import relational as rel
-from ..sources import sinks
+from ..sources import binary, sinks
 from ..sources import tables as src
 from . import query, table
 
@@ -105,12 +105,29 @@ def _(spark, d):
     return src.shard_index(o, shards, "o_orderkey", F.when(F.col("o_orderkey") % 10 < 7, "train").otherwise("test"))
 
 
-@query("src16_matrix_rows", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as s from embeddings")
+@query("src16_matrix_rows", "select vec_id, i, x from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings) where i between 3 and 6")
 def _(spark, d):
+    """Matrices of up to 50 rows, of both orders of axes and of bytes, written and read in ranges; four columns are read."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
     path = src.scratch_folder(spark)
-    sinks.write_not_empty(table(spark, d, "embeddings").select("vec_id", "embedding"), path)
-    e = spark.read.parquet(path)
-    return e.select("vec_id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("s"))
+
+    def write(t: pa.Table) -> pa.Table:
+        t, g = t.sort_by("vec_id"), t["g"][0].as_py()
+        x = np.array(t["v"].to_pylist(), dtype=("<f4", ">f4", "<f8", ">f8")[g % 4], order="CF"[g // 4 % 2])
+        out = io.BytesIO()
+        np.save(out, x)
+        binary.write(f"{path}/{g}.npy", out.getvalue())
+        return pa.table({"g": [g], "row": [list(range(len(t)))], "vec_id": [t["vec_id"].to_pylist()]})
+
+    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("g"), F.col("embedding").alias("v"))
+    index = e.groupBy("g").applyInArrow(write, "g long, row array<long>, vec_id array<long>")
+    places = rel.cut(index).select("g", F.explode(F.arrays_zip("row", "vec_id")).alias("z")).select("g", "z.row", "z.vec_id")
+    rows = binary.read_matrices(spark, path, "3:7", range_bytes=4096).withColumn("g", F.regexp_extract("file", r"(\d+)\.npy$", 1).cast("long"))
+    return rows.join(places, ["g", "row"]).select("vec_id", F.posexplode("values").alias("i", "x")).select("vec_id", (F.col("i") + 3).cast("long").alias("i"), "x")
 
 
 @query("snk02_not_empty", "select n_nationkey, n_name from nation")
@@ -221,11 +238,14 @@ def _(spark, d):
     return s.select("l_returnflag", F.round(F.col("q")[1], 8).alias("location"), F.round(F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-8)), 8).alias("scale"))
 
 
-@query("join21_record_order", "select count(*) as n, 0::bigint as moved from orders")
+@query("join21_record_order", """
+with a as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as i from orders), b as (select o_orderkey, row_number() over (order by o_orderdate, o_custkey, o_orderkey) as i from orders where o_orderkey % 50 <> 7 or o_custkey % 2 = 0)
+select count(*) filter (a.i is not null and b.i is not null) as n, count(*) filter (a.i <> b.i) as moved, count(*) filter (b.i is null) as only_left, count(*) filter (a.i is null) as only_right from a full join b using (o_orderkey)
+""")
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    both = o.join(o.select("o_orderkey", F.col("o_totalprice").alias("other")), "o_orderkey", "full")
-    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("o_totalprice").eqNullSafe(F.col("other"))).alias("moved"))
+    o = table(spark, d, "orders")
+    other = o.where("o_orderkey % 50 <> 7 or o_custkey % 2 = 0")
+    return rel.order_agreement(o, other, "o_orderkey", ["o_orderdate", "o_orderkey"], ["o_orderdate", "o_custkey", "o_orderkey"])
 
 
 @query("win11_reverse_running_minimum", "select p_brand, p_partkey, min(p_retailprice) over (partition by p_brand order by p_partkey desc rows unbounded preceding) as low from part")

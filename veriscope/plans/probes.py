@@ -318,18 +318,26 @@ def _(spark, d):
     return spark.createDataFrame(rows, "a int, b int, agreement double")
 
 
-@query("vec09_subspace_overlap", "select 3 as rank, 1.0::double as same, 0.0::double as apart")
+@query("vec09_subspace_overlap", f"""
+with m as {_MEANS}, p as (select x.label as k, x.a as a, y.a as b from m x join m y on y.label = x.label + 1),
+v as (select x.k as x, y.k as y, list_dot_product(x.a, x.a) as xx, list_dot_product(x.b, x.b) as ll, list_dot_product(x.a, x.b) as xl, list_dot_product(y.a, y.a) as yy, list_dot_product(y.b, y.b) as mm, list_dot_product(y.a, y.b) as ym,
+  list_dot_product(x.a, y.a) as a, list_dot_product(x.a, y.b) as b, list_dot_product(x.b, y.a) as c, list_dot_product(x.b, y.b) as d from p x join p y on x.k < y.k)
+select x, y, round((ll * (a * (mm * a - ym * b) + b * (yy * b - ym * a)) - 2 * xl * (a * (mm * c - ym * d) + b * (yy * d - ym * c)) + xx * (c * (mm * c - ym * d) + d * (yy * d - ym * c))) / ((xx * ll - xl * xl) * (yy * mm - ym * ym)) / 2, 8) as overlap from v
+""")
 def _(spark, d):
-    rows, _ = models.principal_directions(v.moments(table(spark, d, "embeddings"), "embedding"), 6)
-    turned = np.array([[0.6, 0.8, 0.0], [-0.8, 0.6, 0.0], [0.0, 0.0, -1.0]]) @ rows[:3]
-    return spark.createDataFrame([(3, round(models.subspace_overlap(rows[:3], turned), 8), abs(round(models.subspace_overlap(rows[:3], rows[3:]), 8)))], "rank int, same double, apart double")
+    """The overlap of the planes that two neighbouring classes' means span, for every two planes."""
+    labels, m = _means(spark, d)
+    planes = {k: np.stack([m[i], m[labels.index(k + 1)]]) for i, k in enumerate(labels) if k + 1 in labels}
+    return spark.createDataFrame([(x, y, round(models.subspace_overlap(planes[x], planes[y]), 8)) for x in planes for y in planes if x < y], "x int, y int, overlap double")
 
 
-@query("mod18_random_basis", "select i::int as i, j::int as j, (i = j)::int::double as dot from range(0, 8) a(i), range(0, 8) b(j)")
+@query("mod18_random_basis", "select vec_id, round(list_dot_product(embedding::double[], embedding::double[]), 8) as energy from embeddings")
 def _(spark, d):
-    width = table(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
-    g = pr.random_basis(8, width, 3)
-    return spark.createDataFrame([(i, j, abs(round(float(g[i] @ g[j]), 8))) for i in range(8) for j in range(8)], "i int, j int, dot double")
+    """The energy of every vector in a random basis of the whole space, which is its own."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    turned = pr.linear_map(e, "embedding", "turned", pr.random_basis(width, width, 3))
+    return turned.select("vec_id", F.round(v.dot("turned", "turned"), 8).alias("energy"))
 
 
 @query("vec16_greatest_cosine", """
@@ -468,12 +476,20 @@ def _(spark, d):
     return spark.createDataFrame([(c, a, int((w != 0).sum()))], "strength double, auroc double, used int")
 
 
-@query("mod16_independent_components", "select i::int as i, j::int as j, (i = j)::int::double as covariance from range(0, 4) a(i), range(0, 4) b(j)")
+@query("mod16_independent_components", "select component, n, 1.0::double as agreement from (select 'discount' as component union all select 'quantity' union all select 'tax'), (select count(*) as n from lineitem)")
 def _(spark, d):
-    e = table(spark, d, "embeddings")
-    w, _ = pr.independent_components(e, "embedding", 4, rounds=8)
-    c = w @ v.moments(e, "embedding").covariance @ w.T
-    return spark.createDataFrame([(i, j, abs(round(float(x), 7))) for (i, j), x in np.ndenumerate(c)], "i int, j int, covariance double")
+    """Quantities, discounts and taxes, which are independent, mixed with one another and found again: each one's greatest
+    correlation with a component, to one digit."""
+    from ..operators import statistics as st
+
+    q, x, t = F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12
+    li = table(spark, d, "lineitem").select(q.alias("quantity"), x.alias("discount"), t.alias("tax"), F.array(q + 0.5 * x - 0.3 * t, x - 0.4 * q + 0.6 * t, t + 0.7 * q + 0.2 * x).alias("v"))
+    w, _ = pr.independent_components(li, "v", 3, rounds=60)
+    found = pr.linear_map(li, "v", "c", w)
+    each = F.explode(F.create_map(F.lit("quantity"), F.col("quantity"), F.lit("discount"), F.col("discount"), F.lit("tax"), F.col("tax"))).alias("component", "s")
+    long = found.select("c", each).select("component", "s", F.posexplode("c").alias("i", "x"))
+    r = st.correlations(long, ["component", "i"], "s", "x")
+    return r.groupBy("component").agg(F.max("n").alias("n"), F.round(F.max(F.abs("r")), 1).alias("agreement"))
 
 
 @query("mod35_orthogonal_set")
@@ -489,15 +505,6 @@ def _(spark, d):
     return spark.createDataFrame([(int(f),) for f in kept], "feature int")
 
 
-@query("mod40_functional_stability")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    a, b = (models.principal_directions(v.moments(e.where(f"vec_id % 2 = {i}"), "embedding"), 5)[0] for i in (0, 1))
-    random = models.subspace_overlap(pr.random_basis(5, a.shape[1], 1), pr.random_basis(5, a.shape[1], 2))
-    overlap = models.subspace_overlap(a, b)
-    return spark.createDataFrame([(models.matched_cosine(np.abs(a), np.abs(b)), overlap, overlap - random)], "matched double, overlap double, beyond_random double")
-
-
 @query("sig06_interval_features", """
 with s as (select user_id, list(event_id order by event_id) as m from events group by user_id), d as (select user_id, list_sort(list_filter([m[i + 1] - m[i] for i in range(1, len(m))], lambda x: x between 5 and 500)) as g from s)
 select user_id, len(g) as n, case when len(g) > 0 then (g[(len(g) + 1) // 2] + g[len(g) // 2 + 1]) / 2.0::double end as median from d

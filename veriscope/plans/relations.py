@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import relational as rel
+from ..sources import binary
 from ..sources import tables as src
 from . import query, table
 
@@ -48,10 +49,34 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("L"), (k % 12).cast("string")).alias("lead"), gain.alias("gain"), baseline.alias("baseline"))
 
 
-@query("src12_physical_units", "select vec_id, list_sum(list_transform(embedding, lambda x: (x::double - 0.25) / 2))::double > 0 as positive from embeddings")
+@query("src12_physical_units", """
+select 'r' || (vec_id // 50)::varchar as record, 'L' || k::varchar as name, (row_number() over (partition by vec_id // 50, k order by vec_id) - 1)::bigint as place, round((greatest(least(floor(embedding[k + 1]::double * 1000), 2047), -2048) - (k - 3)) / (900 + 10 * k)::double, 9) as value
+from embeddings, range(0, 8) t(k)
+""")
 def _(spark, d):
-    v = src.physical_units(F.col("embedding").cast("array<double>"), F.lit(2.0), F.lit(0.25))
-    return table(spark, d, "embeddings").select("vec_id", (F.aggregate(v, F.lit(0.0), lambda a, x: a + x) > 0).alias("positive"))
+    """Records of eight leads over some 50 vectors, written with 16 or 12 bits a sample or as an array file, and read back."""
+    import struct
+
+    import numpy as np
+    import pyarrow as pa
+
+    path = src.scratch_folder(spark)
+
+    def write(t: pa.Table) -> pa.Table:
+        t, g = t.sort_by("vec_id"), t["g"][0].as_py()
+        x = np.clip(np.floor(np.array(t["v"].to_pylist(), float)[:, :8] * 1000), -2048, 2047).astype(np.int64)
+        array = struct.pack("<5i", 30, 8, len(x), 0, 4) + b"val\0" + x.astype("<i2").tobytes()
+        file, kind, raw = ((f"r{g}.dat", "212", binary.pack_12(x.ravel())), (f"r{g}.dat", "16", x.astype("<i2").tobytes()), (f"r{g}.mat", "16+24", array), (f"r{g}.mat", "16", array))[g % 4]
+        lines = [f"r{g} 8 500 {len(x)}"] + [f"{file} {kind} {900 + 10 * k}({k - 3})/mV 16 0 0 0 0 L{k}" for k in range(8)]
+        binary.write(f"{path}/{file}", raw)
+        binary.write(f"{path}/r{g}.hea", "\n".join(lines).encode())
+        return pa.table({"g": [g]})
+
+    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("g"), F.col("embedding").alias("v"))
+    e.groupBy("g").applyInArrow(write, "g long").count()
+    got = binary.read_records(spark, path, samples=120)
+    long = got.where("status is null").select("record", "name", "first", F.posexplode("values").alias("i", "value"))
+    return long.select("record", "name", (F.col("first") + F.col("i")).alias("place"), F.round("value", 9).alias("value"))
 
 
 @query("src14_manifest_page", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' order by o_orderkey offset 50 limit 25")

@@ -210,14 +210,6 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", v.dot(_e(), models.weights_column(u)).alias("projection"))
 
 
-@query("vec10_matched_directions")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    a = models.principal_directions(v.moments(e.where("vec_id % 2 = 0"), "embedding"), 8)[0]
-    b = models.principal_directions(v.moments(e.where("vec_id % 2 = 1"), "embedding"), 8)[0]
-    return spark.createDataFrame([(models.matched_cosine(np.abs(a), np.abs(b)), models.subspace_overlap(a, b))], "matched double, overlap double")
-
-
 @query("vec12_linear_cka")
 def _(spark, d):
     return spark.createDataFrame([(models.linear_cka(v.moments(table(spark, d, "embeddings"), "embedding"), 32),)], "cka double")

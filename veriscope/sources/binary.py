@@ -47,6 +47,14 @@ def matching(path: str, suffixes: tuple[str, ...]) -> list[str]:
     return sorted(root + f[len(at.rstrip("/")) :] for f in found)
 
 
+def write(path: str, content: bytes) -> None:
+    """A file of some bytes, and the folders above it."""
+    store, at = opened(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(content)
+
+
 # Matrices
 
 
