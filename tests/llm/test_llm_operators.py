@@ -153,6 +153,78 @@ def test_links_are_exact_over_many_leaves(spark, monkeypatch):
     assert got == {(i, find(i)) for i in linked}
 
 
+@pytest.mark.parametrize("second", [None, 3])
+def test_dense_groups_take_two_turns(spark, monkeypatch, second):
+    """One clump in which most values are near its centre, one whose values are only near their neighbours, and strangers."""
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    monkeypatch.setattr(simhash, "LEADERS", 8)
+    rng = np.random.default_rng(8)
+    flip = lambda c, k: int(c) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False))
+    centre, fps = int(rng.integers(0, 2**63)), set()
+    fps |= {flip(centre, rng.integers(1, 5)) for _ in range(1500)}
+    fps |= {flip(centre, 9) for _ in range(150)}
+    walk = int(rng.integers(0, 2**63))
+    for _ in range(300):
+        walk = flip(walk, 3)
+        fps.add(walk)
+    fps = sorted(fps | {int(x) for x in rng.integers(0, 2**63, 200)})
+    checks = [int(x) for x in rng.integers(0, 4, len(fps))]
+    low = lambda f: f if f < 2**63 else f - 2**64
+    df = spark.createDataFrame([(low(f), i, c) for i, (f, c) in enumerate(zip(fps, checks))], "fp long, node long, check long")
+    got = {(r["node"], r["root"]) for r in components(simhash.links(df if second else df.drop("check"), 4, second and 1)).collect()}
+    x, y = np.array(fps, np.uint64), np.array(checks, np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None]) <= 4
+    if second:
+        near &= np.bitwise_count(y[:, None] ^ y[None]) <= 1
+    root = np.arange(len(x))
+    while True:
+        new = np.where(near, root[None], len(x)).min(1)
+        if (new == root).all():
+            break
+        root = new
+    assert got == {(i, int(root[i])) for i in np.flatnonzero(near.sum(1) > 1).tolist()}
+
+
+def test_a_dense_group_is_linear(spark, monkeypatch):
+    """Twenty thousand different values within four bits of one: parts get the leaders and what strays, not all visitors."""
+    monkeypatch.setattr(simhash, "LEAF", 32)
+    rng = np.random.default_rng(9)
+    fps = [0, *sorted({sum(1 << int(b) for b in rng.choice(62, 4, replace=False)) for _ in range(20_800)} - {0})[:19_999]]
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long").repartition(8)
+    seen = []
+    real = simhash._spanning
+    sent = spark.sparkContext.accumulator(0)
+
+    def counted(h, q, near, check=None):
+        sent.add(len(h) * len(q))
+        return real(h, q, near, check)
+
+    simhash._spanning = counted
+    try:
+        edges = simhash.links(df, 4)
+        seen.append(edges.count())
+    finally:
+        simhash._spanning = real
+    assert {r["root"] for r in components(edges).collect()} == {0}
+    assert sent.value < len(fps) ** 2 / 2, sent.value
+
+
+def test_several_fingerprints_are_searched(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for k in rng.choice(150, 2, replace=False):
+            t[k] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    d = spark.createDataFrame([*rows, (100, " ".join(f"v{i}" for i in range(150))), (101, None), (102, "")], "doc_id long, text string")
+    one, four = (simhash.near_duplicates(d, near=3, second=40, prints=4, search=k).where("doc_id < 100").select("component_id").distinct().count() for k in (1, 4))
+    assert four <= one
+    wide = dict(rows_of(simhash.near_duplicates(d, near=7, second=40, prints=4, search=4), "doc_id", "component_id"))
+    assert {wide[i] for i in range(60)} == {0} and wide[100] == 100 and wide[101] == wide[102] == 101
+
+
 def test_near_duplicates_empty(none):
     assert simhash.near_duplicates(none).isEmpty()
 

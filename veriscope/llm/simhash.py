@@ -19,6 +19,8 @@ MOST_LEAVES = 1 << 20
 HOT = 1000
 #: Values of the sample that serve as vantage points, in turn.
 POINTS = 4096
+#: Leaders of a dense shard, about.
+LEADERS = 128
 #: The trees' thresholds are taken from one in so many fingerprints, drawn by hash, and from so many at most.
 ONE_IN, SAMPLE = 8, 1 << 17
 
@@ -30,15 +32,15 @@ def _lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int, second: bool = False) -> np.ndarray:
-    """The fingerprint of each text; with ``second`` another one beside it, of the same hashes mixed."""
+def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int, more: int = 0) -> np.ndarray:
+    """The fingerprint of each text, and ``more`` others beside it, of the same hashes mixed."""
     import xxhash
 
     w = Words(_lowered(data), off)
     n = np.diff(w.first)
     many = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(np.int64))
     total = int(many.sum())
-    out = np.zeros((2, len(n)) if second else len(n), np.uint64)
+    out = np.zeros((1 + more, len(n)), np.uint64)
     if not total:
         return out
     begin = np.cumsum(many) - many
@@ -49,10 +51,9 @@ def _prints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int, second:
     h = np.fromiter((digest(text[i:j], seed) for i, j in zip(a, b)), np.uint64, total)
     used = np.flatnonzero(many)
     edge = np.append(begin[used], total)
-    if second:
-        out[0], out[1] = (_majority(x, used, edge, many, len(n)) for x in (h, mix(h)))
-        return out
-    return _majority(h, used, edge, many, len(n))
+    for i in range(1 + more):
+        out[i] = _majority(mix(h ^ np.uint64((i - 1) * 0x9E3779B97F4A7C15 % 2**64)) if i else h, used, edge, many, len(n))
+    return out
 
 
 def _majority(h: np.ndarray, used: np.ndarray, edge: np.ndarray, many: np.ndarray, texts: int) -> np.ndarray:
@@ -76,19 +77,25 @@ def _majority(h: np.ndarray, used: np.ndarray, edge: np.ndarray, many: np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, second: bool = False) -> DataFrame:
+def _names(more: int) -> list[str]:
+    return ["fp", *("check" if i == 1 else f"check{i}" for i in range(1, more + 1))]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, more: int = 0) -> DataFrame:
     """``doc_id`` and ``fp`` (64 bits as a long) of every whole text: A-Z lower-cased, words between ASCII white space,
     shingles of ``shingle`` words with repeats, XXH64; a bit is set if more than half the hashes have it. Texts with fewer
-    words are one shingle; those without words, null among them, have 0. ``second`` adds ``check``, 64 bits more."""
+    words are one shingle; those without words, null among them, have 0. ``more`` adds so many others of 64 bits: ``check``,
+    ``check2`` and so on."""
+    names = _names(more)
 
     def run(batches):
         for b in batches:
             data, off = strings(b.column("text"))
             for lo, hi in chunks(off):
-                fp = _prints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle, seed, second).reshape(-1, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(x.view(np.int64)) for x in fp)], ["doc_id", "fp", "check"][: 1 + len(fp)])
+                fp = _prints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle, seed, more)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(x.view(np.int64)) for x in fp)], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long" + ", check long" * second)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
 class Tree:
@@ -157,7 +164,7 @@ class Tree:
 
 def _spanning(h: np.ndarray, q: np.ndarray, near: int, check: tuple[np.ndarray, np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (index in h, index in q) that tie together whatever ``near`` bits tie, without all pairs of a clump. ``check``
-    has other fingerprints of both, and how many bits these may differ by."""
+    has other fingerprints of both, a row each, and how many bits all of these may differ by."""
     got_a, got_b = [], []
     for lo in range(0, len(h), 256):
         rows = h[lo : lo + 256]
@@ -165,7 +172,10 @@ def _spanning(h: np.ndarray, q: np.ndarray, near: int, check: tuple[np.ndarray,
             hit = np.bitwise_count(rows[:, None] ^ q[None, at : at + (1 << 14)]) <= near
             some = np.flatnonzero(hit.any(0))
             if len(some) and check is not None:
-                hit = hit[:, some] & (np.bitwise_count(check[0][lo : lo + 256, None] ^ check[1][None, at + some]) <= check[2])
+                r, c = np.nonzero(hit[:, some])
+                apart = sum(np.bitwise_count(a[lo + r] ^ b[at + some[c]]).astype(np.int64) for a, b in zip(check[0], check[1]))
+                hit = np.zeros((len(rows), len(some)), bool)
+                hit[r, c] = apart <= check[2]
                 alive = hit.any(0)
                 hit, some = hit[:, alive], some[alive]
             else:
@@ -196,14 +206,18 @@ def _masks(near: int) -> list[int]:
 def links(prints: DataFrame, near: int = 4, second: int | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints that chains of links connect; a link is ``near`` bits or fewer.
 
-    ``prints`` has distinct ``fp`` and a ``node`` for each; with ``second``, distinct pairs of ``fp`` and ``check``, and a
-    link's ``check`` differs by ``second`` bits or fewer, too. The 64 bits are dealt to ``near // 2 + 1`` masks; two linked
-    values differ by one bit at most in one mask, so for each mask a vantage-point tree puts every value into its leaf, a
-    shard, and sends it to those other shards whose border it may lie across. Each shard compares its own values with all
-    it gets, in 64 bits. Thresholds come from a sample drawn by hash (one in ``ONE_IN``,
-    ``SAMPLE`` at most); all values are routed. A value visits no more shards of a mask than it has values within one bit
-    there, which bounds what is sent at any size. Shards
-    of more than 8 times ``LEAF`` values are dealt out in parts, each of which gets all the visitors.
+    ``prints`` has distinct ``fp`` and a ``node`` for each; with ``second``, distinct rows of ``fp`` and columns ``check...``,
+    and a link's ``check...`` differ by ``second`` bits or fewer in all, too. The 64 bits are dealt to ``near // 2 + 1``
+    masks; two linked values differ by one bit at most in one mask, so for each mask a vantage-point tree puts every value
+    into its leaf, a shard, and sends it to those other shards whose border it may lie across. Each shard compares its own
+    values with all it gets, in 64 bits. Thresholds come from a sample drawn by hash (one in ``ONE_IN``, ``SAMPLE`` at
+    most); all values are routed. A value visits no more shards of a mask than it has values within one bit there, which
+    bounds what is sent at any size.
+
+    Shards of more than 8 times ``LEAF`` values are dealt out in parts, and found out in two turns, so that a dense group
+    makes no pairs of all its values. First each part's values are held against some ``LEADERS`` of the shard, which ties
+    most of a dense group into one component. Then, whatever is not of the shard's largest component visits all parts; what
+    is of it stays in one. Values that stay apart from it, however near, are all compared.
     """
     spark = prints.sparkSession
     total = prints.count()
@@ -231,57 +245,111 @@ def links(prints: DataFrame, near: int = 4, second: int | None = None) -> DataFr
     sizes = {r["shard"]: r["n"] for r in prints.mapInArrow(census, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > part).collect()}
     large = np.array(sorted(sizes), np.int64)
     many = np.array([-(-sizes[s] // part) for s in large.tolist()], np.int64)
-
-    names = ["fp", "node"] + ["check"] * (second is not None)
-
-    def deal(batches):
+    # The leaders of a shard of n values are those whose hash is below LEADERS / n of all.
+    below = np.array([min(2**64 - 1, LEADERS * 2**64 // sizes[s]) for s in large.tolist()], np.uint64)
+    checks = [c for c in prints.columns if c.startswith("check")] if second is not None else []
+    names = ["fp", "node", *checks]
+    schema = "shard int, part int, own boolean, visit boolean, " + ", ".join(f"{c} long" for c in names)
+
+    def dealt(b, cols, shard, row, own_of, visits, pieces):
+        """Rows of some routes: each goes to its own part if ``own_of``, and as a visitor to all parts if ``visits``."""
+        n = np.where(visits, pieces, own_of.astype(np.int64))
+        at = np.repeat(np.arange(len(row)), n)
+        mine = (mix(cols[0].view(np.uint64))[row] % pieces.astype(np.uint64)).astype(np.int64)
+        piece = np.where(visits[at], np.arange(len(at)) - np.searchsorted(at, at), mine[at])
+        own = own_of[at] & (piece == mine[at])
+        for lo in range(0, len(at), 1 << 17):
+            c = slice(lo, lo + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at[c]], pa.int32()), pa.array(piece[c], pa.int32()), pa.array(own[c]), pa.array(visits[at[c]]), *(pa.array(x[row[at[c]]]) for x in cols)], ["shard", "part", "own", "visit", *names])
+
+    def to_leaders(batches):
         for b in batches:
             cols = [b.column(c).to_numpy() for c in names]
-            own = mix(cols[0].view(np.uint64))
+            hashes = mix(cols[0].view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))
             for _, row, shard, home in routed(b):
-                # A value goes to its own part at home, and as a visitor to every part of each shard on its way.
-                n, is_large = np.ones(len(shard), np.int64), member(large, shard)
-                n[is_large] = many[np.searchsorted(large, shard[is_large])]
-                at = np.repeat(np.arange(len(row)), n)
-                piece = np.arange(len(at)) - np.searchsorted(at, at)
-                is_home = home[at] & (piece == (own[row[at]] % n[at].astype(np.uint64)).astype(np.int64))
-                for lo in range(0, len(at), 1 << 17):
-                    c = at[lo : lo + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[c], pa.int32()), pa.array(piece[lo : lo + (1 << 17)], pa.int32()), pa.array(is_home[lo : lo + (1 << 17)]), *(pa.array(x[row[c]]) for x in cols)], ["shard", "part", "home", *names])
+                on = home & member(large, shard)
+                row, shard = row[on], shard[on]
+                spot = np.searchsorted(large, shard)
+                yield from dealt(b, cols, shard, row, np.ones(len(row), bool), hashes[row] < below[spot], many[spot])
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, node, home = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), table["home"].to_numpy()
-        order = np.argsort(node, kind="stable")
-        fp, node, home = fp[order], node[order], home[order]
-        other = table["check"].to_numpy().view(np.uint64)[order] if second is not None else None
-        a, b = _spanning(fp[home], fp, near, None if other is None else (other[home], other, second))
-        a, b = node[home][a], node[b]
+        order = np.argsort(table["node"].to_numpy(), kind="stable")
+        fp, node, own, visit = (table[c].to_numpy()[order] for c in ("fp", "node", "own", "visit"))
+        fp = fp.view(np.uint64)
+        other = np.stack([table[c].to_numpy().view(np.uint64)[order] for c in checks]) if checks else None
+        a, b = _spanning(fp[own], fp[visit], near, None if other is None else (other[:, own], other[:, visit], second))
+        a, b = node[own][a], node[visit][b]
         keep = a != b
         return pa.table({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]})
 
-    return prints.mapInArrow(deal, "shard int, part int, home boolean, " + ", ".join(f"{c} long" for c in names)).groupBy("shard", "part").applyInArrow(compare, "a long, b long").distinct()
+    def met(df: DataFrame, f) -> DataFrame:
+        return df.mapInArrow(f, schema).groupBy("shard", "part").applyInArrow(compare, "a long, b long").distinct()
+
+    first, base, most = None, prints.select(*names), np.zeros(0, np.int64)
+    if len(large):
+        first = cut_lineage(met(base, to_leaders))
+        found = components(first)
+        base = cut_lineage(base.join(found, "node", "left").select(*names, F.coalesce("root", "node").alias("root")))
+
+        def roots(batches):
+            for b in batches:
+                root = b.column("root").to_numpy()
+                for _, row, shard, home in routed(b):
+                    on = home & member(large, shard)
+                    pair, n = np.unique(np.stack([shard[on], root[row[on]]]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64()), pa.array(n, pa.int64())], ["shard", "root", "n"])
 
+        by = base.mapInArrow(roots, "shard long, root long, n long").groupBy("shard", "root").agg(F.sum("n").alias("n"))
+        top = {r["shard"]: r["top"]["root"] for r in by.groupBy("shard").agg(F.max(F.struct("n", "root")).alias("top")).collect()}
+        most = np.array([top[s] for s in large.tolist()], np.int64)
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, near: int = 4, seed: int = 42, second: int | None = None) -> DataFrame:
+    def deal(batches):
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in names]
+            root = b.column("root").to_numpy() if len(large) else None
+            for _, row, shard, home in routed(b):
+                pieces, own, visits = np.ones(len(shard), np.int64), home, np.ones(len(shard), bool)
+                if len(large):
+                    dense = member(large, shard)
+                    spot = np.searchsorted(large, shard[dense])
+                    pieces[dense], own = many[spot], home | dense
+                    visits[dense] = root[row[dense]] != most[spot]
+                yield from dealt(b, cols, shard, row, own, visits, pieces)
+
+    second_turn = met(base, deal)
+    return second_turn if first is None else first.unionByName(second_turn).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, near: int = 4, seed: int = 42, second: int | None = None, prints: int = 2, search: int = 1) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` (the smallest doc_id that links reach) of every document.
 
     Needs ``doc_id`` (long) and ``text``; other columns are ignored. Equal fingerprints are one vertex, so that copies
     cost nothing further; texts without words, null among them, share the fingerprint zero and are linked like any other;
     rows that repeat a doc_id give equal rows if their texts are equal; rows without a doc_id link nothing and have no
-    component; an empty table gives no rows. ``second`` asks for a link in a second fingerprint of 64 bits as well, by so
-    many bits: that lets ``near`` be wider without links by chance, however many documents there are. Fingerprints that
-    more than one row in ``HOT`` has (fewer than ``HOT``) get their component by a broadcast, all others by a join.
+    component; an empty table gives no rows. Fingerprints that more than one row in ``HOT`` has (fewer than ``HOT``) get
+    their component by a broadcast, all others by a join.
+
+    ``second`` takes ``prints`` fingerprints of each text and asks that the others differ by so many bits in all as well:
+    that lets ``near`` be wider without links by chance, however many documents there are. The first ``search`` of them are
+    searched in turn for values within ``near`` bits, so that near copies that one of them parts are found by another.
     """
-    prints = cut_lineage(fingerprints(docs, shingle, seed, second is not None))
-    key = ["fp"] + ["check"] * (second is not None)
-    nodes = cut_lineage(prints.where(F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    key = _names(prints - 1 if second is not None else 0)
+    taken = cut_lineage(fingerprints(docs, shingle, seed, len(key) - 1))
+    nodes = cut_lineage(taken.where(F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     total = nodes.agg(F.sum("n")).first()[0]
-    found = components(links(nodes, near, second)) if total else nodes.select("node", F.col("node").alias("root"))
+    found = nodes.select("node", F.col("node").alias("root"))
+    if total:
+        edges = None
+        for i in range(search if second is not None else 1):
+            turned = [key[i], *key[:i], *key[i + 1 :]]
+            own = links(nodes.select("node", *[F.col(c).alias(name) for c, name in zip(turned, key)]), near, second)
+            edges = own if edges is None else edges.unionByName(own)
+        found = components(edges)
     rooted = nodes.join(found, "node", "left").select(*key, "n", F.coalesce("root", "node").alias("component_id"))
     is_hot = F.col("n") * HOT > F.lit(total or 0)
     hot = F.broadcast(cut_lineage(rooted.where(is_hot).drop("n")))
     cold = rooted.where(~is_hot).drop("n")
-    with_id, without = prints.where(F.col("doc_id").isNotNull()), prints.where(F.col("doc_id").isNull())
+    with_id, without = taken.where(F.col("doc_id").isNotNull()), taken.where(F.col("doc_id").isNull())
     out = with_id.join(hot, key).unionByName(with_id.join(hot, key, "left_anti").join(cold, key))
     return out.unionByName(without.withColumn("component_id", F.lit(None).cast("long"))).select("doc_id", "fp", "component_id")
 
