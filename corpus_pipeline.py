@@ -23,8 +23,8 @@ from veriscope.llm.substrings import dedup_substrings
 
 #: Dropped rows up to this many are sent to every task by their numbers (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Bits by which the fingerprints of near copies, and their second fingerprints, may differ.
-NEAR, SECOND = 7, 11
+#: Four fingerprints of near copies: one of them differs by ``near`` bits or fewer, the other three by ``second`` in all.
+COPIES = {"near": 7, "second": 28, "prints": 4, "search": 4}
 NEEDED = ("doc_id", "text", "source")
 
 
@@ -57,13 +57,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row of smallest doc_id, those without one last. Near are five-word shingles whose
-    fingerprints differ by ``NEAR`` bits of 64 or fewer and whose second ones by ``SECOND`` or fewer. Rows have a number of
+    """Of each group of near copies the row of smallest doc_id, those without one last. Near are five-word shingles of
+    which one fingerprint of four differs by 7 bits of 64 or fewer and the other three by 28 of 192. Rows have a number of
     their own, so that repeated rows and copies without a doc_id are told apart; one of them stays. Texts without words
     are copies of each other."""
     rows = scanned(docs)
     rows = bundled(rows).withColumn("near_row", F.monotonically_increasing_id())
-    near = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text"), shingle=5, near=NEAR, second=SECOND).withColumnRenamed("doc_id", "near_row")
+    near = near_duplicates(rows.select(F.col("near_row").alias("doc_id"), "text"), shingle=5, **COPIES).withColumnRenamed("doc_id", "near_row")
     known = cut_lineage(near.join(rows.select("near_row", "doc_id"), "near_row").select("near_row", "doc_id", "component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")
     kept = known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.near_row").alias("near_row"))
