@@ -23,7 +23,7 @@ def test_stages(spark):
     ids = [sorted(r["doc_id"] for r in k.select("doc_id").collect()) for k in kept]
     assert all(k.columns == columns for k in kept[:-1])
     assert ids[1] == sorted(r["doc_id"] for r in rules.judge(docs).where("kept").collect())
-    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept[1], near=corpus_pipeline.NEAR, second=corpus_pipeline.SECOND).collect()}
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept[1], **corpus_pipeline.COPIES).collect()}
     assert ids[2] == sorted(set(group.values()))
     assert ids[3] == ids[2] and set(ids[4]) <= set(ids[3]) and set(ids[5]) == set(ids[4])
     before, after = ({r["doc_id"]: r["text"] for r in k.collect()} for k in (kept[2], kept[3]))
