@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -423,6 +424,29 @@ class Extractor(HTMLParser):
             self.line += data
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '\"", "<!x", "<", "<p class=\"x", "<script ", "</p ", "<a b=\"<a\" ", "<!--", "&amp;<"])
+def test_html_of_a_megabyte_of_open_tags(piece):
+    began = time.time()
+    page = "<html><body><article><p>One text.</p>" + piece * (2**20 // len(piece))
+    found = html_text.tokens(page)
+    html_text.blocks(found, html_text.zones([s for s, _ in found]))
+    assert time.time() - began < 30 and ("#", "One text.") in found
+
+
+def test_html_alignment_in_halves(monkeypatch):
+    rng = np.random.default_rng(4)
+
+    for _ in range(20):
+        a, b = ([["=", True, f"<{'pqrs'[k]}x", "", 1] for k in rng.integers(0, 4, rng.integers(0, 40))] for _ in range(2))
+        monkeypatch.setattr(html_text, "CELLS", 1 << 24)
+        full = html_text.align(a, b)
+        monkeypatch.setattr(html_text, "CELLS", 8)
+        cut = html_text.align(a, b)
+        # As many common items, and all items of both.
+        common = lambda w: sum(x[4] == 2 for x in w)
+        assert common(cut) == common(full) and len(cut) == len(full) == len(a) + len(b) - common(full)
+
+
 def test_html_against_another_parser(spark):
     p = table(spark, "pages")
     want = {k: "\n".join(Extractor(x or "").lines) for k, x in rows_of(p, "page_id", "html")}
