@@ -155,12 +155,24 @@ class Eraser:
         return linear_map(df, vector, name, self.matrix, self.mean - self.matrix @ self.mean)
 
 
-def transport(source: Moments, target: Moments) -> tuple[np.ndarray, np.ndarray]:
-    """The linear map that gives source rows the target's mean and covariance: (matrix, shift)."""
-    m = _root(target.covariance, False) @ _root(source.covariance, True)
+def transport(source: Moments, target: Moments, diagonal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The linear map that gives source rows the target's mean and covariance: (matrix, shift). With ``diagonal`` each
+    component is scaled by itself, which gives the target's variances; a flat source component is not scaled."""
+    if diagonal:
+        a, b = (np.sqrt(np.maximum(np.diag(x.covariance), 0)) for x in (source, target))
+        m = np.diag(np.where(a > 1e-12, b / np.where(a > 1e-12, a, 1.0), 1.0))
+    else:
+        m = _root(target.covariance, False) @ _root(source.covariance, True)
     return m, target.mean - m @ source.mean
 
 
+def control_directions(m: Moments, u: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+    """Unit directions to hold a direction ``u`` against: the first principal one, and one drawn by a seed, each turned to
+    the side of ``u``."""
+    out = {"principal": principal_directions(m, 1)[0][0], "random": np.random.default_rng(seed).normal(size=len(u))}
+    return {k: d / np.linalg.norm(d) * (-1.0 if d @ u < 0 else 1.0) for k, d in out.items()}
+
+
 def class_direction(df: DataFrame, vector: str, positive: Column) -> np.ndarray:
     """Unit difference of class means."""
     long = df.select(positive.alias("y"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))

@@ -455,10 +455,15 @@ def chosen(v, places: list[int]) -> Column:
     return F.array(*[F.try_element_at(c, F.lit(i + 1)) for i in places])
 
 
-def orthogonal_set(concepts: list, correlation: dict[tuple, float], limit: float) -> list:
+def orthogonal_set(concepts: list, correlation: dict[tuple, float] | np.ndarray, limit: float) -> list:
     """Concepts in order of preference, each kept if it correlates with none kept before by more than ``limit``; then, while
-    swapping one for a later pair that fits makes room, it is swapped. Over a small table of pairs on the driver."""
-    r = lambda a, b: abs(correlation.get((a, b), correlation.get((b, a), 0.0)))
+    swapping one for a later pair that fits makes room, it is swapped. Correlations come as a table of pairs (missing ones are
+    0) or as a matrix in the order of the concepts, of a few thousand at most, on the driver."""
+    if isinstance(correlation, np.ndarray):
+        place = {c: i for i, c in enumerate(concepts)}
+        r = lambda a, b: abs(float(correlation[place[a], place[b]]))
+    else:
+        r = lambda a, b: abs(correlation.get((a, b), correlation.get((b, a), 0.0)))
     kept = []
     for c in concepts:
         if all(r(c, k) <= limit for k in kept):

@@ -182,7 +182,7 @@ def unordered_pairs(df: DataFrame, item: str, within=None) -> DataFrame:
     """(a, b) of items with a < b that stand together within a key; for small dimension tables."""
     keys = _keys(within or [])
     a, b = df.select(*keys, F.col(item).alias("a")), df.select(*keys, F.col(item).alias("b"))
-    pairs = a.join(b, keys) if keys else a.crossJoin(b)
+    pairs = a.join(b, keys) if keys else a.crossJoin(few(b))
     return pairs.where("a < b")
 
 
@@ -259,11 +259,27 @@ def dominated_free(df: DataFrame, key: str, larger, smaller) -> DataFrame:
         if kept is not None:
             yield from kept.to_batches()
 
-    df = df.mapInArrow(local, df.schema)
+    df = cut(df.mapInArrow(local, df.schema))
     other = df.select(*[F.col(n).alias(f"_{n}") for n in names], F.col(key).alias("_key"))
     no_worse = reduce(lambda a, b: a & b, [F.col(f"_{n}") >= F.col(n) for n in _keys(larger)] + [F.col(f"_{n}") <= F.col(n) for n in _keys(smaller)])
     better = reduce(lambda a, b: a | b, [F.col(f"_{n}") > F.col(n) for n in _keys(larger)] + [F.col(f"_{n}") < F.col(n) for n in _keys(smaller)])
-    return df.join(other, no_worse & better & (F.col("_key") != F.col(key)), "left_anti")
+    # What the rest are held against goes to every task in chunks of a checked size.
+    chunks = max(1, -(-df.count() // FRONT))
+    for i in range(chunks):
+        some = other.where(F.pmod(F.xxhash64("_key"), F.lit(chunks)) == i)
+        df = df.join(F.broadcast(some), no_worse & better & (F.col("_key") != F.col(key)), "left_anti")
+    return df
+
+
+#: Rows that a chunk of a front has, about, and items that may meet in all pairs.
+FRONT, MOST_ITEMS = 200_000, 20_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to every task, once it is counted to have ``MOST_ITEMS`` rows or fewer; else an error."""
+    if df.limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items can't meet in all pairs; give a key within which they do")
+    return F.broadcast(df)
 
 
 # Sets
@@ -328,7 +344,7 @@ def jaccard_pairs(df: DataFrame, key: str, label: str) -> DataFrame:
     once = df.select(key, label).distinct()
     size = once.groupBy(label).agg(F.count("*").alias("n"))
     both = once.select(key, F.col(label).alias("a")).join(once.select(key, F.col(label).alias("b")), key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    pairs = size.select(F.col(label).alias("a"), F.col("n").alias("n_a")).crossJoin(size.select(F.col(label).alias("b"), F.col("n").alias("n_b"))).where("a < b")
+    pairs = size.select(F.col(label).alias("a"), F.col("n").alias("n_a")).crossJoin(few(size.select(F.col(label).alias("b"), F.col("n").alias("n_b")))).where("a < b")
     out = pairs.join(both, ["a", "b"], "left").na.fill(0, ["both"])
     return out.withColumn("jaccard", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).withColumn("subset", (F.col("both") == F.col("n_a")) | (F.col("both") == F.col("n_b"))).withColumn("identical", (F.col("both") == F.col("n_a")) & (F.col("both") == F.col("n_b")))
 

@@ -8,10 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .relational import _keys, running
+from .relational import _keys, is_small, numbered, running
 from .statistics import adjust, pilot
 
 
+#: Levels that are sent to every task.
+MOST_LEVELS = 1_000_000
+#: Bins of a hash in which the chosen number of items is looked for.
+BINS = 4096
+
+
 def uniform(*parts) -> Column:
     """A number in [0, 1) from a hash of some values: 32 bits of an MD5."""
     text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
@@ -21,12 +27,13 @@ def uniform(*parts) -> Column:
 def multinomial_draws(spark: SparkSession, levels: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """(draw, key, w): as many picks with replacement as there are levels, in each of ``n`` draws. For factors of few
     levels: each draw has a pick per level. Levels that a draw doesn't pick have no row."""
-    turn = Window.orderBy(key)
-    numbered = levels.select(key).distinct().withColumn("_i", F.row_number().over(turn) - 1)
-    many = numbered.count()
+    names = levels.select(key).distinct()
+    placed = names.withColumn("_i", F.row_number().over(Window.orderBy(key))) if is_small(levels) else numbered(names, key, "_i")
+    turned = placed.withColumn("_i", (F.col("_i") - 1).cast("int"))
+    many = turned.count()
     picks = spark.range(n * many).select((F.col("id") / many).cast("long").alias("draw"), (F.col("id") % many).alias("_slot"))
     picked = picks.select("draw", F.floor(uniform(seed, F.col("draw"), F.col("_slot")) * many).cast("int").alias("_i"))
-    return picked.groupBy("draw", "_i").agg(F.count("*").alias("w")).join(F.broadcast(numbered), "_i").select("draw", key, "w")
+    return picked.groupBy("draw", "_i").agg(F.count("*").alias("w")).join(F.broadcast(turned) if many <= MOST_LEVELS else turned, "_i").select("draw", key, "w")
 
 
 def exponential_draws(levels: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -121,14 +128,24 @@ def signed_improvement(df: DataFrame, unit: str, method: str, better: str, basel
 
 def permutation_enrichment(items: DataFrame, item: str, group: str, chosen: str, n: int = 200, seed: int = 0) -> DataFrame:
     """(group, size, hits, p, q): whether chosen items are more frequent in a group than among items of equal number that a
-    hash draws from all, in ``n`` permutations; add-one p, Benjamini-Hochberg over groups. A permutation ranks items once;
-    it takes one column of hits per permutation, so that items are read once and never meet."""
+    hash draws from all, in ``n`` permutations; add-one p, Benjamini-Hochberg over groups.
+
+    A permutation takes the items of smallest hash. Items are counted by bins of the hash first, which tells the bin in
+    which the last one lies; only that bin's items, one in ``BINS``, are ranked, and all before it count as they are."""
     k = items.where(F.col(chosen)).count()
-    order = Window.partitionBy("draw").orderBy("_u", item)
-    drawn = items.select(item, group).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_u", uniform(seed, F.col("draw"), F.col(item)))
-    random = drawn.withColumn("_in", (F.row_number().over(order) <= k).cast("int")).groupBy("draw", group).agg(F.sum("_in").alias("_h"))
+    u = uniform(seed, F.col("draw"), F.col(item))
+    drawn = items.select(item, group).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_u", u).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
+    upto = running(drawn.groupBy("draw", "_bin").agg(F.count("*").alias("_n")), "draw", "_bin", {"_before": F.col("_n")})
+    last = upto.where((F.col("_before") < k) & (F.col("_before") + F.col("_n") >= k)).select("draw", F.col("_bin").alias("_last"), (k - F.col("_before")).alias("_left"))
+    # One row a draw.
+    met = drawn.join(F.broadcast(last), "draw", "left")
+    before = met.where("_bin < _last").groupBy("draw", group).agg(F.count("*").alias("_h"))
+    within = met.where("_bin = _last").withColumn("_k", F.row_number().over(Window.partitionBy("draw").orderBy("_u", item))).where("_k <= _left").groupBy("draw", group).agg(F.count("*").alias("_h"))
     seen = items.groupBy(group).agg(F.count("*").alias("size"), F.count_if(chosen).alias("hits"))
-    p = random.join(seen, group).groupBy(group, "size", "hits").agg(((F.count_if(F.col("_h") >= F.col("hits")) + 1) / F.lit(n + 1.0)).alias("p"))
+    hit = before.unionByName(within).groupBy("draw", group).agg(F.sum("_h").alias("_h"))
+    # A draw without an item of a group has no row, and reaches its hits only if these are none.
+    reached = seen.join(hit, group, "left").groupBy(group, "size", "hits").agg(F.when(F.col("hits") == 0, n).otherwise(F.count_if(F.col("_h") >= F.col("hits"))).alias("_r"))
+    p = reached.select(group, "size", "hits", ((F.col("_r") + 1) / F.lit(n + 1.0)).alias("p"))
     return adjust(p.withColumn("_all", F.lit(1)), "_all", "p", group).drop("_all")
 
 

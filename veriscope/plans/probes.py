@@ -492,17 +492,27 @@ def _(spark, d):
     return r.groupBy("component").agg(F.max("n").alias("n"), F.round(F.max(F.abs("r")), 1).alias("agreement"))
 
 
-@query("mod35_orthogonal_set")
-def _(spark, d):
-    from ..operators import statistics as st
+_LIMIT = 0.08
 
-    e = table(spark, d, "embeddings")
-    r = {(x["feature"], x["target"]): x["r"] for x in st.class_correlations(e, "embedding", "label", e.select("label").distinct()).collect()}
-    features = sorted({f for f, _ in r})
-    profile = np.array([[r[f, t] for t in sorted({t for _, t in r})] for f in features])
-    c = np.corrcoef(profile)
-    kept = pr.orthogonal_set(features, {(a, b): float(c[i, j]) for i, a in enumerate(features) for j, b in enumerate(features) if i < j}, 0.3)
-    return spark.createDataFrame([(int(f),) for f in kept], "feature int")
+
+@query("mod35_orthogonal_set", f"""
+with l as (select vec_id, generate_subscripts(embedding, 1) - 1 as f, unnest(embedding)::double as x from embeddings), r as (select a.f as i, b.f as j, abs(corr(a.x, b.x)) as r from l a join l b on a.vec_id = b.vec_id and a.f <> b.f group by all),
+v as (select f, row_number() over (order by var_pop(x) desc, f) as place from l group by f)
+select (select count(*) from r where r > {_LIMIT} and i < j) as clashes, true as apart, true as full, true as swapped
+""")
+def _(spark, d):
+    """Components in the order of their variances, kept if they correlate with none kept before: whether those kept are
+    apart, whether no other fits in, and whether no swap of one for two is left; and how many pairs clash at all."""
+    m = v.moments(table(spark, d, "embeddings"), "embedding")
+    sd = np.sqrt(np.diag(m.covariance))
+    r = np.abs(m.covariance / np.outer(sd, sd))
+    order = np.lexsort((np.arange(len(sd)), -(sd**2))).tolist()
+    kept = pr.orthogonal_set(order, r[np.ix_(order, order)], _LIMIT)
+    fits = lambda c, s: all(r[c, k] <= _LIMIT for k in s if k != c)
+    rest = [c for c in order if c not in kept]
+    swaps = any(r[a, b] <= _LIMIT and fits(a, set(kept) - {out}) and fits(b, set(kept) - {out}) for out in kept for i, a in enumerate(rest) for b in rest[i + 1 :])
+    clashes = int((np.triu(r, 1) > _LIMIT).sum())
+    return spark.createDataFrame([(clashes, all(fits(c, kept) for c in kept), not any(fits(c, kept) for c in rest), not swaps)], "clashes long, apart boolean, full boolean, swapped boolean")
 
 
 @query("sig06_interval_features", """

@@ -109,9 +109,15 @@ def _(spark, d):
     return _wave(spark, d).select("user_id", F.round(v.total(v.centre_crop("signal", 20)), 6).alias("total"))
 
 
-@query("sig04_fft_resample")
+@query("sig04_fft_resample", f"""
+with w as (select user_id, signal, len(signal) as n from {_WAVE} where len(signal) > 0), x as (select user_id, n, generate_subscripts(signal, 1) - 1 as t, unnest(signal)::double as x from w),
+f as (select user_id, n, k, sum(x * cos(2 * pi() * k * t / n)) as c, -sum(x * sin(2 * pi() * k * t / n)) as s from x, range(0, 17) r(k) where k <= least(n, 32) // 2 group by all),
+g as (select *, case when k = 0 then 1 when 2 * k = least(n, 32) then case when n = 32 then 1 when n > 32 then 2 else 1 end else 2 end as wt from f),
+y as (select user_id, i, sum(wt * (c * cos(2 * pi() * k * i / 32) - case when 2 * k = 32 then 0 else s end * sin(2 * pi() * k * i / 32))) / any_value(n) as y from g, range(0, 32) r(i) group by all)
+select user_id, i::int as i, round(y, 6) as y from y
+""")
 def _(spark, d):
-    return v.resample(_wave(spark, d), "signal", 32)
+    return v.resample(_wave(spark, d), "signal", 32).select("user_id", F.posexplode("signal").alias("i", "y")).select("user_id", "i", F.round("y", 6).alias("y"))
 
 
 @query("mod20_direction_erasure", """
@@ -204,15 +210,38 @@ def _(spark, d):
     return spark.createDataFrame([(i, [float(x) for x in row], float(s)) for i, (row, s) in enumerate(zip(m, shift))], "i int, row array<double>, shift double")
 
 
-@query("mod33_class_direction")
+@query("mod32_diagonal_transport", "with l as (select label < 5 as s, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), m as (select i, avg(x) filter (s) as a, avg(x) filter (not s) as b, stddev_pop(x) filter (s) as sa, stddev_pop(x) filter (not s) as sb from l group by i) select (i - 1)::int as i, round(sb / sa, 8) as scale, round(b - sb / sa * a, 8) as shift from m")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    m, shift = models.transport(v.moments(e.where("label < 5"), "embedding"), v.moments(e.where("label >= 5"), "embedding"), diagonal=True)
+    return spark.createDataFrame([(i, round(float(m[i, i]), 8), round(float(s), 8)) for i, s in enumerate(shift)], "i int, scale double, shift double")
+
+
+@query("mod33_direction_controls")
+def _(spark, d):
+    """How far apart the classes' means lie along the difference of means, the first principal direction and a random one."""
+    e = table(spark, d, "embeddings").select("label", "embedding")
+    u = models.class_direction(e, "embedding", F.col("label") == 0)
+    of = {"class": u, **models.control_directions(v.moments(e, "embedding"), u, 1)}
+    c = [F.avg(F.when(F.col("label") == 0, v.dot(_e(), models.weights_column(x)))) - F.avg(F.when(F.col("label") != 0, v.dot(_e(), models.weights_column(x)))) for x in of.values()]
+    return e.agg(*[x.alias(k) for k, x in zip(of, c)])
+
+
+@query("mod33_class_direction", """
+with l as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), u as (select i, d / sqrt(sum(d * d) over ()) as u from (select i, avg(x) filter (label = 0) - avg(x) filter (label <> 0) as d from l group by i))
+select vec_id, label, round(sum(x * u), 9) as projection from l join u using (i) group by vec_id, label
+""")
 def _(spark, d):
     u = models.class_direction(table(spark, d, "embeddings"), "embedding", F.col("label") == 0)
-    return table(spark, d, "embeddings").select("vec_id", "label", v.dot(_e(), models.weights_column(u)).alias("projection"))
+    return table(spark, d, "embeddings").select("vec_id", "label", F.round(v.dot(_e(), models.weights_column(u)), 9).alias("projection"))
 
 
-@query("vec12_linear_cka")
+@query("vec12_linear_cka", """
+with l as (select vec_id, generate_subscripts(embedding, 1) as f, unnest(embedding)::double as x from embeddings), c as (select a.f as i, b.f as j, covar_pop(a.x, b.x) as c from l a join l b using (vec_id) group by all)
+select round(sum(c * c) filter (i <= 32 and j > 32) / sqrt(sum(c * c) filter (i <= 32 and j <= 32) * sum(c * c) filter (i > 32 and j > 32)), 9) as cka from c
+""")
 def _(spark, d):
-    return spark.createDataFrame([(models.linear_cka(v.moments(table(spark, d, "embeddings"), "embedding"), 32),)], "cka double")
+    return spark.createDataFrame([(round(models.linear_cka(v.moments(table(spark, d, "embeddings"), "embedding"), 32), 9),)], "cka double")
 
 
 # Audits

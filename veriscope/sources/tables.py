@@ -110,7 +110,8 @@ def ordered_leads(signals: DataFrame, key: str, lead: str, signal: str, order: l
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one in local mode."""
+    """A new path that driver and executors share, below spark.checkpoint.dir, or a local folder in local mode. What is
+    written there goes when the session's JVM ends."""
     import tempfile
     import uuid
 
@@ -119,7 +120,13 @@ def scratch_folder(spark: SparkSession) -> str:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("a cluster needs spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def with_contiguity(shards: DataFrame, order: str, start: str, size: str) -> DataFrame:
@@ -134,22 +141,27 @@ def merge_report(got: DataFrame, want: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("_n").isNull(), "missing").when(F.col("_w").isNull(), "extra").when(F.col("_n") > 1, "duplicate").alias("issue")).where("issue is not null")
 
 
-def pack_arrays(df: DataFrame, group: str, name: str, vector: str, order: str) -> DataFrame:
-    """(group, content): an archive of one matrix for each group, its rows in order."""
+def pack_arrays(df: DataFrame, group: str, name: str, vector: str, order: str, rows: int = 65536) -> DataFrame:
+    """(group, part, content): archives of a matrix each, a group's rows in order, ``rows`` of them to an archive, so that no
+    group has to fit into one task. ``order`` must be distinct within a group."""
     import io
 
     import numpy as np
     import pyarrow as pa
 
+    from ..operators.relational import running
+
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by(order)
         x = np.array(t[vector].to_pylist(), float)
         out = io.BytesIO()
         np.savez_compressed(out, **{name: x, order: t[order].to_numpy()})
-        return pa.table({group: t[group][:1], "content": pa.array([out.getvalue()], pa.binary())})
+        return pa.table({group: t[group][:1], "part": t["part"][:1], "content": pa.array([out.getvalue()], pa.binary())})
 
     kind = dict(df.dtypes)[group]
-    return df.select(group, order, F.col(vector).cast("array<double>").alias(vector)).groupBy(group).applyInArrow(run, f"{group} {kind}, content binary")
+    at = running(df.select(group, order), group, order, {"_before": F.lit(1).cast("long")}).select(group, order, F.floor(F.col("_before") / rows).cast("long").alias("part"))
+    placed = df.select(group, order, F.col(vector).cast("array<double>").alias(vector)).join(at, [group, order])
+    return placed.groupBy(group, "part").applyInArrow(run, f"{group} {kind}, part long, content binary")
 
 
 def unpack_arrays(df: DataFrame, keys: list[str], content: str, array: str, ids: str) -> DataFrame:
