@@ -194,12 +194,6 @@ def split_md5(key) -> Column:
     return _split_by_hundredths(F.md5(col(key).cast("string")))
 
 
-def ordered_hash(df_items, order) -> Column:
-    """SHA-256 of lines in a given order (an aggregate)."""
-    pairs = F.array_sort(F.collect_list(F.struct(col(order).alias("o"), col(df_items).alias("v"))))
-    return F.sha2(F.array_join(F.transform(pairs, lambda p: p["v"]), "\n"), 256)
-
-
 def seed_by_first_bytes(text) -> Column:
     """A 32-bit seed: the first four bytes of a SHA-256, most significant first."""
     return F.conv(F.substring(F.sha2(col(text), 256), 1, 8), 16, 10).cast("long")

@@ -114,6 +114,21 @@ def positional(left: DataFrame, right: DataFrame, left_order, right_order) -> Da
     return numbered(left, left_order, "_at").join(numbered(right, right_order, "_at"), "_at").drop("_at")
 
 
+def ordered_manifest(df: DataFrame, keys, line: str | Column, order: str, separator: str = "\n", prefix: str = "", rows: int = 65536, name: str = "manifest") -> DataFrame:
+    """(keys, manifest): the SHA-256 of each key's lines in order, after a prefix. Keys of more than ``rows`` lines have the
+    SHA-256 of the prefix and the digests of their blocks of so many lines, so that no key's lines stand in one row; ``order``
+    must be distinct within a key."""
+    k = _keys(keys)
+    text = line if isinstance(line, Column) else F.col(line)
+    placed = running(df.select(*k, F.col(order).alias("_order"), text.alias("_line")), k, "_order", {"_before": F.lit(1).cast("long")})
+    block = placed.groupBy(*k, F.floor(F.col("_before") / rows).alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col("_order").alias("o"), F.col("_line").alias("v")))).alias("_lines"))
+    joined = F.array_join(F.transform("_lines", lambda p: p["v"]), separator)
+    each = block.select(*k, "_block", F.sha2(F.concat(F.when(F.col("_block") == 0, F.lit(prefix)).otherwise(""), joined), 256).alias("_digest"))
+    all_ = each.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("_block", "_digest"))).alias("_d"))
+    digests = F.transform("_d", lambda d: d["_digest"])
+    return all_.select(*k, F.when(F.size("_d") == 1, digests[0]).otherwise(F.sha2(F.concat(F.lit(prefix), F.array_join(digests, separator)), 256)).alias(name))
+
+
 def order_agreement(left: DataFrame, right: DataFrame, key: str, left_order, right_order) -> DataFrame:
     """(n, moved, only_left, only_right): whether two tables hold the same records in the same order, before they are joined
     by place: how many keys they share, how many of these have another place, and how many one side lacks."""

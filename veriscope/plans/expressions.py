@@ -313,7 +313,9 @@ def _(spark, d):
 @query("hsh06_ordered_manifest", "select n_regionkey, sha256(string_agg(n_nationkey::varchar || chr(9) || n_name, chr(10) order by n_nationkey)) as manifest from nation group by n_regionkey")
 def _(spark, d):
     line = F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), F.col("n_name"))
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(fn.ordered_hash(line, "n_nationkey").alias("manifest"))
+    from ..operators.relational import ordered_manifest
+
+    return ordered_manifest(table(spark, d, "nation"), "n_regionkey", line, "n_nationkey")
 
 
 @query("hsh07_cluster_hash", "select c, n, sha256(c::varchar || ':' || n::varchar) as id from (select o_custkey as c, count(*) as n from orders group by o_custkey)")

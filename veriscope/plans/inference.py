@@ -149,10 +149,10 @@ def _(spark, d):
 
 @query("aud04_manifest_identity", "select count(distinct h) = 1 as same from (select l_returnflag, sha256(string_agg(k::varchar, chr(10) order by k)) as h from (select distinct l_returnflag, l_linenumber as k from lineitem) group by l_returnflag)")
 def _(spark, d):
-    from ..functions import ordered_hash
+    from ..operators.relational import ordered_manifest
 
     k = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber").distinct()
-    h = k.groupBy("l_returnflag").agg(ordered_hash(F.col("l_linenumber").cast("string"), "l_linenumber").alias("h"))
+    h = ordered_manifest(k, "l_returnflag", F.col("l_linenumber").cast("string"), "l_linenumber", name="h")
     return h.agg((F.countDistinct("h") == 1).alias("same"))
 
 
