@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veriscope.llm import jaccard
 from veriscope.llm.queries import ORACLE_SQL, QUERIES
@@ -89,6 +90,12 @@ def test_lost_rows_and_ties(spark, none):
         jaccard.jaccard_components(df, 3, 0, 100)
 
 
+def test_clashing_columns(spark, docs):
+    extra = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("vid", "GID", "hi", "lo", "n", "rest", "component_id", "block", "root"))])
+    plain_ = sorted(map(tuple, jaccard.jaccard_components(docs, 3, 90, 100).collect()), key=str)
+    assert sorted(map(tuple, jaccard.jaccard_components(extra, 3, 90, 100).collect()), key=str) == plain_
+
+
 def test_op12_sql(spark):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")

@@ -142,6 +142,12 @@ def test_words(spark, docs, none):
     assert variants.words(none, 199).isEmpty() and variants.spelling_variants(none).isEmpty()
 
 
+def test_words_beside_clashing_columns(spark, docs):
+    extra = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("word", "N", "run", "h", "key", "form"))])
+    of = lambda d: {tuple(r) for r in variants.spelling_variants(d, 1, 1, 2, 7).collect()}
+    assert of(extra) == of(docs) != set()
+
+
 def test_variants_are_exact(spark):
     rng = np.random.default_rng(5)
     letters = ["a", "b", "é", "ÿ"]
