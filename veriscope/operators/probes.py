@@ -375,7 +375,13 @@ def pairing_floor(df: DataFrame, item: str, vector: str, seed: int = 0) -> DataF
 
 def logistic_probe(train: DataFrame, val: DataFrame, vector: str, label: str, strengths=(0.01, 0.1, 1.0, 10.0), l1: bool = False, balanced: bool = True) -> tuple[float, float, np.ndarray, float]:
     """(C, validation AUROC, weights, intercept): a logistic regression for each C, the inverse of the penalty on the sum of
-    losses; the best validation AUROC, of equals the smaller C. Rows are weighted so that classes count alike."""
+    losses; the best validation AUROC, of equals the first C. Rows are weighted so that classes count alike. Without ``l1``
+    all strengths share each step's scan (``heads.LogisticFits``); with it each is a fit of its own."""
+    if not l1:
+        from .heads import fit_heads
+
+        c, a, w = fit_heads(train, val, vector, [], [label], strengths=tuple(strengths), balanced=balanced)[label]
+        return c, -1.0 if a is None else a, w[1:], float(w[0])
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -389,7 +395,7 @@ def logistic_probe(train: DataFrame, val: DataFrame, vector: str, label: str, st
     weight = F.when(F.col("label") == 1, n / (2 * p)).otherwise(n / (2 * (n - p))) if balanced else F.lit(1.0)
     rows, best = rows.withColumn("weight", weight), None
     for c in strengths:
-        fit = LogisticRegression(regParam=1 / (c * n), elasticNetParam=1.0 if l1 else 0.0, weightCol="weight", standardization=False, maxIter=200, tol=1e-8).fit(rows)
+        fit = LogisticRegression(regParam=1 / (c * n), elasticNetParam=1.0, weightCol="weight", standardization=False, maxIter=200, tol=1e-8).fit(rows)
         w = fit.coefficients.toArray()
         score = F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         a = auroc(val.select(F.lit(1).alias("_k"), score.alias("_s"), label), "_k", "_s", label).first()["auroc"]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import _keys, is_small, numbered, running, top_per_key
+from .relational import _keys, few, is_small, numbered, running, top_per_key
 
 # Correlation
 
@@ -157,7 +157,7 @@ def kendall(df: DataFrame, keys, item: str, x: str, y: str) -> DataFrame:
     """Kendall's tau-b over the items of a key, for short rankings: items meet in pairs."""
     k = _keys(keys)
     a, b = df.select(*k, F.col(item).alias("ia"), F.col(x).alias("xa"), F.col(y).alias("ya")), df.select(*k, F.col(item).alias("ib"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    s = (a.join(b, k) if k else a.crossJoin(b)).where("ia < ib").select(*k, F.signum(F.col("xa") - F.col("xb")).alias("sx"), F.signum(F.col("ya") - F.col("yb")).alias("sy"))
+    s = (a.join(b, k) if k else a.crossJoin(few(b))).where("ia < ib").select(*k, F.signum(F.col("xa") - F.col("xb")).alias("sx"), F.signum(F.col("ya") - F.col("yb")).alias("sy"))
     tau = F.sum(F.col("sx") * F.col("sy")) / F.sqrt(F.nullif(F.sum(F.abs("sx")) * F.sum(F.abs("sy")), F.lit(0.0)))
     return s.groupBy(*k).agg(tau.alias("tau"))
 
