@@ -196,6 +196,20 @@ def _spanning(h: np.ndarray, q: np.ndarray, near: int, check: tuple[np.ndarray,
     return (np.concatenate(got_a), np.concatenate(got_b)) if got_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs as connect what the pairs (a, b) connect: each vertex with the least that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        p, q = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
 def _masks(near: int) -> list[int]:
     """Bits dealt to so many masks that two values within ``near`` bits differ by one bit at most in one of them."""
     n = near // 2 + 1
@@ -278,9 +292,8 @@ def links(prints: DataFrame, near: int = 4, second: int | None = None) -> DataFr
         fp = fp.view(np.uint64)
         other = np.stack([table[c].to_numpy().view(np.uint64)[order] for c in checks]) if checks else None
         a, b = _spanning(fp[own], fp[visit], near, None if other is None else (other[:, own], other[:, visit], second))
-        a, b = node[own][a], node[visit][b]
-        keep = a != b
-        return pa.table({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]})
+        a, b = _forest(node[own][a], node[visit][b])
+        return pa.table({"a": a, "b": b})
 
     def met(df: DataFrame, f) -> DataFrame:
         return df.mapInArrow(f, schema).groupBy("shard", "part").applyInArrow(compare, "a long, b long").distinct()
