@@ -166,7 +166,8 @@ def _(spark, d):
 @query("prj22_focus_mask", "select event_id, case when event_type = 'click' then value::int = 1 else value >= 50 end as focus from events")
 def _(spark, d):
     e = table(spark, d, "events").withColumn("kind", F.when(F.col("event_type") == "click", "binary").otherwise("continuous"))
-    y = F.when(F.col("kind") == "binary", F.round("value").cast("double")).otherwise(F.col("value"))
+    # Halves go to the even number, as in a cast of SQL.
+    y = F.when(F.col("kind") == "binary", F.rint("value")).otherwise(F.col("value"))
     return e.withColumn("y", y).select("event_id", fn.focus("kind", "y", 50.0).alias("focus"))
 
 
