@@ -1,8 +1,12 @@
 """Queries on ties and counts that only larger tables have, against their SQL; and plans whose tasks or steps once grew too fast."""
 
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from veriscope import plans
+from veriscope.operators import vectors as v
 
 
 def both(spark, tmp_path, name, **tables):
@@ -20,3 +24,14 @@ def both(spark, tmp_path, name, **tables):
 def test_focus_of_halves(spark, tmp_path):
     got, want = both(spark, tmp_path, "prj22_focus_mask", events="select i as event_id, 'click' as event_type, i / 4.0::double as value from range(-8, 12) t(i)")
     assert got == want and (2, False) in got and (5, True) in got
+
+
+def test_z_scores_in_one_pass(spark, tmp_path):
+    # A signal of 3,000 values: each value once took all sums anew, and each of these all means.
+    x = np.random.default_rng(0).normal(5, 2, 3000)
+    df = spark.createDataFrame([(1, x.tolist()), (2, [3.0, 3.0]), (3, []), (4, None)], "i int, x array<double>")
+    got = {r["i"]: r["z"] for r in df.select("i", v.z_scored("x").alias("z")).collect()}
+    assert got[1] == pytest.approx((x - x.mean()) / x.std()) and got[2] == [0.0, 0.0] and got[3] == [] and got[4] is None
+    # Neither sum is left within the lambda over the values.
+    deep = df.select(v.z_scored("x").alias("z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert deep.count("aggregate(") == 2

@@ -20,6 +20,11 @@ def total(v) -> Column:
     return F.aggregate(_c(v), F.lit(0.0), lambda a, x: a + x)
 
 
+def given(value: Column, f) -> Column:
+    """``f(value)``, of a value that is computed once: what a lambda takes from outside is computed anew for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a, b) -> Column:
     return total(F.zip_with(_c(a), _c(b), lambda x, y: x * y))
 
@@ -34,7 +39,7 @@ def cosine(a, b, least: float = 1e-12) -> Column:
 
 
 def scaled(v, k) -> Column:
-    return F.transform(_c(v), lambda x: x * k)
+    return given(k if isinstance(k, Column) else F.lit(k), lambda own: F.transform(_c(v), lambda x: x * own))
 
 
 def added(a, b) -> Column:
@@ -43,8 +48,7 @@ def added(a, b) -> Column:
 
 def without_direction(v, u) -> Column:
     """``v`` less its part along the unit vector ``u``."""
-    d = dot(v, u)
-    return F.zip_with(_c(v), _c(u), lambda x, y: x - d * y)
+    return given(dot(v, u), lambda d: F.zip_with(_c(v), _c(u), lambda x, y: x - d * y))
 
 
 def norm_matched(v, target, fallback, least: float = 1e-10) -> Column:
@@ -55,18 +59,20 @@ def norm_matched(v, target, fallback, least: float = 1e-10) -> Column:
 
 def z_scored(v, least: float = 1e-6) -> Column:
     """Each value less the mean, by the population deviation, at least ``least``."""
-    n = F.size(_c(v))
-    mean = total(v) / n
-    sd = F.sqrt(total(F.transform(_c(v), lambda x: (x - mean) * (x - mean))) / n)
-    return F.transform(_c(v), lambda x: (x - mean) / F.greatest(sd, F.lit(least)))
+    n = F.nullif(F.size(_c(v)), F.lit(0))
+    # Mean and deviation are each computed once a row, not once a value.
+    def centred(mean: Column) -> Column:
+        sd = F.greatest(F.sqrt(total(F.transform(_c(v), lambda x: (x - mean) * (x - mean))) / n), F.lit(least))
+        return given(sd, lambda s: F.transform(_c(v), lambda x: (x - mean) / s))
+
+    return given(total(v) / n, centred)
 
 
 def top_k(v, k: int, by_size: bool = False) -> Column:
     """The ``k`` largest values kept in place, others 0; positives only unless by size; the first of equals."""
     placed = F.transform(_c(v), lambda x, i: F.struct((F.abs(x) if by_size else x).alias("s"), (-i).alias("i")))
     kept = F.slice(F.sort_array(placed if by_size else F.filter(placed, lambda p: p["s"] > 0), asc=False), 1, k)
-    where = F.transform(kept, lambda p: -p["i"])
-    return F.transform(_c(v), lambda x, i: F.when(F.array_contains(where, i), x).otherwise(0.0))
+    return given(F.transform(kept, lambda p: -p["i"]), lambda where: F.transform(_c(v), lambda x, i: F.when(F.array_contains(where, i), x).otherwise(0.0)))
 
 
 def limb_leads(i, ii) -> dict[str, Column]:
