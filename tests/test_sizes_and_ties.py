@@ -1,11 +1,14 @@
 """Queries on ties and counts that only larger tables have, against their SQL; and plans whose tasks or steps once grew too fast."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veriscope import plans
+from veriscope.operators import relational as rel
 from veriscope.operators import vectors as v
 
 
@@ -18,7 +21,8 @@ def both(spark, tmp_path, name, **tables):
         duck.execute(f"create view {t} as from '{tmp_path}/{t}.parquet'")
     df = plans.queries()[name](spark, str(tmp_path))
     names = ", ".join(f'"{c}"' for c in df.columns)
-    return sorted(map(tuple, df.collect())), sorted(duck.sql(f"select {names} from ({plans.oracle_sql()[name]})").fetchall())
+    key = lambda r: tuple(map(str, r))
+    return sorted(map(tuple, df.collect()), key=key), sorted(duck.sql(f"select {names} from ({plans.oracle_sql()[name]})").fetchall(), key=key)
 
 
 def test_focus_of_halves(spark, tmp_path):
@@ -35,3 +39,14 @@ def test_z_scores_in_one_pass(spark, tmp_path):
     # Neither sum is left within the lambda over the values.
     deep = df.select(v.z_scored("x").alias("z"))._jdf.queryExecution().optimizedPlan().toString()
     assert deep.count("aggregate(") == 2
+
+
+@pytest.mark.parametrize("small", [0, 1 << 62])
+def test_manifests_of_many_lines(spark, tmp_path, monkeypatch, small):
+    # One segment of more lines than a block of digests once had; the hash is that of all of them.
+    monkeypatch.setattr(rel, "SMALL", small)
+    got, want = both(spark, tmp_path, "hsh08_design_hash", customer="select (i * 7919) % 70001 as c_custkey, case when i % 70 = 0 then 'b' end as c_mktsegment from range(70001) t(i) union all select 80000, 'c'")
+    assert got == want and len(got) == 3
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 3, "y"), ("b", 1, None)], "k string, o int, line string")
+    rows = {r["k"]: r["manifest"] for r in rel.ordered_manifest(df, "k", "line", "o", prefix="p;", whole=True).collect()}
+    assert rows == {"a": hashlib.sha256(b"p;x\ny").hexdigest(), "b": None}

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.tables import scratch_folder
 
@@ -114,11 +116,15 @@ def positional(left: DataFrame, right: DataFrame, left_order, right_order) -> Da
     return numbered(left, left_order, "_at").join(numbered(right, right_order, "_at"), "_at").drop("_at")
 
 
-def ordered_manifest(df: DataFrame, keys, line: str | Column, order: str, separator: str = "\n", prefix: str = "", rows: int = 65536, name: str = "manifest") -> DataFrame:
+def ordered_manifest(df: DataFrame, keys, line: str | Column, order: str, separator: str = "\n", prefix: str = "", rows: int = 65536, name: str = "manifest", whole: bool = False) -> DataFrame:
     """(keys, manifest): the SHA-256 of each key's lines in order, after a prefix. Keys of more than ``rows`` lines have the
     SHA-256 of the prefix and the digests of their blocks of so many lines, so that no key's lines stand in one row; ``order``
-    must be distinct within a key."""
+    must be distinct within a key. With ``whole`` every key has the SHA-256 of all its lines, null where it has none: lines
+    are sorted and joined in small blocks, and a key's blocks stream through the hash one after the other, since SHA-256
+    can't be computed in parts; no more than a batch of blocks is held."""
     k = _keys(keys)
+    if whole:
+        return _whole_manifest(df, k, line if isinstance(line, Column) else F.col(line), order, separator, prefix, name)
     text = line if isinstance(line, Column) else F.col(line)
     placed = running(df.select(*k, F.col(order).alias("_order"), text.alias("_line")), k, "_order", {"_before": F.lit(1).cast("long")})
     block = placed.groupBy(*k, F.floor(F.col("_before") / rows).alias("_block")).agg(F.array_sort(F.collect_list(F.struct(F.col("_order").alias("o"), F.col("_line").alias("v")))).alias("_lines"))
@@ -129,6 +135,43 @@ def ordered_manifest(df: DataFrame, keys, line: str | Column, order: str, separa
     return all_.select(*k, F.when(F.size("_d") == 1, digests[0]).otherwise(F.sha2(F.concat(F.lit(prefix), F.array_join(digests, separator)), 256)).alias(name))
 
 
+#: Lines that a block of a whole manifest has; a batch of blocks holds some megabytes.
+LINES = 128
+
+
+def _whole_manifest(df: DataFrame, k: list[str], line: Column, order: str, separator: str, prefix: str, name: str) -> DataFrame:
+    import hashlib
+
+    said = df.select(*k, F.col(order).alias("_order"), line.alias("_line"))
+    # Lines that are null say nothing, but their key stays.
+    placed = running(said, k, "_order", {"_before": F.col("_line").isNotNull().cast("long")})
+    block = placed.groupBy(*k, F.floor(F.col("_before") / LINES).alias("_block")).agg(F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), F.struct(F.col("_order").alias("o"), F.col("_line").alias("v"))))).alias("_lines"))
+    text = F.when(F.size("_lines") > 0, F.array_join(F.transform("_lines", lambda p: p["v"]), separator))
+    schema = T.StructType([*block.select(*k).schema, T.StructField(name, T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def digests(batches):
+        own, state = None, None
+        for b in batches:
+            out = []
+            for *key, said in zip(*(b.column(c).to_pylist() for c in (*k, "_text"))):
+                if key != own:
+                    if own is not None:
+                        out.append((*own, state and state.hexdigest()))
+                    own, state = key, None
+                if said is not None:
+                    if state is None:
+                        state = hashlib.sha256(prefix.encode())
+                    else:
+                        state.update(separator.encode())
+                    state.update(said.encode())
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=arrow)
+        if own is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*own, state and state.hexdigest())))], schema=arrow)
+
+    return block.select(*k, "_block", text.alias("_text")).repartition(*k).sortWithinPartitions(*k, "_block").select(*k, "_text").mapInArrow(digests, schema)
+
+
 def order_agreement(left: DataFrame, right: DataFrame, key: str, left_order, right_order) -> DataFrame:
     """(n, moved, only_left, only_right): whether two tables hold the same records in the same order, before they are joined
     by place: how many keys they share, how many of these have another place, and how many one side lacks."""

@@ -299,7 +299,7 @@ def _(spark, d):
 @query("hsh08_design_hash", "select c_mktsegment, sha256('draws=2000;seed=7;' || string_agg(c_custkey::varchar, ',' order by c_custkey)) as h from customer group by all")
 def _(spark, d):
     # One hash over ordered ids: its input is the list of clusters of a design.
-    return rel.ordered_manifest(table(spark, d, "customer"), "c_mktsegment", F.col("c_custkey").cast("string"), "c_custkey", ",", "draws=2000;seed=7;", name="h")
+    return rel.ordered_manifest(table(spark, d, "customer"), "c_mktsegment", F.col("c_custkey").cast("string"), "c_custkey", ",", "draws=2000;seed=7;", name="h", whole=True)
 
 
 @query("hsh09_stable_seeds", "select c_custkey, ('0x' || substr(h, 1, 8))::ubigint::bigint as most, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::ubigint::bigint as least from (select c_custkey, sha256(c_name) as h from customer)")

@@ -315,7 +315,7 @@ def _(spark, d):
     line = F.concat(F.col("n_nationkey").cast("string"), F.lit("\t"), F.col("n_name"))
     from ..operators.relational import ordered_manifest
 
-    return ordered_manifest(table(spark, d, "nation"), "n_regionkey", line, "n_nationkey")
+    return ordered_manifest(table(spark, d, "nation"), "n_regionkey", line, "n_nationkey", whole=True)
 
 
 @query("hsh07_cluster_hash", "select c, n, sha256(c::varchar || ':' || n::varchar) as id from (select o_custkey as c, count(*) as n from orders group by o_custkey)")

@@ -152,7 +152,7 @@ def _(spark, d):
     from ..operators.relational import ordered_manifest
 
     k = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber").distinct()
-    h = ordered_manifest(k, "l_returnflag", F.col("l_linenumber").cast("string"), "l_linenumber", name="h")
+    h = ordered_manifest(k, "l_returnflag", F.col("l_linenumber").cast("string"), "l_linenumber", name="h", whole=True)
     return h.agg((F.countDistinct("h") == 1).alias("same"))
 
 
