@@ -310,6 +310,16 @@ def peak_and_gap(df: DataFrame, keys, item: str, value: str) -> DataFrame:
     return r.select(*k, item, F.col(value).alias("peak"), "second", (F.col(value) - F.col("second")).alias("gap"))
 
 
+def rounded_mean(value: str, digits: int) -> Column:
+    """The mean of numbers of up to ten decimal places, rounded half up. Sums are decimals: sums of doubles depend on the order
+    of rows in their last bit, and means on a rounding edge, or equal ones, with them. Numbers that aren't finite, or are of
+    1e10 or more, are averaged as doubles."""
+    exact = F.col(value).try_cast("decimal(20,10)")
+    n = F.count(value)
+    mean = F.sum(exact) / F.nullif(n, F.lit(0)).cast("decimal(10,0)")
+    return F.when(F.count(exact) == n, F.round(mean, digits).cast("double")).otherwise(F.round(F.avg(value), digits))
+
+
 def directed_rank(df: DataFrame, keys, value: str, larger_first: Column, tie: str) -> DataFrame:
     """``df`` with ``place`` from 1 within a group: the largest first where ``larger_first``, else the smallest."""
     v = F.col(value)

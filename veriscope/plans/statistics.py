@@ -316,7 +316,7 @@ def _(spark, d):
 
 @query("win10_directed_rank", "select metric, l_suppkey, row_number() over (partition by metric order by case when metric = 'discount' then -v else v end, l_suppkey) as place from (select 'discount' as metric, l_suppkey, round(avg(l_discount), 8) as v from lineitem group by all union all select 'tax', l_suppkey, round(avg(l_tax), 8) from lineitem group by all)")
 def _(spark, d):
-    m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_discount"), 8).alias("discount"), F.round(F.avg("l_tax"), 8).alias("tax")).unpivot("l_suppkey", ["discount", "tax"], "metric", "v")
+    m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(st.rounded_mean("l_discount", 8).alias("discount"), st.rounded_mean("l_tax", 8).alias("tax")).unpivot("l_suppkey", ["discount", "tax"], "metric", "v")
     return st.directed_rank(m, "metric", "v", F.col("metric") == "discount", "l_suppkey").select("metric", "l_suppkey", "place")
 
 
