@@ -11,6 +11,7 @@ from veriscope import plans
 from veriscope.operators import relational as rel
 from veriscope.operators import statistics as st
 from veriscope.operators import vectors as v
+from veriscope.sources import binary
 
 
 def both(spark, tmp_path, name, **tables):
@@ -64,3 +65,13 @@ def test_means_on_a_rounding_edge(spark):
             assert df.agg(st.rounded_mean("x", 8)).collect()[0][0] == exact
     odd = spark.createDataFrame([(1, float("inf")), (2, None), (3, 1.0), (3, None)], "k int, x double").groupBy("k").agg(st.rounded_mean("x", 8).alias("m"))
     assert {r["k"]: r["m"] for r in odd.collect()} == {1: float("inf"), 2: None, 3: 1.0}
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    x = np.arange(60.0).reshape(20, 3)
+    for i in range(30):
+        np.save(tmp_path / f"{i}.npy", x + i)
+    df = binary.read_matrices(spark, str(tmp_path), range_bytes=96, task_bytes=binary.RANGE)
+    assert df.rdd.getNumPartitions() == 1
+    got = {(r["file"].rsplit("/", 1)[1], r["row"]): r["values"] for r in df.collect()}
+    assert got == {(f"{i}.npy", j): (x[j] + i).tolist() for i in range(30) for j in range(20)}

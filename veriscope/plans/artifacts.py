@@ -126,7 +126,7 @@ def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("g"), F.col("embedding").alias("v"))
     index = e.groupBy("g").applyInArrow(write, "g long, row array<long>, vec_id array<long>")
     places = rel.cut(index).select("g", F.explode(F.arrays_zip("row", "vec_id")).alias("z")).select("g", "z.row", "z.vec_id")
-    rows = binary.read_matrices(spark, path, "3:7", range_bytes=4096).withColumn("g", F.regexp_extract("file", r"(\d+)\.npy$", 1).cast("long"))
+    rows = binary.read_matrices(spark, path, "3:7", range_bytes=4096, task_bytes=binary.RANGE).withColumn("g", F.regexp_extract("file", r"(\d+)\.npy$", 1).cast("long"))
     return rows.join(places, ["g", "row"]).select("vec_id", F.posexplode("values").alias("i", "x")).select("vec_id", (F.col("i") + 3).cast("long").alias("i"), "x")
 
 

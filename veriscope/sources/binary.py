@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes that a range of a file has, about.
 RANGE = 32 << 20
+#: Bytes that opening a file counts for where ranges share a task.
+OPENING = 64 << 10
 #: Values that a batch of a range has, about.
 BATCH = 1 << 20
 
@@ -124,39 +126,65 @@ class _Shifted(io.RawIOBase):
         return self.file.tell() - self.first
 
 
-class MatrixRange(InputPartition):
+class MatrixRange:
     def __init__(self, path: str, member: str | None, begin: int | None, first: int, rows: int):
         self.path, self.member, self.begin, self.first, self.rows = path, member, begin, first, rows
 
 
+class MatrixRanges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[MatrixRange]):
+        self.ranges = ranges
+
+
 class MatrixReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.array = options["path"], options.get("array")
         lo, _, hi = options.get("columns", ":").partition(":")
         self.low, self.high = int(lo or 0), int(hi) if hi else None
         self.bytes = int(options.get("range", RANGE))
+        self.task = int(options.get("task", self.bytes))
 
     def partitions(self):
-        out = []
+        # Small ranges share a task, as Spark's own readers let small files do.
+        out, room = [], 0
+        for r, size in self._ranges():
+            if out and size <= room:
+                out[-1].ranges.append(r)
+            else:
+                out.append(MatrixRanges([r]))
+                room = self.task
+            room -= size
+        return out
+
+    def _ranges(self):
+        """(range, what it counts for in a task: its bytes, and ``OPENING`` for opening its file)."""
         for path in matching(self.path, (".npy", ".npz")):
             store, at = opened(path)
             member, begin = _member(store, at, self.array) if path.endswith(".npz") else (None, 0)
             if begin is None:
                 # A compressed array can be read from its beginning only: one task, some rows at a time.
-                out.append(MatrixRange(path, member, None, 0, -1))
+                yield MatrixRange(path, member, None, 0, -1), self.task
                 continue
             with store.open_input_file(at) as f:
                 layout = Layout.read(_Shifted(f, begin))
-            step = max(1, self.bytes // max(1, layout.columns * layout.dtype.itemsize))
-            out += [MatrixRange(path, member, begin, first, min(step, layout.rows - first)) for first in range(0, layout.rows, step)]
-        return out
+            width = max(1, layout.columns * layout.dtype.itemsize)
+            step = max(1, self.bytes // width)
+            for first in range(0, layout.rows, step):
+                rows = min(step, layout.rows - first)
+                yield MatrixRange(path, member, begin, first, rows), rows * width + OPENING
 
     def _emit(self, path: str, first: int, block: np.ndarray):
         n, d = block.shape
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(np.ascontiguousarray(block).ravel()))
         return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(first, first + n)), lists], ["file", "row", "values"])
 
-    def read(self, part: MatrixRange):
+    def read(self, parts: MatrixRanges):
+        for part in parts.ranges:
+            yield from self._read(part)
+
+    def _read(self, part: MatrixRange):
         store, at = opened(part.path)
         with store.open_input_file(at) as f:
             if part.begin is None:
@@ -188,7 +216,8 @@ class MatrixReader(DataSourceReader):
 class MatrixSource(DataSource):
     """Rows (file, row, values) of matrices in ``.npy`` files, or of one array of ``.npz`` archives, of any order of axes, byte
     order and kind of number. Options: ``columns`` (``first:end``, of which only these are kept, and read where columns lie
-    in turn), ``array`` (the archive's; else its first), ``range`` (bytes a task). A vector is a matrix of one column;
+    in turn), ``array`` (the archive's; else its first), ``range`` (bytes a range), ``task`` (bytes a task, of ranges that
+    share it; else those of a range). A vector is a matrix of one column;
     more than two dimensions, and files that aren't arrays, are errors. Compressed arrays take one task each, some rows at
     a time (all at once where columns lie in turn)."""
 
@@ -203,10 +232,10 @@ class MatrixSource(DataSource):
         return MatrixReader(self.options)
 
 
-def read_matrices(spark: SparkSession, path: str, columns: str | None = None, array: str | None = None, range_bytes: int = RANGE) -> DataFrame:
+def read_matrices(spark: SparkSession, path: str, columns: str | None = None, array: str | None = None, range_bytes: int = RANGE, task_bytes: int | None = None) -> DataFrame:
     spark.dataSource.register(MatrixSource)
     reader = spark.read.format("matrix").option("range", range_bytes)
-    for k, v in (("columns", columns), ("array", array)):
+    for k, v in (("columns", columns), ("array", array), ("task", task_bytes)):
         reader = reader.option(k, v) if v is not None else reader
     return reader.load(path)
 
