@@ -11,6 +11,7 @@ from veriscope import plans
 from veriscope.operators import relational as rel
 from veriscope.operators import statistics as st
 from veriscope.operators import vectors as v
+from veriscope.plans import artifacts
 from veriscope.sources import binary
 
 
@@ -75,3 +76,9 @@ def test_small_ranges_share_a_task(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 1
     got = {(r["file"].rsplit("/", 1)[1], r["row"]): r["values"] for r in df.collect()}
     assert got == {(f"{i}.npy", j): (x[j] + i).tolist() for i in range(30) for j in range(20)}
+
+
+def test_records_need_no_folder_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts.src, "scratch_folder", lambda s: str(tmp_path / "records"))
+    got, want = both(spark, tmp_path, "src10_record_headers", supplier="select i as s_suppkey, (i % 25)::int as s_nationkey from range(300) t(i)")
+    assert got == want and len(list(tmp_path.glob("records/*/*.txt"))) == 300 and len(list(tmp_path.glob("records/*"))) == 64

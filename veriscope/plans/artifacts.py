@@ -78,9 +78,19 @@ def _(spark, d):
     s, k, n = table(spark, d, "supplier"), F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
     line = [F.concat(F.lit(f"r.mat 16+24 {1000 + i}("), n, F.lit(f")/mV 16 0 0 0 0 {lead}")) for i, lead in enumerate(("I", "II"))]
     head = F.concat(F.lit("r"), k, F.lit(" 2 500 "), (F.col("s_nationkey") + 100).cast("string"))
-    # One file a record: the text of a file is that of its partition.
-    s.select(F.concat_ws("\n", head, *line).alias("value"), "s_suppkey").repartition(8, "s_suppkey").write.partitionBy("s_suppkey").text(path)
-    return src.record_headers(spark, f"{path}/*/*.txt")
+    files = s.select(F.concat_ws("/", F.pmod("s_suppkey", F.lit(64)).cast("string"), k).alias("name"), F.concat_ws("\n", head, *line).alias("value"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for name, text in zip(b.column("name").to_pylist(), b.column("value").to_pylist()):
+                binary.write(f"{path}/{name}.txt", text.encode())
+            yield pa.RecordBatch.from_pydict({"n": [len(b)]})
+
+    # One file a record, in folders of many that are listed side by side.
+    files.repartition(64, "name").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return src.record_headers(spark, f"{path}/*")
 
 
 @query("src15_waveform_index", "select o_orderkey::varchar as record, 'store/' || (o_orderkey % 7)::varchar || '/' || o_orderkey::varchar || '.mat' as path from orders")
