@@ -82,3 +82,18 @@ def test_records_need_no_folder_each(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(artifacts.src, "scratch_folder", lambda s: str(tmp_path / "records"))
     got, want = both(spark, tmp_path, "src10_record_headers", supplier="select i as s_suppkey, (i % 25)::int as s_nationkey from range(300) t(i)")
     assert got == want and len(list(tmp_path.glob("records/*/*.txt"))) == 300 and len(list(tmp_path.glob("records/*"))) == 64
+
+
+@pytest.mark.parametrize("meet", [0, 1 << 20])
+def test_nearest_in_plane(spark, monkeypatch, meet):
+    # Crowds of equal points, ties, and points far off, against all pairs.
+    monkeypatch.setattr(rel, "MEET", meet)
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(0, 1, (300, 2)).round(1), rng.normal(5, 0.001, (200, 2)), np.full((200, 2), 0.5), [[1000.0, -40.0], [-7.0, 300.0]]])
+    pool = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], "other int, f double, m double").repartition(3)
+    asked = np.concatenate([xy[::9] + 0.05, xy[500:505], [[990.0, 0.0]]])
+    targets = spark.createDataFrame([*((i, *map(float, p)) for i, p in enumerate(asked)), (10_000, None, 1.0)], "target int, f double, m double")
+    want = {(i, int(j), k + 1) for i, p in enumerate(asked) for k, j in enumerate(np.lexsort((np.arange(len(xy)), np.abs(xy - p).sum(1).round(9)))[:5])}
+    assert {(r["target"], r["other"], r["place"]) for r in rel.nearest_in_plane(targets, pool, "target", "other", ["f", "m"], 5).collect()} == want
+    assert rel.nearest_in_plane(targets, pool.where("other < 3"), "target", "other", ["f", "m"], 5).count() == 3 * len(asked)
+    assert rel.nearest_in_plane(targets, pool.where("false"), "target", "other", ["f", "m"], 5).isEmpty()

@@ -275,6 +275,53 @@ def nearest_in_pool(targets: DataFrame, pool: DataFrame, key: str, tie: str, gap
     return own.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_gap", tie))).where(F.col("place") <= n).drop("_gap")
 
 
+#: Pairs of points that meet without cells; and points that a cell of the first level may have, about, for each one sought.
+MEET, DENSE = 1 << 20, 16
+
+
+def nearest_in_plane(targets: DataFrame, pool: DataFrame, key: str, tie: str, at: list[str], n: int, digits: int = 9) -> DataFrame:
+    """(key, tie, gap, place): the ``n`` pool rows nearest to each target by the sum of the distances in two columns (``at``, of
+    both tables), rounded to ``digits``; ties to the smaller ``tie``. Rows without both coordinates take no part.
+
+    Equal targets ask once, and of equal pool rows the ``n`` of smallest ``tie`` answer for all. Turned by an eighth, the
+    sum of distances is the larger of two: all points within a cell's width stand in the nine cells around. Cells begin so
+    small that the fullest has few points; a target whose ``n``-th gap is within the width is done, and only the others
+    go on to cells four times as wide, until all are done or the width spans the table. Exact whatever the width."""
+    x, y = at
+    there = F.col(x).isNotNull() & F.col(y).isNotNull()
+    p = top_per_key(pool.where(there).select(F.col(tie), *[(F.col(c) + 0.0).alias(f"_p{i}") for i, c in enumerate(at)]), ["_p0", "_p1"], tie, n)
+    p = cut(p.withColumns({"_u": F.col("_p0") + F.col("_p1"), "_v": F.col("_p0") - F.col("_p1")}))
+    own = cut(targets.where(there).select(key, *[(F.col(c) + 0.0).alias(f"_q{i}") for i, c in enumerate(at)]))
+    q = cut(own.select("_q0", "_q1").distinct().withColumns({"_u": F.col("_q0") + F.col("_q1"), "_v": F.col("_q0") - F.col("_q1")}))
+    ends = [f(c) for c in ("_u", "_v") for f in (F.min, F.max)]
+    a, b = p.agg(*ends, F.count("*")).first(), q.agg(*ends, F.count("*")).first()
+    if not a[4] or not b[4]:
+        return own.join(p, F.lit(False)).select(key, tie, F.lit(0.0).alias("gap"), F.lit(0).alias("place"))
+    reach = max(1e-6, *[max(a[i + 1], b[i + 1]) - min(a[i], b[i]) for i in (0, 2)])
+    cell = lambda c, h: F.floor(F.col(c) / h)
+    h = reach
+    if a[4] * b[4] > MEET:
+        while h > 1e-6 and p.groupBy(cell("_u", h), cell("_v", h)).count().agg(F.max("count")).first()[0] > DENSE * n:
+            h /= 4
+    done, left = None, q
+    gap = F.round(F.abs(F.col("_q0") - F.col("_p0")) + F.abs(F.col("_q1") - F.col("_p1")), digits)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    while True:
+        asked = left.select("_q0", "_q1", cell("_u", h).alias("_a"), cell("_v", h).alias("_b")).withColumn("_a", F.explode(F.transform(around, lambda i: F.col("_a") + i))).withColumn("_b", F.explode(F.transform(around, lambda i: F.col("_b") + i)))
+        met = asked.join(p.select("*", cell("_u", h).alias("_a"), cell("_v", h).alias("_b")), ["_a", "_b"]).select("_q0", "_q1", tie, gap.alias("gap"))
+        near = met.withColumn("place", F.row_number().over(Window.partitionBy("_q0", "_q1").orderBy("gap", tie))).where(F.col("place") <= n)
+        if h >= reach:
+            return own.join(near if done is None else done.unionByName(near), ["_q0", "_q1"]).select(key, tie, "gap", "place")
+        near = cut(near)
+        # Rounding may bring a gap nearer by half a digit.
+        settled = near.where((F.col("place") == n) & (F.col("gap") < h - 2 * 10.0**-digits)).select("_q0", "_q1")
+        sure = near.join(settled, ["_q0", "_q1"], "left_semi")
+        done, left = sure if done is None else done.unionByName(sure), cut(left.join(settled, ["_q0", "_q1"], "left_anti"))
+        if left.isEmpty():
+            return own.join(done, ["_q0", "_q1"]).select(key, tie, "gap", "place")
+        h = min(4 * h, reach)
+
+
 def strongest_other(df: DataFrame, within, item: str, value: str) -> DataFrame:
     """Each row with the largest value of any other item of its group. The two best of a group tell it, so that no row meets
     all others."""

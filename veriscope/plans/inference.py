@@ -20,10 +20,10 @@ select target, other, i as place from p where i <= 5
 """)
 def _(spark, d):
     s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("f"), F.round(F.avg("l_quantity"), 6).alias("m"))
-    a = s.where("l_suppkey % 10 = 0").select(F.col("l_suppkey").alias("target"), F.col("f").alias("fa"), F.col("m").alias("ma"))
-    b = s.where("l_suppkey % 10 <> 0").select(F.col("l_suppkey").alias("other"), "f", "m")
-    gap = F.round(F.abs(F.ln("fa") - F.ln("f")) + F.abs(F.ln("ma") - F.ln("m")), 9)
-    return rel.nearest_in_pool(a, b, "target", "other", gap, 5).select("target", "other", F.col("place").cast("long").alias("place"))
+    s = s.select("l_suppkey", F.ln("f").alias("f"), F.ln("m").alias("m"))
+    a = s.where("l_suppkey % 10 = 0").withColumnRenamed("l_suppkey", "target")
+    b = s.where("l_suppkey % 10 <> 0").withColumnRenamed("l_suppkey", "other")
+    return rel.nearest_in_plane(a, b, "target", "other", ["f", "m"], 5).select("target", "other", F.col("place").cast("long").alias("place"))
 
 
 @query("join23_positional", "select a.c_custkey, b.s_suppkey from (select c_custkey, row_number() over (order by c_custkey) as i from customer) a join (select s_suppkey, row_number() over (order by s_suppkey) as i from supplier) b using (i)")
