@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriscope import plans
+from veriscope.operators import heads
 from veriscope.operators import relational as rel
 from veriscope.operators import statistics as st
 from veriscope.operators import vectors as v
@@ -97,3 +98,17 @@ def test_nearest_in_plane(spark, monkeypatch, meet):
     assert {(r["target"], r["other"], r["place"]) for r in rel.nearest_in_plane(targets, pool, "target", "other", ["f", "m"], 5).collect()} == want
     assert rel.nearest_in_plane(targets, pool.where("other < 3"), "target", "other", ["f", "m"], 5).count() == 3 * len(asked)
     assert rel.nearest_in_plane(targets, pool.where("false"), "target", "other", ["f", "m"], 5).isEmpty()
+
+
+def test_fits_compute_their_rows_once(spark):
+    rng = np.random.default_rng(4)
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        reads.add(1)
+        yield from batches
+
+    x = rng.normal(size=400)
+    df = spark.createDataFrame([(["a", "b", None][i % 3], [float(v)], float(rng.random() < 1 / (1 + np.exp(-v)))) for i, v in enumerate(x)], "g string, v array<double>, y double").coalesce(1)
+    fits = heads.LogisticFits((1.0,), balanced=False).fit(df.mapInArrow(count, df.schema), "v", ["y"], "g")
+    assert {p.group for p in fits.problems} == {"a", "b"} and fits.scans > 4 and reads.value <= 2

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .audit import Rejected
 from .models import Eraser, Ridge, matched_cosines, matrix_root, subspace_overlap
 from .probes import explained, map_vectors
-from .relational import _keys
+from .relational import _keys, cut
 from .statistics import auroc
 from .vectors import WIDEST, Moments, masked_moments, summed
 
@@ -78,6 +78,10 @@ class LogisticFits:
                         self.skipped.append((own, targets[t], out))
                         continue
                     self.problems += [Problem(own, t, c, out, np.array([n - p, p]), np.zeros(width)) for c in self.strengths]
+        # Each step scans the rows: they are computed once, and their groups are numbers.
+        number = {own: i for i, own in enumerate(dict.fromkeys(p.group for p in self.problems))}
+        rows = cut(rows.withColumn("g", F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("g")]).where("g is not null")) if self.problems else rows
+        self.numbers = number
         # As many at a time as their Hessians may take.
         most = max(1, WIDEST**2 // (width * (width + 1)))
         for lo in range(0, len(self.problems), most):
@@ -87,7 +91,7 @@ class LogisticFits:
     def _scan(self, rows: DataFrame, some: list[Problem], width: int) -> np.ndarray:
         """Of each problem: loss, gradient, Hessian, without penalty."""
         weigh = self.balanced
-        sent = rows.sparkSession.sparkContext.broadcast([(p.group, p.target, p.fold, p.weights, p.counts.sum() / (2 * p.counts) if weigh else np.ones(2)) for p in some])
+        sent = rows.sparkSession.sparkContext.broadcast([(self.numbers[p.group], p.target, p.fold, p.weights, p.counts.sum() / (2 * p.counts) if weigh else np.ones(2)) for p in some])
         size = 1 + width + width * width
 
         def run(batches):
@@ -95,7 +99,7 @@ class LogisticFits:
             for b in batches:
                 if not len(b):
                     continue
-                groups, folds = np.array(b.column("g").to_pylist(), object), b.column("f").to_numpy(zero_copy_only=False)
+                groups, folds = b.column("g").to_numpy(zero_copy_only=False), b.column("f").to_numpy(zero_copy_only=False)
                 v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
                 x = np.column_stack([np.ones(len(b)), v])
                 y = b.column("y").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
@@ -207,7 +211,8 @@ def fitted_propensity(df: DataFrame, key: str, groups: list[str], success: str,
     outcome only are left out. Folds are dealt by hash; all groups' and folds' fits share each step's scan."""
     g = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in groups])
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int")
-    base = prepared(df.where(F.col(success).isNotNull()), covariates, groups).withColumns({"_g": g, "_f": u, "_s": F.col(success).cast("double")})
+    # Medians and scales are taken once: fits, scores and rates all read the features.
+    base = cut(prepared(df.where(F.col(success).isNotNull()), covariates, groups).withColumns({"_g": g, "_f": u, "_s": F.col(success).cast("double")}))
     fits = LogisticFits((1.0,), balanced=False, penalise_intercept=True).fit(base, "features", ["_s"], "_g", "_f", folds)
     rows = [(p.group, p.fold, [float(x) for x in p.best]) for p in fits.problems]
     spark = df.sparkSession
