@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .shared import Words, chunks, scratch_path, strings
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
-#: Words that a Python worker keeps encoded between batches.
-CACHE = 200_000
+#: Words, and runs of letters or marks, that a Python worker keeps encoded, for its next tasks, too.
+CACHE = 400_000
 # The normalizer and the splits of tokenizers whose runs of letters and marks the model may take directly.
 DIRECT = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -234,8 +234,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_wi
                         yield _columns(rows, False, 0)
                         rows = []
                 yield _columns(rows, False, 0)
-        # Runs of letters serve the worker's next task; whole words would keep too much.
-        encoder.known.clear()
         for left in windows.rest():
             yield _columns(writer.rows(left), True, task // merge)
 
