@@ -480,6 +480,25 @@ def test_html_template_texts_go(spark):
     assert html_text.blocks(by_elements, html_text.zones([s for s, _ in by_elements])).startswith("My site")
 
 
+def test_html_wrappers_are_of_all_pages(spark):
+    """A box of few pages is template though most pages lack it; one whose text any page contradicts, or that only copies
+    have, is not. The deal of the rows is of no account."""
+    page = "<html><body><h1>Title {0}</h1><p>Body {0} goes on for as long as articles do, and then it ends: {0}.</p>{1}</body></html>"
+    boxes = {3: "<div>Write to us</div>", 23: "<div>Write to us</div>", 43: "<div>Write to us</div>", 63: "<div>Write to us</div>"}
+    rows = [(i, f"https://many.example/{i}", page.format(i, boxes.get(i, ""))) for i in range(80)]
+    rows += [(100 + i, f"https://rare.example/{i}", page.format(i, "<div>Subscribe</div>" if i else "<div>By a guest</div>")) for i in range(80)]
+    rows += [(200 + i, f"https://copied.example/{i}", page.format(i if i % 20 else 0, "" if i % 20 else "<div>Only there</div>")) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [html_text.extract(df.repartition(n)) for n in (1, 7)]
+    one, other = ({r["page_id"]: r for r in x.collect()} for x in found)
+    assert one == other and all(r["by_wrapper"] for r in one.values())
+    ends = lambda ids: {one[i]["text"].split("\n")[-1] for i in ids}
+    assert ends(boxes) == {f"Body {i} goes on for as long as articles do, and then it ends: {i}." for i in boxes}
+    assert {one[i]["n_template"] for i in boxes} == {1} and sum(one[i]["n_template"] for i in range(80)) == 4
+    assert ends(range(101, 180)) == {"Subscribe"} and ends([100]) == {"By a guest"}
+    assert ends(range(200, 280, 20)) == {"Only there"}
+
+
 def test_html_wrappers_match(spark):
     out = html_text.extract(table(spark, "pages"))
     assert out.agg(F.avg(F.col("by_wrapper").cast("int"))).first()[0] > 0.9

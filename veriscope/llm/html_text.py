@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -35,6 +36,8 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _CHROME, _MAIN, _INLINE, _VOID, _MARKS, _REPEATED = map(frozenset, (CHROME, MAIN, INLINE, VOID, MARKS, REPEATED))
 #: Texts that so many different pages of a host share, at the article's edge, belong to the template.
 AGREE = 3
+#: Parts that the pages of a host are dealt into, by a hash of the page, so that one host may hold most pages.
+CHUNKS = 64
 #: Pairs of items that an alignment holds at a time.
 CELLS = 1 << 24
 #: Bytes of wrappers that are sent to every task at most.
@@ -133,16 +136,28 @@ def zones(symbols: list[str]) -> list[bool]:
 
 
 # A wrapper is a list of items: [kind, flag, symbol or items, text, pages]; kind one of "=" (a symbol), "?" (optional),
-# "+" (repeated). ``text`` is what all ``pages`` that have the item say there; None (a slot) if they say different things.
+# "+" (repeated). ``text`` is what all ``pages`` that have the item say there, as [digest, speakers]; None (a slot) if they
+# say different things, "" if they say nothing. Speakers are the keys of fewer than ``AGREE`` pages whose articles differ, or
+# True for as many or more. The wrapper of some pages is [items, articles]: of each speaker, how many characters each text has.
 
 
-def fold(found: list[tuple[str, bool, str]]) -> list:
-    """Join the neighbours that begin with the same repeated element into one repeated group."""
+def digest(text: str) -> str:
+    """64 bits that stand for a text of the template."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def fold(found: list[tuple[str, bool, str]], page: str = "") -> list:
+    """Join the neighbours that begin with the same repeated element into one repeated group. ``page`` is the key of who says
+    the article's texts; within groups, and without it, they don't count."""
+
+    def said(flag: bool, texts: list[str]):
+        return [digest("\n".join(texts)), [page]] if page and flag and texts else ""
+
     out, i, n = [], 0, len(found)
     while i < n:
         s, flag, text = found[i]
         if s[0] != "<" or s[1:] not in _REPEATED:
-            out.append(["=", flag, s, text, 1])
+            out.append(["=", flag, s, said(flag, [text] if text else []), 1])
             i += 1
             continue
         starts, j, kinds = [i], i + 1, set()
@@ -159,7 +174,7 @@ def fold(found: list[tuple[str, bool, str]]) -> list:
         for a, b in zip(starts, ends):
             own = [["=", flag, s, "", 1], *fold(found[a + 1 : b])]
             unit = own if unit is None else align(unit, own)
-        out.append(["+", flag, unit, "\n".join(t for _, _, t in found[i:j] if t), 1])
+        out.append(["+", flag, unit, said(flag, [t for _, _, t in found[i:j] if t]), 1])
         i = j
     return out
 
@@ -174,10 +189,17 @@ def _key(x: list) -> tuple:
     return x[0], x[1], x[2] if x[0] == "=" else x[2][0][2]
 
 
+def _said(x, y):
+    """What two items say, if they agree, and who says it."""
+    if not x or not y or x[0] != y[0]:
+        return x if x == y else None
+    return [x[0], True if x[1] is True or y[1] is True else x[1] + y[1]]
+
+
 def _merge(a: list, b: list) -> list:
     x, y = _inner(a), _inner(b)
     what = align(x[2], y[2]) if x[0] == "+" else x[2]
-    both = [x[0], x[1], what, x[3] if x[3] == y[3] else None, x[4] + y[4]]
+    both = [x[0], x[1], what, _said(x[3], y[3]), x[4] + y[4]]
     return both if x is a and y is b else _optional(both)
 
 
@@ -238,36 +260,60 @@ def _between(a: list, b: list, x: np.ndarray, y: np.ndarray) -> list:
 def _template(items: list) -> list:
     """Items as they are kept: texts stay only where they are part of the template, that is where ``AGREE`` pages say the
     same before the first slot of the article or after the last one; headings between slots are its own."""
-    says = [x for x in map(_inner, items)]
+    says = list(map(_inner, items))
     slots = [i for i, x in enumerate(says) if x[1] and x[3] is None]
 
     def kept(x: list, edge: bool) -> list:
         if x[0] == "?":
             return ["?", x[1], [kept(y, edge) for y in x[2]], None]
         what = x[2] if x[0] == "=" else [kept(y, False) for y in x[2]]
-        return [x[0], x[1], what, x[3] if edge and x[1] and x[3] and x[4] >= AGREE else None]
+        return [x[0], x[1], what, x[3][0] if edge and x[1] and x[3] and x[3][1] is True else None]
 
     return [kept(x, bool(slots) and not slots[0] <= i <= slots[-1]) for i, x in enumerate(items)]
 
 
-def infer(pages: list[str]) -> str:
-    """The wrapper of some pages of a host, as JSON: the first page's items, aligned with one page after the other.
+def _copied(article: dict[str, int], others: list[dict[str, int]]) -> bool:
+    """Whether more than half of an article's text stands in the others."""
+    return 2 * sum(n for t, n in article.items() if any(t in o for o in others)) > sum(article.values())
+
+
+def _settle(items: list, articles: dict[str, dict[str, int]]) -> dict[str, dict[str, int]]:
+    """Leave of the speakers of each text those whose articles differ: a copy says nothing about the template. Returns the
+    articles that further pages have to be held against."""
+    used: set[str] = set()
+    for x in map(_inner, items):
+        if x[3] and x[3][1] is not True:
+            own: list[str] = []
+            for page in x[3][1]:
+                if page not in own and not _copied(articles[page], [articles[o] for o in own]):
+                    own.append(page)
+            if len(own) >= AGREE:
+                x[3] = [x[3][0], True]
+            else:
+                x[3] = [x[3][0], own]
+                used.update(own)
+    return {page: articles[page] for page in used}
+
+
+def page_wrapper(page: str, key: str) -> list | None:
+    """The wrapper of one page; None for one without tokens."""
+    found = tokens(page)
+    if not found:
+        return None
+    flags = zones([s for s, _ in found])
+    texts = [" ".join(t.split()) if f else "" for (_, t), f in zip(found, flags)]
+    article: dict[str, int] = {}
+    for t in filter(None, texts):
+        d = digest(t)
+        article[d] = article.get(d, 0) + len(t)
+    items = fold([(s, f, t) for (s, _), f, t in zip(found, flags, texts)], key)
+    return [items, {key: article} if any(x[3] for x in items) else {}]
 
-    A page of which more than half the article's text stands in the pages before is a copy and says nothing about the
-    template."""
-    wrapper, seen = None, set()
-    for page in pages:
-        found = tokens(page)
-        flags = zones([s for s, _ in found])
-        texts = [" ".join(t.split()) for _, t in found]
-        mine = [t for t, f in zip(texts, flags) if f and t]
-        old = sum(len(t) for t in mine if t in seen)
-        if not found or 2 * old > sum(map(len, mine)):
-            continue
-        own = fold([(s, f, t) for (s, _), f, t in zip(found, flags, texts)])
-        seen |= set(mine)
-        wrapper = own if wrapper is None else align(wrapper, own)
-    return json.dumps(_template(wrapper or []))
+
+def joined(a: list, b: list) -> list:
+    """The wrapper of the pages of two wrappers."""
+    items = align(a[0], b[0])
+    return [items, _settle(items, a[1] | b[1])]
 
 
 class Wrapper:
@@ -276,7 +322,7 @@ class Wrapper:
 
     def __init__(self, text: str):
         self.codes: dict[str, str] = {}
-        self.said: list[str | None] = []  # of each group the template's text, None for a part of the article
+        self.said: list[str | None] = []  # of each group the digest of the template's text, None for a part of the article
         items = json.loads(text)
         self.regex = re.compile(self._sequence(items, True)) if items else None
 
@@ -312,7 +358,7 @@ class Wrapper:
                 continue
             if text is None:
                 out[a:b] = [True] * (b - a)
-            elif "\n".join(t for t in (" ".join(t.split()) for _, t in found[a:b]) if t) == text:
+            elif digest("\n".join(t for t in (" ".join(t.split()) for _, t in found[a:b]) if t)) == text:
                 out[a:b] = [False] * (b - a)
                 dropped += 1
         return out, dropped
@@ -331,33 +377,66 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = 12) -> DataFrame:
-    """(host, wrapper), inferred from the ``sample`` pages of each host whose hashes are smallest."""
+def _join_rows(key: list[str], finish=None):
+    """A task over rows sorted by ``key``: the wrappers of equal keys are joined in the order of the rows."""
+
+    def run(batches):
+        last, held, whole = None, None, None  # ``whole``: what is joined so far; a single row stays as it is
+
+        def row():
+            return [*last, finish(json.loads(held) if whole is None else whole) if finish else held if whole is None else json.dumps(whole)]
+
+        names = [*key, "wrapper"]
+        for b in batches:
+            out = []
+            for *k, made in zip(*(b.column(n).to_pylist() for n in names)):
+                if k == last:
+                    whole = joined(json.loads(held) if whole is None else whole, json.loads(made))
+                    continue
+                if last is not None:
+                    out.append(row())
+                last, held, whole = k, made, None
+            yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field(n).type) for n, c in zip(names, zip(*out))] if out else [b.column(n)[:0] for n in names], names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], b.schema.field(n).type) for n, v in zip(names, row())], names)
+
+    return run
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper), inferred from all pages of each host.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("wrap_key", "ascending")])
-        return pa.table({"wrap_host": table["wrap_host"][:1], "wrapper": [infer([x or "" for x in table["html"].to_pylist()])]})
+    A page becomes a wrapper of its own, with digests for texts; those of a host are joined in ``CHUNKS`` parts, in the order
+    of the pages' hashes, and the parts after that, so that the result doesn't depend on how rows are dealt."""
+
+    def run(batches):
+        for b in batches:
+            made = [page_wrapper(x or "", str(k)) for x, k in zip(b.column("html").to_pylist(), b.column("wrap_key").to_pylist())]
+            texts = pa.array([w and json.dumps(w) for w in made], pa.string())
+            own = pa.RecordBatch.from_arrays([b.column("wrap_host"), b.column("wrap_chunk"), b.column("wrap_key"), texts], ["wrap_host", "wrap_chunk", "wrap_key", "wrapper"])
+            yield own.filter(texts.is_valid())
 
-    keyed = pages.select(host(F.col("url")).alias("wrap_host"), "html", F.xxhash64("url", "html").alias("wrap_key"))
-    first = keyed.withColumn("wrap_rank", F.row_number().over(Window.partitionBy("wrap_host").orderBy("wrap_key"))).where(F.col("wrap_rank") <= sample)
-    return first.select("wrap_host", "html", "wrap_key").groupBy("wrap_host").applyInArrow(run, "wrap_host string, wrapper string")
+    key = F.xxhash64("url", "html")
+    keyed = pages.select(host(F.col("url")).alias("wrap_host"), F.pmod(key, F.lit(CHUNKS)).cast("int").alias("wrap_chunk"), key.alias("wrap_key"), "html")
+    one = keyed.mapInArrow(run, "wrap_host string, wrap_chunk int, wrap_key long, wrapper string")
+    parts = one.repartition("wrap_host", "wrap_chunk").sortWithinPartitions("wrap_host", "wrap_chunk", "wrap_key").mapInArrow(_join_rows(["wrap_host", "wrap_chunk"]), "wrap_host string, wrap_chunk int, wrapper string")
+    return parts.repartition("wrap_host").sortWithinPartitions("wrap_host", "wrap_chunk").mapInArrow(_join_rows(["wrap_host"], lambda w: json.dumps(_template(w[0]))), "wrap_host string, wrapper string")
 
 
-def extract(pages: DataFrame, sample: int = 12, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``page_id``, ``url``, ``text`` of every page; ``by_wrapper``: whether its host's wrapper matched; ``n_template``: how
     many texts the wrapper left out because the host's other pages say the same there.
 
-    Elements and names say first what may be the article (``zones``). Wrappers are fitted on a bounded sample of each host
-    (``sample`` pages of any length, see ``infer``) by aligning pages, texts included: what differs is a slot,
-    what repeats a group, and texts that are the same on all pages at the article's edge are template and go. Wrappers are
-    applied to every page whole, whatever its length. A page that its wrapper doesn't match, or of a host without one, is
+    Elements and names say first what may be the article (``zones``). Wrappers are fitted on all pages of each host
+    (``wrappers``) by aligning pages, texts included: what differs is a slot, what repeats a group, and texts at the
+    article's edge that are the same on all pages which have them are template and go. Wrappers are applied to every page whole, whatever its length. A page that its wrapper doesn't match, or of a host without one, is
     cut by the elements alone.
 
     Null html is empty; a null url is a host of its own; repeated rows give equal rows; very long pages are extracted whole;
     an empty table gives no rows; other columns are ignored, whatever their names. Wrappers of up to ``broadcast_bytes``
     in all are sent to every task; more are joined by a shuffle.
     """
-    found = cut_lineage(wrappers(pages, sample))
+    found = cut_lineage(wrappers(pages))
     size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("wrap_host"))).first()[0] or 0
     kind = dict(pages.dtypes)["page_id"]
     joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("wrap_host")).join(F.broadcast(found) if size <= broadcast_bytes else found, "wrap_host", "left").select("page_id", "url", "html", "wrapper")
