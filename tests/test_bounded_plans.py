@@ -1,6 +1,7 @@
 """Operators that deal out what one task or the driver held: manifests, packs, fronts, draws, permutations, record order."""
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -104,3 +105,23 @@ def test_orthogonal_set_against_all_swaps():
         assert not any(apart([k for k in kept if k != out] + [a, b]) for out in kept for a in rest for b in rest if a < b)
         table = {(a, b): r[a, b] for a in range(9) for b in range(a + 1, 9)}
         assert probes.orthogonal_set(list(range(9)), table, 0.45) == kept
+
+
+def test_cliques_grow_within_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names = [f"n{i:02d}" for i in range(24)]
+    linked = {p for p in combinations(names, 2) if rng.random() < 0.6}
+    edges = spark.createDataFrame([*linked, *list(linked)[:9]], "a string, b string").repartition(3)
+    want = {c for k in range(2, 6) for c in combinations(names, k) if all(p in linked for p in combinations(c, 2))}
+    got = [(r["size"], tuple(r["items"])) for r in rel.cliques(edges, 2, 5).collect()]
+    assert len(got) == len(want) and set(got) == {(len(c), c) for c in want}
+    assert rel.cliques(edges.limit(0), 3, 6).isEmpty()
+    # Larger sets take no further shuffle, and no step holds more than some.
+    shuffles = lambda most: rel.cliques(edges, 3, most)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles(3) == shuffles(9)
+    a = np.triu(np.ones((12, 12), bool), 1)
+    grow = lambda: [x for x in rel._grown(np.zeros((1, 0), np.int32), np.ones((1, 12), bool), a, 3, 6)]
+    whole = sorted(map(tuple, (r for x in grow() for r in x.tolist())))
+    monkeypatch.setattr(rel, "CLIQUE_CELLS", 288)
+    parts = grow()
+    assert max(map(len, parts)) <= 24 and sorted(map(tuple, (r for x in parts for r in x.tolist()))) == whole
