@@ -116,6 +116,8 @@ def test_cliques_grow_within_tasks(spark, monkeypatch):
     got = [(r["size"], tuple(r["items"])) for r in rel.cliques(edges, 2, 5).collect()]
     assert len(got) == len(want) and set(got) == {(len(c), c) for c in want}
     assert rel.cliques(edges.limit(0), 3, 6).isEmpty()
+    # All tasks share the work, however few bytes the edges have.
+    assert rel.cliques(edges, 2, 5).rdd.getNumPartitions() == 4
     # Larger sets take no further shuffle, and no step holds more than some.
     shuffles = lambda most: rel.cliques(edges, 3, most)._jdf.queryExecution().executedPlan().toString().count("Exchange")
     assert shuffles(3) == shuffles(9)
