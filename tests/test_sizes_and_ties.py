@@ -112,3 +112,48 @@ def test_fits_compute_their_rows_once(spark):
     df = spark.createDataFrame([(["a", "b", None][i % 3], [float(v)], float(rng.random() < 1 / (1 + np.exp(-v)))) for i, v in enumerate(x)], "g string, v array<double>, y double").coalesce(1)
     fits = heads.LogisticFits((1.0,), balanced=False).fit(df.mapInArrow(count, df.schema), "v", ["y"], "g")
     assert {p.group for p in fits.problems} == {"a", "b"} and fits.scans > 4 and reads.value <= 2
+
+
+@pytest.mark.parametrize("name, mean", [("aud10_arm_agreement", 0.0625)])
+def test_means_that_meet_an_edge(spark, tmp_path, name, mean):
+    # Groups whose mean is just on the edge, in many row groups, each a task's: the order in which doubles are added decides.
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    side, each, i = 40, 400, np.arange(16000)
+    half = np.random.default_rng(0).integers(0, round(mean * 200) + 1, (each // 4, 2, side))
+    four = np.concatenate([half, round(mean * 200) - half], axis=1)
+    four[:, 3] += round(mean * 400) - four.sum(axis=1)
+    flag = np.array(list("ANRXY"))[i // 8 % 5]
+    tables = {
+        "lineitem": {"l_orderkey": i // 8 % 50, "l_suppkey": i % 8, "l_returnflag": flag, "l_discount": four.reshape(-1) / 100},
+        "orders": {"o_orderkey": np.arange(50), "o_custkey": np.arange(50)},
+        "customer": {"c_custkey": np.arange(50), "c_nationkey": np.arange(50) % 5},
+        "nation": {"n_nationkey": np.arange(5), "n_regionkey": np.arange(5)},
+        "region": {"r_regionkey": np.arange(5)},
+        "supplier": {"s_suppkey": np.arange(8)},
+    }
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    for t, columns in tables.items():
+        pq.write_table(pa.table(columns), f"{tmp_path}/{t}.parquet", row_group_size=500)
+        duck.execute(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    want = sorted(duck.sql(plans.oracle_sql()[name]).fetchall())
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (1 << 12, 1 << 27):
+            for c in kept:
+                spark.conf.set(c, size)
+            df = plans.queries()[name](spark, str(tmp_path))
+            assert sorted(map(tuple, df.select(duck.sql(plans.oracle_sql()[name]).columns).collect())) == want
+    finally:
+        for c, v_ in kept.items():
+            spark.conf.set(c, v_)
+
+
+def test_rounding_lifts_what_its_product_lifts(spark):
+    x = [0.058499999999999996, 0.0585, 0.05849999, -0.058499999999999996, 0.0, float("nan"), None]
+    df = spark.createDataFrame([(v_,) for v_ in x], "x double").select(st.rounded_product(F.col("x"), 3).alias("y"))
+    got = [r["y"] for r in df.collect()]
+    want = [r[0] for r in duckdb.sql("select round(x, 3) from (select unnest([0.058499999999999996::double, 0.0585, 0.05849999, -0.058499999999999996, 0])) t(x)").fetchall()]
+    assert got[:5] == want == [0.059, 0.059, 0.058, -0.059, 0.0] and np.isnan(got[5]) and got[6] is None

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import audit
 from ..operators import relational as rel
+from ..operators import statistics as st
 from ..sources import binary, sinks
 from ..sources import tables as src
-from . import query, table
+from . import PLACE, placed, query, table
 
 # Sources and sinks
 
@@ -353,7 +354,8 @@ def _(spark, d):
 
 @query("aud10_arm_agreement", "select l_suppkey, count(m) as n, count(distinct m) as distinct, round(max(m) - min(m), 8) as spread from (select l_suppkey, l_returnflag, round(avg(l_discount), 3) as m from lineitem group by all) group by l_suppkey")
 def _(spark, d):
-    arms = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg("l_discount"), 3).alias("m"))
+    means = st.ordered_means(placed(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], PLACE, m="l_discount")
+    arms = means.withColumn("m", st.rounded_product(F.col("m"), 3))
     return audit.agreement(arms, "l_suppkey", "m").withColumn("spread", F.round("spread", 8))
 
 
