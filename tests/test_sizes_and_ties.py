@@ -114,7 +114,7 @@ def test_fits_compute_their_rows_once(spark):
     assert {p.group for p in fits.problems} == {"a", "b"} and fits.scans > 4 and reads.value <= 2
 
 
-@pytest.mark.parametrize("name, mean", [("aud10_arm_agreement", 0.0625)])
+@pytest.mark.parametrize("name, mean", [("aud10_arm_agreement", 0.0625), ("prj44_recon_gate", 0.05), ("prj28_taxonomy", 0.04)])
 def test_means_that_meet_an_edge(spark, tmp_path, name, mean):
     # Groups whose mean is just on the edge, in many row groups, each a task's: the order in which doubles are added decides.
     import pyarrow as pa

@@ -206,7 +206,7 @@ with s as (select l_suppkey, l_returnflag, avg(l_discount) as m from lineitem gr
 select l_suppkey, case when n < 2 then 'dead' when a < 0.04 then 'inactive' when b < 0.9 * a then 'mono' else 'entangled' end as class from t
 """)
 def _(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("m"))
+    s = st.ordered_means(placed(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], PLACE, m="l_discount")
     r = s.withColumn("k", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.col("m").desc(), "l_returnflag")))
     t = r.groupBy("l_suppkey").agg(F.max("m").alias("a"), F.max(F.when(F.col("k") == 2, F.col("m"))).alias("b"), F.count("*").alias("n"))
     return t.select("l_suppkey", fn.ladder((F.col("n") < 2, "dead"), (F.col("a") < 0.04, "inactive"), (F.col("b") < 0.9 * F.col("a"), "mono"), otherwise="entangled").alias("class"))
@@ -223,8 +223,9 @@ with c as (select s_suppkey, r_regionkey from supplier, region), h as (select l_
 select c.s_suppkey, c.r_regionkey, case when c.s_suppkey % 10 = 0 then 'missing_checkpoint' when r is null then 'missing_cache' when r >= 0.9 then 'pass' else 'below' end as status from c left join h on c.s_suppkey = h.l_suppkey and c.r_regionkey = h.r_regionkey
 """)
 def _(spark, d):
-    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    h = li.groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("n_regionkey").alias("r_regionkey")).agg((F.avg("l_discount") * 18).alias("r"))
+    li = placed(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    means = st.ordered_means(li, ["l_suppkey", "n_regionkey"], PLACE, m="l_discount")
+    h = means.select(F.col("l_suppkey").alias("s_suppkey"), F.col("n_regionkey").alias("r_regionkey"), (F.col("m") * 18).alias("r"))
     cells = rel.grid(s_suppkey=table(spark, d, "supplier").select("s_suppkey"), r_regionkey=table(spark, d, "region").select("r_regionkey"))
     j = cells.join(h, ["s_suppkey", "r_regionkey"], "left")
     return j.select("s_suppkey", "r_regionkey", fn.ladder((F.col("s_suppkey") % 10 == 0, "missing_checkpoint"), (F.col("r").isNull(), "missing_cache"), (F.isnan("r"), "nonfinite"), (F.col("r") >= 0.9, "pass"), otherwise="below").alias("status"))
@@ -289,7 +290,7 @@ with s as (select l_returnflag, l_suppkey, count(*) as n, avg(l_discount) as dea
 select l_returnflag, l_suppkey, tier from (select *, row_number() over (partition by l_returnflag order by tier, n desc, dead, l0, l_suppkey) as k from t) where k = 1
 """)
 def _(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n"), F.avg("l_discount").alias("dead"), F.avg("l_quantity").alias("l0"))
+    s = st.ordered_means(placed(spark, d, "lineitem"), ["l_returnflag", "l_suppkey"], PLACE, dead="l_discount", l0="l_quantity")
     tier = F.when(F.col("dead") < 0.048, 0).when(F.col("dead") < 0.052, 1).otherwise(2)
     return rel.top_per_key(s.withColumn("tier", tier), "l_returnflag", [F.col("tier"), F.col("n").desc(), F.col("dead"), F.col("l0"), F.col("l_suppkey")]).select("l_returnflag", "l_suppkey", "tier")
 
