@@ -739,6 +739,19 @@ def test_op1_other_tokenizers(tmp_path):
     assert same.words(words) == [np.array(same.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
 
 
+def test_op1_units_are_shared():
+    import pyarrow as pa
+
+    # Words that differ in case or marks alone share what is encoded; each is as the whole tokenizer has it.
+    encoder = packing._Encoder(BPE, False)
+    words = ["Straße", "straße", "STRAße...", "Straße,", "a.b", "É!?", "e\u0301", "×", "ÿ", "Āb", "é", "x1", "..."]
+    text = pa.array([" ".join(words), None, "\n".join(reversed(words))])
+    ids, ends = encoder.documents(text)
+    want = [[i for w in own for i in encoder.tokenizer.encode(w, add_special_tokens=False).ids] for own in (words, [], words[::-1])]
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+    assert sorted(encoder.known) == sorted({"straße", "...", ",", "a.b", "é", "!?", "e\u0301", "×", "ÿ", "Āb", "x1"})
+
+
 def test_op2_columns(spark):
     rows = rows_of(table(spark), "doc_id", "text")
     want = {k: f"{p:016x}" for (k, _), p in zip(rows, brute_prints([x for _, x in rows], 4))}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .shared import Words, chunks, scratch_path, strings
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, group int"
-#: Words, and runs of letters or marks, that a Python worker keeps encoded, for its next tasks, too.
+#: Words, or runs of letters or marks in them, that a Python worker keeps encoded, for its next tasks, too.
 CACHE = 400_000
 # The normalizer and the splits of tokenizers whose runs of letters and marks the model may take directly.
 DIRECT = {
@@ -29,8 +29,14 @@ DIRECT = {
         ],
     },
 }
-# A word of letters that one lower-case rule and no composition touches, then marks that make one token run.
-PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#%&$()]*)"
+# Plain words are letters that one lower-case rule and no composition touches, then marks that make one token run: the bytes of
+# ASCII letters and of the marks, and what may follow 0xC3 in the letters from À to ÿ.
+LETTER, MARK, LATIN = np.zeros((3, 256), bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
+MARK[list(b".,;:!?|*#%&$()")] = True
+LATIN[[i for i in range(0x80, 0xC0) if i not in (0x97, 0xB7)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def _byte_letters() -> list[str]:
@@ -40,25 +46,54 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Plain words as lower-case runs of letters and of marks, other words as they are: (bytes, where each unit begins, which
+    units are plain, where each word's units begin)."""
+    data, n = words.solid, len(words)
+    first = np.cumsum(words.length) - words.length
+    mark, letter = MARK[data], LETTER[data]
+    two = np.flatnonzero(data[:-1] == 0xC3) + 1
+    two = two[LATIN[data[two]]]
+    letter[two] = True
+    # A letter after a mark, and bytes that are neither, make a word odd; so does half a letter.
+    wrong = ~(mark | letter)
+    turn = letter[1:] & mark[:-1]
+    turn[first[1:] - 1] = False
+    wrong[1:] |= turn
+    odd = np.zeros(n, bool)
+    odd[np.searchsorted(first, np.flatnonzero(wrong), "right") - 1] = True
+    begins = np.zeros(len(data), bool)
+    begins[1:] = mark[1:] & letter[:-1]
+    out = LOWER[data]
+    high = two[(data[two] < 0x9F) & (data[two] != 0x97)]
+    out[high] += 0x20
+    for w in np.flatnonzero(odd):
+        own = slice(first[w], first[w] + words.length[w])
+        begins[own], out[own] = False, data[own]
+    begins[first] = True
+    at = np.flatnonzero(begins)
+    begin = np.searchsorted(at, first)
+    plain = np.ones(len(at), bool)
+    plain[begin[odd]] = False
+    return out, at, plain, begin
+
+
 class _Encoder:
     """Token ids of words, by a tokenizer that drops white space, so that no token spans two words.
 
-    Words are encoded once per worker while they fit its caches; if the file states the rules of ``DIRECT``, so are the runs
-    of letters and marks in them, by the model alone. Under any other rules each word goes through the whole tokenizer.
-    ``whole`` is for tokenizers that look across white space: each text is then encoded by itself.
+    If the file states the rules of ``DIRECT``, words fall into runs of letters and of marks, which the model encodes alone.
+    Under any other rules each word goes through the whole tokenizer. Runs and words are encoded once per worker while they
+    fit its cache. ``whole`` is for tokenizers that look across white space: each text is then encoded by itself.
     """
 
     def __init__(self, path: str, whole: bool):
         import os
 
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.plain = Tokenizer.from_file(path), whole, regex.compile(PLAIN).fullmatch
+        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.letters, self.model = _byte_letters(), self.tokenizer.model
-        self.runs: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
@@ -70,35 +105,30 @@ class _Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def _run(self, run: str) -> bytes:
-        """Of letters or marks alone, which the model takes as they are."""
-        letters = self.letters
-        i = [t.id for t in self.model.tokenize("".join([letters[b] for b in run.encode()]))]
-        return struct.pack(f"<{len(i)}I", *i)
+    def units(self, units: list[str], plain: np.ndarray) -> list[bytes]:
+        """Little-endian ids of each unit; plain ones are of letters or marks alone, which the model takes as they are."""
+        known, letters, tokens, odd = self.known, self.letters, self.model.tokenize, []
+        out = list(map(known.get, units))
+        new = [i for i, own in enumerate(out) if own is None]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+        for i, p in zip(new, plain[new].tolist()):
+            if p:
+                u = units[i]
+                ids = [t.id for t in tokens(u if u.isascii() else "".join([letters[b] for b in u.encode()]))]
+                known[u] = out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                odd.append(i)
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            for i, own in zip(part, self._encoded([units[i] for i in part])):
+                known[units[i]] = out[i] = own
+        return out
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word."""
-        known, runs, match, odd = self.known, self.runs, self.plain, []
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
-        if len(runs) > CACHE:
-            runs.clear()
-        for w in new:
-            if not self.direct or not (m := match(w)):
-                odd.append(w)
-                continue
-            out = b""
-            for part in (m[1].lower(), m[2]):
-                if part:
-                    if (own := runs.get(part)) is None:
-                        own = runs[part] = self._run(part)
-                    out = out + own if out else own
-            known[w] = out
-        for i in range(0, len(odd), 4096):
-            known.update(zip(odd[i : i + 4096], self._encoded(odd[i : i + 4096])))
-        return [known[w] for w in words]
+        ids, ends = self.documents(pa.array(words, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
     def documents(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, and where each begins."""
@@ -110,17 +140,24 @@ class _Encoder:
         words = Words(data, off)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        solid = np.concatenate(([0], np.cumsum(words.length)))
-        column = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(solid.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(words.solid)))
+        if self.direct:
+            solid, at, plain, begin = _units(words)
+        else:
+            solid, at = np.ascontiguousarray(words.solid), np.cumsum(words.length) - words.length
+            plain, begin = np.zeros(len(at), bool), np.arange(len(at))
+        bounds = np.append(at, len(solid))
+        column = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(solid))
         coded = column.dictionary_encode()
-        each = self.words(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat, begin = np.frombuffer(b"".join(each), np.uint32), np.cumsum(size) - size
         codes = coded.indices.to_numpy()
+        simple = np.zeros(len(coded.dictionary), bool)
+        simple[codes[plain]] = True
+        each = self.units(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), simple)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, where = np.frombuffer(b"".join(each), np.uint32), np.cumsum(size) - size
         n = size[codes]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], n)]
-        return ids, ends[words.first]
+        ids = flat[np.arange(ends[-1]) + np.repeat(where[codes] - ends[:-1], n)]
+        return ids, ends[np.append(begin, len(at))[words.first]]
 
 
 #: A worker's encoders, which serve one task after another.
