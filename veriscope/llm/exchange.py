@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, cut_lineage, mix, pack_ints, pack_sorted, parallelism, runs, scratch_path, strings, unpack_ints, unpack_sorted
+from .shared import chunks, cut_lineage, member, mix, ordered, pack_ints, pack_sorted, parallelism, runs, scratch_path, strings, unpack_ints, unpack_sorted
 
 ANSWER = "block int, kind int, shard int, payload binary"
 NO_ID = np.int64(2**63 - 1)
@@ -112,11 +112,19 @@ class Sketch:
     def shard(self, cells: np.ndarray) -> np.ndarray:
         return (cells >> np.uint64(self.width - self.bits)).astype(np.int64)
 
+    def among(self, some: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Which of ``cells`` are among ``some``, sorted ones. Looked up about in order, they meet what is in the cache."""
+        spare = max(0, self.width + len(cells).bit_length() - 64)
+        by = ordered(cells >> np.uint64(spare), self.width - spare)
+        out = np.zeros(len(cells), bool)
+        out[by] = member(some, cells[by])
+        return out
+
     def of(self, values: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         """(row, shard, packed cells) of a partition: each cell doubled, plus one if two documents share it here."""
         for row in range(self.depth):
             cells = self.cells(values, row)
-            order = np.argsort(cells)
+            order = ordered(cells, self.width)
             cells, d = cells[order], docs[order]
             first = runs(cells)
             if not len(first):
@@ -128,11 +136,11 @@ class Sketch:
                 yield row, int(s), pack_sorted(out[edges[s] : edges[s + 1]])
 
 
-def repeated(docs: DataFrame, items: Callable, sketch: Sketch, hot_blocks: int | None = None, parts: int = 1) -> DataFrame:
+def repeated(docs: DataFrame, items: Callable, sketch: Sketch, hot_blocks: int | None = None, parts: int = 1, chunk: int | None = None) -> DataFrame:
     """First pass: for each block the cells (``kind``: the row) that the merged sketches count twice or more.
 
     ``items(bytes, offsets)`` gives values and their documents. Cells of row 0 that ``hot_blocks`` blocks or more share are
-    told apart, as kind ``depth``.
+    told apart, as kind ``depth``. ``chunk``: bytes of text taken at a time.
     """
 
     def make(batches):
@@ -140,7 +148,7 @@ def repeated(docs: DataFrame, items: Callable, sketch: Sketch, hot_blocks: int |
         held: list[list[tuple]] = [[] for _ in range(parts)]
         for b in batches:
             part = ids(b.column("doc_id")) % parts
-            for lo, hi, data, off in texts(b):
+            for lo, hi, data, off in texts(b, chunk):
                 v, d = items(data, off)
                 d = d + lo
                 for i in range(parts):

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .shared import runs
+from .shared import chunks, ordered, runs, spread
 
 _STEP = 7  # symbols of 9 bits that a 64-bit key holds
 
@@ -64,8 +64,10 @@ def _keys(sym: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _suffix_order(key: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All suffixes in order, by prefix doubling over those that are still tied; ends of strings come first, in turn."""
     n = len(key)
-    place = np.arange(n)
-    order = np.argsort(key, kind="stable")
+    place, bits = np.arange(n), n.bit_length()
+    h = min(_STEP, (64 - bits) // 9)
+    key = key >> np.uint64(9 * (_STEP - h))
+    order = ordered(key, 9 * h)
     first = runs(key[order])
     size = np.diff(np.append(first, n))
     rank = np.empty(n, np.int64)
@@ -74,15 +76,14 @@ def _suffix_order(key: np.ndarray, end: np.ndarray) -> np.ndarray:
     rank[stops] = np.arange(len(stops))
     tied = np.repeat(size > 1, size)
     tied[: len(stops)] = False
-    slots, h = np.flatnonzero(tied), _STEP
+    slots = np.flatnonzero(tied)
     while len(slots):
         sub = order[slots]
-        group = rank[sub]
-        then = rank[np.minimum(sub + h, end[sub])]
-        by = np.argsort((group << 32) | then)
-        sub, group, then = sub[by], group[by], then[by]
+        both = (rank[sub] << bits) | rank[np.minimum(sub + h, end[sub])]
+        by = ordered(both, 2 * bits)
+        sub = sub[by]
         order[slots] = sub
-        new = runs(group, then)
+        new = runs(both[by])
         size = np.diff(np.append(new, len(sub)))
         # Slots of a group are neighbours, so that a slot is its rank.
         rank[sub] = np.repeat(slots[new], size)
@@ -92,17 +93,17 @@ def _suffix_order(key: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _common(key: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Symbols that pairs of suffixes share."""
-    out, live, at = np.zeros(len(a), np.int64), np.arange(len(a)), np.zeros(len(a), np.int64)
+    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
     while len(live):
-        ka, kb = key[np.minimum(a[live] + at, end[a[live]])], key[np.minimum(b[live] + at, end[b[live]])]
-        same, whole = np.zeros(len(live), np.int64), np.ones(len(live), bool)
+        # Beyond an end a key has zeros only: keys that differ do so before it, and equal ones share what is left.
+        other = key[a] ^ key[b]
+        same = np.zeros(len(live), np.int64)
         for j in range(_STEP):
-            shift = np.uint64(9 * (_STEP - 1 - j))
-            sa = (ka >> shift) & np.uint64(511)
-            whole &= (sa == (kb >> shift) & np.uint64(511)) & (sa != 0)
-            same += whole
+            same += other < np.uint64(1 << 9 * j)
+        same = np.minimum(same, end[a] - a)
         out[live] += same
-        live, at = live[whole], at[whole] + _STEP
+        whole = same == _STEP
+        live, a, b = live[whole], a[whole] + _STEP, b[whole] + _STEP
     return out
 
 
@@ -124,15 +125,12 @@ def build(data: np.ndarray, length: np.ndarray) -> RunIndex:
     return RunIndex(first[by], before[by], common[by], len(order))
 
 
-def earliest(data: np.ndarray, length: np.ndarray, doc: np.ndarray, least: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of strings and their end symbols: the smallest of ``doc`` among all strings that hold the ``least``
-    bytes from there; and the place at which each string begins. Places with fewer bytes left mean nothing.
+def _chained(data: np.ndarray, length: np.ndarray, doc: np.ndarray, least: int, step: int = 1 << 20) -> np.ndarray:
+    """``earliest`` by one index of all the strings.
 
     A match of ``least`` or more ties a place to the one before it in order; places tied into one chain have the same
     bytes, and the chain's first place stands for all."""
     index = build(data, length)
-    size = length + 1
-    begin = np.cumsum(size) - size
     root = np.empty(index.size, np.int64)
     for lo in range(0, index.size, step):
         hi = min(lo + step, index.size)
@@ -144,7 +142,30 @@ def earliest(data: np.ndarray, length: np.ndarray, doc: np.ndarray, least: int,
         moved = further != root[tied]
         root[tied] = further
         tied = tied[moved]
-    best = np.repeat(doc, size)
+    best = np.repeat(doc, length + 1)
     smallest = best.copy()
     np.minimum.at(smallest, root, best)
-    return smallest[root], begin
+    return smallest[root]
+
+
+def earliest(data: np.ndarray, length: np.ndarray, doc: np.ndarray, group: np.ndarray, least: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of strings and their end symbols: the smallest of ``doc`` among all strings that hold the ``least``
+    bytes from there; and the place at which each string begins. Places with fewer bytes left mean nothing.
+
+    Strings of different ``group`` share no ``least`` bytes. So one that is all of its group needs no index, and the others
+    are indexed some groups at a time, about ``most`` bytes, which bounds memory but for a larger group."""
+    size = length + 1
+    begin = np.cumsum(size) - size
+    best = np.repeat(doc, size)
+    by = np.argsort(group, kind="stable")
+    first = runs(group[by])
+    n = np.diff(np.append(first, len(by)))
+    by, n = by[np.repeat(n > 1, n)], n[n > 1]
+    edge = np.concatenate(([0], np.cumsum(n)))
+    upto = np.concatenate(([0], np.cumsum(size[by])))
+    from_ = np.cumsum(length) - length
+    for lo, hi in chunks(upto[edge], most):
+        some = by[edge[lo] : edge[hi]]
+        at = spread(from_[some], length[some])
+        best[spread(begin[some], size[some])] = _chained(data[at], length[some], doc[some], least)
+    return best, begin

@@ -11,22 +11,32 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, sketch_width, tagged, texts, unpack_ints
 from .runindex import earliest
-from .shared import member, mix, others, runs, sliding_min, table, window_hashes, window_rows
+from .shared import mix, others, sliding_min, spread, table, window_hashes
 
 _TEXT = 100
+#: Bytes of text taken at a time: what is computed of them stays in a processor's cache.
+_CHUNK = 1 << 18
 #: Blocks that a partition's documents make.
 PARTS = 4
 
 
 class _Strings:
-    """The ``size``-byte strings of some texts: starts, documents, and the least hash of the shorter strings in each."""
+    """The ``size``-byte strings of some texts, by runs of neighbours in a document with the same least hash of the shorter
+    strings in them: a run's first byte, number of strings, document and that hash."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, size: int):
         short = size // 2 - 1
-        self.at, self.doc = window_rows(off, size)
         least = sliding_min(window_hashes(table(41)[data], short, 42), size - short + 1)
-        self.least = least[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.run = runs(self.least, self.doc)
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        # Runs also end with a document's strings; what starts beyond these crosses documents.
+        for edge in (off, off[1:] - size + 1):
+            new[edge[(edge >= 0) & (edge < len(new))]] = True
+        first = np.flatnonzero(new)
+        doc = np.searchsorted(off, first, "right") - 1
+        inside = first + size <= off[doc + 1]
+        self.first, self.doc, self.n = first[inside], doc[inside], np.diff(np.append(first, len(new)))[inside]
+        self.least = least[self.first]
 
 
 def _several(parts: list[bytes]) -> bytes:
@@ -69,79 +79,86 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int | None = None, hot
 
     def items(data, off):
         s = _Strings(data, off, length)
-        return s.least[s.run], s.doc[s.run]
+        return s.least, s.doc
 
     def suspects(table_: pa.Table, cells: list[np.ndarray]):
         """Of a block's documents in order: the suspected runs as (document row, first byte, strings), the number of each
-        run's text, and of each distinct text its shard, bytes and smallest document; and where each chunk's runs end."""
+        run's text, and of each distinct text its key, bytes and smallest document; and where each chunk's runs end."""
         doc_ids = ids(table_["doc_id"])
         numbers: dict[bytes, int] = {}
-        rows, starts, counts, names, shard_of, upto = [], [], [], [], [], [0]
-        for lo, hi, data, off in texts(table_):
+        rows, starts, counts, names, keys, upto = [], [], [], [], [], [0]
+        for lo, hi, data, off in texts(table_, _CHUNK):
             s = _Strings(data, off, length)
-            cell = sketch.cells(s.least[s.run], 0)
-            ok = member(cells[0], cell)
-            n = np.diff(np.append(s.run, len(s.at)))
-            hot = ok & member(cells[1], cell)
+            cell = sketch.cells(s.least, 0)
+            ok = sketch.among(cells[0], cell)
+            hot = ok & sketch.among(cells[1], cell)
             ok &= ~hot
-            first, count, key = s.at[s.run[ok]], n[ok], s.least[s.run[ok]]
+            first, count, key, doc = s.first[ok], s.n[ok], s.least[ok], s.doc[ok]
             if hot.any():
-                each = np.flatnonzero(np.repeat(hot, n))
-                alone = window_hashes(table(43)[data], length, 44)[s.at[each]]
-                first, count, key = np.concatenate([first, s.at[each]]), np.concatenate([count, np.ones(len(each), np.int64)]), np.concatenate([key, alone])
+                n = s.n[hot]
+                each = spread(s.first[hot], n)
+                alone = window_hashes(table(43)[data], length, 44)[each]
+                first, count, key, doc = np.concatenate([first, each]), np.concatenate([count, np.ones(len(each), np.int64)]), np.concatenate([key, alone]), np.concatenate([doc, np.repeat(s.doc[hot], n)])
             raw = data.tobytes()
             name = np.fromiter((numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(first.tolist(), (first + count + length - 1).tolist())), np.int64, len(first))
-            row = np.searchsorted(off, first, "right") - 1
-            rows.append(lo + row)
-            starts.append(first - off[row])
+            rows.append(lo + doc)
+            starts.append(first - off[doc])
             counts.append(count)
             names.append(name)
             # Least hashes are small numbers: mixed, they spread over the shards.
-            shard_of.append((mix(key) >> np.uint64(64 - text_bits)).astype(np.int64))
+            keys.append(mix(key))
             upto.append(upto[-1] + len(first))
-        rows, starts, counts, names, shard_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts, counts, names, shard_of))
+        rows, starts, counts, names, keys = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts, counts, names, keys))
         least = np.full(len(numbers), 2**63 - 1, np.int64)
         np.minimum.at(least, names, doc_ids[rows])
-        shard = np.zeros(len(numbers), np.int64)
-        shard[names] = shard_of
-        return rows, starts, counts, names, shard, numbers, least, doc_ids, upto
+        key = np.zeros(len(numbers), np.uint64)
+        key[names] = keys
+        return rows, starts, counts, names, key, numbers, least, doc_ids, upto
+
+    def dealt(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of distinct texts by shard, and each one's shard in that order."""
+        shard = (key >> np.uint64(64 - text_bits)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, shard[order]
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return answers([])
         block = left["block"][0].as_py()
-        *_, shard, numbers, least, _, _ = suspects(in_order(opened(left)), flagged(right, 2))
+        *_, key, numbers, least, _, _ = suspects(in_order(opened(left)), flagged(right, 2))
         found = list(numbers)
-        order = np.argsort(shard, kind="stable")
-        edge, out = np.searchsorted(shard[order], np.arange(shards + 1)), []
+        order, shard = dealt(key)
+        edge, out = np.searchsorted(shard, np.arange(shards + 1)), []
         for s in np.flatnonzero(np.diff(edge)):
             some = order[edge[s] : edge[s + 1]]
             mine = [found[i] for i in some.tolist()]
             text = np.frombuffer(b"".join(mine), np.uint8)
-            out.append((block, _TEXT, int(s), _several([pack_ints(np.fromiter(map(len, mine), np.int32, len(mine))), pack_ints(least[some]), pack_ints(text)])))
+            out.append((block, _TEXT, int(s), _several([pack_ints(np.fromiter(map(len, mine), np.int32, len(mine))), pack_ints(least[some]), pack_ints(key[some].astype(np.uint32)), pack_ints(text)])))
         return answers(out)
 
     def index(table_: pa.Table) -> pa.Table:
         """Of each block's texts, string by string: whether a smaller document has it than any of that block."""
         numbers: dict[bytes, int] = {}
-        names, docs_, sizes = [], [], []
+        names, docs_, keys, sizes = [], [], [], []
         for payload in table_["payload"].to_pylist():
-            size, least, text = _apart(payload)
+            size, least, key, text = _apart(payload)
             size, least, text = unpack_ints(size, np.int32).astype(np.int64), unpack_ints(least, np.int64), unpack_ints(text, np.uint8).tobytes()
             ends = np.cumsum(size)
             names.append(np.fromiter((numbers.setdefault(text[a:b], len(numbers)) for a, b in zip((ends - size).tolist(), ends.tolist())), np.int64, len(size)))
             docs_.append(least)
+            keys.append(unpack_ints(key, np.uint32))
             sizes.append(size)
         distinct = list(numbers)
-        first = np.full(len(distinct), 2**63 - 1, np.int64)
-        for n, d in zip(names, docs_):
+        first, group = np.full(len(distinct), 2**63 - 1, np.int64), np.zeros(len(distinct), np.uint32)
+        for n, d, key in zip(names, docs_, keys):
             np.minimum.at(first, n, d)
-        best, begin = earliest(np.frombuffer(b"".join(distinct), np.uint8), np.fromiter(map(len, distinct), np.int64, len(distinct)), first, length)
+            group[n] = key
+        # Equal strings of so many bytes have the same least hash, so that texts of different keys share none.
+        best, begin = earliest(np.frombuffer(b"".join(distinct), np.uint8), np.fromiter(map(len, distinct), np.int64, len(distinct)), first, group, length)
         out = []
         for block, shard, n, d, size in zip(table_["block"].to_pylist(), table_["shard"].to_pylist(), names, docs_, sizes):
             many = size - length + 1
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[n], many)
-            out.append((block, _TEXT, shard, bits_of(best[at] < np.repeat(d, many))))
+            out.append((block, _TEXT, shard, bits_of(best[spread(begin[n], many)] < np.repeat(d, many))))
         return answers(out)
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -152,43 +169,48 @@ def dedup_bytes(docs: DataFrame, length: int = 50, width: int | None = None, hot
         if not len(left):
             return arrow.empty_table()
         table_ = in_order(opened(left))
-        rows, starts, counts, names, shard, numbers, least, doc_ids, upto = suspects(table_, flagged(right, 2))
+        rows, starts, counts, names, key, numbers, least, doc_ids, upto = suspects(table_, flagged(right, 2))
         many = np.fromiter(map(len, numbers), np.int64, len(numbers)) - length + 1
         numbers.clear()
-        order = np.argsort(shard, kind="stable")
+        order = dealt(key)[0]
         told = {s: flags_of(p) for s, p in read_answers(right, _TEXT)}
         smaller = np.concatenate([told[s] for s in sorted(told)]) if told else np.zeros(0, bool)
         begin = np.zeros(len(many), np.int64)
         begin[order] = np.cumsum(many[order]) - many[order]
-        n_bytes, n_removed, spans, kept = [], [], [], []
-        for c, (lo, hi, data, off) in enumerate(texts(table_)):
+        n_bytes, n_removed, n_spans, kept, from_, upto_ = [], [], [], [], [], []
+        for c, (lo, hi, data, off) in enumerate(texts(table_, _CHUNK)):
             # Each string of each run: removed if a smaller document outside or inside the block has it.
             own_runs = slice(upto[c], upto[c + 1])
             n, name, row = counts[own_runs], names[own_runs], rows[own_runs]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = smaller[np.repeat(begin[name], n) + at] | np.repeat(doc_ids[row] != least[name], n)
-            place = (np.repeat(starts[own_runs] + off[row - lo], n) + at)[gone]
-            step = np.zeros(len(data) + 1, np.int32)
-            np.add.at(step, place, 1)
-            np.add.at(step, place + length, -1)
-            drop = np.cumsum(step[:-1]) > 0
+            gone = smaller[spread(begin[name], n)] | np.repeat(doc_ids[row] != least[name], n)
+            place = spread(starts[own_runs] + off[row - lo], n)[gone]
+            # No two strings start at one place.
+            step = np.zeros(len(data) + 1, np.int8)
+            step[place] = 1
+            step[place + length] -= 1
+            drop = np.cumsum(step[:-1], dtype=np.int32) > 0
             total = np.concatenate(([0], np.cumsum(drop)))[off]
-            lost = np.diff(total)
             left_over, ends = data[~drop].tobytes(), off - total
-            for d in range(hi - lo):
-                kept.append(left_over[ends[d] : ends[d + 1]])
-                mine = []
-                if lost[d]:
-                    edges = np.flatnonzero(np.diff(drop[off[d] : off[d + 1]].astype(np.int8), prepend=0, append=0))
-                    mine = [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])]
-                spans.append(mine)
+            kept += [left_over[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            # A span begins, and ends, where removal does or a document does.
+            edge = np.zeros(len(data) + 1, bool)
+            edge[off] = True
+            change = np.flatnonzero(np.diff(drop, prepend=False, append=False) | edge)
+            inside = drop[change[:-1]]
+            first, last = change[:-1][inside], change[1:][inside]
+            row = np.searchsorted(off, first, "right") - 1
+            from_.append(first - off[row])
+            upto_.append(last - off[row])
+            n_spans.append(np.bincount(row, minlength=hi - lo))
             n_bytes.append(np.diff(off))
-            n_removed.append(lost)
+            n_removed.append(np.diff(total))
+        from_, upto_, bounds = np.concatenate(from_), np.concatenate(upto_), np.concatenate([[0], *n_spans]).cumsum()
+        spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(from_, pa.int64()), pa.array(upto_, pa.int64())], ["start", "end"]))
         cols = {c: table_[c] for c in own}
-        cols |= {"dedup_bytes": pa.array(np.concatenate(n_bytes), pa.int64()), "dedup_removed": pa.array(np.concatenate(n_removed), pa.int64()), "dedup_spans": pa.array(spans, arrow.field("dedup_spans").type), "dedup_kept": pa.array(kept, pa.binary())}
+        cols |= {"dedup_bytes": pa.array(np.concatenate(n_bytes), pa.int64()), "dedup_removed": pa.array(np.concatenate(n_removed), pa.int64()), "dedup_spans": spans, "dedup_kept": pa.array(kept, pa.binary())}
         return pa.table([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    cells = repeated(docs, items, sketch, hot_blocks, PARTS)
+    cells = repeated(docs, items, sketch, hot_blocks, PARTS, _CHUNK)
     blocks = tagged(docs, PARTS)
     asked = tagged(docs.select("doc_id", "text"), PARTS).groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(ask, ANSWER)
     told = asked.groupBy("shard").applyInArrow(index, ANSWER)
