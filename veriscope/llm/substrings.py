@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .exchange import ANSWER, Sketch, answers, bits_of, flagged, flags_of, ids, in_order, opened, pack_ints, read_answers, repeated, scanned, shard_bits, sketch_width, tagged, texts, unpack_ints
-from .shared import WORD, Words, member, others, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
+from .shared import WORD, Words, others, pack_sorted, runs, sliding_min, unpack_sorted, window_hashes, window_rows, word_hashes
 
 _EXACT = 100
 #: Blocks that a partition's documents make.
@@ -75,7 +75,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, depth: int = 2, width: i
             value = w.least[w.run]
             ok = np.ones(len(value), bool)
             for row in range(depth):
-                ok[ok] = member(cells[row], sketch.cells(value[ok], row))
+                ok[ok] = sketch.among(cells[row], sketch.cells(value[ok], row))
             which = np.flatnonzero(np.repeat(ok, np.diff(np.append(w.run, len(w.at)))))
             h, l_ = w.keys(which)
             spots.append((lo, hi, w.at[which]))
